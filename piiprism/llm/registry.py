@@ -1,12 +1,19 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import chat, mixing
+from . import additive, chat, kdtree, minhash, mixing, toxicity, viterbi
 
 QUERIES = {
     "op3_chat_formatting": chat.op3,
+    "op5_sentencepiece": viterbi.op5,
+    "op6_toxicity": toxicity.op6,
+    "op7_minhash_near_dedup": minhash.op7,
+    "op8_exact_top_k": kdtree.op8,
+    "op9_approximate_neighbours": additive.op9,
     "op10_source_mixing": mixing.op10,
 }
 
 ORACLE_SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
+    "op7_minhash_near_dedup": minhash.OP7_SQL,
+    "op8_exact_top_k": kdtree.OP8_SQL,
 }
