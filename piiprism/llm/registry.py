@@ -1,9 +1,12 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import additive, chat, kdtree, minhash, mixing, toxicity, viterbi
+from . import additive, chat, html, kdtree, minhash, mixing, pii, repair, toxicity, viterbi
 
 QUERIES = {
+    "op1_pii_tagger": pii.op1,
+    "op2_repair_tokens": repair.op2,
     "op3_chat_formatting": chat.op3,
+    "op4_html_consensus": html.op4,
     "op5_sentencepiece": viterbi.op5,
     "op6_toxicity": toxicity.op6,
     "op7_minhash_near_dedup": minhash.op7,
