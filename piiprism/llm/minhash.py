@@ -6,12 +6,12 @@ one bit. The population count of two sketches' XOR estimates high similarities p
 candidates; the rest are confirmed on the full sets. Documents with equal sets are joined first, by a hash of the
 whole set, and take part as one.
 
-A bucket of a band can hold a third of all rows, so its members are never paired with one another. Links grow in
-rounds: every member with the least member of its buckets; then, only in buckets whose members are not yet in one
-component, with the least of each such bucket; then the members outside the bucket's largest component with all
-others, if these are at most STRAY; a bucket with more of them is split by the values of all the other bands and
-treated again in the same way. Two texts at the threshold share a further band but for one pair in millions, as
-they share the first.
+A bucket of a band can hold a third of all rows, so its members are not paired with one another. Every member is
+first compared with the least member of its buckets; then, only in buckets whose members are not yet in one
+component, with the least of each such bucket. What is left are buckets whose members are in several components:
+copies around the threshold, or texts that share passages. Texts joined by such buckets form a group; its full sets
+are dealt to blocks of bounded size, each pair of blocks is compared exactly by one task, and only a spanning forest
+of the links leaves it. A group beyond GROUP_ROWS is dealt by its buckets in the same way.
 
 Nulls and empty texts have an empty set and link with nothing. A null doc_id links with nothing and is kept, with a
 null component. Rows that repeat a doc_id are one document with the links of each of its rows. Ties do not arise:
@@ -35,8 +35,8 @@ from .shingles import mixed, shingles
 #: 32 bands of 6 samples miss a pair of similarity 0.85 with probability 3e-7, one of 0.8 with 5e-5.
 BANDS, ROWS = 32, 6
 SKETCH_BITS = 512
-#: Members of a bucket, outside its largest component, that may be compared with all its members.
-STRAY = 32
+#: Rows and shingles of a block of a group, about; rows of a group beyond which its buckets are treated one by one.
+BLOCK_ROWS, BLOCK_SHINGLES, GROUP_ROWS = 256, 1 << 20, 50_000
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +154,73 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _stray_pairs(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of buckets (key, id) whose members are in several components: (members with labels and bucket counts)."""
+def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, label, lead (least id, with its label) of the buckets whose members are in several components."""
     named = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    by = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    return named, by, named.join(by, "key")
+    by = named.groupBy("key").agg(F.min(F.struct("id", "label")).alias("lead"), F.max("label").alias("high"), F.min("label").alias("low")).where("low < high")
+    return named.join(by.select("key", "lead"), "key")
+
+
+def forest(left: dict, right: dict, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks that join different components: ids, labels and sets by name."""
+    sets = left["set"] + right["set"]
+    n, split = len(sets), len(left["set"])
+    sizes = np.array([len(s) for s in sets])
+    col = np.concatenate(sets)
+    row = np.repeat(np.arange(n), sizes)
+    used, col, seen = np.unique(col, return_inverse=True, return_counts=True)
+    live = np.flatnonzero(seen > 1)  # a shingle of one text adds nothing to an intersection
+    place = np.full(len(used), -1)
+    place[live] = np.arange(len(live))
+    col = place[col]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((split, n - split), np.float32)
+    for a in range(0, len(live), 8192):
+        lo, hi = np.searchsorted(col, [a, min(a + 8192, len(live))])
+        x = np.zeros((n, 8192), np.float32)
+        x[row[lo:hi], col[lo:hi] - a] = 1
+        both += x[:split] @ x[split:].T
+    near = 100 * both >= percent * (sizes[:split, None] + sizes[None, split:] - both)
+    ids, parent = left["id"] + right["id"], {}
+
+    def top(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    labels, out = left["label"] + right["label"], []
+    for i, j in np.argwhere(near & (both > 0)).tolist():
+        a, b = top(labels[i]), top(labels[split + j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[split + j]))
+    return out
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each key; rows: key, id, label, n (shingles)."""
+    size = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = rows.join(size, "key").select("key", "id", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    met = (
+        dealt.join(sets, "id")
+        .select("key", "id", "label", "set", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "set")
+    )
+
+    def run(key, t):
+        block, p, q = t.column("block").to_numpy(), key[1].as_py(), key[2].as_py()
+
+        def part(which):
+            x = t.filter(pa.array(block == which))
+            return {"id": x.column("id").to_pylist(), "label": x.column("label").to_pylist(), "set": [np.frombuffer(v, np.uint64) for v in x.column("set").to_pylist()]}
+
+        left, right = part(p), part(q)
+        found = forest(left, right, percent) if left["id"] and right["id"] else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return met.groupBy("key", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -180,33 +242,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     links = confirm(members.groupBy("id").agg(F.min("lead").alias("lead")).where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")))
     labels = components(links)
-    depth = 0
-    while True:
-        named, by, mixed_rows = _stray_pairs(members.select("key", "id"), labels)
-        leads = named.groupBy("key").agg(F.min(F.struct("id", "label")).alias("lead"))
-        star = mixed_rows.join(leads, "key").where("lead.label <> label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-        found = confirm(star.distinct())
-        links = links.union(found)
-        labels = components(links)
-
-        named, by, mixed_rows = _stray_pairs(members.select("key", "id"), labels)
-        mixed_rows = common.written(mixed_rows, "minhash-mixed")
-        few = mixed_rows.where(f"n - most <= {STRAY}")
-        stray = few.where("label <> main").select("key", F.col("id").alias("a"), F.col("label").alias("label_a"))
-        across = few.join(stray, "key").where("label <> label_a AND (label = main OR id > a)").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        found = confirm(across.distinct())
-        links = links.union(found)
-        labels = components(links)
-
-        many = mixed_rows.where(f"n - most > {STRAY}").select("key", "id")
-        if not many.limit(1).count():
-            break
-        depth += 1
-        if depth > BANDS:
-            raise RuntimeError("buckets cannot be split further")
-        finer = many.join(first.select("id", F.explode("bands").alias("band")), "id").where("band <> key").select(F.xxhash64("key", "band").alias("key"), "id")
-        shared = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = common.written(finer.join(shared, "key", "left_semi").select("key", "id"), "minhash-members")
+    star = undecided(members.select("key", "id"), labels).where("lead.label <> label").select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = links.union(confirm(star))
+    labels = components(links)
+
+    left = common.written(undecided(members.select("key", "id"), labels), "minhash-undecided")
+    met = components(left.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()).withColumnRenamed("label", "met")
+    sizes = met.groupBy("met").agg(F.count("*").alias("rows"))
+    rows = left.join(met, "id").join(sizes, "met").join(meta.select("id", "n"), "id")
+    rows = rows.select(F.when(F.col("rows") <= GROUP_ROWS, F.xxhash64("met")).otherwise(F.xxhash64("met", "key")).alias("key"), "id", "label", "n").distinct()
+    links = links.union(common.written(block_links(rows, sets, percent), "minhash-links"))
+    labels = components(links)
 
     out = signed.select("doc_id", "n_shingles", "set_hash").join(groups, "set_hash", "left")
     out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
