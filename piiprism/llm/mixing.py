@@ -14,9 +14,11 @@ ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 BLOCK_WORDS = 128
+WORDS = re.compile(common.WORD)
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -68,12 +71,12 @@ def multiplier(n: int, rng: np.random.Generator) -> tuple[int, int]:
 
 
 def packed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """Rows (sid, row, doc_id, size, start): a document's place among its source's words; the sources' totals.
+    """Rows (sid, bucket, row, doc_id, size, digest, start): a document's place among its source's words; the sources' totals.
 
     The places come from two levels of running sums (within a bucket of a source, then over buckets), so a source
     that holds most rows is still dealt over many tasks.
     """
-    sized = common.written(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size")), "mix-sizes")
+    sized = common.written(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"), F.xxhash64("text").alias("digest")), "mix-sizes")
     # one row a source: a corpus has few sources, whatever its size
     found = [r.asDict() for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()]
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -82,13 +85,13 @@ def packed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
     sids = spark.createDataFrame([(r["source"], i) for i, r in enumerate(found)], "source string, sid int")
     rows = (
         sized.join(F.broadcast(sids), sized["source"].eqNullSafe(sids["source"]))
-        .select("sid", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "size")
+        .select("sid", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "size", "digest")
     )
-    w = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size")
+    w = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "digest")
     rows = rows.withColumn("row", F.row_number().over(w)).withColumn("before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     over = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     offsets = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", (F.sum("n").over(over) - F.col("n")).alias("offset"))
-    return rows.join(offsets, ["sid", "bucket"]).select("sid", "bucket", "row", "doc_id", "size", (F.col("offset") + F.col("before")).alias("start")), found
+    return rows.join(offsets, ["sid", "bucket"]).select("sid", "bucket", "row", "doc_id", "size", "digest", (F.col("offset") + F.col("before")).alias("start")), found
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 20260711) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -144,5 +147,47 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words of the spans; a text that is taken whole stays as it is."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    words = [m.span() for m in WORDS.finditer(text)]
+    if runs == [[0, len(words)]]:
+        return text
+    return " ".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of docs: a document once for each pass that takes words of it, with these words (and n_chars,
+    where docs has it)."""
+    rows, sources, pieces = mix(docs, **options)
+    spans = pieces.groupBy("sid", "bucket", "row", "pass").agg(F.collect_list(F.struct("word_from", "word_to")).alias("spans"))
+    copy = Window.partitionBy("doc_id", "source", "digest")
+    plan = (
+        rows.join(F.broadcast(sources.select("sid", "source")), "sid")
+        .withColumn("copy", F.row_number().over(copy.orderBy("bucket", "row")))
+        .join(spans, ["sid", "bucket", "row"])
+        .select("doc_id", "source", "digest", "copy", "spans")
+    )
+    names = docs.columns
+    own = docs.withColumn("digest", F.xxhash64("text")).withColumn("copy", F.row_number().over(copy.orderBy(F.lit(1))))
+    same = own["doc_id"].eqNullSafe(plan["doc_id"]) & own["source"].eqNullSafe(plan["source"]) & (own["digest"] == plan["digest"]) & (own["copy"] == plan["copy"])
+    whole = own.join(plan, same).select(*(own[n] for n in names), plan["spans"].alias("_spans"))
+
+    def run(batches):
+        for b in batches:
+            texts = [None if t is None else cut(t, [(s["word_from"], s["word_to"]) for s in x]) for t, x in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+            cols = {n: b.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return whole.mapInArrow(run, docs.schema)
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     return taken(common.table(spark, sf_dir, "documents"))

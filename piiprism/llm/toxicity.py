@@ -134,6 +134,20 @@ def scored(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def accepted(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
+    """The rows of docs, whole, with a score below 0.5."""
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b0 = model.value
+        known = _Known(w)
+        for b in batches:
+            z = [b0 + sum(w[f] for f in sorted({f for found in filter(None, map(known.__getitem__, set((t or "").split()))) for f in found})) for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([x < 0 for x in z], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 

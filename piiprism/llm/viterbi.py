@@ -154,17 +154,19 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """doc_id, ids (binary, unsigned 16-bit little-endian)."""
+def encoded(docs: DataFrame, model_file: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, ids (binary, unsigned 16-bit little-endian)."""
     path = model_file or default_model()
+    names = ["doc_id", *keep]
 
     def run(batches):
         m = model(path)
         for b in batches:
             ids = [m.encode(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(ids, pa.binary())], [*names, "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, ids binary")
 
 
 def decoded(ids: DataFrame, model_file: str | None = None) -> DataFrame:
