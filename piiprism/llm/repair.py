@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ SKIP = 256
 FREQUENT = 6
 ROUNDS = 8
 #: Pieces of text that a worker remembers the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Text bytes in a partition, about.
 PART_CHARS = 16 << 20
 
@@ -45,7 +46,8 @@ class Encoder:
     """The tokenizers library over whole texts.
 
     The vocabulary's pre-tokenizer never joins a character and white space after it, so a text falls into pieces that
-    begin with white space and are encoded alone with the same ids; the library encodes each distinct piece once.
+    begin with white space and are encoded alone with the same ids, and a stop or comma after a letter or digit begins
+    a piece as well; the library encodes each distinct piece once.
     Texts for which this cut is not plain (white space in runs, special tokens) go to the library whole.
     """
 
@@ -56,32 +58,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Bytes of each id: a byte-level vocabulary spells every byte as one character.
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)])
         self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s[\s ]|[^\S \n]")
+        self.odd = re.compile(r"\s\s|[^\S \n]")
+        self.stops = re.compile(r"[\W_][.,]")
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def together(self, names: list[str], pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(name, ids) of pieces that are encoded as one text and told apart by their bytes."""
+        if not names:
+            return
+        ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, "<u2")
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        cuts = (2 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
+        flat, a = ids.tobytes(), 0
+        for name, b in zip(names, cuts, strict=True):
+            yield name, flat[a:b]
+            a = b
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids (unsigned 16-bit) of each text."""
+        """Ids (unsigned 16-bit, of this machine's byte order) of each text."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, cut, missing, late = self.known, [], set(), []
+        known, cut, late = self.known, [], []
         for i, t in enumerate(texts):
-            if not t or self.odd.search(t) or any(s in t for s in self.special):
-                cut.append(None)
+            if not t or self.odd.search(t) or "\1" in t or any(s in t for s in self.special):
+                cut.append(())
                 late.append(i)
                 continue
-            # pieces after the first: "\n..." as they stand, others without the space before them
-            pieces = t.replace("\n", " \n").split(" ")
-            pieces[0] = "\0" + pieces[0]
-            missing.update(p for p in pieces if p not in known)
-            cut.append(pieces)
-        if missing:
-            new = list(missing)
-            # "\0" marks the first piece of a text, which no space precedes
-            known.update(zip(new, self.whole([p if p[:1] == "\n" else p[1:] if p[:1] == "\0" else " " + p for p in new]), strict=True))
-        out = [None if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+            # "\1" marks a piece that no space precedes: the first one, line feeds, stops and commas after a word
+            t = "\1" + t.replace("\n", " \1\n")
+            if not self.stops.search(t):
+                t = t.replace(".", " \1.").replace(",", " \1,")
+            cut.append(t.split(" "))
+        new = list(set().union(*cut).difference(known))
+        # pieces that begin with one kind of white space can follow one another in one text; others go alone
+        spaced, lines, alone = [], [], []
+        for p in new:
+            (alone if len(p) < 2 else spaced if p[0] != "\1" else lines if p[1] == "\n" and len(p) > 2 else alone).append(p)
+        known.update(self.together(spaced, [" " + p for p in spaced]))
+        known.update(self.together(lines, [p[1:] for p in lines]))
+        known.update(zip(alone, self.whole([p[1:] if p[:1] == "\1" else " " + p for p in alone]), strict=True))
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
         for i, ids in zip(late, self.whole([texts[i] or "" for i in late]), strict=True):
             out[i] = ids
         return out
@@ -98,6 +119,10 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _place(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(10)
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule r stands for the symbols rules[r] and is the symbol base + r."""
     seq = ids.astype(np.uint32)
@@ -117,11 +142,13 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         room = min(65536 - base - used, max(256, (65536 - base) // 3))
         pick = often[np.lexsort((ordered[first[often]], -counts[often]))[:room]]
         chosen = ordered[first[pick]]
-        order = np.argsort(chosen)
-        at = np.searchsorted(chosen[order], pairs)
-        at[at == len(chosen)] = 0
-        hit = chosen[order][at] == pairs
-        rank = np.where(hit, order[at], len(chosen)).astype(np.int64)
+        # a pair's rule by a hash table of pairs; a pair that shares its place with a more frequent one has to wait
+        table = np.full(1 << 22, len(chosen), np.int32)
+        table[_place(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        rank = table[_place(pairs)]
+        hit = np.append(chosen, 0)[rank] == pairs
+        hit &= rank < len(chosen)
+        rank = np.where(hit, rank, len(chosen))
         # of overlapping pairs the more frequent one is replaced; of equal ones every other, from the left
         spot = np.flatnonzero(hit)
         prev = np.append(len(chosen), rank)[:-1] if len(rank) else rank
