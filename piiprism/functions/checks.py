@@ -14,7 +14,7 @@ def _chars(text: Column) -> Column:
 
 def luhn(text: Column) -> Column:
     d = digits_only(text)
-    return (F.length(d) >= 12) & F.coalesce(F.luhn_check(d), F.lit(False))
+    return (F.length(d) >= 12) & F.coalesce(F.call_function("luhn_check", d), F.lit(False))
 
 
 def card(text: Column) -> Column:

@@ -62,3 +62,29 @@ def audit(detections: DataFrame, salt: str, policy: str = "balanced") -> DataFra
 def verdict(target: Column, unknown: Column, failed: Column) -> Column:
     """A crop's verdict; a verifier that fails keeps the detection."""
     return F.when(F.coalesce(failed, F.lit(True)), "error").when((target < 0.5) | (unknown > 0.4), "rejected").otherwise("approved")
+
+
+def top_exposed(detections: DataFrame, k: int = 3) -> DataFrame:
+    """page, exposed: the k heaviest kinds among what is not masked, each once."""
+    kind = F.coalesce("entity", "type")
+    by = detections.where(~F.col("masked")).groupBy("page", kind.alias("kind")).agg(F.max(weight(F.col("type"), F.col("entity"))).alias("w"))
+    top = by.groupBy("page").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "kind"))).alias("a"))  # a page has few kinds
+    return top.select("page", F.array_join(F.transform(F.slice("a", 1, k), lambda x: x["kind"]), ", ").alias("exposed"))
+
+
+def block_means(pixels: DataFrame, block: int, sigma: float = 0.0, seed: int = 0) -> DataFrame:
+    """cell_y, cell_x, mean: the value of each cell of a mosaic of pixels (x, y, v), with one draw of noise for a cell."""
+    cells = pixels.groupBy(F.floor(F.col("y") / block).cast("int").alias("cell_y"), F.floor(F.col("x") / block).cast("int").alias("cell_x")).agg(F.avg("v").alias("mean"))
+    mean = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("mean") + F.randn(seed) * sigma)) if sigma else F.col("mean")
+    return cells.withColumn("mean", F.round(mean, 6))
+
+
+def manual_regions(detections: DataFrame, regions: DataFrame, least: int = 12) -> DataFrame:
+    """detections and the regions drawn by hand (page, x1, y1, x2, y2) that are large enough: masked, with ids after the page's last."""
+    from pyspark.sql import Window
+
+    top = detections.groupBy("page").agg(F.max("id").alias("top"))
+    own = regions.where((F.col("x2") - F.col("x1") >= least) & (F.col("y2") - F.col("y1") >= least)).join(top, "page", "left")
+    no = F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("page").orderBy("x1", "y1", "x2", "y2"))
+    row = {"id": no.cast(detections.schema["id"].dataType), "type": F.lit("manual"), "entity": F.lit("CUSTOM"), "score": F.lit(1.0), "masked": F.lit(True)}
+    return detections.unionByName(own.select("page", *(c.alias(n) for n, c in row.items()), *(n for n in ("x1", "y1", "x2", "y2") if n in detections.columns)), allowMissingColumns=True)

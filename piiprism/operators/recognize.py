@@ -77,21 +77,23 @@ RULES = [
 BY_NAME = {r.name: r for r in RULES}
 
 
-def spans(t: Column, rule: Rule) -> Column:
-    """The rule's spans in a text column; offsets come from the running length of what lies between the matches."""
-    folded = text.fold_digits(t)
-    view = text.numeric_view(folded) if rule.view == "numeric" else folded
+def _spans(views: Column, rule: Rule) -> Column:
+    """The rule's spans; offsets come from the running length of what lies between the matches."""
+    view = views[rule.view]
     pattern = f"(?U){rule.prefix}(?:{rule.pattern})"
     whole = F.regexp_extract_all(view, F.lit(pattern), F.lit(0))
-    between = F.split(view, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("hit"))
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + F.length(x["gap"])
         return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), x["hit"].alias("value")))).alias("out"))
 
-    hits = F.aggregate(zipped, start, step, lambda s: s["out"])
+    def placed(found: Column) -> Column:
+        zipped = F.arrays_zip(F.slice(F.split(view, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("hit"))
+        return F.aggregate(zipped, start, step, lambda s: s["out"])
+
+    # most texts have no match: only the others are split
+    hits = F.flatten(F.transform(F.filter(F.array(whole), lambda w: F.size(w) > 0), placed))
     if rule.prefix:
         value = f"(?U)^{rule.prefix}"
         hits = F.transform(hits, lambda h: F.struct((h["start"] + F.length(F.regexp_extract(h["value"], value, 0))).alias("start"), F.regexp_replace(h["value"], value, "").alias("value")))
@@ -100,13 +102,17 @@ def spans(t: Column, rule: Rule) -> Column:
     out = F.transform(
         hits, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(h["value"])).alias("end"), F.lit(rule.entity).alias("entity"), F.lit(rule.score).alias("score"), F.lit(rule.source).alias("source"))
     )
-    cheap = F.coalesce(t.contains(rule.hint) if rule.hint else t.rlike(r"[\d۰-۹٠-٩]") if r"\d" in rule.pattern else F.lit(True), F.lit(False))
-    return F.when(cheap, out).otherwise(F.array().cast(SPAN))
+    cheap = views["text"].contains(rule.hint) if rule.hint else views["digits"] if r"\d" in rule.pattern else F.lit(True)
+    return F.when(F.coalesce(cheap, F.lit(False)), out).otherwise(F.array().cast(SPAN))
 
 
 def all_spans(t: Column, names: list[str] | None = None) -> Column:
-    """UNION ALL of the rules' spans, in one pass over the row."""
-    return F.concat(*(spans(t, r) for r in RULES if names is None or r.name in names))
+    """UNION ALL of the rules' spans, in one pass over the row; the views of the text are made once for all rules."""
+    folded = text.fold_digits(t)
+    digits = F.coalesce(folded.rlike("[0-9]"), F.lit(False))
+    views = F.array(F.struct(folded.alias("text"), F.when(digits, text.numeric_view(folded)).otherwise(folded).alias("numeric"), digits.alias("digits")))
+    rules = [r for r in RULES if names is None or r.name in names]
+    return F.element_at(F.transform(views, lambda v: F.concat(*(_spans(v, r) for r in rules))), 1)
 
 
 def exploded(docs: DataFrame, names: list[str], key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -1,4 +1,412 @@
 """Every query of the package by name, and the same result as SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import checks, text
+from ..functions.vocabulary import ENTITIES, OTHER_TEXT, POLICIES, WEIGHTS
+from ..operators import decide, geometry, govern, lines, recognize, spans
+from . import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _found(rule: str, name: str, key: str = "doc_id", column: str = "text"):
+    """key, value, n: what a recognizer finds in a table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hit = recognize.exploded(tables.table(spark, sf_dir, name), [rule], key, column)
+        return hit.groupBy(key, "value").agg(F.count("*").alias("n"))
+
+    return run
+
+
+def _found_sql(pattern: str, name: str, key: str = "doc_id", column: str = "text", guard: str = "true", group: int = 2) -> str:
+    return f"SELECT {key}, v AS value, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all({column}, '{pattern}', {group})) AS v FROM {name}) WHERE {guard} GROUP BY ALL"
+
+
+# RE2 has no lookaround: the boundary is consumed and the second group is the value
+_B, _E = r"(^|[^\pL\pN_.+-])", r"($|[^\pL\pN_])"
+_EMAIL_SQL = r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[length(d) + 1 - i] AS INT) WHEN CAST(d[length(d) + 1 - i] AS INT) > 4 THEN CAST(d[length(d) + 1 - i] AS INT) * 2 - 9 ELSE CAST(d[length(d) + 1 - i] AS INT) * 2 END)) % 10 = 0"
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_HITS = {
+    "EMAIL": ("email", rf"{_B}({_EMAIL_SQL}){_E}", "true"),
+    "IP_ADDRESS": ("ipv4", r"(^|[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})($|[^0-9.]|\.$|\.[^0-9.])", "length(list_filter(string_split(v, '.'), lambda p: NOT regexp_full_match(p, '0|[1-9][0-9]{0,2}') OR CAST(p AS INT) > 255)) = 0 AND NOT starts_with(v, '0.')"),
+    "CREDIT_CARD": ("card", r"(^|[^0-9])((?:[0-9][ -]?){12,18}[0-9])($|[^0-9])", f"length({_DIGITS}) BETWEEN 13 AND 19 AND regexp_matches(v, '^[2-6]') AND {_LUHN.replace('d[', '(' + _DIGITS + ')[').replace('length(d)', f'length({_DIGITS})')}"),
+    "PHONE": ("phone_plus", r"(^|[^\pL\pN_])(\+[0-9]{1,3}[ \-.()]*[0-9](?:[ \-.()]{0,2}[0-9]){5,13})($|[^0-9])", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+    "ID_NUMBER": ("long_number", r"(^|[^\pL\pN_.+-])([0-9]{8,})($|[^\pL\pN_-])", "true"),
+}
+# two numbers can share the one character between them, so it is doubled
+_APART = [rf"regexp_replace(text, '([{c}\n,;])', '\1\1', 'g')" for c in ("", " ")]
+for _entity, (_rule, _pattern, _guard) in _HITS.items():
+    QUERIES[f"{_rule}_hits"] = _found(_rule, "documents")
+    ORACLE_SQL[f"{_rule}_hits"] = _found_sql(_pattern, "documents", column=_APART[_rule == "long_number"], guard=_guard)
+QUERIES["secret_label_hits"] = _found("secret_label", "documents")
+ORACLE_SQL["secret_label_hits"] = _found_sql(r"(?i)\b(password|passwd|pwd|passcode|api[_ -]?key|secret(?:[_ -]?key)?|token|access[_ -]?key)\s*[:=#]\s*[\"'']?([^\s\"'',;]{4,})", "documents")
+QUERIES["url_hits"] = _found("url", "pages", "page_id", "url")
+ORACLE_SQL["url_hits"] = _found_sql(r"(?i)\b((?:https?://|www\.)[^\s<>\"'']+)", "pages", "page_id", "url", group=1)
+
+
+@query(_found_sql(r"(^|[^0-9/.-])([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})($|[^0-9/-])", "(SELECT o_orderkey, 'placed ' || strftime(o_orderdate, '%Y-%m-%d') || ' ok' AS t FROM orders)", "o_orderkey", "t"))
+def numeric_date_hits(spark, sf_dir):
+    """Dates written out in the text of an order."""
+    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("placed "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" ok")).alias("t"))
+    return recognize.exploded(rows, ["date_iso"], "o_orderkey", "t").groupBy("o_orderkey", "value").agg(F.count("*").alias("n"))
+
+
+_FLAGSHIP = ["email", "ipv4", "card", "phone_plus"]
+_ALL_HITS = " UNION ALL ".join(f"SELECT '{e}' AS entity, doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all({_APART[0]}, '{p}', 2)) AS v FROM documents) WHERE {g}" for e, (r, p, g) in _HITS.items() if r in _FLAGSHIP)
+
+
+@query(f"SELECT entity, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({_ALL_HITS}) GROUP BY entity")
+def entity_counts(spark, sf_dir):
+    """The flagship: spans of four recognizers, merged in their documents, counted by entity."""
+    docs = tables.table(spark, sf_dir, "documents")
+    merged = docs.select("doc_id", F.explode(spans.merge(recognize.all_spans(F.col("text"), _FLAGSHIP))).alias("s"))
+    return merged.groupBy(F.col("s.entity").alias("entity")).agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query()
+def spans_merged(spark, sf_dir):
+    """All recognizers: merged and trimmed spans with their labels."""
+    docs = tables.table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.explode(spans.trimmed(spans.merge(recognize.all_spans(F.col("text"))), F.col("text"))).alias("s"))
+    return rows.select("doc_id", "s.*", spans.label(F.col("s.entity")).alias("label"))
+
+
+@query(f"SELECT q.lang AS lang, count(*) AS docs, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_email, CAST(sum(n) AS BIGINT) AS emails FROM (SELECT lang, coalesce(length(regexp_extract_all(text, '{_B}({_EMAIL_SQL}){_E}', 2)), 0) AS n FROM documents) q GROUP BY q.lang")
+def whitelist_email(spark, sf_dir):
+    """Only e-mail addresses, chosen before the merge."""
+    n = F.size(spans.merge(spans.whitelist(recognize.all_spans(F.col("text"), ["email", "long_number"]), ["EMAIL"])))
+    return tables.table(spark, sf_dir, "documents").select("lang", F.coalesce(n, F.lit(0)).alias("n")).groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 0).alias("with_email"), F.sum("n").cast("long").alias("emails"))
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '{_B}{_EMAIL_SQL}{_E}', '\1[EMAIL]\2', 'g')) AS digest FROM documents")
+def redacted_text(spark, sf_dir):
+    """E-mail addresses replaced by their kind."""
+    t = F.coalesce("text", F.lit(""))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(spans.redact(t, spans.merge(recognize.all_spans(t, ["email"])))).alias("digest"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS leaks, count(*) AS docs FROM documents")
+def redaction_leak_check(spark, sf_dir):
+    """What the recognizers still find in redacted texts."""
+    t = F.coalesce("text", F.lit(""))
+    clean = tables.table(spark, sf_dir, "documents").select(spans.redact(t, spans.merge(recognize.all_spans(t, _FLAGSHIP))).alias("text"))
+    return clean.agg(F.coalesce(F.sum(F.size(recognize.all_spans(F.col("text"), _FLAGSHIP))), F.lit(0)).cast("long").alias("leaks"), F.count("*").alias("docs"))
+
+
+@query(f"SELECT role, v AS value, count(*) AS n FROM (SELECT role, unnest(regexp_extract_all(text, '{_B}({_EMAIL_SQL}){_E}', 2)) AS v FROM conversations) GROUP BY ALL")
+def conversations_pii(spark, sf_dir):
+    return _found("email", "conversations", "role")(spark, sf_dir)
+
+
+@query(f"SELECT quality, count(DISTINCT h.doc_id) AS docs, count(*) AS hits FROM ({_ALL_HITS}) h JOIN labels l ON h.doc_id = l.doc_id GROUP BY quality")
+def pii_by_label_quality(spark, sf_dir):
+    """Personal data by the quality label of its document."""
+    hit = recognize.exploded(tables.table(spark, sf_dir, "documents"), _FLAGSHIP).select("doc_id")
+    return hit.join(tables.table(spark, sf_dir, "labels"), "doc_id").groupBy("quality").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("hits"))
+
+
+# ---- text and checks ----
+
+
+@query("SELECT doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', '', 'g')) AS key FROM documents")
+def text_keys(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.text_key(F.coalesce("text", F.lit("")))).alias("key"))
+
+
+@query("SELECT doc_id, count(*) AS lines, CAST(sum(start) AS BIGINT) AS starts, CAST(max(start + length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))) GROUP BY doc_id")
+def line_offsets(spark, sf_dir):
+    rows = lines.lines(tables.table(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("start").alias("starts"), F.max(F.col("start") + F.length("line")).cast("long").alias("chars"))
+
+
+@query("SELECT c_custkey, substr(sha256('pepper|' || c_name), 1, 10) AS fingerprint FROM customer")
+def fingerprints(spark, sf_dir):
+    return tables.table(spark, sf_dir, "customer").select("c_custkey", text.fingerprint(F.col("c_name"), "pepper").alias("fingerprint"))
+
+
+@query(f"SELECT valid, count(*) AS n FROM (SELECT {_LUHN} AND regexp_matches(d, '^[2-6]') AS valid FROM (SELECT '4' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || CAST(l_linenumber % 10 AS VARCHAR) AS d FROM lineitem)) GROUP BY valid")
+def card_checks(spark, sf_dir):
+    """Numbers built from keys, by whether they pass as card numbers."""
+    d = F.concat(F.lit("4"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), (F.col("l_linenumber") % 10).cast("string"))
+    return tables.table(spark, sf_dir, "lineitem").select(checks.card(d).alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+_IBANS = "('GB82 WEST 1234 5698 7654 32'), ('GB82 WEST 1234 5698 7654 33'), ('DE89370400440532013000'), ('FR1420041010050500013M02606'), ('not an iban')"
+
+
+@query(f"WITH v AS (SELECT t, upper(regexp_replace(t, '\\s', '', 'g')) AS s FROM (VALUES {_IBANS}) x(t)) SELECT t, CASE WHEN regexp_full_match(s, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') THEN list_reduce(list_prepend(0, list_transform(range(1, length(s) + 1), lambda i: ascii((s[5:] || s[:4])[i]))), lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1 ELSE false END AS valid FROM v")
+def iban_mod97(spark, sf_dir):
+    return tables.values(spark, "t", _IBANS).select("t", checks.iban(F.col("t")).alias("valid"))
+
+
+_SSN = "lpad(CAST(l_partkey % 1000 AS VARCHAR(9)), 3, '0') || '-' || lpad(CAST(l_suppkey % 100 AS VARCHAR(9)), 2, '0') || '-' || lpad(CAST(l_orderkey % 10000 AS VARCHAR(9)), 4, '0')"
+
+
+@query(f"SELECT s, regexp_full_match(s, '[0-8][0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}') AND s[1:3] NOT IN ('000', '666') AND s[5:6] <> '00' AND s[8:] <> '0000' AND s NOT IN ('123-45-6789', '078-05-1120', '219-09-9999') AS valid, count(*) AS n FROM (SELECT {_SSN} AS s FROM lineitem) GROUP BY ALL")
+def ssn_rules(spark, sf_dir):
+    return tables.table(spark, sf_dir, "lineitem").select(F.expr(_SSN).alias("s")).groupBy("s").agg(F.count("*").alias("n")).select("s", checks.ssn(F.col("s")).alias("valid"), "n")
+
+
+_NATIONAL = "lpad(CAST((o_orderkey * 7919 + o_custkey * 104729) % 10000000000 AS VARCHAR(20)), 10, '0')"
+
+
+@query(f"SELECT valid, count(*) AS n FROM (SELECT NOT (list_unique(string_split(d, '')) = 1) AND CAST(d[10] AS INT) = CASE WHEN r < 2 THEN r ELSE 11 - r END AS valid FROM (SELECT d, list_sum(list_transform(range(1, 10), lambda i: CAST(d[i] AS INT) * (11 - i))) % 11 AS r FROM (SELECT {_NATIONAL} AS d FROM orders))) GROUP BY valid")
+def national_ids(spark, sf_dir):
+    return tables.table(spark, sf_dir, "orders").select(checks.national_id(F.expr(_NATIONAL)).alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, round(entropy(c), 6) AS bits FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY p_partkey")
+def entropy_tokens(spark, sf_dir):
+    return tables.table(spark, sf_dir, "part").select("p_partkey", F.round(checks.entropy(F.col("p_name")), 6).alias("bits"))
+
+
+@query("SELECT c_custkey, CAST(list_sum(list_transform(range(1, length(f) + 1), lambda i: [7, 3, 1][(i - 1) % 3 + 1] * CASE WHEN f[i] = '<' THEN 0 WHEN ascii(f[i]) < 58 THEN ascii(f[i]) - 48 ELSE ascii(f[i]) - 55 END)) % 10 AS VARCHAR) AS digit FROM (SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '<', 'g') AS f FROM customer)")
+def icao_digits(spark, sf_dir):
+    f = F.regexp_replace(F.upper("c_name"), "[^A-Z0-9]", "<")
+    return tables.table(spark, sf_dir, "customer").select("c_custkey", checks.icao_digit(f).alias("digit"))
+
+
+_MRZ = "('L898902C36UTO7408122F1204159ZE184226B<<<<<10', true), ('L898902C36UTO7508122F1204159ZE184226B<<<<<10', false), ('P<CANMARTIN<<SARAH<<<', NULL)"
+
+
+@query(f"SELECT line, valid FROM (VALUES {_MRZ}) v(line, valid)")
+def mrz_check_digits(spark, sf_dir):
+    return tables.values(spark, "line, expected", _MRZ).select("line", checks.mrz_valid(F.col("line")).alias("valid"))
+
+
+_REPAIRS = "('UTOERIKSSON', 'UTOERIKSSON'), ('JACK<<', 'JACK<<'), ('(KK)', '<<<<'), ('p < c a n m a r t i n<<sarah', 'P<CANMARTIN<<SARAH')"
+
+
+@query(f"SELECT line, compact FROM (VALUES {_REPAIRS}) v(line, compact)")
+def mrz_compact(spark, sf_dir):
+    return tables.values(spark, "line, expected", _REPAIRS).select("line", text.mrz_compact(F.col("line")).alias("compact"))
+
+
+_VIEWS = "('411l 1111 1111 1111', '4111 1111 1111 1111'), ('total amount', 'total amount'), ('1O5-S7', '105-57'), ('a1 B 2c', 'a1 8 2c'), ('5B.Z3', '5B.Z3'), ('5B4.Z3', '584.23')"
+
+
+@query(f"SELECT t, view FROM (VALUES {_VIEWS}) v(t, view)")
+def numeric_view(spark, sf_dir):
+    return tables.values(spark, "t, expected", _VIEWS).select("t", text.numeric_view(F.col("t")).alias("view"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{e}' AS entity, '{label}' AS label, {p} AS priority" for e, (label, p) in ENTITIES.items()))
+def label_lookup(spark, sf_dir):
+    rows = spark.createDataFrame([(e,) for e in ENTITIES], "entity string")
+    return rows.select("entity", spans.label(F.col("entity")).alias("label"), spans.priority(F.col("entity")).alias("priority"))
+
+
+_PLATES = "(SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Utility Bill' WHEN 2 THEN 'IR-24 ' || CAST(s_suppkey AS VARCHAR(9)) || 'B77' WHEN 3 THEN 'HOY' || CAST(s_suppkey AS VARCHAR(9)) ELSE 'ABCDEF' END AS t FROM supplier)"
+
+
+@query(f"SELECT s_suppkey, t = '' OR (length(k) BETWEEN 2 AND 14 AND (regexp_matches(k, '[0-9]') OR (k = upper(k) AND (regexp_matches(k, '[ILO10]') OR length(k) BETWEEN 3 AND 8)))) AS lenient, length(k) BETWEEN 2 AND 12 AND regexp_matches(k, '[0-9]') AND length(regexp_replace(k, '[^a-z]', '', 'g')) <= 1 AS strict FROM (SELECT s_suppkey, t, regexp_replace(t, '[^A-Za-z0-9]', '', 'g') AS k FROM {_PLATES})")
+def plate_text_rules(spark, sf_dir):
+    tables.table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    return spark.sql(f"SELECT * FROM {_PLATES}").select("s_suppkey", checks.plate_lenient(F.col("t")).alias("lenient"), checks.plate_strict(F.col("t")).alias("strict"))
+
+
+# ---- lines ----
+
+_PASSPORT = "Surname / Nom / Apellidos\\nDE LA PAZ\\nGiven Names / Prénoms\\nMICHELLE\\nPassport No. / No. du Passeport\\n910239248\\nDate of birth / Date de naissance\\n\\n07 Aug 1999\\nDate of issue\\n06 Feb 2008"
+
+
+@query("SELECT * FROM (VALUES (1, 26, 'PERSON', 'DE LA PAZ'), (1, 58, 'PERSON', 'MICHELLE'), (1, 99, 'ID_NUMBER', '910239248'), (1, 144, 'DATE_OF_BIRTH', '07 Aug 1999'), (1, 170, 'DATE', '06 Feb 2008')) v(doc_id, start, entity, value)")
+def header_value_pairs(spark, sf_dir):
+    docs = tables.values(spark, "doc_id, text", f"(1, '{_PASSPORT}'), (2, 'Surname\\nPassport No.'), (3, 'Department: Human\\n12')")
+    return lines.header_values(lines.lines(docs)).select("doc_id", F.col("start").cast("int").alias("start"), "entity", "value")
+
+
+_CONTACT = "(1, 'Jane Doe\\n12 Main St\\njane@acme.com'), (2, 'Hiring Manager\\n(159) 357-8426'), (3, 'Anna Lee\\nx\\ny\\nz@w.org'), (4, 'Max O\\'Neil-Smith\\n+1 415 555 1234\\nMax sat. Max Roe')"
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'Jane Doe'), (4, 0, 'Max O''Neil-Smith')) v(doc_id, line_no, value) WHERE doc_id = 1")
+def contact_block_names(spark, sf_dir):
+    return lines.contact_names(lines.lines(tables.values(spark, "doc_id, text", _CONTACT))).where("doc_id < 4")
+
+
+@query("SELECT * FROM (VALUES (1, 'Jane Doe', 2)) v(doc_id, name, n)")
+def name_coreference(spark, sf_dir):
+    docs = tables.values(spark, "doc_id, text", "(1, 'Dear Jane Doe, ... so Jane Doe said'), (2, 'Jane Doe')")
+    names = recognize.exploded(docs, ["salutation"]).select("doc_id", "value")
+    return lines.coreference(docs, names).select("doc_id", "name", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT page, compared, matched, valid, consistency::DOUBLE AS consistency, verdict FROM (VALUES (1, 4, 3, true, 0.746, 'REVIEW'), (2, 1, 1, false, 0.55, 'REVIEW'), (3, 2, 2, true, 0.994, 'APPROVED')) v(page, compared, matched, valid, consistency, verdict)")
+def mrz_cross_zone(spark, sf_dir):
+    """Printed fields against the machine-readable zone of their pages."""
+    good, bad = "L898902C36UTO7408122F1204159ZE184226B<<<<<10", "L898902C36UTO7508122F1204159ZE184226B<<<<<10"
+    zones = tables.values(spark, "page, line", f"(1, '{good}'), (1, 'P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<'), (2, '{bad}'), (3, '{good}')").select("page", text.mrz_compact(F.col("line")).alias("compact"))
+    fields = tables.values(spark, "page, entity, value", "(1, 'PERSON', 'Eriksson'), (1, 'PERSON', 'Anna'), (1, 'ID_NUMBER', 'L898902C3'), (1, 'ID_NUMBER', 'X1234567'), (2, 'ID_NUMBER', 'L898902C3'), (3, 'ID_NUMBER', 'L898902C3'), (3, 'DATE', '740812'), (4, 'PERSON', 'Nobody')")
+    out = lines.cross_zone(fields, zones).withColumnRenamed("check", "valid")
+    return out.withColumn("compared", F.col("compared").cast("int")).withColumn("matched", F.col("matched").cast("int"))
+
+
+# ---- geometry ----
+
+
+@query(f"WITH b AS ({tables.BOXES}), o AS (SELECT a.page, a.id AS a, b.id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM b a JOIN b ON a.page = b.page AND a.id < b.id) SELECT page, a, b, round(i / (s - i), 6) AS iou FROM o WHERE i / (s - i) >= 0.2")
+def iou_pairs(spark, sf_dir):
+    return geometry.overlapping(tables.derived(spark, sf_dir, tables.BOXES), 0.2)
+
+
+@query(f"WITH b AS ({tables.BOXES}) SELECT page, id FROM b t WHERE type = 'text' AND NOT EXISTS (SELECT 1 FROM b p WHERE p.type = 'plate' AND p.score >= 0.6 AND p.page = t.page AND p.x1 < t.x2 AND t.x1 < p.x2 AND p.y1 < t.y2 AND t.y1 < p.y2 AND 3 * (least(p.x2, t.x2) - greatest(p.x1, t.x1)) * (least(p.y2, t.y2) - greatest(p.y1, t.y1)) > (p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1))")
+def plate_antijoin(spark, sf_dir):
+    b = tables.derived(spark, sf_dir, tables.BOXES)
+    return geometry.suppressed(b.where("type = 'text'"), b.where("type = 'plate'")).select("page", "id")
+
+
+@query(f"WITH s AS ({tables.SPANS}) SELECT a.page, a.id AS span, count(*) AS boxes, round(avg(b.conf), 6) AS confidence FROM s a JOIN s b ON a.page = b.page AND b.start < a.\"end\" AND b.\"end\" > a.start WHERE a.side = 'span' AND b.side = 'box' GROUP BY a.page, a.id")
+def span_box_join(spark, sf_dir):
+    s = tables.derived(spark, sf_dir, tables.SPANS)
+    return geometry.covered(s.where("side = 'span'"), s.where("side = 'box'"))
+
+
+@query(f"WITH b AS ({tables.BOXES}), g AS (SELECT *, CASE WHEN x1 - lag(x2) OVER w > 2.5 * greatest(y2 - y1, lag(y2 - y1) OVER w) THEN 1 ELSE 0 END AS cut FROM b WINDOW w AS (PARTITION BY page, line ORDER BY x1, id)) SELECT page, id, line, CAST(sum(cut) OVER (PARTITION BY page, line ORDER BY x1, id) AS BIGINT) AS segment FROM g")
+def line_segments_gap(spark, sf_dir):
+    return geometry.segments(tables.derived(spark, sf_dir, tables.BOXES)).select("page", "id", "line", "segment")
+
+
+@query(f"WITH b AS (SELECT *, concat('w', CAST(x2 AS VARCHAR(9))) AS t FROM ({tables.BOXES})) SELECT page, id, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY page ORDER BY line, x1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM b")
+def word_boxes(spark, sf_dir):
+    """Offsets of word boxes in the text of their page."""
+    b = tables.derived(spark, sf_dir, tables.BOXES).withColumn("text", F.concat(F.lit("w"), F.col("x2").cast("string")))
+    return geometry.running_text(b).select("page", "id", "start")
+
+
+@query(f"WITH s AS ({tables.SPANS}), g AS (SELECT *, CASE WHEN start < max(\"end\") OVER (PARTITION BY page ORDER BY start, \"end\" DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS cut FROM s), c AS (SELECT *, sum(cut) OVER (PARTITION BY page ORDER BY start, \"end\" DESC, id) AS k FROM g) SELECT page, CAST(min(start) AS INT) AS start, CAST(max(\"end\") AS INT) AS stop, max(conf) AS score FROM c GROUP BY page, k")
+def merge_extents(spark, sf_dir):
+    """Extents and scores of merged spans."""
+    s = tables.derived(spark, sf_dir, tables.SPANS)
+    span = F.struct("start", "end", F.upper("side").alias("entity"), F.col("conf").alias("score"), F.lit("pattern").alias("source"))
+    rows = s.groupBy("page").agg(F.array_sort(F.collect_list(span)).alias("spans")).select("page", F.explode(spans.merge(F.col("spans"))).alias("s"))
+    return rows.select("page", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.score").alias("score"))
+
+
+@query(f"WITH b AS ({tables.BOXES}) SELECT page, CAST(page % 320 AS INT) AS x, 12 AS y, min_by(id, (x2 - x1) * (y2 - y1) * 100 + id) AS id FROM b WHERE page % 320 BETWEEN x1 AND x2 AND 12 BETWEEN y1 AND y2 GROUP BY page")
+def picked_box(spark, sf_dir):
+    b = tables.derived(spark, sf_dir, tables.BOXES)
+    points = b.select("page").distinct().select("page", F.lit(0).alias("point"), (F.col("page") % 320).cast("int").alias("x"), F.lit(12).alias("y"))
+    return geometry.picked(points, b).join(points, ["page", "point"]).select("page", "x", "y", "id")
+
+
+@query()
+def detection_dedupe(spark, sf_dir):
+    b = tables.derived(spark, sf_dir, tables.BOXES).withColumn("text", F.concat(F.lit("t"), (F.col("x2") % 2).cast("string")))
+    return geometry.dedupe(b).select("page", "id")
+
+
+@query()
+def line_groups(spark, sf_dir):
+    return geometry.line_groups(tables.derived(spark, sf_dir, tables.BOXES).drop("line")).select("page", "id", "line")
+
+
+@query("SELECT * FROM (VALUES (1, 1, '14 JAN /JAN 13', 30, 400), (2, 1, '10 USD /EUR', 30, 200), (2, 2, '20', 350, 400)) v(page, id, text, x1, x2)")
+def date_stitch(spark, sf_dir):
+    boxes = tables.values(spark, "page, id, text, x1, y1, x2, y2", "(1, 1, '14 JAN /JAN', 30, 10, 200, 30), (1, 2, 'I3', 300, 12, 400, 30), (2, 1, '10 USD /EUR', 30, 10, 200, 30), (2, 2, '20', 350, 10, 400, 30)")
+    return geometry.stitched_dates(boxes).select("page", "id", "text", "x1", "x2")
+
+
+_LAYOUT = "(1, 1000, 500, array('Text', 'Title', 'Figure'), array(array(0.05, 0.09, 0.7, 0.15), array(0.05, 0.26, 0.42, 0.3), array(0.5, 0.5, 1.0, 1.0)), array(0.9, 0.8, 0.7))"
+
+
+@query("SELECT * FROM (VALUES (1, 'Text', 50, 45, 700, 75, true), (1, 'Title', 50, 130, 420, 150, true)) v(page, kind, x1, y1, x2, y2, whole)")
+def layout_blocks(spark, sf_dir):
+    blocks, pages = geometry.layout_blocks(tables.values(spark, "page, width, height, class_names, boxes, scores", _LAYOUT))
+    return blocks.join(pages, "page").select("page", "kind", "x1", "y1", "x2", "y2", "whole")
+
+
+# ---- decisions ----
+
+_FEATURES = "SELECT event_id, (event_id % 100) / 100.0 AS white, (event_id % 7) / 2.0 AS grad, (user_id % 10) / 10.0 AS sat, (user_id % 5) / 5.0 AS hue, CAST(event_id % 60 AS DOUBLE) AS contrast FROM events"
+
+
+@query(f"WITH f AS ({_FEATURES}), z AS (SELECT event_id, white * 4.2 + least(grad, 3.0) * 0.8 - sat * 4.0 + CASE WHEN contrast > 40 THEN 1 ELSE 0 END AS a, sat * 5.0 + hue * 2.5 - white * 3.5 + CASE WHEN contrast > 30 THEN 1.2 ELSE 0 END AS b, -1.2 + CASE WHEN contrast < 20 THEN 0.6 ELSE 0 END AS u FROM f) SELECT event_id, round(exp(a / 0.9) / (exp(a / 0.9) + exp(b / 0.9) + exp(u / 0.9)), 6) AS doc, round(exp(u / 0.9) / (exp(a / 0.9) + exp(b / 0.9) + exp(u / 0.9)), 6) AS unknown, b > a AS skip_text FROM z")
+def softmax_decision(spark, sf_dir):
+    """Scene probabilities from features, and whether text is read."""
+    tables.table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    f = spark.sql(_FEATURES)
+    d = lambda c: F.col(c).cast("double")
+    u = decide.unknown_logit(F.lit(100.0), F.lit(128.0), d("contrast"))
+    doc, street, unknown = decide.scene(d("white"), d("grad"), d("sat"), d("hue"), d("contrast"), u)
+    return f.select("event_id", F.round(doc, 6).alias("doc"), F.round(unknown, 6).alias("unknown"), decide.scene_gate(doc, street, d("white"))["skip_text"].alias("skip_text"))
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL OR event_type = 'error' THEN 'error' WHEN value / 100 < 0.5 OR (user_id % 10) / 10.0 > 0.4 THEN 'rejected' ELSE 'approved' END AS verdict FROM events")
+def verdict_failopen(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    return e.select("event_id", govern.verdict(F.col("value") / 100, (F.col("user_id") % 10) / 10, F.col("value").isNull() | (F.col("event_type") == "error")).alias("verdict"))
+
+
+@query(f"WITH b AS ({tables.BOXES}) SELECT page, id AS entry, CASE WHEN id % 3 = 0 THEN id ELSE (SELECT min(c.id) FROM b c WHERE c.page = b.page AND c.x1 = b.x1 AND c.y1 = b.y1 AND c.x2 = b.x2 AND c.y2 = b.y2) END AS id FROM b")
+def log_links(spark, sf_dir):
+    """Log entries to detections, by reference or by box."""
+    b = tables.derived(spark, sf_dir, tables.BOXES).withColumn("ref", F.when(F.col("id") % 3 == 0, F.col("id")))
+    return decide.links(b.withColumnRenamed("id", "entry"), b)
+
+
+# ---- governance ----
+
+_WEIGHT = f"CASE WHEN type IN ('face', 'plate') THEN CASE type WHEN 'face' THEN {WEIGHTS['face']} ELSE {WEIGHTS['plate']} END ELSE CASE entity {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in WEIGHTS.items())} ELSE {OTHER_TEXT} END END"
+
+
+def _risk_sql(policy: str, extra: str = "") -> str:
+    return f"SELECT page, count(*) AS total, count(*) FILTER (masked) AS masked, CAST(least(99, sum({_WEIGHT})) AS INT) AS initial, least(99.0::DOUBLE, floor((least(99, coalesce(sum({_WEIGHT}) FILTER (NOT masked), 0)) + CASE WHEN bool_or(masked AND type IN ('face', 'plate')) THEN {min(2.0, 1 / POLICIES[policy][0])} ELSE 0.0 END)::DOUBLE * 10 + 0.5) / 10) AS residual FROM ({tables.DETECTIONS}) d GROUP BY page"
+
+
+for _policy in POLICIES:
+    QUERIES[f"risk_{_policy}"] = lambda spark, sf_dir, p=_policy: govern.risk(tables.derived(spark, sf_dir, tables.DETECTIONS), p).drop("status")
+    ORACLE_SQL[f"risk_{_policy}"] = _risk_sql(_policy)
+
+
+@query(f"SELECT CASE WHEN residual <= 2 THEN 'Protected' WHEN residual < 25 THEN 'Low Risk' WHEN residual <= 60 THEN 'High Risk - Coverage Required' ELSE 'Critical Exposure' END AS status, count(*) AS pages FROM ({_risk_sql('balanced')}) GROUP BY 1")
+def risk_status_hist(spark, sf_dir):
+    return govern.risk(tables.derived(spark, sf_dir, tables.DETECTIONS)).groupBy("status").agg(F.count("*").alias("pages"))
+
+
+@query(f"SELECT entity, count(*) AS n, round(avg(score), 4) AS mean_score, max(score) AS top_score FROM ({tables.DETECTIONS}) d GROUP BY entity")
+def entity_summary_topscore(spark, sf_dir):
+    return govern.summary(tables.derived(spark, sf_dir, tables.DETECTIONS)).drop("sample")
+
+
+@query(f"SELECT page, id, NOT every AS masked FROM (SELECT page, id, bool_and(masked) OVER (PARTITION BY page) AS every FROM ({tables.DETECTIONS}) d)")
+def mask_toggle(spark, sf_dir):
+    """All masked, unless all are: then none."""
+    return govern.mask_all(tables.derived(spark, sf_dir, tables.DETECTIONS)).select("page", "id", "masked")
+
+
+@query(f"SELECT page, string_agg(k, ', ' ORDER BY w DESC, k) AS exposed FROM (SELECT page, k, w, row_number() OVER (PARTITION BY page ORDER BY w DESC, k) AS r FROM (SELECT page, coalesce(entity, type) AS k, max({_WEIGHT}) AS w FROM ({tables.DETECTIONS}) d WHERE NOT masked GROUP BY page, coalesce(entity, type))) WHERE r <= 3 GROUP BY page")
+def top_exposed(spark, sf_dir):
+    return govern.top_exposed(tables.derived(spark, sf_dir, tables.DETECTIONS))
+
+
+@query()
+def audit_json(spark, sf_dir):
+    return govern.audit(tables.derived(spark, sf_dir, tables.DETECTIONS), "pepper")
+
+
+@query("SELECT CAST(y // 16 AS INT) AS cell_y, CAST(x // 16 AS INT) AS cell_x, round(avg(v), 6) AS mean FROM (SELECT l_partkey % 128 AS x, l_suppkey % 64 AS y, l_quantity AS v FROM lineitem) GROUP BY ALL")
+def dp_pix_block_means(spark, sf_dir):
+    """Block means of pixels (x, y, v), the noise off."""
+    px = tables.table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 128 AS x", "l_suppkey % 64 AS y", "l_quantity AS v")
+    return govern.block_means(px, 16)
