@@ -193,7 +193,7 @@ class Tagger:
         size = steps * n
         return float((z - gold).sum() / size), {k: (v / size).astype(np.float32) for k, v in g.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 192, rate: float = 0.02, seed: int = 4) -> list[float]:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 192, rate: float = 0.02, seed: int = 4) -> list[float]:
         """Adam over windows (time, rows)."""
         rng, losses = np.random.default_rng(seed), []
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -318,7 +318,7 @@ def _example(rng, kind: int) -> str:
     pick = lambda *x: x[int(rng.integers(len(x)))]
     if kind == 0:
         user = _word(rng) + (pick(".", "_", "") + _word(rng) if rng.random() < 0.6 else "") + (_number(rng, int(rng.integers(1, 4))) if rng.random() < 0.3 else "")
-        at, dot = ("@", ".") if plain else pick((" @ ", "."), ("@ ", "."), (" @", " . "), (" [at] ", "."), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"))
+        at, dot = ("@", ".") if plain else pick((" @ ", "."), ("@ ", "."), (" @", " . "), (" [at] ", "."), (" (at) ", " (dot) "), (" at ", " dot "), (" at ", " dot "), ("[at]", "[dot]"))
         return user + at + _word(rng) + dot + pick("com", "org", "net", "example" + dot + "com", "io", "de")
     if kind == 1:
         sep = "." if plain else pick(" . ", "[.]", ". ", "(.)")
