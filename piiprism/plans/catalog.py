@@ -56,6 +56,7 @@ _HITS = {
 }
 # two numbers can share the one character between them, so it is doubled
 _APART = [rf"regexp_replace(text, '([{c}\n,;])', '\1\1', 'g')" for c in ("", " ")]
+_APART[0] = rf"regexp_replace({_APART[0]}, '([0-9]{{16,}}) ', '\1  ', 'g')"
 for _entity, (_rule, _pattern, _guard) in _HITS.items():
     QUERIES[f"{_rule}_hits"] = _found(_rule, "documents")
     ORACLE_SQL[f"{_rule}_hits"] = _found_sql(_pattern, "documents", column=_APART[_rule == "long_number"], guard=_guard)
