@@ -38,6 +38,11 @@ FREQUENT = 6
 ROUNDS = 8
 #: Pieces of text that a worker remembers the ids of.
 CACHE_WORDS = 1_000_000
+#: White space in runs of space and line feed, and all other white space.
+RUNS = ("  ", "\n\n", " \n", "\n ")
+OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: Bits of a place in the hash table of pairs.
+PLACE_BITS = 18
 #: Text bytes in a partition, about.
 PART_CHARS = 16 << 20
 
@@ -61,17 +66,22 @@ class Encoder:
         #: Bytes of each id: a byte-level vocabulary spells every byte as one character.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)])
         self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s\s|[^\S \n]")
-        self.stops = re.compile(r"[\W_][.,]")
+        self.stops = re.compile(r"[.,](?<![^\W_][.,])")
+
+    def odd(self, text: str) -> bool:
+        """Whether white space stands in a run, or any of it is neither space nor line feed."""
+        if any(s in text for s in RUNS) or any(s in text for s in OTHER_SPACE if s.isascii()):
+            return True
+        return not text.isascii() and any(s in text for s in OTHER_SPACE if not s.isascii())
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def together(self, names: list[str], pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """(name, ids) of pieces that are encoded as one text and told apart by their bytes."""
         if not names:
             return
-        ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, "<u2")
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u2")
         ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
         cuts = (2 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
         flat, a = ids.tobytes(), 0
@@ -85,7 +95,7 @@ class Encoder:
             self.known.clear()
         known, cut, late = self.known, [], []
         for i, t in enumerate(texts):
-            if not t or self.odd.search(t) or "\1" in t or any(s in t for s in self.special):
+            if not t or self.odd(t) or "\1" in t or any(s in t for s in self.special):
                 cut.append(())
                 late.append(i)
                 continue
@@ -120,7 +130,7 @@ def default_vocabulary() -> str:
 
 
 def _place(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(10)
+    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - PLACE_BITS)
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,16 +153,16 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         pick = often[np.lexsort((ordered[first[often]], -counts[often]))[:room]]
         chosen = ordered[first[pick]]
         # a pair's rule by a hash table of pairs; a pair that shares its place with a more frequent one has to wait
-        table = np.full(1 << 22, len(chosen), np.int32)
-        table[_place(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        table = np.full(1 << PLACE_BITS, len(chosen), np.int16)
+        table[_place(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int16)[::-1]
         rank = table[_place(pairs)]
         hit = np.append(chosen, 0)[rank] == pairs
         hit &= rank < len(chosen)
-        rank = np.where(hit, rank, len(chosen))
+        rank[~hit] = len(chosen)
         # of overlapping pairs the more frequent one is replaced; of equal ones every other, from the left
         spot = np.flatnonzero(hit)
-        prev = np.append(len(chosen), rank)[:-1] if len(rank) else rank
-        after = np.append(rank[1:], len(chosen))
+        prev = np.append(rank.dtype.type(len(chosen)), rank[:-1])
+        after = np.append(rank[1:], rank.dtype.type(len(chosen)))
         sure = spot[(rank[spot] < prev[spot]) & (rank[spot] <= after[spot])]
         take = np.zeros(len(pairs), bool)
         take[sure] = True
@@ -163,7 +173,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         take[1:] &= ~take[:-1]
         if not take.any():
             break
-        seq[:-1][take] = (base + used + rank[take]).astype(np.uint32)
+        seq[:-1][take] = base + used + rank[take].astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[1:][take] = False
         seq = seq[keep]
@@ -176,8 +186,12 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each symbol stands for (terminals 1), by symbol."""
     n = np.ones(base + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        n[base + i] = n[a] + n[b]
+    top = np.maximum.accumulate(rules.max(axis=1, initial=0).astype(np.int64)) - base
+    a = 0
+    while a < len(rules):  # as many rules at once as need none of each other
+        b = int(np.searchsorted(top, a, "left"))
+        n[base + a : base + b] = n[rules[a:b, 0]] + n[rules[a:b, 1]]
+        a = b
     return n
 
 
@@ -198,6 +212,16 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand_shard(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """As expand, for a whole shard: every rule is expanded once, and the ids are copied from there."""
+    n = rule_lengths(rules, base)
+    ids = np.concatenate([np.arange(base, dtype=np.uint32), expand(np.arange(base, base + len(rules), dtype=np.uint32), rules, base)])
+    width = n[seq]
+    place = np.repeat((np.cumsum(n) - n)[seq] - (np.cumsum(width) - width), width)
+    place += np.arange(len(place))
+    return ids[place]
+
+
 def stretch(shard: dict, start: int, n: int, base: int) -> np.ndarray:
     """Ids [start, start + n) of a shard, from the symbols that hold them."""
     seq, rules = np.frombuffer(shard["sequence"], "<u2"), np.frombuffer(shard["rules"], "<u2").reshape(-1, 2)
@@ -276,7 +300,7 @@ def read_back(table: DataFrame, base: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids = expand(np.frombuffer(r["sequence"], "<u2"), np.frombuffer(r["rules"], "<u2").reshape(-1, 2), base).astype("<u4")
+                ids = expand_shard(np.frombuffer(r["sequence"], "<u2"), np.frombuffer(r["rules"], "<u2").reshape(-1, 2), base).astype("<u4")
                 sizes = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
