@@ -123,6 +123,7 @@ def test_grammar_and_random_access():
     base = 50257
     seq, rules = repair.compress(ids, base)
     assert len(seq) < len(ids) and (repair.expand(seq, rules, base) == ids).all()
+    assert (repair.expand_shard(seq, rules, base) == ids).all()
     n = repair.rule_lengths(rules, base)
     ends = np.cumsum(n[seq])
     skips = np.append(0, ends[repair.SKIP - 1 :: repair.SKIP])[: -(-len(seq) // repair.SKIP)]
@@ -141,6 +142,17 @@ def test_token_files_of_odd_rows(spark, odd):
 # ---- chat ----
 
 
+def test_token_pieces_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(repair.default_vocabulary())
+    pool = ["a", ".", ",", " ", "\n", "\t", "  ", "é", "\u0301", "_", "'s", "12", "\xa0", "\u3000", "x.", "<|endoftext|>", "\x01", "²", "\x85", "\x1c"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(0, 12))) for _ in range(3000)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in repair.encoder(repair.default_vocabulary()).encode(texts)] == want
+
+
 def test_examples_hold_one_reply_each(spark):
     rows = spark.createDataFrame([(1, 0, "user", "hi </s>"), (1, 1, "assistant", "yo\\1"), (1, 2, "user", None), (1, 3, "assistant", ""), (None, 0, None, "x"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
     contexts, examples = chat.formatted(rows)
