@@ -409,6 +409,20 @@ def found_spans(text: str, tagged: list[tuple[int, int, int]]) -> tuple[list, li
     return base, sorted(base + added)
 
 
+def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Extents of spans that overlap, by start; the kind is that of the longest span in an extent, then the first of
+    KINDS. Spans that only touch stay apart."""
+    out: list[list[tuple[int, int, int]]] = []
+    end = -1
+    for s in sorted(spans, key=lambda s: s[1:]):
+        if s[1] < end:
+            out[-1].append(s)
+        else:
+            out.append([s])
+        end = max(end, s[2])
+    return [(min(g, key=lambda s: (s[1] - s[2], s[0]))[0], g[0][1], max(s[2] for s in g)) for g in out]
+
+
 def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all), n_added."""
     # a network of some thousand weights, whatever the corpus
@@ -435,7 +449,7 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets, and n_chars where docs has it."""
+    """docs with every span of text replaced by its kind in brackets, spans that overlap by one, and n_chars where docs has it."""
     model = docs.sparkSession.sparkContext.broadcast((tagger or train(docs)).p)
     names = docs.columns
 
@@ -449,10 +463,8 @@ def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 some = texts[a : a + 256]
                 for text, tagged in zip(some, t.tag([x or "" for x in some]), strict=True):
                     if text:
-                        last = len(text) + 1
-                        for k, x, y in sorted(found_spans(text, tagged)[1], key=lambda s: (-s[1], -s[2])):
-                            if y <= last:
-                                text, last = f"{text[:x]}[{KINDS[k].upper()}]{text[y:]}", x
+                        for k, x, y in reversed(united(found_spans(text, tagged)[1])):
+                            text = f"{text[:x]}[{KINDS[k].upper()}]{text[y:]}"
                     out.append(text)
             cols = {n: b.column(n) for n in names} | {"text": pa.array(out, pa.string())}
             if "n_chars" in names:

@@ -77,6 +77,15 @@ def test_a_span_does_not_depend_on_the_window(tagger):
         assert [text[a:b] for _, a, b in base] == ["anna.lee@example.com"]
 
 
+def test_redaction_unites_spans_that_overlap(spark):
+    card = "4111111111111111"
+    texts = ["root@10.0.0.1", f"{card}@mail.com", f"a john.{card}@x.com b", "call +49 10.20.30.40 55 now", "10.0.0.1 a.b@x.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r["text"] for r in pii.redacted(df, pii.Tagger()).orderBy("doc_id").collect()]
+    assert got == ["[EMAIL]", "[EMAIL]", "a [EMAIL] b", "call [PHONE] now", "[IP] [EMAIL]"]
+    assert pii.united([(0, 0, 4), (2, 3, 9), (1, 9, 12), (3, 5, 6)]) == [(2, 0, 9), (1, 9, 12)]
+
+
 def test_pii_of_odd_rows(odd, tagger):
     rows = pii.personal_data(odd, tagger).collect()
     assert len(rows) == len(ODD) and max(r["n_email"] for r in rows) == 2000
