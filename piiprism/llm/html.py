@@ -1,17 +1,18 @@
 """Main text of web pages by consensus host paths.
 
-A page is cut into text blocks, each under a path of containers (tags with their classes, digits generalised).
-Every container of a page is scored by the text it holds for itself, less what stands in links, and the best one's
-path is the page's vote. Votes are counted in Spark by host, weighed by score; a host's winning path (first among
-those whose votes come within a half of the most, the one nearest to the root of an article) is then used to extract
-all pages of that host again. A page without the winning path falls back on its own vote.
+A page is cut into text blocks, each under a path of containers (tags with their classes, digits generalised); the
+page itself is the container of what stands in no other, and its path is empty. Every container of a page is scored by
+the text it holds for itself, less what stands in links, and the best one's path is the page's vote, or that of a
+container around it that has the rest of the same text. Votes are counted in Spark by host, weighed by score; a host's
+winning path (among those whose votes come within a half of the most, the one nearest to the root) is then used to
+extract all pages of that host again. A page without the winning path falls back on its own vote.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are no part of the
 text wherever they stand. Character references are decoded, white space in a block becomes one space, blocks are
 joined by two line feeds. Tags that are left open end with their container, as in browsers.
 
 Nulls: null or empty html has no text; pages with a null or odd url vote and read as one host. Ties between paths go to
-the shorter, then the first by code point. Repeated rows are pages of their own. Columns other than page_id, url and
+the heavier, then the shorter, then the first by code point. Repeated rows are pages of their own. Columns other than page_id, url and
 html are ignored. An empty table gives an empty result.
 """
 
@@ -23,7 +24,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,6 +34,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article aside body details dialog div fieldset figure footer form header main menu nav ol section table td ul".split())
+#: Containers that are a part of a text, never the whole of one that goes on around them.
+PART = frozenset("details figure ol section table td ul".split())
 SKIPPED = frozenset("nav header footer aside form menu button select option dialog head label fieldset search".split())
 #: Words of a class, id or role that mark what is not the article.
 OFF = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget alert overlay".split())
@@ -165,25 +168,38 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 def vote(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, float] | None:
     """(path, score) of a page's best container.
 
-    A block gives its characters outside links to its container, half to the container's parent and so on, so an
-    article of many sections beats each of them; an article or main element counts double.
+    A block gives its characters outside links to its container, half to the container's parent and so on up to the
+    page; an article or main element counts double. Sections of one path are scored together and can beat the article
+    that holds them, so the vote goes from the best container up to one around it that has text of its own, if what it
+    leaves is a part of a text (PART) or that text is a tenth of the best score; never out of an article or main.
     """
     score: dict[tuple[str, ...], float] = defaultdict(float)
+    own: dict[tuple[str, ...], int] = defaultdict(int)
     for path, text, linked in found:
         gain = len(text) - 2 * linked
-        for depth in range(len(path), 0, -1):
+        own[path] += gain
+        for depth in range(len(path), -1, -1):
             score[path[:depth]] += gain
             gain *= 0.5
-            if depth == 1:
-                break
     if not score:
         return None
-    best = min(score, key=lambda p: (-score[p] * (2 if p[-1].split(".")[0] in ("article", "main") else 1), len(p), p))
-    return "/".join(best), max(score[best], 0.0)
+
+    def tag(p: tuple[str, ...]) -> str:
+        return p[-1].split(".")[0] if p else ""
+
+    best = min(score, key=lambda p: (-score[p] * (2 if tag(p) in ("article", "main") else 1), len(p), p))
+    top = best
+    for depth in range(len(best), 0, -1):
+        if tag(best[:depth]) in ("article", "main"):
+            break
+        text = own.get(best[: depth - 1], 0)
+        if text > 0 and (tag(best[:depth]) in PART or 10 * text >= score[best]):
+            top = best[: depth - 1]
+    return "/".join(top), max(score[best], 0.0)
 
 
 def inside(found: list[tuple[tuple[str, ...], str, int]], path: str) -> list[str]:
-    steps = tuple(path.split("/"))
+    steps = tuple(path.split("/")) if path else ()
     return [text for p, text, _ in found if p[: len(steps)] == steps]
 
 
@@ -204,9 +220,12 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def consensus(cast: DataFrame) -> DataFrame:
-    """host, path: the winning path of each host. Votes count by page, heavier pages a little more."""
-    by = cast.groupBy("host", "path").agg(F.sum(F.log1p("score")).alias("weight"))
-    return by.groupBy("host").agg(F.max_by("path", F.struct(F.round("weight", 6), -F.length("path"), "path")).alias("path"))
+    """host, path: the winning path of each host. Votes count by page, heavier pages a little more; of the paths with
+    half of the heaviest path's votes or more, the one with the fewest steps wins."""
+    by = cast.groupBy("host", "path").agg(F.round(F.sum(F.log1p("score")), 6).alias("weight"))
+    near = by.withColumn("most", F.max("weight").over(Window.partitionBy("host"))).where("2 * weight >= most")
+    steps = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    return near.groupBy("host").agg(F.min_by("path", F.struct(steps, -F.col("weight"), F.length("path"), "path")).alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -220,10 +239,9 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for page, path in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True):
                 found = blocks(page or "")
-                text = inside(found, path) if path else []
+                text = [] if path is None else inside(found, path)
                 if not text and found:
-                    own = vote(found)
-                    text = inside(found, own[0]) if own else [t for _, t, _ in found]
+                    text = inside(found, vote(found)[0])
                 texts.append("\n\n".join(text))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

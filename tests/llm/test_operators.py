@@ -186,6 +186,29 @@ def test_main_text(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+def _extracted(spark, pages):
+    rows = spark.createDataFrame([(i, "http://b.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"].split("\n\n") for r in html.extract(rows).orderBy("page_id").collect()]
+
+
+def test_text_outside_any_container(spark):
+    long = "long article " * 40 + "end"
+    pages = [f"<h1>T</h1><p>{long}</p><div>short note</div>", f"<!DOCTYPE html><html><head><title>t</title></head><h1>U</h1><p>{long}<div>short note</div></html>"]
+    assert _extracted(spark, pages) == [["T", long, "short note"], ["U", long, "short note"]]
+
+
+def test_an_article_keeps_what_stands_around_its_sections(spark):
+    big = "section text " * 80 + "end"
+    page = "<body><div class='menu-x'>x</div><div class='post'><h1>Head</h1><p>First words.</p>" + f"<section><h2>S</h2><p>{big}</p></section>" * 3 + "</div><div class='box'>other</div></body>"
+    assert _extracted(spark, [page] * 2) == [["Head", "First words."] + ["S", big] * 3] * 2
+
+
+def test_the_winning_path_is_the_nearest_to_the_root_within_half_of_the_most(spark):
+    cast = [("a", "body/div/section", 50.0)] * 3 + [("a", "body/div", 50.0)] * 2 + [("a", "body", 50.0)] + [("b", "z/x", 9.0), ("b", "a/y", 9.0), ("c", "", 5.0), ("c", "body", 5.0)]
+    got = {r["host"]: r["path"] for r in html.consensus(spark.createDataFrame(cast, "host string, path string, score double")).collect()}
+    assert got == {"a": "body/div", "b": "a/y", "c": ""}
+
+
 # ---- pieces ----
 
 
