@@ -8,7 +8,8 @@ winning path (among those whose votes come within a half of the most, the one ne
 extract all pages of that host again. A page without the winning path falls back on its own vote.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are no part of the
-text wherever they stand. Character references are decoded, white space in a block becomes one space, blocks are
+text wherever they stand; they are known by their tags and by whole tokens of a class, id or role, and an element
+that holds the page's main element or all its articles is none of them. Character references are decoded, white space in a block becomes one space, blocks are
 joined by two line feeds. Tags that are left open end with their container, as in browsers.
 
 Nulls: null or empty html has no text; pages with a null or odd url vote and read as one host. Ties between paths go to
@@ -22,6 +23,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,37 +39,67 @@ CONTAINER = frozenset("article aside body details dialog div fieldset figure foo
 #: Containers that are a part of a text, never the whole of one that goes on around them.
 PART = frozenset("details figure ol section table td ul".split())
 SKIPPED = frozenset("nav header footer aside form menu button select option dialog head label fieldset search".split())
+#: Of these, what keeps its articles out of the text (readers' comments, teasers) if it holds no main element.
+APART = frozenset("comment comments disqus recommended related reply replies respond".split())
+APART_TAGS = SKIPPED - frozenset("dialog fieldset form".split())
 #: Words of a class, id or role that mark what is not the article.
 OFF = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget alert overlay".split())
+#: Words before and after these that name a place or part: site-footer, sidebar-left. A token with any other word, as
+#: has-sidebar, comments-open, article-header or form-page, marks nothing.
+BEFORE = frozenset("bottom desktop global google left main mobile primary right secondary site sticky sub top".split())
+AFTER = frozenset("area bar block body bottom box container content footer header inner item left list main section text top right unit wrap wrapper".split())
 #: An open paragraph ends where one of these begins.
 ENDS_P = BLOCK - frozenset(("html", "body"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
-WORDS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[^a-z]+")
 
 
-def _attributes(text: str) -> tuple[str, bool]:
-    """(generalised classes, whether they mark something that is not the article)."""
+@lru_cache(4096)
+def _marks(token: str) -> frozenset[str]:
+    """Words of OFF that a token of a class, id or role is made of, with words of places around them."""
+    words = [w for w in PARTS.split(token.lower()) if len(w) > 1]
+    first = next((i for i, w in enumerate(words) if w in OFF), None)
+    if first is None or not set(words[:first]) <= BEFORE or not set(words[first:]) <= OFF | AFTER:
+        return frozenset()
+    return OFF.intersection(words)
+
+
+def _attributes(text: str) -> tuple[str, bool, bool]:
+    """(generalised classes, whether they mark something that is not the article, and that it keeps articles apart)."""
     if not text.strip():
-        return "", False
-    cls, off = "", False
+        return "", False, False
+    cls, off, apart = "", False, False
     for name, a, b, c in ATTR.findall(text):
         name, value = name.lower(), a or b or c
-        if name == "hidden":
-            off = True
-        elif name == "class":
-            cls = ".".join(sorted(DIGITS.sub("0", value).split()))
-        if set(WORDS.findall(value.lower())) & OFF:
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
             off = True
-    return cls, off
+        elif name in ("class", "id", "role"):
+            if name == "class":
+                cls = ".".join(sorted(DIGITS.sub("0", value).split()))
+            for token in value.split():
+                if marks := _marks(token):
+                    off, apart = True, apart or bool(marks & APART)
+    return cls, off, apart
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters of it in links) of each text block outside what is skipped, in page order."""
+    out, held, articles = _read(page, frozenset())
+    keep = frozenset(at for at, (apart, n, mains) in held.items() if mains or (n == articles and not apart))
+    return _read(page, keep)[0] if keep else out
+
+
+def _read(page: str, keep: frozenset[int]) -> tuple[list[tuple[tuple[str, ...], str, int]], dict[int, list[int]], int]:
+    """(blocks, by position of each skipped element that holds any: [apart, articles, mains], articles of the page);
+    elements that begin at a position in keep are not skipped."""
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = []  # (tag, skipped with what is inside)
+    held: dict[int, list[int]] = {}
+    articles = 0
+    stack: list[tuple[str, int]] = []  # (tag, 0 or where it began if it is skipped with what is inside)
+    aside: dict[int, bool] = {}  # by where a skipped element began, whether it keeps articles apart
     path: list[tuple[int, str]] = []  # (depth in stack, step)
     buffer: list[str] = []
     state = {"link": 0, "linked": 0, "skip": 0}
@@ -149,20 +181,26 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if tag == "br":
                     buffer.append(" ")
                 continue
-            cls, off = _attributes(rest)
-            off = (off and tag not in ("html", "body", "article", "main")) or tag in SKIPPED
+            cls, off, apart = _attributes(rest)
+            off = ((off and tag not in ("html", "body", "article", "main")) or tag in SKIPPED) and at not in keep
+            if tag in ("article", "main"):
+                articles += tag == "article"
+                for _, begun in stack:
+                    if begun:
+                        held.setdefault(begun, [aside[begun], 0, 0])[1 if tag == "article" else 2] += 1
             if off and not state["skip"] and tag in BLOCK:
                 flush()
             if off:
                 state["skip"] += 1
+                aside[at] = apart or tag in APART_TAGS
             if tag == "a":
                 state["link"] += 1
             if tag in CONTAINER:
                 path.append((len(stack), f"{tag}.{cls}" if cls else tag))
-            stack.append((tag, off))
+            stack.append((tag, at if off else 0))
     close(0)
     flush()
-    return out
+    return out, held, articles
 
 
 def vote(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, float] | None:

@@ -209,6 +209,25 @@ def test_the_winning_path_is_the_nearest_to_the_root_within_half_of_the_most(spa
     assert got == {"a": "body/div", "b": "a/y", "c": ""}
 
 
+def test_what_marks_an_element_as_no_article():
+    kept = ['class="content has-sidebar"', 'class="no-sidebar"', 'class="post comments-open"', 'class="article-header"', 'class="form-page"', 'aria-hidden="false"', 'title="The hidden cost"', 'data-hidden="x"', "data-role='menu'"]
+    gone = ['class="x sidebar"', 'class="sidebar-left"', 'id=ad-12', 'class="cookie-notice"', 'class="site-footer"', "hidden", 'hidden=""', 'aria-hidden="true"', 'role="navigation"', "class='post' hidden"]
+    texts = lambda page: [t for _, t, _ in html.blocks(page)]
+    for attributes in kept:
+        assert texts(f"<body><div {attributes}>some text</div><p {attributes}>more") == ["some text", "more"], attributes
+    for attributes in gone:
+        assert texts(f"<body><div {attributes}>some text</div><p>more") == ["more"], attributes
+
+
+def test_an_element_that_holds_the_article_is_not_skipped():
+    texts = lambda page: [t for _, t, _ in html.blocks(page)]
+    assert texts('<body><div class="sidebar"><article><p>text</article></div><nav>menu</nav>') == ["text"]
+    assert texts('<form id="form"><input><div class="widget"><main><p>text<div class="ad">buy</div></main></div></form>') == ["text"]
+    assert texts('<div hidden><article>one</article><article>two</article></div>') == ["one", "two"]
+    assert texts('<article>text</article><div class="sidebar"><article>teaser</article></div>') == ["text"]
+    assert texts('<div class="post">text</div><div id="comments"><article class="comment">first!</article></div>') == ["text"]
+
+
 # ---- pieces ----
 
 
