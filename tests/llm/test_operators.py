@@ -94,6 +94,55 @@ def test_pii_of_odd_rows(odd, tagger):
     assert pii.personal_data(odd.limit(0), tagger).count() == 0
 
 
+def test_every_form_of_an_address_is_read():
+    class Loud(pii.Tagger):
+        def emissions(self, x):
+            return np.tile(np.eye(pii.TAGS, dtype=np.float32)[2][None, :, None] * 50, (len(x), 1, x.shape[1]))
+
+    for span in ("john at example.com", "bob {at} host.org", "bob{AT}host{dot}org", "bob <at> host . org", "x at y-z dot co", "(at)", "a" * 200 + " at " + "b" * 200 + ".com"):
+        text = "plain words " * 30 + span + " and plain words" * 30
+        at = text.index(span)
+        assert any(a <= at and b >= at + len(span) for _, a, b in Loud().tag([text])[0]), span
+    assert pii.checked(0, "john at example.com") and pii.checked(0, "bob {at} host.org")
+    assert Loud().tag(["no form of an address here. " * 20]) == [[]]
+
+
+def test_runs_of_windows_decode_as_one_sequence():
+    rng = np.random.default_rng(1)
+    t = pii.Tagger()
+    for k in range(12):
+        t.p["move"] = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+        sizes = rng.integers(1, 9, 5)  # runs and gaps take turns
+        first = k % 2
+        full, runs, gaps, spots = [], [], [], []
+        for j, n in enumerate(sizes):
+            e = rng.standard_normal((n, pii.TAGS)).astype(np.float32)
+            if j % 2 == first:
+                spots.append(slice(sum(sizes[:j]), sum(sizes[: j + 1])))
+                runs.append(e)
+                gaps.append((j > 0, j < len(sizes) - 1))
+            else:
+                e[:] = -1e6
+                e[:, 0] = 0
+            full.append(e)
+        e, s, back = np.concatenate(full), None, []
+        for row in e:  # the plain search over the whole sequence
+            way = None if s is None else s[:, None] + t.p["move"]
+            back.append(None if s is None else way.argmax(axis=0))
+            s = row if s is None else way.max(axis=0) + row
+        tags = [int(s.argmax())]
+        for b in back[:0:-1]:
+            tags.insert(0, int(b[tags[0]]))
+        for got, spot in zip(t.decode(runs, gaps), spots, strict=True):
+            assert got.tolist() == tags[spot]
+    # transitions bring up a span that no single character prefers
+    t.p["move"] = np.zeros((pii.TAGS, pii.TAGS), np.float32)
+    t.p["move"][1, 2] = t.p["move"][2, 2] = 1
+    e = np.full((6, pii.TAGS), -1, np.float32)
+    e[:, 0], e[:, 1:3] = 0, -0.5
+    assert t.decode([e], [(False, False)])[0].tolist() == [1, 2, 2, 2, 2, 2]
+
+
 def test_slopes_of_the_tagger():
     t = pii.Tagger(seed=2)
     rng = np.random.default_rng(0)
