@@ -426,17 +426,32 @@ def training_windows(texts: list[str], n: int = 6000, seed: int = 8) -> tuple[np
     return xs, ys
 
 
-#: Texts that lend the training windows their background.
-SAMPLE_TEXTS = 400
+#: Texts that lend the training windows their background, pieces of each at most, and characters of a piece.
+SAMPLE_TEXTS, PIECES, PIECE = 400, 5, 400
 
 
-def train(docs: DataFrame) -> Tagger:
+def background(docs: DataFrame) -> list[str]:
+    """Pieces of SAMPLE_TEXTS texts: PIECES of each, 2,000 in all, at hashed offsets of the whole text. A piece begins
+    after white space or with its text; a text that is not longer than a piece lends itself once."""
     from pyspark.sql import functions as F
 
     order = F.xxhash64("doc_id", F.substring("text", 1, 64))
-    rows = docs.select(F.substring("text", 1, 2000).alias("t"), order.alias("o")).orderBy("o", "t").limit(SAMPLE_TEXTS).collect()
+    room = F.greatest(F.length("t") - PIECE + 1, F.lit(1)).cast("long")
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda j: (F.pmod(F.xxhash64("o", j), room) + 1).cast("int")))
+    cut = lambda a: F.col("t").substr(a, F.lit(PIECE))
+    pieces = F.transform(starts, lambda a: F.when(a == 1, cut(a)).otherwise(F.regexp_replace(cut(a), r"^\S+\s*", "")))
+    # the hashes are sorted without the texts
+    first = docs.select(order.alias("o")).orderBy("o").limit(SAMPLE_TEXTS).collect()
+    if not first:
+        return []
+    some = docs.select(F.col("text").alias("t"), order.alias("o")).where(F.col("o") <= first[-1]["o"])
+    rows = some.select("o", pieces.alias("p")).orderBy("o", "p").limit(SAMPLE_TEXTS).collect()
+    return [p for r in rows for p in r["p"] or [] if p]
+
+
+def train(docs: DataFrame) -> Tagger:
     tagger = Tagger()
-    tagger.fit(*training_windows([r["t"] for r in rows]))
+    tagger.fit(*training_windows(background(docs)))
     return tagger
 
 

@@ -143,6 +143,14 @@ def test_runs_of_windows_decode_as_one_sequence():
     assert t.decode([e], [(False, False)])[0].tolist() == [1, 2, 2, 2, 2, 2]
 
 
+def test_background_comes_from_whole_texts(spark):
+    texts = [" ".join(f"w{i}" for i in range(9000)), "short text", None, ""]
+    got = pii.background(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    long = [p for p in got if p.startswith("w")]
+    assert got.count("short text") == 1 and len(long) == pii.PIECES
+    assert all(p in texts[0] and texts[0].index(p) > 0 for p in long) and max(texts[0].index(p) for p in long) > 20_000
+
+
 def test_slopes_of_the_tagger():
     t = pii.Tagger(seed=2)
     rng = np.random.default_rng(0)
