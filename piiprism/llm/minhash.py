@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import mixed, shingles
+from .shingles import mixed, shingles, words
 
 #: 32 bands of 6 samples miss a pair of similarity 0.85 with probability 3e-7, one of 0.8 with 5e-5.
 BANDS, ROWS = 32, 6
@@ -85,10 +85,11 @@ SIGNED = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sket
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
+        known = words()
         for b in batches:
             rows = []
             for t in b.column("text").to_pylist():
-                h = shingles(t, width)
+                h = shingles(t, width, known)
                 if len(h):
                     s = samples(h)
                     rows.append((len(h), xxhash.xxh3_128_digest(h), band_values(s), odd_sketch(s)))
@@ -97,16 +98,17 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             n, digest, bands, sketch = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), SIGNED)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
+        known = words()
         for b in batches:
-            sets = [shingles(t, width).tobytes() for t in b.column("text").to_pylist()]
+            sets = [shingles(t, width, known).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, meta: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,7 +136,7 @@ def confirmed(pairs: DataFrame, meta: DataFrame, sets: DataFrame, percent: int)
                 keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(common.lean(check), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

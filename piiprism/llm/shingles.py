@@ -5,22 +5,14 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words that a worker remembers the hash of.
-CACHE_WORDS = 400_000
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-
+from . import common
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-_words = _Hashes()
+def words() -> common.Remembered:
+    """The hashes of words, for one task."""
+    return common.Remembered(xxhash.xxh3_64_intdigest)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -29,15 +21,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
+def shingles(text: str | None, width: int, known: common.Remembered | None = None) -> np.ndarray:
     """Sorted distinct hashes of the shingles of `width` words; of a shorter text, one hash of all its words.
 
     A-Z is lower-cased; words are runs of anything but ASCII white space.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    split = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not split:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((words() if known is None else known).__getitem__, split), np.uint64, len(split))
     n = len(h)
     k = min(width, n)
     out = np.full(n - k + 1, k, np.uint64)

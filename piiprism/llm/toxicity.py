@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples are the positives; all other texts are unlabelled, toxic ones among them. A linear
+Confirmed toxic examples are the positives; an even draw of all texts is unlabelled, toxic ones among them. A linear
 classifier over hashed words is trained in numpy on the non-negative PU risk
     prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))
 with the sigmoid loss: the expected loss of unlabelled texts as negatives is corrected by the share of toxic texts
 among them (the class prior), and where the correction falls below zero the step is taken against it, which keeps
-the estimator from fitting the positives exactly. The prior is the toxic share of the labelled training rows.
+the estimator from fitting the positives exactly. The prior is the toxic share of the labelled training rows; the
+draw leaves the confirmed texts among the unlabelled ones, so it is the prior of these too.
 
-Training reads a bounded sample (MAX_POSITIVE and MAX_UNLABELLED texts, the least by a hash of doc_id); every text is
+Training reads a bounded sample (about MAX_POSITIVE and MAX_UNLABELLED texts, chosen by a hash of doc_id); every text is
 scored, whole. Features are of the text alone: which words it has, and which beginnings of words (PREFIXES), after
 folding case and dropping punctuation at the ends. A feature counts once however often it occurs. Of near copies in
 the sample one is used, so that a much copied text's words don't look toxic, and only features that are clearly more
@@ -15,7 +16,8 @@ frequent among the positives (SURE deviations) are weighed.
 
 Nulls and empty texts have no words and get the score of the bias. A null doc_id or label gives no training example;
 rows with null doc_ids are scored, with a null held_out. Repeated rows are scored each. Without any positive example the
-score is 0 everywhere. Columns other than doc_id and text are ignored. An empty table gives an empty result.
+score is 0 everywhere. Columns other than doc_id and text are ignored. An empty table gives an empty result. doc_id may
+be of any type that labels.doc_id can be compared with.
 """
 
 from __future__ import annotations
@@ -33,48 +35,55 @@ from . import common
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 PREFIXES = (4, 5)
 SURE = 7.0
-#: Words that a worker remembers the features of.
-CACHE_WORDS = 400_000
 #: Characters that are not part of a word at its ends (fixed values).
 EDGES = "\"'`.,;:!?()[]{}<>«»„“”‘’…-–—*_/\\|"
 
 
 def word_features(word: str) -> list[int]:
     w = word.strip(EDGES).lower().encode("utf-32-le", "surrogatepass")
-    return [xxhash.xxh3_64_intdigest(w, seed=1)] + [xxhash.xxh3_64_intdigest(w[: 4 * k], seed=2) for k in PREFIXES if len(w) > 4 * k] if w else []
+    return [xxhash.xxh32_intdigest(w, seed=1)] + [xxhash.xxh32_intdigest(w[: 4 * k], seed=2) for k in PREFIXES if len(w) > 4 * k] if w else []
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes."""
-    return np.unique(np.array([f for w in set((text or "").split()) for f in word_features(w)], np.uint64))
-
-
-def _packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each entry, its column, hashes by column)."""
-    used, col = np.unique(np.concatenate([np.empty(0, np.uint64), *rows]), return_inverse=True)
-    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), col, used
-
-
-def _without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """One of each group of near copies: those that share the least of their rare features in one of three orders."""
-    _, col, used = _packed(rows)
-    rare = used[np.bincount(col, minlength=len(used)) <= max(2, len(rows) // 50)]
-    seen, keep = set(), []
-    for r in rows:
-        own = r[np.isin(r, rare, assume_unique=True)]
-        marks = {(k, int((own * np.uint64(m)).min())) for k, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))} if len(own) else set()
-        if not marks & seen:
-            keep.append(r)
-        seen |= marks
+    """Sorted distinct 32-bit hashes."""
+    return np.unique(np.array([f for w in set((text or "").split()) for f in word_features(w)], np.uint32))
+
+
+def _firsts(flat: np.ndarray, rare: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their near copies: those that share the least of their rare features in one of
+    three orders are copies. flat: the rows' features one after the other, from starts on."""
+    marks, none = [], np.uint64(0xFFFFFFFFFFFFFFFF)
+    full = np.flatnonzero(np.diff(np.append(starts, len(flat))))
+    for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
+        least = np.full(len(starts), none)
+        if len(full):
+            least[full] = np.minimum.reduceat(np.where(rare, flat.astype(np.uint64) * np.uint64(m), none), starts[full])
+        marks.append(least)
+    seen, keep = set(), np.zeros(len(starts), bool)
+    for i, own in enumerate(zip(*(m.tolist() for m in marks), strict=True)):
+        own = {(k, v) for k, v in enumerate(own) if v != int(none)}
+        keep[i] = not own & seen
+        seen |= own
     return keep
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> tuple[dict[int, float], float]:
     """(weights by feature, bias) by Adam on the non-negative PU risk, from the features of the examples."""
-    positive, unlabelled = _without_copies(positive), _without_copies(unlabelled)
-    rows = positive + unlabelled
-    row, col, used = _packed(rows)
-    n_p, n_u = len(positive), len(unlabelled)
+    size = np.array([len(r) for r in positive + unlabelled])
+    flat = np.concatenate([*positive, *unlabelled]).astype(np.uint32)
+    starts = np.cumsum(size) - size
+    used, col = np.unique(flat, return_inverse=True)
+    col = col.astype(np.int32)
+    cut = starts[len(positive)] if unlabelled else len(flat)
+    keep = []
+    for part, begins in ((slice(0, cut), starts[: len(positive)]), (slice(cut, None), starts[len(positive) :] - cut)):
+        often = np.bincount(col[part], minlength=len(used))
+        keep.append(_firsts(flat[part], often[col[part]] <= max(2, len(begins) // 50), begins))
+    del flat
+    n_p, n_u = int(keep[0].sum()), int(keep[1].sum())
+    keep = np.concatenate(keep)
+    row = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), size)  # of the rows that stay
+    col, row = col[row >= 0], row[row >= 0]
     a = np.bincount(col[row < n_p], minlength=len(used)) / n_p
     b = np.bincount(col[row >= n_p], minlength=len(used)) / n_u
     both = (a * n_p + b * n_u) / (n_p + n_u)
@@ -83,11 +92,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     live = np.flatnonzero((a * n_p >= 3) & (b <= 2.5 * prior * a + 1 / n_u) & (z >= SURE))
     place = np.full(len(used), -1)
     place[live] = np.arange(len(live))
-    x = np.zeros((len(rows), len(live)), np.float32)  # a bounded sample by a few hundred features
+    x = np.zeros((n_p + n_u, len(live)), np.float32)  # a bounded sample by a few hundred features
     on = place[col] >= 0
     x[row[on], place[col[on]]] = 1
     rng = np.random.default_rng(seed)
-    theta = np.append(np.ones(len(live)), -2.0)  # the last is the bias
+    theta = np.zeros(len(live) + 1)  # the last is the bias
     m, v = np.zeros_like(theta), np.zeros_like(theta)
 
     def side(take):
@@ -105,19 +114,15 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return dict(zip(used[live].tolist(), theta[:-1].tolist(), strict=True)), float(theta[-1])
 
 
-class _Known(dict):
-    """The weighed features of a word; of most words none."""
+def _judge(weights: dict[int, float], bias: float):
+    """A function from a text to the logit of its score, for one task."""
+    known = common.Remembered(lambda word: tuple(f for f in word_features(word) if f in weights))
 
-    def __init__(self, weights: dict[int, float]):
-        self.weights = weights
+    def logit(text: str | None) -> float:
+        live = {f for found in filter(None, map(known.__getitem__, set((text or "").split()))) for f in found}
+        return bias + sum(weights[f] for f in sorted(live))
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        found = tuple(f for f in word_features(word) if f in self.weights)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+    return logit
 
 
 def scored(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
@@ -125,13 +130,12 @@ def scored(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # some hundred features, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b0 = model.value
-        known = _Known(w)
+        logit = _judge(*model.value)
         for b in batches:
-            z = [b0 + sum(w[f] for f in sorted({f for found in filter(None, map(known.__getitem__, set((t or "").split()))) for f in found})) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -60, 60))), pa.float64())], ["doc_id", "score"])
+            z = np.array([logit(t) for t in b.column("text").to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def accepted(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
@@ -139,13 +143,11 @@ def accepted(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFra
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b0 = model.value
-        known = _Known(w)
+        logit = _judge(*model.value)
         for b in batches:
-            z = [b0 + sum(w[f] for f in sorted({f for found in filter(None, map(known.__getitem__, set((t or "").split()))) for f in found})) for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array([x < 0 for x in z], pa.bool_()))
+            yield b.filter(pa.array([logit(t) < 0 for t in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def held_out(doc_id):
@@ -153,15 +155,21 @@ def held_out(doc_id):
 
 
 def _read(examples: DataFrame, most: int) -> list[np.ndarray]:
-    """The features of at most so many texts, the first by a hash, on the driver."""
+    """The features of at most so many texts, the first by a hash, on the driver. examples hold few more than that, so
+    what the tasks send is bounded."""
 
     def run(batches):
         for b in batches:
             found = [features(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("o"), pa.array(found, pa.binary())], ["o", "words"])
 
-    rows = examples.mapInArrow(run, "doc_id long, words binary").orderBy(F.xxhash64("doc_id"), "words").limit(most).collect()
-    return [np.frombuffer(r["words"], np.uint64) for r in rows]
+    rows = examples.mapInArrow(common.lean(run), "o long, words binary").orderBy("o", "words").limit(most).collect()
+    return [np.frombuffer(r["words"], np.uint32) for r in rows]
+
+
+def _share(order, wanted: int, rows: int):
+    """A condition that an even draw of somewhat more than the wanted number of rows meets."""
+    return F.pmod(order, F.lit(1 << 30)) < int(min(1.0, (1.2 * wanted + 50) / max(1, rows)) * (1 << 30))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] | None:
@@ -170,22 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] |
     counts = known.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     if not counts["p"]:
         return None
-    prior = counts["p"] / counts["n"]
     order = F.xxhash64("doc_id")
-    toxic = known.where("toxic = 1").select("doc_id").orderBy(order).limit(MAX_POSITIVE)
-    # two bounded reads: the positives' ids, then an even draw of the rest
-    ids = [r[0] for r in toxic.collect()]
-    total = docs.count()
-    share = min(1.0, 1.3 * MAX_UNLABELLED / max(1, total))
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    texts = docs.select("doc_id", "text")
-    even = F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))
-    positive = _read(texts.join(F.broadcast(chosen), "doc_id"), MAX_POSITIVE)
-    unlabelled = _read(texts.where(even).join(F.broadcast(chosen), "doc_id", "left_anti"), MAX_UNLABELLED)
+    # the ids of a bounded draw of the positives, and an even draw of all texts
+    chosen = known.where("toxic = 1").where(_share(order, MAX_POSITIVE, counts["p"])).select("doc_id").orderBy(order).limit(MAX_POSITIVE)
+    texts = docs.select("doc_id", "text", order.alias("o"))
+    positive = _read(texts.join(F.broadcast(chosen), "doc_id").select("o", "text"), MAX_POSITIVE)
+    unlabelled = _read(texts.where(_share(F.col("o"), MAX_UNLABELLED, docs.count())).select("o", "text"), MAX_UNLABELLED)
     if not positive or not unlabelled:
         return None
-    return train(positive, unlabelled, prior)
+    return train(positive, unlabelled, counts["p"] / counts["n"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
