@@ -5,17 +5,16 @@ patterns miss, such as addresses written with spaces or words for signs. It is t
 spans: synthetic spans of each kind, plain and disguised, set into windows of the corpus's own text and of
 look-alikes (numbers, dates, versions, mentions) that are no personal data.
 
-Every text is read whole, in windows of WINDOW characters that overlap by OVERLAP on each side. A window's emissions
-count for its middle; overlapping windows are reconciled into one emission sequence of the text, in which each
+Every text is read whole by the network, in windows of READ characters that overlap by OVERLAP on each side. A window's
+emissions count for its middle; overlapping windows are reconciled into one emission sequence of the text, in which each
 character is taken from the window where it stands farthest from an edge, and one Viterbi search over that sequence
-decides the tags of the whole text, so a span never depends on where a window was cut. Every span that can pass the
-checks of its kind has a digit, an at sign, or the word "at" before a label and a point or the word "dot"; text that is
-farther than REACH characters from all of these, and from the address around them, has the tag "none" without running
-the network. The search passes through such a gap in the state "none" alone, so it takes the runs of windows one by
-one, with the transitions from and to "none" at their gaps, and finds the best sequence of the whole text.
+decides the tags of the whole text, so a span never depends on where a window was cut. The search takes the sequence in
+lanes, side by side, and is exact: a lane begins some characters early, with a bound in favour of every tag, and counts
+only if its best path begins at "none" there, which is then the best one whatever stands before; a lane that fails is
+joined to the one before it and searched again. Paths are traced back from lane to lane.
 
 Nulls and empty texts have no spans; null doc_ids and repeated rows are kept as they are; very long texts are read
-in bounded batches. Columns other than doc_id and text are ignored. An empty table gives an empty result.
+in batches of windows, with some dozens of bytes a character kept for one text. Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,11 +38,14 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
-WINDOW, OVERLAP = 64, 16
-HIDDEN, EMBED = 12, 10
-#: Windows that run through the network together, and characters that are searched together.
-BATCH = 2048
-CELLS = 200_000
+#: Characters of a window in training and in reading, and of its margins in reading.
+WINDOW, READ, OVERLAP = 64, 256, 16
+HIDDEN = 12
+#: Windows that run through the network together, and characters of texts that are tagged together.
+BATCH = 512
+TOGETHER = 500_000
+#: Characters of a lane of the search, and those that it begins early.
+LANE, EARLY = 224, 32
 TAGS = 1 + 2 * len(KINDS)  # none; begin and inside of each kind
 
 
@@ -143,11 +145,35 @@ class Tagger:
                 kept[t] = (i, f, o, g, th, *before)
         return out, kept
 
+    def _states(self, d: str, x: np.ndarray) -> np.ndarray:
+        """As _half, without what training keeps; all in place."""
+        steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
+        table, u = self.p[f"x{d}"].copy(), self.p[f"h{d}"].copy()
+        table[: 3 * HIDDEN] *= 0.5  # a sigmoid is half a tanh of half its input, and a half
+        u[: 3 * HIDDEN] *= 0.5
+        n = x.shape[1]
+        z, more = np.empty((4 * HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
+        i, f, o, g = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
+        h, c = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
+        out = np.empty((len(x), HIDDEN, n), np.float32)
+        for t in steps:
+            np.take(table, x[t], axis=1, out=z, mode="clip")
+            z += np.matmul(u, h, out=more)
+            np.tanh(z, out=z)
+            z[: 3 * HIDDEN] *= 0.5
+            z[: 3 * HIDDEN] += 0.5
+            c *= f
+            i *= g
+            c += i
+            h = out[t]
+            np.tanh(c, out=h)
+            h *= o
+        return out
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(time, TAGS, batch)"""
-        f, b = self._half("f", x, False)[0], self._half("b", x, False)[0]
-        w = self.p["emit"]
-        return w[:, :HIDDEN] @ f + w[:, HIDDEN:] @ b + self.p["bias"][:, None]
+        x, w = x.astype(np.intp), self.p["emit"]
+        return w[:, :HIDDEN] @ self._states("f", x) + w[:, HIDDEN:] @ self._states("b", x) + self.p["bias"][:, None]
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log likelihood a character under the CRF, and its slopes; y: tags (time, batch)."""
@@ -196,7 +222,7 @@ class Tagger:
         size = steps * n
         return float((z - gold).sum() / size), {k: (v / size).astype(np.float32) for k, v in g.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 800, batch: int = 192, rate: float = 0.02, seed: int = 4) -> list[float]:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 0.02, seed: int = 4) -> list[float]:
         """Adam over windows (time, rows)."""
         rng, losses = np.random.default_rng(seed), []
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -212,141 +238,143 @@ class Tagger:
                 self.p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
         return losses
 
-    def decode(self, runs: list[np.ndarray], gaps: list[tuple[bool, bool]]) -> list[np.ndarray]:
-        """The best tags of emission sequences (time, TAGS); gaps: whether text with the tag none goes on before and
-        after each. Sequences are searched together, those of like length in one batch of CELLS characters or so."""
-        move = self.p["move"]
-        out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(runs)
-        order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
-        at = 0
-        while at < len(order):
-            steps = len(runs[order[at]])
-            some = order[at : at + max(1, CELLS // steps)]
-            at += len(some)
-            # what is behind the end of a sequence is none; where there is no gap, the step to it costs nothing
-            e = np.full((steps, TAGS, len(some)), -1e9, np.float32)
-            e[:, 0] = 0
-            for j, i in enumerate(some):
-                n = len(runs[i])
-                e[:n, :, j] = runs[i]
-                if gaps[i][0]:
-                    e[0, :, j] += move[0]
-                if n < steps and not gaps[i][1]:
-                    e[n - 1, :, j] -= move[:, 0]
-                elif n == steps and gaps[i][1]:
-                    e[n - 1, :, j] += move[:, 0]
-            back = np.zeros((steps, TAGS, len(some)), np.uint8)
-            s = e[0]
-            for t in range(1, steps):
-                best = s[0] + move[0][:, None]
-                for k in range(1, TAGS):
-                    way = s[k] + move[k][:, None]
-                    np.copyto(back[t], k, where=way > best)
-                    np.maximum(best, way, out=best)
-                s = best + e[t]
-            tags = np.empty((steps, len(some)), np.uint8)
-            tags[-1] = s.argmax(axis=0)
-            cols = np.arange(len(some))
-            for t in range(steps - 1, 0, -1):
-                tags[t - 1] = back[t, tags[t], cols]
-            for j, i in enumerate(some):
-                out[i] = tags[: len(runs[i]), j]
-        return out
+    def decode(self, flat: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """The best tags of each of several emission sequences that stand one after the other in flat (time, TAGS)."""
+        tags = np.zeros(len(flat), np.uint8)
+        ends = np.cumsum(sizes)
+        own = np.concatenate([np.arange(e - n, e, LANE) for n, e in zip(sizes, ends.tolist(), strict=True)] or [np.empty(0, int)]).astype(np.int64)
+        text = np.repeat(np.arange(len(sizes)), [-(-n // LANE) for n in sizes])
+        # a lane begins early at the character where tags could be ahead of none the least
+        into = (self.p["move"] - self.p["move"][:, :1]).max(axis=0)
+        ahead = (flat[:, 1:] + into[1:]).max(axis=1) - flat[:, 0] if len(flat) else np.empty(0)
+        while len(own):
+            begins, end = (ends - sizes)[text], ends[text]
+            some = own[:, None] - np.arange(1, EARLY + 1)
+            some = np.where(some < begins[:, None], begins[:, None], some)
+            start = np.where(own - EARLY <= begins, begins, some[np.arange(len(own)), np.argmin(ahead[some], axis=1)])
+            stop = np.append(own[1:], 0)
+            stop[np.append(text[1:] != text[:-1], True)] = end[np.append(text[1:] != text[:-1], True)]
+            failed = self._lanes(flat, tags, start, own, stop, begins, end)
+            # a lane that fails goes on from the one before it; its whole text is searched again, with fewer lanes
+            again = np.isin(text, text[failed]) & ~failed
+            own, text = own[again], text[again]
+        return tags
+
+    def _lanes(self, flat, tags, start, own, stop, begins, end) -> np.ndarray:
+        """Writes the tags of lanes of whole texts and says which lanes fail."""
+        move = self.p["move"].astype(np.float32)
+        n, steps = len(start), int((stop - start).max())
+        e, exact = np.ascontiguousarray(flat[start].T), start == begins
+        # what a tag can lead none by after any text; none itself leads by nothing
+        s = np.where(exact, e, e - e[0] + (move - move[:, :1]).max(axis=0)[:, None])
+        s -= s[0].copy()
+        back = np.zeros((steps, TAGS, n), np.uint8)
+        tail, lane = np.where(stop - start == 1, s.argmax(axis=0), 0), np.arange(n)
+        way, better, best = np.empty((TAGS, n), np.float32), np.empty((TAGS, n), bool), np.empty((TAGS, n), np.float32)
+        for t in range(1, steps):
+            np.add(s[0], move[0][:, None], out=best)
+            for k in range(1, TAGS):
+                np.add(s[k], move[k][:, None], out=way)
+                np.greater(way, best, out=better)
+                np.copyto(back[t], k, where=better)
+                np.maximum(best, way, out=best)
+            best += flat[np.minimum(start + t, stop - 1)].T
+            best -= best[0].copy()
+            s, best = best, s
+            over = np.flatnonzero(start + t == stop - 1)
+            tail[over] = s[:, over].argmax(axis=0)
+        tail[stop != end] = 0  # unless the next lane's path comes from another tag
+        origin, into = np.zeros(n, np.intp), np.zeros(n, np.intp)
+        todo = lane
+        while len(todo):
+            now, a, b = tail[todo].astype(np.intp), start[todo], stop[todo]
+            for t in range(int((b - a).max()) - 1, -1, -1):
+                on = np.flatnonzero(a + t < b)
+                at = a[on] + t
+                mine = at >= own[todo[on]]
+                tags[at[mine]] = now[on[mine]]
+                if t:
+                    now[on] = back[t, now[on], todo[on]]
+                edge = on[at == own[todo[on]]]
+                into[todo[edge]] = now[edge]
+            origin[todo] = now
+            wanted = np.append(into[1:], 0)
+            todo = np.flatnonzero((stop != end) & (wanted != tail))
+            tail[todo] = wanted[todo]
+        return ~exact & (origin != 0)
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Spans (kind, start, end) of each text."""
-        coded = [classes(t) for t in texts]
-        inner = WINDOW - 2 * OVERLAP
-        jobs, where = [], []  # windows and (text, start of the window's middle)
-        for k, c in enumerate(coded):
-            wanted = read_windows(texts[k], c, inner)
-            if not wanted.any():
-                continue
-            padded = np.concatenate([np.full(OVERLAP, PAD, np.uint8), c, np.full(OVERLAP + inner, PAD, np.uint8)])
-            for w in np.flatnonzero(wanted):
-                jobs.append(padded[w * inner : w * inner + WINDOW])
-                where.append((k, int(w)))
-        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        if not jobs:
-            return found
-        emitted = np.empty((len(jobs), inner, TAGS), np.float32)
-        for a in range(0, len(jobs), BATCH):
-            x = np.array(jobs[a : a + BATCH]).T
-            emitted[a : a + BATCH] = self.emissions(np.ascontiguousarray(x))[OVERLAP : OVERLAP + inner].transpose(2, 0, 1)
-        # neighbouring windows make one run of their text's sequence; where windows are left out the tag is none
-        runs, gaps, starts = [], [], []
+        found: list[list[tuple[int, int, int]]] = []
         at = 0
-        while at < len(where):
-            to = at + 1
-            while to < len(where) and where[to][0] == where[to - 1][0] and where[to][1] == where[to - 1][1] + 1:
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) <= TOGETHER:
+                size += len(texts[to])
                 to += 1
-            k, start = where[at][0], where[at][1] * inner
-            e = emitted[at:to].reshape(-1, TAGS)[: len(coded[k]) - start]
-            runs.append(e)
-            gaps.append((start > 0, start + len(e) < len(coded[k])))
-            starts.append((k, start))
+            found += self._tag(texts[at:to])
             at = to
-        for (k, start), tags in zip(starts, self.decode(runs, gaps), strict=True):
-            if tags.any():
-                found[k] += _spans(tags, start)
         return found
 
+    def _tag(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        inner = READ - 2 * OVERLAP
+        coded = [classes(t) for t in texts]
+        # the texts one after the other, each from the start of a window's middle on
+        count = [-(-len(c) // inner) for c in coded]
+        first = np.cumsum(count) - count
+        line = np.full(sum(count) * inner + 2 * OVERLAP, PAD, np.uint8)
+        for c, a in zip(coded, first.tolist(), strict=True):
+            line[OVERLAP + a * inner : OVERLAP + a * inner + len(c)] = c
+        # margins of a window that reach over a text's end are padding, whatever text comes next
+        windows = np.lib.stride_tricks.sliding_window_view(line, READ)[::inner].copy() if sum(count) else np.empty((0, READ), np.uint8)
+        some = [k for k, n in enumerate(count) if n]
+        windows[first[some], :OVERLAP] = PAD
+        windows[[first[k] + count[k] - 1 for k in some], READ - OVERLAP :] = PAD
+        emitted = np.empty((len(windows), inner, TAGS), np.float32)
+        for a in range(0, len(windows), BATCH):
+            x = np.ascontiguousarray(windows[a : a + BATCH].T)
+            emitted[a : a + BATCH] = self.emissions(x)[OVERLAP : OVERLAP + inner].transpose(2, 0, 1)
+        del windows
+        flat = np.concatenate([emitted[first[k] : first[k] + count[k]].reshape(-1, TAGS)[: len(coded[k])] for k in some]) if some else np.empty((0, TAGS), np.float32)
+        del emitted
+        tags = self.decode(flat, [len(coded[k]) for k in some])
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        at = 0
+        for k in some:
+            own = tags[at : at + len(coded[k])]
+            at += len(own)
+            if own.any():
+                found[k] = _spans(own)
+        return found
+
+
+def _spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    kind = (tags.astype(np.int64) + 1) // 2  # 0 is none
+    new = np.flatnonzero((np.diff(kind, prepend=0) != 0) | ((tags > 0) & (tags % 2 == 1)))
+    ends = np.append(new[1:], len(tags))
+    return [(int(kind[a]) - 1, a, b) for a, b in zip(new.tolist(), ends.tolist(), strict=True) if kind[a]]
 
-def read_windows(text: str, c: np.ndarray, inner: int) -> np.ndarray:
-    """Which windows of a text (by their middles of `inner` characters) the network reads; c: its classes."""
-    wanted = np.zeros(-(-len(c) // inner), bool)
-    near = np.flatnonzero((c < 10) | (c == OWN["@"]))
-    for shift in (-REACH, 0, REACH):
-        if len(near):
-            wanted[np.clip(near + shift, 0, len(c) - 1) // inner] = True
-    extents = [(m.start(), m.end()) for m in SAID.finditer(text)]
-    extents += [(i, i + 1) for i in np.flatnonzero(c == OWN["@"]).tolist()]
-    for a, b in extents:
-        a = len(text[max(0, a - REACH) : a].rstrip(" \t\r\n[({<")) + max(0, a - REACH)
-        while a > 0 and text[a - 1] in LOCAL:
-            a -= 1
-        b = DOMAIN.match(text, b).end()
-        wanted[max(0, a - REACH) // inner : min(b + REACH, len(c) - 1) // inner + 1] = True
-    return wanted
-
-
-#: What stands for a point in an address.
-POINT = r"\s*[\[({<]?\s*(?:\.|\bdot\b)\s*[\])}>]?\s*"
-#: Signs of an address in words: all that checked() can read as one without an at sign or digit, and more.
-SAID = re.compile(rf"\bat\b\s*[\])}}>]?\s*[a-z0-9-]+{POINT}[a-z0-9-]|\bdot\b|[\[({{<]\s*(?:at|dot)\s*[\])}}>]", re.I)
-#: The rest of an address behind its sign, and the characters before it.
-DOMAIN = re.compile(rf"(?:\s*[\])}}>]\s*)?(?:{POINT}(?=[a-z0-9-])|[a-z0-9-])*", re.I)
-LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-#: Characters before and after a digit or an at sign that are read as well.
-REACH = 32
-
-
-def _spans(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
-    out, kind, begin = [], -1, 0
-    for i, t in enumerate([*tags.tolist(), 0]):
-        k = (t - 1) // 2 if t else -1
-        if kind >= 0 and (k != kind or t % 2 == 1):
-            out.append((kind, start + begin, start + i))
-            kind = -1
-        if k >= 0 and kind < 0:
-            kind, begin = k, i
-    return out
+
+#: How an address may stand for its sign and its points: in brackets, in words, or with white space on both sides; the
+#: sign also with it on one side. A point before white space alone ends a sentence.
+AT = re.compile(r"\s*[\[({<]\s*(?:@|at)\s*[\])}>]\s*|\s*@\s*|\s+at\s+")
+POINT = re.compile(r"\s*[\[({<]\s*(?:\.|dot)\s*[\])}>]\s*|\s+(?:\.|dot)\s+|\.")
 
 
 def checked(kind: int, span: str) -> bool:
     """Whether a tagged span, read without its disguise, passes the checks of its kind."""
     s = span.lower()
     if kind == 0:
-        s = re.sub(r"\s*[\[({<]?\s*(?:@|\bat\b)\s*[\])}>]?\s*", "@", s, count=1)
-        s = re.sub(r"\s*[\[({<]?\s*(?:\.|\bdot\b)\s*[\])}>]?\s*", ".", s)
-        return EMAIL.fullmatch(s) is not None
+        sign = AT.search(s)
+        return sign is not None and EMAIL.fullmatch(POINT.sub(".", s[: sign.start()]) + "@" + POINT.sub(".", s[sign.end() :])) is not None
     digits = NOT_DIGIT.sub("", s)
     if kind == 1:
-        parts = [p for p in re.split(r"[^0-9]+", s) if p]
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and re.fullmatch(r"[0-9.\s\[\]()]+|[0-9]+(?:\s*[\[(]?dot[\])]?\s*[0-9]+){3}", s) is not None
+        parts = POINT.sub(".", re.sub(r"(?<=\d)\.\s+(?=\d)", ".", s)).split(".")
+        return len(parts) == 4 and all(p.isdecimal() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9](?:[ ._/-]{0,2}[0-9])+", s) is not None
-    return 9 <= len(digits) <= 15 and re.fullmatch(r"\+? ?[0-9(][ ().0-9/-]+[0-9]", s) is not None and (s.startswith("+") or "(" in s)
+    # a number without a country code has an area code and groups of three and four, all apart
+    return 9 <= len(digits) <= 15 and (re.fullmatch(r"(?:\+ ?[0-9]|\()[ ().0-9/-]+[0-9]", s) is not None or re.fullmatch(r"[2-9][0-9]{2}([-.])[0-9]{3}\1[0-9]{4}", s) is not None)
 
 
 def _number(rng, n: int) -> str:
@@ -362,23 +390,24 @@ def _card(rng) -> str:
     return next(d + str(k) for k in range(10) if luhn(d + str(k)))
 
 
-def _example(rng, kind: int) -> str:
-    """A synthetic span, plain or disguised."""
+def _example(rng, kind: int, words: list[str]) -> str:
+    """A synthetic span, plain or disguised; names are made-up words or some of the words given."""
+    name = lambda: words[int(rng.integers(len(words)))] if words and rng.random() < 0.5 else _word(rng)
     plain = rng.random() < 0.5
     pick = lambda *x: x[int(rng.integers(len(x)))]
     if kind == 0:
-        user = _word(rng) + (pick(".", "_", "") + _word(rng) if rng.random() < 0.6 else "") + (_number(rng, int(rng.integers(1, 4))) if rng.random() < 0.3 else "")
-        at, dot = ("@", ".") if plain else pick((" @ ", "."), ("@ ", "."), (" @", " . "), (" [at] ", "."), (" (at) ", " (dot) "), (" at ", " dot "), (" at ", " dot "), ("[at]", "[dot]"), (" at ", "."), (" {at} ", "."), (" <at> ", pick(".", " <dot> ")), ("{at}", "{dot}"))
-        return user + at + _word(rng) + dot + pick("com", "org", "net", "example" + dot + "com", "io", "de")
+        at, dot = ("@", ".") if plain else pick((" @ ", "."), (" @ ", " . "), ("@ ", "."), (" @", " . "), (" [at] ", "."), (" [at] ", " [dot] "), (" (at) ", "."), (" (at) ", " (dot) "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" at ", "."), (" at ", "."), ("[at]", "[dot]"), (" {at} ", "."), ("{at}", "{dot}"), (" <at> ", "."), (" <at> ", " <dot> "))
+        user = name() + (pick(dot, "_", "", ".") + name() if rng.random() < 0.5 else "") + (_number(rng, int(rng.integers(1, 4))) if rng.random() < 0.3 else "")
+        return user + at + name() + dot + pick("com", "org", "net", "example" + dot + "com", "io", "de", "fr", "co" + dot + "uk", "edu")
     if kind == 1:
-        sep = "." if plain else pick(" . ", "[.]", ". ", "(.)")
+        sep = "." if plain else pick(" . ", "[.]", ". ", "(.)", " dot ", " dot ")
         return sep.join(str(int(v)) for v in rng.integers(0, 256, 4))
     if kind == 2:
         d, sep = _card(rng), pick(" ", "-", "") if plain else pick(".", "/", "_", "  ")
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
     a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
     cc = pick("1", "44", "49", "33", "34", "7")
-    return f"+{cc} ({a}) {b}-{c}" if plain and rng.random() < 0.6 else pick(f"+{cc} {a} {b} {c}", f"+{cc}-{a}-{b}-{c}", f"+{cc}{a}{b}{c}") if plain else pick(f"({a}) {b}-{c}", f"+ {cc} {a} {b} {c}", f"+{cc}/{a}/{b}{c}", f"({a}){b}-{c}")
+    return f"+{cc} ({a}) {b}-{c}" if plain and rng.random() < 0.6 else pick(f"+{cc} {a} {b} {c}", f"+{cc}-{a}-{b}-{c}", f"+{cc}{a}{b}{c}") if plain else pick(f"({a}) {b}-{c}", f"+ {cc} {a} {b} {c}", f"+{cc}/{a}/{b}{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}")
 
 
 def _decoy(rng) -> str:
@@ -391,10 +420,11 @@ def _decoy(rng) -> str:
     )
 
 
-def training_windows(texts: list[str], n: int = 6000, seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[str], n: int = 12_000, seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(classes, tags), each (WINDOW, n): labelled spans in the corpus's own text and in plain words."""
     rng = np.random.default_rng(seed)
     texts = [t for t in texts if t and len(t) > WINDOW]
+    words = sorted({w.lower() for t in texts for w in t.split() if w.isascii() and w.isalpha() and 2 < len(w) < 12})
     xs, ys = np.full((WINDOW, n), PAD, np.uint8), np.zeros((WINDOW, n), np.uint8)
     for j in range(n):
         if texts and rng.random() < 0.7:
@@ -410,11 +440,12 @@ def training_windows(texts: list[str], n: int = 6000, seed: int = 8) -> tuple[np
             at = cuts[int(rng.integers(len(cuts)))]
             # addresses in words have the most forms: they are half of the examples
             kind = max(0, int(rng.integers(-2, 4))) if r < 0.45 else -1
-            put = _example(rng, kind) if kind >= 0 else _decoy(rng)
-            tail = " " if rng.random() < 0.8 else ". "
-            text = text[:at] + put + tail + text[at:]
-            more = len(put) + len(tail)
-            spans = [(k, a + more * (a >= at), b + more * (a >= at)) for k, a, b in spans] + ([(kind, at, at + len(put))] if kind >= 0 else [])
+            put = _example(rng, kind, words) if kind >= 0 else _decoy(rng)
+            # brackets and marks around it are no part of it
+            lead, tail = [("", " "), ("", " "), ("", ". "), ("", ", "), ("(", ") "), ("<", "> "), ('"', '" '), (": ", "\n")][int(rng.integers(8))]
+            text = text[:at] + lead + put + tail + text[at:]
+            more, head = len(lead) + len(put) + len(tail), at + len(lead)
+            spans = [(k, a + more * (a >= at), b + more * (a >= at)) for k, a, b in spans] + ([(kind, head, head + len(put))] if kind >= 0 else [])
             begin = max(0, at - int(rng.integers(0, WINDOW - 8)))
         else:
             begin = int(rng.integers(0, max(1, len(text) - WINDOW)))
@@ -456,18 +487,24 @@ def train(docs: DataFrame) -> Tagger:
 
 
 def found_spans(text: str, tagged: list[tuple[int, int, int]]) -> tuple[list, list]:
-    """(base spans, all spans), each by kind, then start. A tagged span is added if it passes the checks of its kind
-    and does not touch a base span."""
+    """(base spans, all spans), each by kind, then start. A tagged span is taken to the ends of the words it cuts, and
+    added if it passes the checks of its kind and does not touch a base span."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     added = []
     for k, a, b in tagged:
-        while a < b and text[a].isspace():
+        while a < b and (text[a].isspace() or text[a] in ",;:!?"):
             a += 1
         while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:!?"):
             b -= 1
-        # a number that goes on outside the span was cut out of a longer one
-        if (text[a - 1 : a].isalnum() if a else False) or text[b : b + 1].isalnum() or any(x < b and a < y for x, y in taken):
+        # a number that goes on outside the span is all in it
+        while a and b > a and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        while b > a and text[b : b + 1].isalnum() and text[b - 1].isalnum():
+            b += 1
+        if text[a - 1 : a].isalnum() if a else False:
+            continue
+        if text[b : b + 1].isalnum() or any(x < b and a < y for x, y in taken):
             continue
         if checked(k, text[a:b]):
             added.append((k, a, b))
@@ -490,7 +527,7 @@ def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all), n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all), n_added, n_spans (all)."""
     # a network of some thousand weights, whatever the corpus
     model = docs.sparkSession.sparkContext.broadcast((tagger or train(docs)).p)
 
@@ -500,18 +537,16 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
         for b in batches:
             texts = [x or "" for x in b.column("text").to_pylist()]
             rows = []
-            for a in range(0, len(texts), 256):
-                some = texts[a : a + 256]
-                for text, tagged in zip(some, t.tag(some), strict=True):
-                    base, spans = found_spans(text, tagged)
-                    counts = [sum(k == i for k, _, _ in base) for i in range(4)]
-                    rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            for text, tagged in zip(texts, t.tag(texts), strict=True):
+                base, spans = found_spans(text, tagged)
+                counts = [sum(k == i for k, _, _ in base) for i in range(4)]
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
@@ -525,19 +560,17 @@ def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             out = []
-            for a in range(0, len(texts), 256):
-                some = texts[a : a + 256]
-                for text, tagged in zip(some, t.tag([x or "" for x in some]), strict=True):
-                    if text:
-                        for k, x, y in reversed(united(found_spans(text, tagged)[1])):
-                            text = f"{text[:x]}[{KINDS[k].upper()}]{text[y:]}"
-                    out.append(text)
+            for text, tagged in zip(texts, t.tag([x or "" for x in texts]), strict=True):
+                if text:
+                    for k, x, y in reversed(united(found_spans(text, tagged)[1])):
+                        text = f"{text[:x]}[{KINDS[k].upper()}]{text[y:]}"
+                out.append(text)
             cols = {n: b.column(n) for n in names} | {"text": pa.array(out, pa.string())}
             if "n_chars" in names:
                 cols["n_chars"] = pa.array([None if x is None else len(x) for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
