@@ -1,5 +1,6 @@
 """The training-data operators against SQL, brute force, exact round trips and held-out labels."""
 
+import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -61,13 +62,52 @@ def test_base_spans(docs):
         assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(r["text"] or "")] == want
 
 
-def test_tagger_adds_disguised_spans_and_keeps_base_ones(spark, docs, tagger):
-    texts = [f"please write to {u} at example dot com for more" for u in ("anna", "bob", "carla")] + [f"call ({a}) 555-1234 today" for a in (415, 212, 303)] + ["the host 10 . 20 . 30 . 40 is down"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = pii.personal_data(df, tagger).collect()
-    assert sum(r["n_added"] > 0 for r in rows) >= len(texts) // 2
-    for r in pii.personal_data(docs, tagger).collect():
-        assert r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_added"] == len([s for s in r["spans"].split(",") if s])
+def test_query_of_personal_data_keeps_its_contract(spark, sf, docs, monkeypatch, tagger):
+    monkeypatch.setattr(pii, "train", lambda docs: tagger)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = pii.op1(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = _plain_base(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        wanted = [f"{k}:{x}:{y}" for k, (x, y) in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(wanted).encode()).hexdigest()
+        found = [s for s in r["spans"].split(",") if s]
+        assert set(wanted) <= set(found) and r["n_spans"] == len(found) and r["n_added"] == len(found) - len(wanted)
+        assert found == sorted(found, key=lambda s: (pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1])))
+
+
+#: Forms that no base pattern finds; w: a word, n: a number up to, c: four groups of a card.
+DISGUISED = [
+    (0, lambda w, n, c: f"{w()} @ {w()} . com"), (0, lambda w, n, c: f"{w()} [at] {w()} [dot] org"), (0, lambda w, n, c: f"{w()} (at) {w()} (dot) net"),
+    (0, lambda w, n, c: f"{w()} at {w()} dot de"), (0, lambda w, n, c: f"{w()} dot {w()} at {w()} dot com"), (0, lambda w, n, c: f"{w()} at {w()}.com"),
+    (0, lambda w, n, c: f"{w()} {{at}} {w()}.org"), (0, lambda w, n, c: f"{w()} <at> {w()}.io"), (1, lambda w, n, c: " . ".join(str(n(255)) for _ in range(4))),
+    (1, lambda w, n, c: " dot ".join(str(n(255)) for _ in range(4))), (1, lambda w, n, c: "[.]".join(str(n(255)) for _ in range(4))), (2, lambda w, n, c: ".".join(c)), (2, lambda w, n, c: "/".join(c)),
+    (3, lambda w, n, c: f"({200 + n(700)}) {100 + n(800)}-{1000 + n(8000)}"), (3, lambda w, n, c: f"{200 + n(700)}-{100 + n(800)}-{1000 + n(8000)}"), (3, lambda w, n, c: f"+ 44 {100 + n(800)} {100 + n(800)} {1000 + n(8000)}"),
+]
+
+
+def test_held_out_forms_are_found_and_plain_text_is_left_alone(docs, tagger):
+    names = "anna bob carla dora eve frank gina hugo ines jonas kira leon mara nils olga paul quinn rosa sven tina".split()
+    texts = [r["text"] for r in docs.collect() if r["text"]]
+    rng, words = np.random.default_rng(9), sorted({w for t in texts for w in t.split() if w.isalpha() and len(w) > 2})
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    found = added = 0
+    for kind, form in DISGUISED:
+        rows = []
+        for _ in range(25):
+            card = pii._card(rng)
+            span = form(lambda: pick(names) if rng.random() < 0.5 else pii._word(rng, 3, 8), lambda m: int(rng.integers(0, m + 1)), [card[i : i + 4] for i in range(0, 16, 4)])
+            lead = " ".join(pick(words) for _ in range(15)) + pick([" ", " write to ", ": ", " ("])
+            rows.append((lead + span + " " + " ".join(pick(words) for _ in range(15)), (kind, len(lead), len(lead + span))))
+        for (text, want), tagged in zip(rows, tagger.tag([t for t, _ in rows]), strict=True):
+            spans = pii.found_spans(text, tagged)[1]
+            found += want in spans
+            added += len(spans)
+    plain = [re.sub(r"[0-9@+]", "", t) for t in texts]
+    decoys = [f"{pick(words)} {pick(words)} {pii._decoy(rng)} {pick(words)}" for _ in range(400)]
+    wrong = sum(len(s) for s in (set(pii.found_spans(t, tagged)[1]) - set(pii.found_spans(t, tagged)[0]) for t, tagged in zip(plain + decoys, tagger.tag(plain + decoys), strict=True)))
+    assert found / (25 * len(DISGUISED)) >= 0.8 and found / (added + wrong) >= 0.95
 
 
 def test_a_span_does_not_depend_on_the_window(tagger):
@@ -94,53 +134,50 @@ def test_pii_of_odd_rows(odd, tagger):
     assert pii.personal_data(odd.limit(0), tagger).count() == 0
 
 
-def test_every_form_of_an_address_is_read():
+def test_all_of_a_text_is_read(tagger):
+    seen = []
+
     class Loud(pii.Tagger):
         def emissions(self, x):
+            seen.append(x.size)
             return np.tile(np.eye(pii.TAGS, dtype=np.float32)[2][None, :, None] * 50, (len(x), 1, x.shape[1]))
 
-    for span in ("john at example.com", "bob {at} host.org", "bob{AT}host{dot}org", "bob <at> host . org", "x at y-z dot co", "(at)", "a" * 200 + " at " + "b" * 200 + ".com"):
-        text = "plain words " * 30 + span + " and plain words" * 30
-        at = text.index(span)
-        assert any(a <= at and b >= at + len(span) for _, a, b in Loud().tag([text])[0]), span
-    assert pii.checked(0, "john at example.com") and pii.checked(0, "bob {at} host.org")
-    assert Loud().tag(["no form of an address here. " * 20]) == [[]]
-
-
-def test_runs_of_windows_decode_as_one_sequence():
-    rng = np.random.default_rng(1)
-    t = pii.Tagger()
-    for k in range(12):
-        t.p["move"] = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
-        sizes = rng.integers(1, 9, 5)  # runs and gaps take turns
-        first = k % 2
-        full, runs, gaps, spots = [], [], [], []
-        for j, n in enumerate(sizes):
-            e = rng.standard_normal((n, pii.TAGS)).astype(np.float32)
-            if j % 2 == first:
-                spots.append(slice(sum(sizes[:j]), sum(sizes[: j + 1])))
-                runs.append(e)
-                gaps.append((j > 0, j < len(sizes) - 1))
-            else:
-                e[:] = -1e6
-                e[:, 0] = 0
-            full.append(e)
-        e, s, back = np.concatenate(full), None, []
-        for row in e:  # the plain search over the whole sequence
-            way = None if s is None else s[:, None] + t.p["move"]
-            back.append(None if s is None else way.argmax(axis=0))
-            s = row if s is None else way.max(axis=0) + row
-        tags = [int(s.argmax())]
-        for b in back[:0:-1]:
-            tags.insert(0, int(b[tags[0]]))
-        for got, spot in zip(t.decode(runs, gaps), spots, strict=True):
-            assert got.tolist() == tags[spot]
+    for text in ("no form of an address here. " * 200, "x", "ab " * 40, "long " * 120_000):
+        assert [(a, b) for _, a, b in Loud().tag(["", text, "y z"])[1]] == [(0, len(text))]
+    assert sum(seen) >= 606_000
+    texts = ["one two", "call me at anna.lee [at] home [dot] org please " * 30, "", "the end"]
+    assert tagger.tag(texts) == [tagger.tag([t])[0] for t in texts]
+
+
+def _plain_search(e, move):
+    s, back = e[0], []
+    for row in e[1:]:
+        way = s[:, None] + move
+        back.append(way.argmax(axis=0))
+        s = way.max(axis=0) + row
+    tags = [int(s.argmax())]
+    for b in back[::-1]:
+        tags.append(int(b[tags[-1]]))
+    return tags[::-1]
+
+
+def test_lanes_find_the_best_sequence_of_the_whole_text():
+    rng, t = np.random.default_rng(1), pii.Tagger()
+    for k in range(24):
+        t.p["move"] = (rng.standard_normal((pii.TAGS, pii.TAGS)) * (0.3, 1, 3)[k % 3]).astype(np.float32)
+        sizes = [int(n) for n in rng.integers(1, 1200, 4)]
+        flat = (rng.standard_normal((sum(sizes), pii.TAGS)) * (0.3, 1, 3)[k // 3 % 3]).astype(np.float32)
+        flat[:, 0] += (0, 1, 3, 6)[k % 4]
+        got, a = t.decode(flat, sizes), 0
+        for n in sizes:
+            assert got[a : a + n].tolist() == _plain_search(flat[a : a + n].astype(float), t.p["move"].astype(float))
+            a += n
     # transitions bring up a span that no single character prefers
     t.p["move"] = np.zeros((pii.TAGS, pii.TAGS), np.float32)
     t.p["move"][1, 2] = t.p["move"][2, 2] = 1
     e = np.full((6, pii.TAGS), -1, np.float32)
     e[:, 0], e[:, 1:3] = 0, -0.5
-    assert t.decode([e], [(False, False)])[0].tolist() == [1, 2, 2, 2, 2, 2]
+    assert t.decode(e, [6]).tolist() == [1, 2, 2, 2, 2, 2]
 
 
 def test_background_comes_from_whole_texts(spark):
@@ -288,23 +325,49 @@ def test_an_element_that_holds_the_article_is_not_skipped():
 # ---- pieces ----
 
 
-def test_streaming_search_equals_a_whole_one(docs):
+def _whole_search(m, text):
+    """Ids of a whole text (spaces U+2581) by a plain search over all pieces."""
+    best, back = [0] + [None] * len(text), [0] * (len(text) + 1)
+    for i in range(1, len(text) + 1):
+        for j in range(max(0, i - m.longest), i):
+            hit = m.pieces.get(text[j:i])
+            if hit and (best[i] is None or best[j] + hit[0] < best[i]):
+                best[i], back[i] = best[j] + hit[0], j
+        spelt = (viterbi.SPACE if text[i - 1] == viterbi.LITERAL else text[i - 1]).encode()
+        if text[i - 1] not in m.pieces and (best[i] is None or best[i - 1] + m.byte_cost * len(spelt) < best[i]):
+            best[i], back[i] = best[i - 1] + m.byte_cost * len(spelt), i - 1
+    parts, i = [], len(text)
+    while i:
+        piece = text[back[i] : i]
+        parts.append([m.pieces[piece][1]] if piece in m.pieces else [m.bytes[b] for b in (viterbi.SPACE if piece == viterbi.LITERAL else piece).encode()])
+        i = back[i]
+    return [x for p in reversed(parts) for x in p]
+
+
+def test_searches_equal_a_whole_one_on_whole_texts(docs):
+    m = viterbi.model(viterbi.default_model())
+    texts = [r["text"] or "" for r in docs.orderBy("doc_id").limit(60).collect()] + [ODD[-1][1], "  \n\t ", " a", "x" * 500, "é▁" * 90, "\U0001f600\ue000 z"]
+    for text, ids in zip(texts, m.encode(texts), strict=True):
+        whole = viterbi.SPACE + text.replace(viterbi.SPACE, viterbi.LITERAL).replace(" ", viterbi.SPACE) if text else ""
+        want = _whole_search(m, whole)
+        assert np.frombuffer(ids, "<u2").tolist() == want and list(m.stream(whole)) == want
+
+
+def test_ids_leave_a_stream_as_soon_as_all_paths_meet():
     m = viterbi.model(viterbi.default_model())
-    for r in docs.limit(40).collect():
-        text = viterbi.SPACE + (r["text"] or "")[:400].replace(" ", viterbi.SPACE)
-        best, back = [0.0] + [-1e18] * len(text), [0] * (len(text) + 1)
-        for i in range(1, len(text) + 1):
-            for j in range(max(0, i - m.longest), i):
-                hit = m.pieces.get(text[j:i])
-                if hit and best[j] + hit[0] > best[i]:
-                    best[i], back[i] = best[j] + hit[0], j
-            if text[i - 1] not in m.pieces and (s := best[i - 1] + m.byte_score * len(m._spell(text[i - 1]))) > best[i]:
-                best[i], back[i] = s, i - 1
-        cuts, i = [], len(text)
-        while i:
-            cuts.append((back[i], i))
-            i = back[i]
-        assert list(m.stream(text)) == [x for a, b in reversed(cuts) for x in m._ids(text[a:b])]
+    read, late = 0, 0
+
+    def chars():
+        nonlocal read
+        for ch in (viterbi.SPACE + "some words of a long stream that goes on").replace(" ", viterbi.SPACE) * 50:
+            read += 1
+            yield ch
+
+    done = 0
+    for i in m.stream(chars()):
+        done += len(m.spelt[i].decode())
+        late = max(late, read - done)
+    assert late <= 2 * m.longest
 
 
 def test_pieces_restore_every_text(spark, sf, odd):
