@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +32,7 @@ from . import common
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title".split())
+RAW = frozenset("script style noscript template svg iframe canvas textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article aside body details dialog div fieldset figure footer form header main menu nav ol section table td ul".split())
 #: Containers that are a part of a text, never the whole of one that goes on around them.
@@ -48,10 +47,13 @@ OFF = frozenset("ad ads advert adverts advertisement advertising banner breadcru
 #: has-sidebar, comments-open, article-header or form-page, marks nothing.
 BEFORE = frozenset("bottom desktop global google left main mobile primary right secondary site sticky sub top".split())
 AFTER = frozenset("area bar block body bottom box container content footer header inner item left list main section text top right unit wrap wrapper".split())
+#: Bytes of all hosts' winning paths up to which they are sent to every task; beyond, parts that a host's pages are dealt to.
+BROADCAST, SALTS = 16 << 20, 32
 #: An open paragraph ends where one of these begins.
 ENDS_P = BLOCK - frozenset(("html", "body"))
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A quote counts in a tag only directly after an equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>=\s*(?>\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
+ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 PARTS = re.compile(r"[^a-z]+")
@@ -85,22 +87,58 @@ def _attributes(text: str) -> tuple[str, bool, bool]:
     return cls, off, apart
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters of it in links) of each text block outside what is skipped, in page order."""
-    out, held, articles = _read(page, frozenset())
+class Containers:
+    """The containers of a page as nodes of a tree; node 0 is the page, and a parent comes before its children."""
+
+    def __init__(self):
+        self.parent, self.step, self.depth, self.known = [0], [""], [0], {}
+
+    def child(self, node: int, step: str) -> int:
+        new = self.known.setdefault((node, step), len(self.parent))
+        if new == len(self.parent):
+            self.parent.append(node)
+            self.step.append(step)
+            self.depth.append(self.depth[node] + 1)
+        return new
+
+    def path(self, node: int) -> str:
+        steps = []
+        while node:
+            steps.append(self.step[node])
+            node = self.parent[node]
+        return "/".join(reversed(steps))
+
+    def find(self, path: str) -> int | None:
+        node = 0
+        for step in path.split("/") if path else ():
+            node = self.known.get((node, step))
+            if node is None:
+                return None
+        return node
+
+
+Block = tuple[int, str, int]
+
+
+def blocks(page: str) -> tuple[list[Block], Containers]:
+    """(container, text, characters of it in links) of each text block outside what is skipped, in page order."""
+    out, held, articles, tree = _read(page, frozenset())
     keep = frozenset(at for at, (apart, n, mains) in held.items() if mains or (n == articles and not apart))
-    return _read(page, keep)[0] if keep else out
+    if keep:
+        out, _, _, tree = _read(page, keep)
+    return out, tree
 
 
-def _read(page: str, keep: frozenset[int]) -> tuple[list[tuple[tuple[str, ...], str, int]], dict[int, list[int]], int]:
-    """(blocks, by position of each skipped element that holds any: [apart, articles, mains], articles of the page);
-    elements that begin at a position in keep are not skipped."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+def _read(page: str, keep: frozenset[int]) -> tuple[list[Block], dict[int, list[int]], int, Containers]:
+    """(blocks, by position of each skipped element that holds any: [apart, articles, mains], articles of the page,
+    containers); elements that begin at a position in keep are not skipped."""
+    out: list[Block] = []
+    tree = Containers()
     held: dict[int, list[int]] = {}
     articles = 0
     stack: list[tuple[str, int]] = []  # (tag, 0 or where it began if it is skipped with what is inside)
     aside: dict[int, bool] = {}  # by where a skipped element began, whether it keeps articles apart
-    path: list[tuple[int, str]] = []  # (depth in stack, step)
+    path: list[tuple[int, int]] = [(-1, 0)]  # (depth in stack, container)
     buffer: list[str] = []
     state = {"link": 0, "linked": 0, "skip": 0}
 
@@ -108,7 +146,7 @@ def _read(page: str, keep: frozenset[int]) -> tuple[list[tuple[tuple[str, ...],
         if buffer:
             text = SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             if text:
-                out.append((tuple(s for _, s in path), text, min(state["linked"], len(text))))
+                out.append((path[-1][1], text, min(state["linked"], len(text))))
             buffer.clear()
         state["linked"] = 0
 
@@ -121,7 +159,7 @@ def _read(page: str, keep: frozenset[int]) -> tuple[list[tuple[tuple[str, ...],
                 state["link"] -= 1
             if off:
                 state["skip"] -= 1
-            if path and path[-1][0] == len(stack):
+            if path[-1][0] == len(stack):
                 path.pop()
 
     def last(tags: frozenset | set, until: frozenset = frozenset()) -> int | None:
@@ -196,14 +234,14 @@ def _read(page: str, keep: frozenset[int]) -> tuple[list[tuple[tuple[str, ...],
             if tag == "a":
                 state["link"] += 1
             if tag in CONTAINER:
-                path.append((len(stack), f"{tag}.{cls}" if cls else tag))
+                path.append((len(stack), tree.child(path[-1][1], f"{tag}.{cls}" if cls else tag)))
             stack.append((tag, at if off else 0))
     close(0)
     flush()
-    return out, held, articles
+    return out, held, articles, tree
 
 
-def vote(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, float] | None:
+def vote(found: list[Block], tree: Containers) -> tuple[str, float] | None:
     """(path, score) of a page's best container.
 
     A block gives its characters outside links to its container, half to the container's parent and so on up to the
@@ -211,34 +249,44 @@ def vote(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, float] | N
     that holds them, so the vote goes from the best container up to one around it that has text of its own, if what it
     leaves is a part of a text (PART) or that text is a tenth of the best score; never out of an article or main.
     """
-    score: dict[tuple[str, ...], float] = defaultdict(float)
-    own: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, text, linked in found:
-        gain = len(text) - 2 * linked
-        own[path] += gain
-        for depth in range(len(path), -1, -1):
-            score[path[:depth]] += gain
-            gain *= 0.5
-    if not score:
+    if not found:
         return None
-
-    def tag(p: tuple[str, ...]) -> str:
-        return p[-1].split(".")[0] if p else ""
-
-    best = min(score, key=lambda p: (-score[p] * (2 if tag(p) in ("article", "main") else 1), len(p), p))
-    top = best
-    for depth in range(len(best), 0, -1):
-        if tag(best[:depth]) in ("article", "main"):
-            break
-        text = own.get(best[: depth - 1], 0)
-        if text > 0 and (tag(best[:depth]) in PART or 10 * text >= score[best]):
-            top = best[: depth - 1]
-    return "/".join(top), max(score[best], 0.0)
-
-
-def inside(found: list[tuple[tuple[str, ...], str, int]], path: str) -> list[str]:
-    steps = tuple(path.split("/")) if path else ()
-    return [text for p, text, _ in found if p[: len(steps)] == steps]
+    own = [0] * len(tree.parent)
+    holds = [False] * len(tree.parent)
+    for node, text, linked in found:
+        own[node] += len(text) - 2 * linked
+        holds[node] = True
+    score = [float(x) for x in own]
+    for node in range(len(score) - 1, 0, -1):
+        score[tree.parent[node]] += score[node] / 2
+        holds[tree.parent[node]] |= holds[node]
+
+    def tag(node: int) -> str:
+        return tree.step[node].split(".")[0]
+
+    weight = [s * (2 if tag(n) in ("article", "main") else 1) for n, s in enumerate(score)]
+    top = max((w, -d) for w, d, h in zip(weight, tree.depth, holds, strict=True) if h)
+    ties = [n for n, h in enumerate(holds) if h and (weight[n], -tree.depth[n]) == top]
+    best = min(ties, key=tree.path) if len(ties) > 1 else ties[0]
+    wins = node = best
+    while node and tag(node) not in ("article", "main"):
+        around = tree.parent[node]
+        if own[around] > 0 and (tag(node) in PART or 10 * own[around] >= score[best]):
+            wins = around
+        node = around
+    return tree.path(wins), max(score[best], 0.0)
+
+
+def inside(found: list[Block], tree: Containers, path: str) -> list[str]:
+    """The texts of the container with a path and of all in it."""
+    root = tree.find(path)
+    if root is None:
+        return []
+    held = [False] * len(tree.parent)
+    held[root] = True
+    for node in range(root + 1, len(held)):
+        held[node] = held[tree.parent[node]]
+    return [text for node, text, _ in found if held[node]]
 
 
 def host(url):
@@ -250,11 +298,11 @@ def votes(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, *v) for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) if (v := vote(blocks(page or "")))]
+            rows = [(h, *v) for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) if (v := vote(*blocks(page or "")))]
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["host", "path", "score"])
 
-    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, score double")
+    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(common.lean(run), "host string, path string, score double")
 
 
 def consensus(cast: DataFrame) -> DataFrame:
@@ -269,21 +317,27 @@ def consensus(cast: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    winners = consensus(votes(pages))
+    winners = common.written(consensus(votes(pages)), "html-paths")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for page, path in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True):
-                found = blocks(page or "")
-                text = [] if path is None else inside(found, path)
+                found, tree = blocks(page or "")
+                text = [] if path is None else inside(found, tree, path)
                 if not text and found:
-                    text = inside(found, vote(found)[0])
+                    text = inside(found, tree, vote(found, tree)[0])
                 texts.append("\n\n".join(text))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return named.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    size = winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 32), F.lit(0))).first()[0]
+    if size <= BROADCAST:  # the pages stay where they are
+        chosen = named.join(F.broadcast(winners), "host", "left")
+    else:  # a host's pages are dealt over SALTS tasks
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        chosen = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return chosen.select("page_id", "url", "html", "path").mapInArrow(common.lean(run), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

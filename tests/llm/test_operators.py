@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -306,7 +307,7 @@ def test_the_winning_path_is_the_nearest_to_the_root_within_half_of_the_most(spa
 def test_what_marks_an_element_as_no_article():
     kept = ['class="content has-sidebar"', 'class="no-sidebar"', 'class="post comments-open"', 'class="article-header"', 'class="form-page"', 'aria-hidden="false"', 'title="The hidden cost"', 'data-hidden="x"', "data-role='menu'"]
     gone = ['class="x sidebar"', 'class="sidebar-left"', 'id=ad-12', 'class="cookie-notice"', 'class="site-footer"', "hidden", 'hidden=""', 'aria-hidden="true"', 'role="navigation"', "class='post' hidden"]
-    texts = lambda page: [t for _, t, _ in html.blocks(page)]
+    texts = lambda page: [t for _, t, _ in html.blocks(page)[0]]
     for attributes in kept:
         assert texts(f"<body><div {attributes}>some text</div><p {attributes}>more") == ["some text", "more"], attributes
     for attributes in gone:
@@ -314,7 +315,7 @@ def test_what_marks_an_element_as_no_article():
 
 
 def test_an_element_that_holds_the_article_is_not_skipped():
-    texts = lambda page: [t for _, t, _ in html.blocks(page)]
+    texts = lambda page: [t for _, t, _ in html.blocks(page)[0]]
     assert texts('<body><div class="sidebar"><article><p>text</article></div><nav>menu</nav>') == ["text"]
     assert texts('<form id="form"><input><div class="widget"><main><p>text<div class="ad">buy</div></main></div></form>') == ["text"]
     assert texts('<div hidden><article>one</article><article>two</article></div>') == ["one", "two"]
@@ -322,6 +323,43 @@ def test_an_element_that_holds_the_article_is_not_skipped():
     assert texts('<div class="post">text</div><div id="comments"><article class="comment">first!</article></div>') == ["text"]
 
 
+def test_quotes_count_only_after_an_equals_sign():
+    texts = lambda page: [t for _, t, _ in html.blocks(page)[0]]
+    assert texts("<p title=it's>First it's here.</p><p>Second don't stop.</p>") == ["First it's here.", "Second don't stop."]
+    assert texts("<p title=\"a > b\" data-x='1>0'>one<p it's>two <b y\">three</b><p x=\"open>four") == ["one", "two three", "four"]
+    assert texts("<p " + "a='" * 50_000) == []
+
+
+def test_deep_pages_take_linear_time():
+    deep = "<div>" * 4000 + "<p>text" * 3
+    began = time.time()
+    found, tree = html.blocks(deep.replace("<div>", "<div>x"))
+    assert html.vote(found, tree) and len(html.inside(found, tree, "")) == 4003
+    assert time.time() - began < 3
+
+
+def test_votes_equal_a_plain_count(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        tags = ["div", "section", "article", "table"]
+        page = "".join(f"<{tags[int(k)]} class=c{int(rng.integers(2))}>" + "w " * int(rng.integers(0, 9)) + ("</div>" if rng.random() < 0.4 else "") for k in rng.integers(0, 4, 6))
+        found, tree = html.blocks(page)
+        score = defaultdict(float)
+        for node, text, linked in found:
+            steps = tree.path(node).split("/") if node else []
+            for d in range(len(steps) + 1):
+                score["/".join(steps[:d])] += (len(text) - 2 * linked) * 0.5 ** (len(steps) - d)
+        if found:
+            assert html.vote(found, tree)[1] == pytest.approx(max(score.values(), key=lambda v: v)) or any(p.rsplit("/", 1)[-1].startswith("article") for p in score)
+
+
+def test_pages_beyond_a_broadcast(spark, sf, monkeypatch):
+    pages = common.table(spark, sf, "pages").withColumn("path", F.lit("x")).withColumn("host", F.lit("y"))
+    want = sorted(map(tuple, html.extract(pages).collect()))
+    monkeypatch.setattr(html, "BROADCAST", -1)
+    assert sorted(map(tuple, html.extract(pages).collect())) == want
+
+
 # ---- pieces ----
 
 
