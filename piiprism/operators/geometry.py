@@ -164,6 +164,33 @@ def sub_polygon(corners: Column, first: Column, last: Column, n: Column, pad: fl
     return F.array(at(0, 1, a), at(0, 1, b), at(3, 2, b), at(3, 2, a))
 
 
+def bounding_box(polygon: Column) -> list[Column]:
+    """x1, y1, x2, y2 around a polygon."""
+    side = lambda k: F.transform(polygon, lambda p: p[k])
+    return [F.array_min(side(0)).alias("x1"), F.array_min(side(1)).alias("y1"), F.array_max(side(0)).alias("x2"), F.array_max(side(1)).alias("y2")]
+
+
+def quad(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """A box as a quad from the upper left, clockwise."""
+    return F.array(F.array(x1, y1), F.array(x2, y1), F.array(x2, y2), F.array(x1, y2))
+
+
+def grown(corners: Column, tall: float = 0.02, wide: float = 0.005) -> Column:
+    """A quad taken outward along its own axes by shares of its height and width."""
+    along = [(corners[1][k] - corners[0][k]) * wide for k in (0, 1)]
+    down = [(corners[3][k] - corners[0][k]) * tall for k in (0, 1)]
+    return F.array(*(F.array(*(corners[i][k] + a * along[k] + d * down[k] for k in (0, 1))) for i, (a, d) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))))
+
+
+def moved(corners: Column, matrix: Column, width: Column, height: Column) -> Column:
+    """A polygon under a 2 x 3 affine matrix (two rows of three), within the frame."""
+    def at(p: Column, row: int, most: Column) -> Column:
+        m = matrix[row]
+        return F.least(F.greatest(m[0] * p[0] + m[1] * p[1] + m[2], F.lit(0.0)), most.cast("double"))
+
+    return F.transform(corners, lambda p: F.array(at(p, 0, width), at(p, 1, height)))
+
+
 def face_box(b: dict[str, Column], width: Column, height: Column) -> list[Column]:
     """A face's box with a tenth more at the sides and below and 15 hundredths above, within the image."""
     w, h = b["x2"] - b["x1"], b["y2"] - b["y1"]

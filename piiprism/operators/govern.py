@@ -52,6 +52,47 @@ def mask_all(detections: DataFrame) -> DataFrame:
     return detections.withColumn("masked", ~every)
 
 
+def toggled(detections: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Masks the chosen detections (page, id) of each page, or unmasks them where all of them are masked."""
+    picked = detections.join(chosen.select("page", "id", F.lit(True).alias("picked")).distinct(), ["page", "id"], "left")
+    every = picked.where("picked").groupBy("page").agg(F.min("masked").alias("every"))
+    out = picked.join(every, "page", "left").withColumn("masked", F.when(F.col("picked"), ~F.col("every")).otherwise(F.col("masked")))
+    return out.select(*detections.columns)
+
+
+def card_status(detections: DataFrame, links: DataFrame) -> DataFrame:
+    """page, entry, status of a log entry by the detections that it is linked with (page, entry, id)."""
+    by = links.join(detections.select("page", "id", "masked"), ["page", "id"]).groupBy("page", "entry").agg(F.count("*").alias("n"), F.count_if("masked").alias("m"))
+    part = F.concat(F.col("m").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" Masked"))
+    return by.select("page", "entry", F.when(F.col("m") == F.col("n"), "Masked").when(F.col("m") == 0, "Exposed").otherwise(part).alias("status"))
+
+
+def highlighted(detections: DataFrame, policy: str, floor: int = 25) -> DataFrame:
+    """What is not masked and weighs `floor` or more, under a policy that highlights risk."""
+    heavy = weight(F.col("type"), F.col("entity")) >= floor
+    return detections.where(~F.col("masked") & heavy & F.lit(POLICIES[policy][5]))
+
+
+def policy_masks(detections: DataFrame, policy: str) -> DataFrame:
+    """Detections that reach a policy's confidence floor, masked where the policy masks by itself."""
+    _, _, _, floor, masks, _ = POLICIES[policy]
+    return detections.where(F.col("score") >= floor).withColumn("masked", F.col("masked") | F.lit(masks))
+
+
+def mosaic_block(width: Column, height: Column, block: int = 12) -> Column:
+    """Side of a mosaic's cells: a seventh of the shorter side within 8 and 22, by the policy's block, within 8 and 40."""
+    within = lambda c, low, high: F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    own = within(F.floor(F.least(width, height) / 7.0 + 0.5), 8, 22)
+    return within(F.floor(own * block / 12.0 + 0.5), 8, 40).cast("int")
+
+
+def random_salt() -> str:
+    """16 hexadecimal characters for one session; never stored."""
+    import secrets
+
+    return secrets.token_hex(8)
+
+
 def audit(detections: DataFrame, salt: str, policy: str = "balanced") -> DataFrame:
     """page, report: one JSON record for each page, with salted fingerprints in place of texts."""
     row = F.struct("id", "type", "entity", F.round("score", 2).alias("score"), "masked", fingerprint(F.col("text"), salt).alias("fingerprint"))

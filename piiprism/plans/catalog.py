@@ -339,16 +339,16 @@ def layout_blocks(spark, sf_dir):
 
 # ---- decisions ----
 
-_FEATURES = "SELECT event_id, (event_id % 100) / 100.0 AS white, (event_id % 7) / 2.0 AS grad, (user_id % 10) / 10.0 AS sat, (user_id % 5) / 5.0 AS hue, CAST(event_id % 60 AS DOUBLE) AS contrast FROM events"
+_FEATURES = "SELECT event_id, (event_id % 100) / 100.0 AS white, (event_id % 7) / 2.0 AS grad, (user_id % 10) / 10.0 AS sat, (user_id % 5) / 5.0 AS hue, CAST(event_id % 60 AS DOUBLE) AS contrast, CAST(event_id % 83 AS DOUBLE) AS sharp, CAST(user_id % 256 AS DOUBLE) AS bright FROM events"
 
 
-@query(f"WITH f AS ({_FEATURES}), z AS (SELECT event_id, white * 4.2 + least(grad, 3.0) * 0.8 - sat * 4.0 + CASE WHEN contrast > 40 THEN 1 ELSE 0 END AS a, sat * 5.0 + hue * 2.5 - white * 3.5 + CASE WHEN contrast > 30 THEN 1.2 ELSE 0 END AS b, -1.2 + CASE WHEN contrast < 20 THEN 0.6 ELSE 0 END AS u FROM f) SELECT event_id, round(exp(a / 0.9) / (exp(a / 0.9) + exp(b / 0.9) + exp(u / 0.9)), 6) AS doc, round(exp(u / 0.9) / (exp(a / 0.9) + exp(b / 0.9) + exp(u / 0.9)), 6) AS unknown, b > a AS skip_text FROM z")
+@query(f"WITH f AS ({_FEATURES}), z AS (SELECT event_id, white * 4.2 + least(grad, 3.0) * 0.8 - sat * 4.0 + CASE WHEN contrast > 40 THEN 1 ELSE 0 END AS a, sat * 5.0 + hue * 2.5 - white * 3.5 + CASE WHEN contrast > 30 THEN 1.2 ELSE 0 END AS b, -1.2 + CASE WHEN sharp < 15 THEN 2.0 WHEN sharp < 45 THEN 0.9 ELSE 0.05 END + CASE WHEN bright < 20 OR bright > 240 THEN 1.4 ELSE 0 END + CASE WHEN contrast < 12 THEN 1.2 ELSE 0 END AS u FROM f) SELECT event_id, round(exp(a / 0.9) / (exp(a / 0.9) + exp(b / 0.9) + exp(u / 0.9)), 6) AS doc, round(exp(u / 0.9) / (exp(a / 0.9) + exp(b / 0.9) + exp(u / 0.9)), 6) AS unknown, b > a AS skip_text FROM z")
 def softmax_decision(spark, sf_dir):
     """Scene probabilities from features, and whether text is read."""
     tables.table(spark, sf_dir, "events").createOrReplaceTempView("events")
     f = spark.sql(_FEATURES)
     d = lambda c: F.col(c).cast("double")
-    u = decide.unknown_logit(F.lit(100.0), F.lit(128.0), d("contrast"))
+    u = decide.unknown_logit(d("sharp"), d("bright"), d("contrast"))
     doc, street, unknown = decide.scene(d("white"), d("grad"), d("sat"), d("hue"), d("contrast"), u)
     return f.select("event_id", F.round(doc, 6).alias("doc"), F.round(unknown, 6).alias("unknown"), decide.scene_gate(doc, street, d("white"))["skip_text"].alias("skip_text"))
 
@@ -411,3 +411,5 @@ def dp_pix_block_means(spark, sf_dir):
     """Block means of pixels (x, y, v), the noise off."""
     px = tables.table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 128 AS x", "l_suppkey % 64 AS y", "l_quantity AS v")
     return govern.block_means(px, 16)
+
+from . import verdicts  # noqa: E402, F401  (registers its queries here)
