@@ -3,11 +3,11 @@
 Vectors are scaled to length one and encoded as a sum of full-dimensional codewords, one of each codebook; the
 codebooks are trained on a bounded sample by k-means on the residuals, and a beam search keeps the BEAM best partial
 sums while encoding. The norm of each sum is stored. A query makes a lookup table of its inner products with all
-codewords, so a vector's approximate cosine is a few table reads divided by the stored norm. The best RERANK vectors
-of each shard are then scored exactly on the original vectors, and those scores rank.
+codewords, so a vector's approximate cosine is a few table reads divided by the stored norm. The best vectors of each
+lane (one in RERANK, LEAST at least) are then scored exactly on the original vectors, and those scores rank.
 
-Every row is indexed; the sample bounds the training alone. Queries come in blocks, and a block meets every shard
-once.
+Every row is indexed; the sample bounds the training alone. Blocks of queries travel to the lanes that hold the
+vectors (``lanes``).
 
 Nulls: vectors that are null or zero, or hold null or non-finite components, take no part, nor do rows with a null
 id. Vectors of another length than the query's are no candidates of it. Ties go to the smaller id. A query never
@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, lanes
 
 BOOKS, WORDS = 8, 256
 BEAM = 4
 SAMPLE = 16_384
-#: Vectors of a shard that are scored exactly for each query.
-RERANK = 128
-SHARD_ROWS = 8192
-BLOCK_QUERIES = 512
+#: One vector of so many in a lane is scored exactly for each query, and so many at least.
+RERANK, LEAST = 64, 16
+#: Vectors of a packed part of a lane.
+PART_ROWS = 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -89,11 +89,6 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def search(ids, x, codes, norms, books, q_ids, q, k: int, rerank: int):
     """For each query (query_id, vec_id, score) of its k best in one shard."""
     table = np.einsum("qd,mwd->mqw", q, books, optimize=True)
@@ -119,66 +114,45 @@ def search(ids, x, codes, norms, books, q_ids, q, k: int, rerank: int):
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (cosine): the k nearest found for each query."""
     spark = vectors.sparkSession
     base = common.written(usable(vectors, id_col, vector_col), "aq-vectors")
     asked = common.written(usable(queries, id_col, vector_col).dropDuplicates(["id"]), "aq-queries")
     total = base.count()
-    shards, blocks = max(8, -(-total // SHARD_ROWS)), max(1, -(-asked.count() // BLOCK_QUERIES))
     # the sample bounds the training, by dimension; copies say nothing new
-    share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    sample = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
+    part = min(1.0, 1.2 * SAMPLE / max(1, total))
+    sample = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
     models = {int(d): train(np.unique(unit(np.array(g["vector"].tolist())), axis=0)) for d, g in sample.groupby("dim")} if len(sample) else {}
     # BOOKS x WORDS codewords for each length of vectors, whatever their number
     books = spark.sparkContext.broadcast(models)
 
     def index(batches):
         for b in batches:
-            ids, dims = b.column("id").to_numpy(), b.column("dim").to_numpy()
+            dims = b.column("dim").to_numpy()
             for d in np.unique(dims):
                 here = b.filter(pa.array(dims == d))
-                x = unit(_matrix(here.column("vector")))
+                x = unit(lanes.matrix(here.column("vector")))
                 if int(d) in books.value:
                     codes, norms = encode(x, books.value[int(d)])
                 else:  # a length that the sample lacks is rare: its rows are all scored exactly
                     codes, norms = np.zeros((len(x), 0), np.uint8), np.ones(len(x), np.float32)
                 yield pa.RecordBatch.from_arrays([here.column("id"), here.column("dim"), here.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["id", "dim", "vector", "codes", "norm"])
-            del ids
 
-    indexed = base.mapInArrow(index, "id long, dim int, vector array<double>, codes binary, norm float")
+    indexed = base.mapInArrow(common.lean(index), "id long, dim int, vector array<double>, codes binary, norm float")
 
-    def pack(key, t):
-        t = t.sort_by("id")
-        cols = {"dim": key[0].as_py(), "shard": key[1].as_py(), "base_ids": t.column("id").to_numpy().tobytes(), "base_x": _matrix(t.column("vector")).tobytes(), "base_codes": b"".join(t.column("codes").to_pylist()), "base_norms": t.column("norm").to_numpy().astype(np.float32).tobytes()}
-        return pa.Table.from_pylist([cols], pa.schema([("dim", pa.int32()), ("shard", pa.int32()), *((n, pa.binary()) for n in ("base_ids", "base_x", "base_codes", "base_norms"))]))
+    def load(r, ids, x):
+        return ids, x, np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["norms"], np.float32)
 
-    def pack_queries(key, t):
-        cols = {"dim": key[0].as_py(), "block": key[1].as_py(), "query_ids": t.column("id").to_numpy().tobytes(), "query_x": _matrix(t.column("vector")).tobytes()}
-        return pa.Table.from_pylist([cols], pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("query_ids", pa.binary()), ("query_x", pa.binary())]))
+    def ask(dim, parts, q_ids, q):
+        ids, x, codes, norms = (np.concatenate(c) for c in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+        parts[:] = [(ids, x, codes, norms)]  # put together once a lane
+        c = books.value.get(dim)
+        if c is None:
+            return search(ids, x, np.zeros((len(ids), 1), np.uint8), norms, np.zeros((1, 1, q.shape[1]), np.float32), q_ids, q, k, len(ids))
+        return search(ids, x, codes, norms, c, q_ids, q, k, max(LEAST, k, len(ids) // share))
 
-    packed = common.written(
-        indexed.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(pack, "dim int, shard int, base_ids binary, base_x binary, base_codes binary, base_norms binary"),
-        "aq-index",
-    )
-    packs = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(pack_queries, "dim int, block int, query_ids binary, query_x binary")
-    meets = packs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    work = meets.join(packed, ["dim", "shard"]).repartition("dim", "shard", "block")
-
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids, q_ids = np.frombuffer(r["base_ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
-                x, q = np.frombuffer(r["base_x"], np.float64).reshape(len(ids), -1), np.frombuffer(r["query_x"], np.float64).reshape(len(q_ids), -1)
-                codes, norms = np.frombuffer(r["base_codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["base_norms"], np.float32)
-                c = books.value.get(r["dim"])
-                if c is None:
-                    c, codes = np.zeros((1, 1, q.shape[1]), np.float32), np.zeros((len(ids), 1), np.uint8)
-                rows = search(ids, x, codes, norms, c, q_ids, q, k, rerank if r["dim"] in books.value else len(ids))
-                cols = list(zip(*rows, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = lanes.answered(lanes.meet(indexed, asked, total, PART_ROWS, codes=True), load, ask, "double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,13 +1,13 @@
 """Exact top-k search by inner product over KD-trees, one for each shard.
 
-Vectors are dealt to shards by a hash of their id. Each shard becomes a KD-tree: median splits on the widest
-dimension down to small leaves, each node with its tight bounding box. Queries come in blocks; a block meets every
-shard once, as one row of packed vectors joined to one row of a packed tree. The traversal is best-first: a box
-bounds the inner product from above, a query opens its boxes in falling order of the bound, and stops at the first that
-cannot beat its k-th score (or tie with it at a smaller id). The k-th scores are propagated from shard to shard in a
-task, so later shards open few boxes.
+Vectors are dealt to lanes and shards by a hash of their id. Each shard becomes a KD-tree once: median splits on the
+widest dimension down to small leaves, each node with its tight bounding box. Blocks of queries travel to the lanes
+(``lanes``). The traversal is best-first: a box bounds the inner product from above, a query opens its boxes in falling
+order of the bound, and stops at the first that cannot beat its k-th score (or tie with it at a smaller id). The k-th
+scores are propagated from shard to shard of a lane, so later shards open few boxes.
 
-Vectors are kept as integers, floor(scale * x) of each component as a double, and scores are exact integers.
+Vectors are kept as integers, floor(scale * x) of each component as a double, and scores are exact integers: sums that
+could pass 2^53 are taken in whole numbers (the components themselves are exact below 2^53).
 
 Nulls: vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null id.
 Vectors of another length than the query's are no candidates of it. Ties go to the smaller id. Repeated ids are rows of their
@@ -18,19 +18,16 @@ ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, lanes
 
 LEAF = 64
+#: Vectors of a shard, about.
 SHARD_ROWS = 4096
-BLOCK_QUERIES = 512
 SCALE = 1024
 
 
@@ -70,6 +67,7 @@ class Tree:
         if len(ids):
             build(0, len(ids))
         self.ids, self.x = ids[order], x[order]
+        self.most = float(np.abs(x).max()) * x.shape[1] if x.size else 0.0
         self.low, self.high, self.least = np.array(self.low), np.array(self.high), np.array(self.least)
 
     def search(self, q: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -78,6 +76,10 @@ class Tree:
             return best
         up, down = np.maximum(q, 0), np.minimum(q, 0)
         bounds = self.high @ up + self.low @ down  # of all boxes in one product
+        wide = self.most * float(np.abs(q).max(initial=0)) >= 2.0**52  # sums of doubles may be off
+        if wide:
+            bounds = bounds + 1e-9 * self.most * float(np.abs(q).max())
+            whole = [int(v) for v in q]
         queue = [(-bounds[0], int(self.least[0]), 0)]
         while queue:
             bound, least, node = heapq.heappop(queue)
@@ -90,7 +92,7 @@ class Tree:
                     heapq.heappush(queue, (-bounds[child], int(self.least[child]), child))
                 continue
             a, b = self.span[node]
-            score = self.x[a:b] @ q
+            score = np.array([sum(int(v) * w for v, w in zip(row, whole, strict=True)) for row in self.x[a:b]], object) if wide else self.x[a:b] @ q
             for i in np.flatnonzero(score >= best[0][0]) if len(best) == k else range(b - a):
                 row = (int(score[i]), -int(self.ids[a + i]))
                 if -row[1] == own:
@@ -102,58 +104,20 @@ class Tree:
         return best
 
 
-def _pack(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """One row for each group: ids and vectors as bytes."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf["vector"].tolist(), np.float64)
-        return pd.DataFrame({**{b: [k] for b, k in zip(by, key, strict=True)}, f"{name}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{name}_x": [x.tobytes()]})
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {name}_ids binary, {name}_x binary")
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k highest of each query over all vectors but those of its own id."""
     base = common.written(integers(vectors, id_col, vector_col, scale), "kd-vectors")
     asked = common.written(integers(queries, id_col, vector_col, scale).dropDuplicates(["id"]), "kd-queries")
-    shards = max(8, -(-base.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    trees = _pack(base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), ["dim", "shard"], "base")
-    packed = _pack(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")), ["dim", "block"], "query")
-    # a block's copies go to all shards; a lane of a few shards is one task's work, so the k-th scores pass on in it
-    lanes = max(1, min(shards, common.partitions_for(base.sparkSession) * 2))
-    trees = common.written(trees.withColumn("lane", F.col("shard") % lanes), "kd-shards")
-    meets = packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).join(trees.groupBy("dim", "lane").agg(F.count("*").alias("n")), ["dim", "lane"])
-    work = meets.select("dim", "lane", "block", "query_ids", "query_x").join(trees, ["dim", "lane"]).repartition("dim", "lane", "block").sortWithinPartitions("dim", "lane", "block", "shard")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, q, best, tree_at, tree = None, None, None, [], None, None
-
-        def out():
-            rows = [(int(i), -n, s) for i, heap in zip(ids, best, strict=True) for s, n in heap]
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-        for b in batches:
-            for r in b.to_pylist():
-                here = (r["dim"], r["lane"], r["block"])
-                if here != at:
-                    if at is not None:
-                        yield out()
-                    at, ids = here, np.frombuffer(r["query_ids"], np.int64)
-                    q = np.frombuffer(r["query_x"], np.float64).reshape(len(ids), -1)
-                    best = [[] for _ in ids]
-                if tree_at != (r["dim"], r["shard"]):
-                    own = np.frombuffer(r["base_ids"], np.int64)
-                    tree_at, tree = (r["dim"], r["shard"]), Tree(own, np.frombuffer(r["base_x"], np.float64).reshape(len(own), -1))
-                for i in range(len(ids)):
-                    best[i] = tree.search(q[i], int(ids[i]), k, best[i])
-        if at is not None:
-            yield out()
-
-    found = work.mapInArrow(run, "query_id long, vec_id long, score long")
+
+    def search(dim, trees, ids, x):
+        for own, q in zip(ids.tolist(), x, strict=True):
+            best: list[tuple[int, int]] = []
+            for tree in trees:
+                best = tree.search(q, own, k, best)
+            yield from ((own, -n, s) for s, n in best)
+
+    rows = lanes.meet(base, asked, base.count(), SHARD_ROWS)
+    found = lanes.answered(rows, lambda r, ids, x: Tree(ids, x), search, "long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -507,6 +507,16 @@ def test_searches_of_odd_rows(spark):
     assert kdtree.top_k(v.limit(0), v.limit(0)).count() == 0 and additive.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_sums_beyond_doubles_stay_exact():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-(1 << 40), 1 << 40, (300, 6))
+    tree = kdtree.Tree(np.arange(300), x.astype(float))
+    for q in range(5):
+        best = sorted(tree.search(x[q].astype(float), q, 4, []), reverse=True)
+        want = sorted(((sum(int(a) * int(b) for a, b in zip(x[q], row, strict=True)), -i) for i, row in enumerate(x) if i != q), reverse=True)[:4]
+        assert best == want
+
+
 def test_recall_of_neighbours(spark):
     sf = "/root/testdata/sf0.1"
     v = {r["vec_id"]: np.array(r["embedding"], float) for r in common.table(spark, sf, "embeddings").collect()}
