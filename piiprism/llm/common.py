@@ -70,6 +70,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tasks that the rows of one key are dealt to in a join.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined by key with a table of small rows that has each key once. The table is repeated for each salt, so a
+    key that a third of all rows share is no single task's work; by: what deals the rows of a key."""
+    from pyspark.sql import functions as F
+
+    each = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(each, [key, "_salt"], how).drop("_salt")
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -118,7 +118,7 @@ def confirmed(pairs: DataFrame, meta: DataFrame, sets: DataFrame, percent: int)
     right = meta.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     flipped = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     likely = (
-        pairs.join(left, "a")
+        common.salted_join(pairs, left, "a", "b")  # a group's lead is in as many pairs as the group has members
         .join(right, "b")
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         .where(flipped <= limit)
@@ -146,12 +146,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = common.written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     labels = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "cc-labels")
+    held = labels
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        near = common.salted_join(both, labels.select(F.col("id").alias("b"), "label"), "b", "a").groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "m").alias("via"))
         jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        step = common.written(spread.join(jump, "via").select("id", "old", F.least("via", "far").alias("label")), "cc-labels")
-        labels = step.select("id", "label")
+        step = common.written(common.salted_join(spread, jump, "via", "id").select("id", "old", F.least("via", "far").alias("label")), "cc-labels")
+        common.discard(held)
+        held, labels = step, step.select("id", "label")
         if not step.where("old <> label").limit(1).count():
             return labels
 
@@ -256,9 +258,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = links.union(common.written(block_links(rows, sets, percent), "minhash-links"))
     labels = components(links)
 
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(groups, "set_hash", "left")
-    out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # by set, then by row: a set that a third of all rows have is dealt over tasks
+    named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("label"))
+    out = common.salted_join(signed.select("doc_id", "n_shingles", "set_hash"), named, "set_hash", "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def similarity(a: Column, b: Column) -> Column:
