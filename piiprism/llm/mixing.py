@@ -28,6 +28,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 BLOCK_WORDS = 128
+#: Slots of a shard and source that are numbered together.
+PIECE = 1 << 16
 WORDS = re.compile(common.WORD)
 
 
@@ -122,7 +124,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: Sequence[float
         spark.createDataFrame(plan, "shard int, sid int, first long, n long")
         .repartition(common.partitions_for(spark))
         .join(F.broadcast(counts), "sid")
-        .select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+        # in pieces, so that no array grows with the corpus
+        .select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {PIECE})")).alias("piece"))
+        .repartition(common.partitions_for(spark), "shard", "sid", "piece")
+        .select("shard", "sid", "blocks", F.explode(F.expr(f"sequence(first + piece * {PIECE}, first + least(n, (piece + 1) * {PIECE}) - 1)")).alias("slot"))
         .withColumn("pass", F.expr("slot div blocks"))
         .join(F.broadcast(passes), ["sid", "pass"])
         .select("shard", "slot", "pass", "sid", F.expr("(a * (slot % n) + b) % n").alias("block"))
@@ -166,27 +171,31 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     where docs has it)."""
     rows, sources, pieces = mix(docs, **options)
     spans = pieces.groupBy("sid", "bucket", "row", "pass").agg(F.collect_list(F.struct("word_from", "word_to")).alias("spans"))
-    copy = Window.partitionBy("doc_id", "source", "digest")
+    names = docs.columns
+    # columns of the plan get names that docs does not have
+    digest, copy, taken_ = (next(n for n in (f"_{x}{i}" for i in range(len(names) + 1)) if n not in names) for x in ("digest", "copy", "spans"))
     plan = (
         rows.join(F.broadcast(sources.select("sid", "source")), "sid")
-        .withColumn("copy", F.row_number().over(copy.orderBy("bucket", "row")))
+        .withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "digest").orderBy("bucket", "row")))
         .join(spans, ["sid", "bucket", "row"])
-        .select("doc_id", "source", "digest", "copy", "spans")
+        .select(F.col("doc_id").alias("p_doc"), F.col("source").alias("p_source"), F.col("digest").alias("p_digest"), F.col("copy").alias("p_copy"), F.col("spans").alias(taken_))
     )
-    names = docs.columns
-    own = docs.withColumn("digest", F.xxhash64("text")).withColumn("copy", F.row_number().over(copy.orderBy(F.lit(1))))
-    same = own["doc_id"].eqNullSafe(plan["doc_id"]) & own["source"].eqNullSafe(plan["source"]) & (own["digest"] == plan["digest"]) & (own["copy"] == plan["copy"])
-    whole = own.join(plan, same).select(*(own[n] for n in names), plan["spans"].alias("_spans"))
+    # copies of a row are numbered by all their columns, so that reruns agree
+    rest = F.xxhash64(*(n for n in names if docs.schema[n].dataType.typeName() != "map"))
+    own = docs.withColumn(digest, F.xxhash64("text"))
+    own = own.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", "source", digest).orderBy(rest)))
+    same = own["doc_id"].eqNullSafe(plan["p_doc"]) & own["source"].eqNullSafe(plan["p_source"]) & (own[digest] == plan["p_digest"]) & (own[copy] == plan["p_copy"])
+    whole = own.join(plan, same).select(*(own[n] for n in names), plan[taken_])
 
     def run(batches):
         for b in batches:
-            texts = [None if t is None else cut(t, [(s["word_from"], s["word_to"]) for s in x]) for t, x in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+            texts = [None if t is None else cut(t, [(s["word_from"], s["word_to"]) for s in x]) for t, x in zip(b.column("text").to_pylist(), b.column(taken_).to_pylist(), strict=True)]
             cols = {n: b.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return whole.mapInArrow(run, docs.schema)
+    return whole.mapInArrow(common.lean(run), docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

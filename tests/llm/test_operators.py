@@ -562,6 +562,12 @@ def test_mix(spark, sf, docs):
     assert all(s[0] == s[1] and abs(s[3] - s[2]) <= max(2 * mixing.BLOCK_WORDS, 0.01 * s[2]) for s in by.values())
 
 
+def test_mix_keeps_clashing_columns_and_agrees_on_reruns(spark, odd):
+    named = odd.withColumn("digest", F.lit("mine")).withColumn("copy", F.lit(7)).withColumn("_spans0", F.lit(1.5)).withColumn("n_chars", F.monotonically_increasing_id())
+    a, b = (sorted(map(tuple, mixing.mixed(named).select("doc_id", "text", "digest", "copy", "_spans0").collect()), key=repr) for _ in range(2))
+    assert a == b and {r[2:] for r in a} == {("mine", 7, 1.5)}
+
+
 def test_mix_of_odd_rows(odd):
     rows = mixing.taken(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
