@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LANE_ROWS, LEAST_ROWS = 65_536, 1024
+LANE_ROWS, LEAST_ROWS = 65_536, 4096
 BLOCK_QUERIES = 512
 
 
