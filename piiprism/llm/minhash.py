@@ -9,9 +9,10 @@ whole set, and take part as one.
 A bucket of a band can hold a third of all rows, so its members are not paired with one another. Every member is
 first compared with the least member of its buckets; then, only in buckets whose members are not yet in one
 component, with the least of each such bucket. What is left are buckets whose members are in several components:
-copies around the threshold, or texts that share passages. Texts joined by such buckets form a group; its full sets
-are dealt to blocks of bounded size, each pair of blocks is compared exactly by one task, and only a spanning forest
-of the links leaves it. A group beyond GROUP_ROWS is dealt by its buckets in the same way.
+copies around the threshold, or texts that share passages. The full sets of such a bucket's members are dealt to
+blocks of bounded size, each pair of blocks is compared exactly by one task, and only a spanning forest of the links
+leaves it. Buckets with the same members are compared once. The rule is one for all sizes of buckets: a link is found
+if its texts share a band, which texts at the threshold fail to do with the probability below.
 
 Nulls and empty texts have an empty set and link with nothing. A null doc_id links with nothing and is kept, with a
 null component. Rows that repeat a doc_id are one document with the links of each of its rows. Ties do not arise:
@@ -35,8 +36,8 @@ from .shingles import mixed, shingles, words
 #: 32 bands of 6 samples miss a pair of similarity 0.85 with probability 3e-7, one of 0.8 with 5e-5.
 BANDS, ROWS = 32, 6
 SKETCH_BITS = 512
-#: Rows and shingles of a block of a group, about; rows of a group beyond which its buckets are treated one by one.
-BLOCK_ROWS, BLOCK_SHINGLES, GROUP_ROWS = 256, 1 << 20, 50_000
+#: Rows and shingles of a block of a bucket, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,10 +252,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(links)
 
     left = common.written(undecided(members.select("key", "id"), labels), "minhash-undecided")
-    met = components(left.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()).withColumnRenamed("label", "met")
-    sizes = met.groupBy("met").agg(F.count("*").alias("rows"))
-    rows = left.join(met, "id").join(sizes, "met").join(meta.select("id", "n"), "id")
-    rows = rows.select(F.when(F.col("rows") <= GROUP_ROWS, F.xxhash64("met")).otherwise(F.xxhash64("met", "key")).alias("key"), "id", "label", "n").distinct()
+    same = left.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("who"), F.count("*").alias("many")).select("key", F.xxhash64("who", "many").alias("bucket"))
+    rows = left.join(same, "key").join(meta.select("id", "n"), "id").select(F.col("bucket").alias("key"), "id", "label", "n").distinct()
     links = links.union(common.written(block_links(rows, sets, percent), "minhash-links"))
     labels = components(links)
 
