@@ -35,7 +35,6 @@ SHARD_IDS = 1 << 19
 SKIP = 256
 #: Replacement stops when no pair occurs so often.
 FREQUENT = 6
-ROUNDS = 8
 #: Pieces of text that a worker remembers the ids of.
 CACHE_WORDS = 1_000_000
 #: White space in runs of space and line feed, and all other white space.
@@ -138,9 +137,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     used = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or base + used >= 65536:
-            break
+    while len(seq) > 1 and base + used < 65536:
         pairs = (seq[:-1] << np.uint32(16)) | seq[1:]
         ordered = np.sort(pairs)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
