@@ -1,9 +1,9 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
-A conversation is written once, turn after turn, as ``<s>role\\ntext</s>``; every assistant turn becomes an example
-of its own: the conversation up to that turn is its context, and only that reply is under the loss mask. Examples
-keep their context as a reference into the conversation (``context_end``), because writing the contexts out grows
-with the square of the number of turns; ``expand`` gives them as text.
+A conversation is formatted turn after turn as ``<s>role\\ntext</s>``; every assistant turn becomes an example of its
+own, written out in full: ``input`` holds all preceding turns (the first ``context_end`` code points) and the reply,
+and only the reply's text, from ``loss_start`` to ``loss_end``, is under the loss mask. What is written grows with the
+square of a conversation's turns; the examples of a long one are dealt over tasks in pieces of PIECE.
 
 Control strings inside a text are escaped and can be restored exactly. Null roles, texts: empty. A null conv_id is
 a conversation of its own; repeated rows and ties of turn are turns of their own, ordered by role and text. A
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Examples of one conversation that a task writes, about.
+PIECE = 64
 #: The strings that a template may give a meaning to; \\0 stands for the escape itself.
 CONTROL = ("\\", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
@@ -49,45 +51,52 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def formatted(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(contexts, examples): conv_id and text; conv_id, example, context_end, loss_start, loss_end."""
+    """(contexts, places): conv_id, formatted, pieces; conv_id, example, piece, context_end, loss_start, loss_end."""
     t = turns(conversations)
-    contexts = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("no", "block"))).alias("blocks")).select("conv_id", F.concat_ws("", F.transform("blocks", lambda b: b["block"])).alias("formatted"))
-    examples = t.where("role = 'assistant'").select(
-        "conv_id", F.col("no").alias("example"), (F.col("loss_start") - F.length("head")).alias("context_end"), "loss_start", "loss_end",
-        unescape(F.col("body")).alias("target"),
-    )
-    return contexts, examples
+    replies = F.count_if(F.col("role") == "assistant")
+    contexts = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("no", "block"))).alias("blocks"), replies.alias("n"))
+    contexts = contexts.select("conv_id", F.concat_ws("", F.transform("blocks", lambda b: b["block"])).alias("formatted"), F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
+    nth = replies.over(Window.partitionBy("conv_id").orderBy("no"))
+    places = (
+        t.withColumn("piece", F.floor((nth - 1) / PIECE).cast("int"))
+        .where("role = 'assistant'")
+        .select("conv_id", F.col("no").alias("example"), "piece", (F.col("loss_start") - F.length("head")).alias("context_end"), "loss_start", "loss_end")
+    )
+    return contexts, places
 
 
-def expand(contexts: DataFrame, examples: DataFrame) -> DataFrame:
-    """Examples as text: the context, the whole input, and the loss mask as a span of the input."""
-    e = examples.join(contexts, examples["conv_id"].eqNullSafe(contexts["conv_id"])).drop(contexts["conv_id"])
-    return e.select("conv_id", "example", F.expr("substring(formatted, 1, int(context_end))").alias("context"), F.expr("substring(formatted, 1, int(loss_end) + 4)").alias("input"), "loss_start", "loss_end", "target")
+def expand(contexts: DataFrame, places: DataFrame) -> DataFrame:
+    """Every example with its whole input: conv_id, example, input, context_end, loss_start, loss_end."""
+    each = contexts.where("pieces > 0").select(F.col("conv_id").alias("of"), "formatted", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("at"))
+    e = places.join(each, places["conv_id"].eqNullSafe(each["of"]) & (places["piece"] == each["at"]))
+    return e.select("conv_id", "example", F.expr("substring(formatted, 1, int(loss_end) + 4)").alias("input"), "context_end", "loss_start", "loss_end")
 
 
 def digests(contexts: DataFrame, examples: DataFrame) -> DataFrame:
-    """What the written output says of each conversation."""
-    spans = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "loss_start", "loss_end"))).alias("spans"), F.sum("loss_end").alias("expanded"))
-    whole = contexts.join(spans, contexts["conv_id"].eqNullSafe(spans["conv_id"]), "left").drop(spans["conv_id"])
-    pieces = F.slice(F.split("formatted", F.lit("</s>")), 1, F.size(F.split("formatted", F.lit("</s>"))) - 1)
+    """What the written output says of each conversation: its turns, and what its examples' loss masks hold."""
+    masked = F.col("input").substr((F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    lost = examples.select(F.col("conv_id").alias("of"), F.struct("example", unescape(masked).alias("text")).alias("one"))
+    lost = lost.groupBy("of").agg(F.array_sort(F.collect_list("one")).alias("lost"))
+    whole = contexts.join(lost, contexts["conv_id"].eqNullSafe(lost["of"]), "left")
+    parts = F.split("formatted", F.lit("</s>"))
 
     def spoken(p: Column) -> Column:
         head = F.substring_index(p, "\n", 1)
         role = F.replace(F.replace(head, F.lit("<s>"), F.lit("")), F.lit("\\n"), F.lit("\n"))
         return F.concat(unescape(role), F.lit("\n"), unescape(p.substr(F.length(head) + 2, F.length(p))), F.lit("\n"))
 
-    masked = F.transform(F.coalesce("spans", F.array()), lambda s: unescape(F.col("formatted").substr((s["loss_start"] + 1).cast("int"), (s["loss_end"] - s["loss_start"]).cast("int"))))
     return (
-        whole.withColumn("pieces", pieces)
-        .withColumn("lost", F.concat_ws("", masked))
+        whole.withColumn("turns", F.slice(parts, 1, F.size(parts) - 1))
+        .withColumn("lost", F.coalesce("lost", F.array()))
+        .withColumn("loss", F.concat_ws("", F.transform("lost", lambda x: x["text"])))
         .select(
             "conv_id",
-            F.size("pieces").cast("long").alias("n_turns"),
-            F.sha2(F.concat_ws("", F.transform("pieces", spoken)), 256).alias("turns_sha256"),
-            F.length("lost").cast("long").alias("loss_chars"),
-            F.sha2("lost", 256).alias("loss_sha256"),
+            F.size("turns").cast("long").alias("n_turns"),
+            F.sha2(F.concat_ws("", F.transform("turns", spoken)), 256).alias("turns_sha256"),
+            F.length("loss").cast("long").alias("loss_chars"),
+            F.sha2("loss", 256).alias("loss_sha256"),
             F.length("formatted").cast("long").alias("formatted_chars"),
-            F.size(F.coalesce("spans", F.array())).cast("long").alias("n_examples"),
+            F.size("lost").cast("long").alias("n_examples"),
         )
     )
 
@@ -95,8 +104,9 @@ def digests(contexts: DataFrame, examples: DataFrame) -> DataFrame:
 def op3(spark, sf_dir: str) -> DataFrame:
     own = spark.sql("SELECT -1L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    contexts, examples = formatted(rows)
-    return digests(common.written(contexts, "chat-contexts"), common.written(examples, "chat-examples"))
+    contexts, places = formatted(rows)
+    contexts = common.written(contexts, "chat-contexts")
+    return digests(contexts, common.written(expand(contexts, places), "chat-examples"))
 
 
 def _esc(x: str) -> str:

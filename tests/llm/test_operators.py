@@ -259,13 +259,33 @@ def test_token_pieces_are_those_of_whole_texts():
 
 def test_examples_hold_one_reply_each(spark):
     rows = spark.createDataFrame([(1, 0, "user", "hi </s>"), (1, 1, "assistant", "yo\\1"), (1, 2, "user", None), (1, 3, "assistant", ""), (None, 0, None, "x"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
-    contexts, examples = chat.formatted(rows)
-    got = {(r["conv_id"], r["example"]): r for r in chat.expand(contexts, examples).collect()}
-    assert set(got) == {(1, 2), (1, 4)} and got[1, 2]["target"] == "yo\\1" and got[1, 4]["target"] == ""
-    assert got[1, 2]["input"].startswith(got[1, 2]["context"]) and got[1, 4]["context"].startswith(got[1, 2]["input"])
+    rows = rows.withColumn("formatted", F.lit(1)).withColumn("piece", F.lit(2))  # clashing names
+    contexts, places = chat.formatted(rows)
+    examples = chat.expand(contexts, places)
+    got = {(r["conv_id"], r["example"]): r for r in examples.collect()}
+    assert set(got) == {(1, 2), (1, 4)}
+    assert got[1, 2]["input"] == "<s>user\nhi \\2</s><s>assistant\nyo\\01</s>"
+    assert got[1, 4]["input"] == got[1, 2]["input"] + "<s>user\n</s><s>assistant\n</s>"
+    for r in got.values():  # only the reply is under the mask, all before it is context
+        assert r["input"][r["context_end"] :].startswith("<s>assistant\n") and r["input"][r["loss_end"] :] == "</s>"
+    assert got[1, 4]["context_end"] > len(got[1, 2]["input"])
     assert chat.digests(contexts, examples).count() == 3
     empty = chat.formatted(rows.limit(0))
-    assert chat.digests(*empty).count() == 0
+    assert chat.digests(empty[0], chat.expand(*empty)).count() == 0
+
+
+def test_examples_of_a_long_conversation(spark):
+    """More replies than one piece holds, repeated rows and ties of turn: every example against a plain expansion."""
+    said = [(None, i // 2, ("user", "assistant")[i % 2], f"t{i % 7}" * (i % 5)) for i in range(300)]
+    said += said[:3]
+    contexts, places = chat.formatted(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    got = sorted((r["example"], r["input"], r["loss_start"], r["loss_end"]) for r in chat.expand(contexts, places).collect())
+    want, before = [], ""
+    for no, (_, _, role, text) in enumerate(sorted(said, key=lambda r: r[1:]), 1):
+        before += f"<s>{role}\n{text}</s>"
+        if role == "assistant":
+            want.append((no, before, len(before) - 4 - len(text), len(before) - 4))
+    assert got == want and len(want) > 2 * chat.PIECE
 
 
 # ---- pages ----
