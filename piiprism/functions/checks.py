@@ -58,6 +58,12 @@ def ipv4(text: Column) -> Column:
     return (F.size(parts) == 4) & F.forall(parts, lambda p: p.rlike("^(0|[1-9][0-9]{0,2})$") & (F.coalesce(F.try_to_number(p, F.lit("999")), F.lit(999)) <= 255)) & ~text.startswith("0.")
 
 
+def plausible_phone(text: Column) -> Column:
+    """Written internationally, with separators, or with eleven digits; no IPv4 address."""
+    t = F.trim(text)
+    return (t != "") & ~ipv4(t) & (t.startswith("+") | F.substring(t, 2, 1 << 20).rlike(r"[ ()./-]") | (F.length(digits_only(t)) >= 11))
+
+
 def icao_digit(field: Column) -> Column:
     """ICAO 9303 check digit with weights 7, 3, 1; an empty string where a character is not allowed."""
     c = _chars(F.upper(field))
@@ -93,16 +99,6 @@ def softmax(logits: list[Column], temperature: float) -> list[Column]:
     return [x / total for x in e]
 
 
-def iou(a: str, b: str) -> Column:
-    """Of two boxes, structs with x1, y1, x2, y2."""
-    c = lambda t, f: F.col(f"{t}.{f}").cast("double")
-    w = F.least(c(a, "x2"), c(b, "x2")) - F.greatest(c(a, "x1"), c(b, "x1"))
-    h = F.least(c(a, "y2"), c(b, "y2")) - F.greatest(c(a, "y1"), c(b, "y1"))
-    inter = w * h
-    area = lambda t: (c(t, "x2") - c(t, "x1")) * (c(t, "y2") - c(t, "y1"))
-    return F.when((w <= 0) | (h <= 0), 0.0).otherwise(inter / (area(a) + area(b) - inter))
-
-
 def plate_lenient(text: Column) -> Column:
     s = F.regexp_replace(text, r"[^\p{L}\p{Nd}]", "")
     upper = s == F.upper(s)

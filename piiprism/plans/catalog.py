@@ -264,14 +264,6 @@ def card_checks(spark, sf_dir):
     return tables.table(spark, sf_dir, "lineitem").select(checks.card(d).alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
 
 
-_IBANS = "('GB82 WEST 1234 5698 7654 32'), ('GB82 WEST 1234 5698 7654 33'), ('DE89370400440532013000'), ('FR1420041010050500013M02606'), ('not an iban')"
-
-
-@query(f"WITH v AS (SELECT t, upper(regexp_replace(t, '\\s', '', 'g')) AS s FROM (VALUES {_IBANS}) x(t)) SELECT t, CASE WHEN regexp_full_match(s, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') THEN list_reduce(list_prepend(0, list_transform(range(1, length(s) + 1), lambda i: ascii((s[5:] || s[:4])[i]))), lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1 ELSE false END AS valid FROM v")
-def iban_mod97(spark, sf_dir):
-    return tables.values(spark, "t", _IBANS).select("t", checks.iban(F.col("t")).alias("valid"))
-
-
 _SSN = "lpad(CAST(l_partkey % 1000 AS VARCHAR(9)), 3, '0') || '-' || lpad(CAST(l_suppkey % 100 AS VARCHAR(9)), 2, '0') || '-' || lpad(CAST(l_orderkey % 10000 AS VARCHAR(9)), 4, '0')"
 
 
@@ -299,14 +291,6 @@ def icao_digits(spark, sf_dir):
     return tables.table(spark, sf_dir, "customer").select("c_custkey", checks.icao_digit(f).alias("digit"))
 
 
-_MRZ = "('L898902C36UTO7408122F1204159ZE184226B<<<<<10', true), ('L898902C36UTO7508122F1204159ZE184226B<<<<<10', false), ('P<CANMARTIN<<SARAH<<<', NULL)"
-
-
-@query(f"SELECT line, valid FROM (VALUES {_MRZ}) v(line, valid)")
-def mrz_check_digits(spark, sf_dir):
-    return tables.values(spark, "line, expected", _MRZ).select("line", checks.mrz_valid(F.col("line")).alias("valid"))
-
-
 _REPAIRS = "('UTOERIKSSON', 'UTOERIKSSON'), ('JACK<<', 'JACK<<'), ('(KK)', '<<<<'), ('p < c a n m a r t i n<<sarah', 'P<CANMARTIN<<SARAH')"
 
 
@@ -315,14 +299,6 @@ def mrz_compact(spark, sf_dir):
     return tables.values(spark, "line, expected", _REPAIRS).select("line", text.mrz_compact(F.col("line")).alias("compact"))
 
 
-_VIEWS = "('411l 1111 1111 1111', '4111 1111 1111 1111'), ('total amount', 'total amount'), ('1O5-S7', '105-57'), ('a1 B 2c', 'a1 8 2c'), ('5B.Z3', '5B.Z3'), ('5B4.Z3', '584.23')"
-
-
-@query(f"SELECT t, view FROM (VALUES {_VIEWS}) v(t, view)")
-def numeric_view(spark, sf_dir):
-    return tables.values(spark, "t, expected", _VIEWS).select("t", text.numeric_view(F.col("t")).alias("view"))
-
-
 @query(" UNION ALL ".join(f"SELECT '{e}' AS entity, '{label}' AS label, {p} AS priority" for e, (label, p) in ENTITIES.items()))
 def label_lookup(spark, sf_dir):
     rows = spark.createDataFrame([(e,) for e in ENTITIES], "entity string")
@@ -523,4 +499,4 @@ def dp_pix_block_means(spark, sf_dir):
     px = tables.table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 128 AS x", "l_suppkey % 64 AS y", "l_quantity AS v")
     return govern.block_means(px, 16)
 
-from . import verdicts  # noqa: E402, F401  (registers its queries here)
+from . import readings, verdicts  # noqa: E402, F401  (register their queries here)

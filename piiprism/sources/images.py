@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FILTERS = {"solid_black": "black", "black": "black", "dp_pix": "dp_pix", "pixelate": "dp_pix", "gaussian_blur": "blur", "blur": "blur"}
@@ -21,6 +21,31 @@ def read(spark: SparkSession, path: str, most: int = 60_000_000) -> DataFrame:
     return rows.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data").where(F.col("height").cast("long") * F.col("width") <= most)
 
 
+def statistics(pixels: DataFrame, key: str = "image") -> DataFrame:
+    """key, luminance, contrast, sharpness, white (above 200), bright (above 185), skin: of pixels (key, x, y, r, g, b).
+
+    Contrast is the deviation of the luminance, sharpness the variance of its Laplacian; beyond an edge stands the pixel
+    before it. Neighbours come from windows over a row and a column, so a large image is no single task's work.
+    """
+    # fixed values: luminance in 14 bits, chroma of full range, and the limits of skin
+    gray = F.floor((F.col("r") * 4899 + F.col("g") * 9617 + F.col("b") * 1868 + 8192) / 16384).cast("int")
+    red = F.floor((F.col("r") - F.col("gray")) * 0.713 + 128.5)
+    blue = F.floor((F.col("b") - F.col("gray")) * 0.564 + 128.5)
+
+    def sides(line: str, along: str):
+        w = Window.partitionBy(key, line).orderBy(along)
+        before, after = F.lag("gray").over(w), F.lead("gray").over(w)
+        return F.coalesce(before, after, "gray") + F.coalesce(after, before, "gray")
+
+    p = pixels.withColumn("gray", gray)
+    p = p.withColumn("lap", sides("y", "x") + sides("x", "y") - 4 * F.col("gray"))
+    share = lambda c: F.avg(c.cast("int"))
+    return p.groupBy(key).agg(
+        F.avg("gray").alias("luminance"), F.stddev_pop("gray").alias("contrast"), F.var_pop("lap").alias("sharpness"), share(F.col("gray") > 200).alias("white"), share(F.col("gray") > 185).alias("bright"),
+        share(red.between(133, 173) & blue.between(77, 127)).alias("skin"),
+    )
+
+
 def _cells(n: int, parts: int) -> np.ndarray:
     return np.minimum(np.arange(n) * parts // max(1, n), parts - 1)
 
