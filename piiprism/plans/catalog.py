@@ -291,14 +291,6 @@ def icao_digits(spark, sf_dir):
     return tables.table(spark, sf_dir, "customer").select("c_custkey", checks.icao_digit(f).alias("digit"))
 
 
-_REPAIRS = "('UTOERIKSSON', 'UTOERIKSSON'), ('JACK<<', 'JACK<<'), ('(KK)', '<<<<'), ('p < c a n m a r t i n<<sarah', 'P<CANMARTIN<<SARAH')"
-
-
-@query(f"SELECT line, compact FROM (VALUES {_REPAIRS}) v(line, compact)")
-def mrz_compact(spark, sf_dir):
-    return tables.values(spark, "line, expected", _REPAIRS).select("line", text.mrz_compact(F.col("line")).alias("compact"))
-
-
 @query(" UNION ALL ".join(f"SELECT '{e}' AS entity, '{label}' AS label, {p} AS priority" for e, (label, p) in ENTITIES.items()))
 def label_lookup(spark, sf_dir):
     rows = spark.createDataFrame([(e,) for e in ENTITIES], "entity string")
@@ -314,42 +306,6 @@ def plate_text_rules(spark, sf_dir):
     return spark.sql(f"SELECT * FROM {_PLATES}").select("s_suppkey", checks.plate_lenient(F.col("t")).alias("lenient"), checks.plate_strict(F.col("t")).alias("strict"))
 
 
-# ---- lines ----
-
-_PASSPORT = "Surname / Nom / Apellidos\\nDE LA PAZ\\nGiven Names / Prénoms\\nMICHELLE\\nPassport No. / No. du Passeport\\n910239248\\nDate of birth / Date de naissance\\n\\n07 Aug 1999\\nDate of issue\\n06 Feb 2008"
-
-
-@query("SELECT * FROM (VALUES (1, 26, 'PERSON', 'DE LA PAZ'), (1, 58, 'PERSON', 'MICHELLE'), (1, 99, 'ID_NUMBER', '910239248'), (1, 144, 'DATE_OF_BIRTH', '07 Aug 1999'), (1, 170, 'DATE', '06 Feb 2008')) v(doc_id, start, entity, value)")
-def header_value_pairs(spark, sf_dir):
-    docs = tables.values(spark, "doc_id, text", f"(1, '{_PASSPORT}'), (2, 'Surname\\nPassport No.'), (3, 'Department: Human\\n12')")
-    return lines.header_values(lines.lines(docs)).select("doc_id", F.col("start").cast("int").alias("start"), "entity", "value")
-
-
-_CONTACT = "(1, 'Jane Doe\\n12 Main St\\njane@acme.com'), (2, 'Hiring Manager\\n(181) 204-7733'), (3, 'Anna Lee\\nx\\ny\\nz@w.org'), (4, 'Max O\\'Neil-Smith\\n+1 415 555 1234\\nMax sat. Max Roe')"
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'Jane Doe'), (4, 0, 'Max O''Neil-Smith')) v(doc_id, line_no, value)")
-def contact_block_names(spark, sf_dir):
-    return lines.contact_names(lines.lines(tables.values(spark, "doc_id, text", _CONTACT))).select("doc_id", "line_no", "value")
-
-
-@query("SELECT * FROM (VALUES (1, 'Jane Doe', 2)) v(doc_id, name, n)")
-def name_coreference(spark, sf_dir):
-    docs = tables.values(spark, "doc_id, text", "(1, 'Dear Jane Doe, ... so Jane Doe said'), (2, 'Jane Doe')")
-    names = recognize.exploded(docs, ["salutation"]).select("doc_id", "value")
-    return lines.coreference(docs, names).select("doc_id", "name", F.col("n").cast("int").alias("n"))
-
-
-@query("SELECT page, compared, matched, valid, consistency::DOUBLE AS consistency, verdict FROM (VALUES (1, 4, 3, true, 0.746, 'REVIEW'), (2, 1, 1, false, 0.55, 'REVIEW'), (3, 2, 2, true, 0.994, 'APPROVED')) v(page, compared, matched, valid, consistency, verdict)")
-def mrz_cross_zone(spark, sf_dir):
-    """Printed fields against the machine-readable zone of their pages."""
-    good, bad = "L898902C36UTO7408122F1204159ZE184226B<<<<<10", "L898902C36UTO7508122F1204159ZE184226B<<<<<10"
-    zones = tables.values(spark, "page, line", f"(1, '{good}'), (1, 'P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<'), (2, '{bad}'), (3, '{good}')").select("page", text.mrz_compact(F.col("line")).alias("compact"))
-    fields = tables.values(spark, "page, entity, value", "(1, 'PERSON', 'Eriksson'), (1, 'PERSON', 'Anna'), (1, 'ID_NUMBER', 'L898902C3'), (1, 'ID_NUMBER', 'X1234567'), (2, 'ID_NUMBER', 'L898902C3'), (3, 'ID_NUMBER', 'L898902C3'), (3, 'DATE', '740812'), (4, 'PERSON', 'Nobody')")
-    out = lines.cross_zone(fields, zones).withColumnRenamed("check", "valid")
-    return out.withColumn("compared", F.col("compared").cast("int")).withColumn("matched", F.col("matched").cast("int"))
-
-
 # ---- geometry ----
 
 
@@ -409,21 +365,6 @@ def line_groups(spark, sf_dir):
     return geometry.line_groups(tables.derived(spark, sf_dir, tables.BOXES).drop("line")).select("page", "id", "line")
 
 
-@query("SELECT * FROM (VALUES (1, 1, '14 JAN /JAN 13', 30, 400), (2, 1, '10 USD /EUR', 30, 200), (2, 2, '20', 350, 400)) v(page, id, text, x1, x2)")
-def date_stitch(spark, sf_dir):
-    boxes = tables.values(spark, "page, id, text, x1, y1, x2, y2", "(1, 1, '14 JAN /JAN', 30, 10, 200, 30), (1, 2, 'I3', 300, 12, 400, 30), (2, 1, '10 USD /EUR', 30, 10, 200, 30), (2, 2, '20', 350, 10, 400, 30)")
-    return geometry.stitched_dates(boxes).select("page", "id", "text", "x1", "x2")
-
-
-_LAYOUT = "(1, 1000, 500, array('Text', 'Title', 'Figure'), array(array(0.05, 0.09, 0.7, 0.15), array(0.05, 0.26, 0.42, 0.3), array(0.5, 0.5, 1.0, 1.0)), array(0.9, 0.8, 0.7))"
-
-
-@query("SELECT * FROM (VALUES (1, 'Text', 50, 45, 700, 75, true), (1, 'Title', 50, 130, 420, 150, true)) v(page, kind, x1, y1, x2, y2, whole)")
-def layout_blocks(spark, sf_dir):
-    blocks, pages = geometry.layout_blocks(tables.values(spark, "page, width, height, class_names, boxes, scores", _LAYOUT))
-    return blocks.join(pages, "page").select("page", "kind", "x1", "y1", "x2", "y2", "whole")
-
-
 # ---- decisions ----
 
 _FEATURES = "SELECT event_id, (event_id % 100) / 100.0 AS white, (event_id % 7) / 2.0 AS grad, (user_id % 10) / 10.0 AS sat, (user_id % 5) / 5.0 AS hue, CAST(event_id % 60 AS DOUBLE) AS contrast, CAST(event_id % 83 AS DOUBLE) AS sharp, CAST(user_id % 256 AS DOUBLE) AS bright FROM events"

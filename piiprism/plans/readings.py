@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, text
 from ..functions.vocabulary import ENTITIES
-from ..operators import govern, lines
+from ..operators import geometry, govern, lines, recognize
 from ..sources import images
 from . import tables
 from .catalog import _WEIGHT, query
@@ -124,3 +124,80 @@ _COUNTRIES = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('GB',
 def iban_mod97(spark, sf_dir):
     """Account numbers of two countries with all check numbers, by one division of the whole number in SQL; short ones are none."""
     return _planted(spark, sf_dir, _COUNTRIES).select("o_orderkey", checks.iban(F.col("t")).alias("valid"))
+
+
+_LINES = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat('p < ', CAST(o_custkey AS VARCHAR(20)), ' u t o') WHEN 1 THEN concat('(', CAST(o_custkey AS VARCHAR(20)), ']') WHEN 2 THEN concat(CAST(o_custkey AS VARCHAR(20)), 'KKK') ELSE concat('7K', CAST(o_custkey AS VARCHAR(20)), 'L<') END AS line FROM orders"""
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'P<' || o_custkey || 'UTO' WHEN 1 THEN '<' || o_custkey || '<' WHEN 2 THEN o_custkey || '<<<' ELSE '7K' || o_custkey || 'L<' END AS compact FROM orders")
+def mrz_compact(spark, sf_dir):
+    """Lines of a zone as they were read, without spaces and with fillers for what stands for them."""
+    return _planted(spark, sf_dir, _LINES).select("o_orderkey", text.mrz_compact(F.col("line")).alias("compact"))
+
+
+_HEADED = """SELECT c_custkey AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'Surname / Nom / Apellidos' WHEN 1 THEN 'Passport No. / No. du Passeport' WHEN 2 THEN 'Date of birth / Date de naissance' WHEN 3 THEN 'Date of issue' ELSE 'Department: Human' END AS head,
+  CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS blank, CASE c_custkey % 3 WHEN 0 THEN 'DE LA PAZ' WHEN 1 THEN lpad(CAST(c_custkey AS VARCHAR(20)), 9, '9') ELSE '07 Aug 1999' END AS value FROM customer"""
+
+
+@query(f"""SELECT * FROM (SELECT doc_id, CAST(length(head) + 1 + blank AS INTEGER) AS start, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'PERSON' WHEN doc_id % 5 = 1 AND doc_id % 3 <> 0 THEN 'ID_NUMBER' WHEN doc_id % 5 = 2 AND doc_id % 3 = 2 THEN 'DATE_OF_BIRTH'
+  WHEN doc_id % 5 = 3 AND doc_id % 3 = 2 THEN 'DATE' END AS entity, value FROM ({_HEADED}) h) WHERE entity IS NOT NULL""")
+def header_value_pairs(spark, sf_dir):
+    """Headers over values of their own and of other kinds, some with a blank line between."""
+    docs = _planted(spark, sf_dir, _HEADED, "customer").select("doc_id", F.concat("head", F.lit("\n"), F.when(F.col("blank") == 1, "\n").otherwise(""), "value", F.lit("\nthe end")).alias("text"))
+    return lines.header_values(lines.lines(docs)).select("doc_id", F.col("start").cast("int").alias("start"), "entity", "value")
+
+
+_BLOCKS = """SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'Jane Doe' WHEN 1 THEN 'Hiring Manager' WHEN 2 THEN concat('Max O', chr(39), 'Neil-Smith') ELSE 'jane doe' END AS name,
+  CAST(c_custkey % 3 AS INT) AS between, CASE c_custkey % 5 WHEN 0 THEN 'no contact' WHEN 1 THEN '+1 415 555 1234' ELSE concat('u', CAST(c_custkey AS VARCHAR(20)), '@acme.com') END AS contact FROM customer"""
+
+
+@query(f"SELECT doc_id, 0 AS line_no, name AS value FROM ({_BLOCKS}) b WHERE doc_id % 2 = 0 AND between < 2 AND doc_id % 5 <> 0")
+def contact_block_names(spark, sf_dir):
+    """Names and other lines at one to three lines from a contact, one with an apostrophe and a hyphen among them."""
+    docs = _planted(spark, sf_dir, _BLOCKS, "customer").select("doc_id", F.concat("name", F.lit("\n"), F.expr("repeat('x\n', between)"), "contact").alias("text"))
+    return lines.contact_names(lines.lines(docs)).select("doc_id", "line_no", "value")
+
+
+_LETTERS = "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'Jane Falk' ELSE 'Max Moor' END AS name, CAST(c_custkey % 4 AS INT) AS more FROM customer"
+
+
+@query(f"SELECT doc_id, name, 1 + more AS n FROM ({_LETTERS}) l")
+def name_coreference(spark, sf_dir):
+    """The names of letters' salutations, counted in the whole letters."""
+    docs = _planted(spark, sf_dir, _LETTERS, "customer").select("doc_id", F.concat(F.lit("Dear "), "name", F.lit(", we write. "), F.expr("repeat(concat('so ', name, ' said; '), more)"), F.lit("Jane sat.")).alias("text"))
+    names = recognize.exploded(docs, ["salutation"]).select("doc_id", "value")
+    return lines.coreference(docs, names).select("doc_id", "name", F.col("n").cast("int").alias("n"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS page, 2 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS compared, 2 AS matched, o_orderkey % 4 = 0 AND o_orderkey % 7 <> 0 AS valid FROM orders WHERE o_orderkey % 11 <> 0),
+  c AS (SELECT *, round(CASE WHEN valid THEN 0.994::DOUBLE * matched / compared ELSE least(0.994::DOUBLE * matched / compared, 0.55::DOUBLE) END, 3) AS consistency FROM f)
+  SELECT *, CASE WHEN consistency >= 0.9 THEN 'APPROVED' ELSE 'REVIEW' END AS verdict FROM c""")
+def mrz_cross_zone(spark, sf_dir):
+    """Printed fields against the machine-readable zones of their pages: numbers and dates that agree, some fields that don't."""
+    zones = _planted(spark, sf_dir, _DATA).select(F.col("o_orderkey").alias("page"), text.mrz_compact(F.col("line")).alias("compact"))
+    fields = _planted(spark, sf_dir, """SELECT o_orderkey AS page, stack(4, 'ID_NUMBER', lpad(CAST(o_orderkey AS STRING), 9, '8'), 'DATE', lpad(CAST(o_custkey AS STRING), 6, '7'),
+      'ID_NUMBER', if(o_orderkey % 3 = 0, 'X-1234567', ''), 'PERSON', if(o_orderkey % 5 = 0, 'Nobody', '')) AS (entity, value) FROM orders WHERE o_orderkey % 11 <> 0""")
+    out = lines.cross_zone(fields, zones).withColumnRenamed("check", "valid")
+    return out.withColumn("compared", F.col("compared").cast("int")).withColumn("matched", F.col("matched").cast("int"))
+
+
+_DATE_BOXES = """SELECT o_orderkey AS page, CASE WHEN o_orderkey % 2 = 0 THEN '14 JAN /JAN' ELSE '10 USD /EUR' END AS head, CASE o_orderkey % 3 WHEN 0 THEN 'I3' WHEN 1 THEN '20' ELSE 'x9' END AS year, CAST(o_orderkey % 200 AS INT) AS gap FROM orders"""
+
+
+@query(f"""WITH b AS (SELECT *, page % 2 = 0 AND page % 3 <> 2 AND gap <= 120 AS joins FROM ({_DATE_BOXES}) d) SELECT page, 1 AS id, CASE WHEN joins THEN head || ' ' || replace(year, 'I', '1') ELSE head END AS text, 30 AS x1, CASE WHEN joins THEN 250 + gap ELSE 200 END AS x2 FROM b
+  UNION ALL SELECT page, 2, year, 200 + gap, 250 + gap FROM b WHERE NOT joins""")
+def date_stitch(spark, sf_dir):
+    """Days and months, other pairs of words, and years at growing distances."""
+    boxes = _planted(spark, sf_dir, _DATE_BOXES).selectExpr("page", "stack(2, 1, head, 30, 10, 200, 30, 2, year, 200 + gap, 12, 250 + gap, 30) AS (id, text, x1, y1, x2, y2)")
+    return geometry.stitched_dates(boxes).select("page", "id", "text", "x1", "x2")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS page, CAST(o_orderkey % 50 AS INT) AS w, CAST(o_orderkey % 251 AS INT) AS h, o_orderkey % 2 = 0 AS third FROM orders),
+  b AS (SELECT page, 'Text' AS kind, 50 AS x1, 45 AS y1, 700 AS x2, 75 AS y2, w, h, third FROM o UNION ALL SELECT page, 'Title', 50, 130, 50 + w, 150, w, h, third FROM o WHERE w > 10 UNION ALL SELECT page, 'List', 100, 300, 200, 350, w, h, third FROM o WHERE third)
+  SELECT page, kind, x1, y1, x2, y2, h > 175 OR w <= 10 OR NOT third AS whole FROM b""")
+def layout_blocks(spark, sf_dir):
+    """Regions of a page for each order, with pictures and titles of all sizes."""
+    layouts = _planted(spark, sf_dir, """SELECT o_orderkey AS page, 1000 AS width, 500 AS height, if(o_orderkey % 2 = 0, array('Text', 'Title', 'Figure', 'List'), array('Text', 'Title', 'Figure')) AS class_names,
+      if(o_orderkey % 2 = 0, array(0.9D, 0.8D, 0.7D, 0.6D), array(0.9D, 0.8D, 0.7D)) AS scores, slice(array(array(0.05D, 0.09D, 0.7D, 0.15D), array(0.05D, 0.26D, (50 + o_orderkey % 50) / 1000D, 0.3D), array(0D, 0.5D, 1D, (250 + o_orderkey % 251) / 500D), array(0.1D, 0.6D, 0.2D, 0.7D)), 1, if(o_orderkey % 2 = 0, 4, 3)) AS boxes FROM orders""")
+    blocks, pages = geometry.layout_blocks(layouts)
+    return blocks.join(pages, "page").select("page", "kind", "x1", "y1", "x2", "y2", "whole")
