@@ -7,6 +7,7 @@ greedy folds, whose result depends on their order, run by page, in one task for
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -129,6 +130,38 @@ def dedupe(detections: DataFrame, overlap: float = 0.55) -> DataFrame:
     return _by_page(keyed, [c for c in keyed.columns if c != "page"], fold, detections.schema)
 
 
+def similar(a: str, b: str) -> bool:
+    """Whether two keys are readings of one text: one holds the other, or nine tenths of their characters match in order."""
+    if not a or not b:
+        return False
+    if a in b or b in a:
+        return True
+    longest = max(len(a), len(b))
+    return abs(len(a) - len(b)) <= max(2, int(0.12 * longest)) and SequenceMatcher(None, a, b).ratio() >= 0.9
+
+
+def dedupe_readings(readings: DataFrame, overlap: float = 0.45) -> DataFrame:
+    """One of the readings (page, id, text, conf, corners) of a spot: the surest, unless another holds all its text and more.
+
+    A page's readings are walked from the surest on, equal ones in the order of id. White space and case don't count in
+    how full a reading is; other signs do. Null texts are empty: an empty reading is like no other and stays.
+    """
+
+    def fold(rows: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for r in sorted(rows, key=lambda r: -r["conf"]):
+            at = next((i for i, o in enumerate(kept) if _overlap(r, o) > overlap and similar(r["_key"], o["_key"])), None)
+            if at is None:
+                kept.append(r)
+            elif len(r["_full"]) > len(kept[at]["_full"]) and kept[at]["_full"] in r["_full"]:
+                kept[at] = r
+        return [{k: v for k, v in r.items() if k not in ("_key", "_full")} for r in kept]
+
+    said = F.coalesce("text", F.lit(""))
+    keyed = readings.withColumn("_key", text.text_key(said)).withColumn("_full", F.lower(F.regexp_replace(said, r"\s+", ""))).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
+    return _by_page(keyed, [c for c in keyed.columns if c != "page"], fold, readings.schema)
+
+
 def stitched_dates(boxes: DataFrame) -> DataFrame:
     """page, id, text, x1, y1, x2, y2: a day and month joins the first year to its right on its baseline, once."""
     months = "|".join(text.MONTHS)

@@ -201,3 +201,16 @@ def layout_blocks(spark, sf_dir):
       if(o_orderkey % 2 = 0, array(0.9D, 0.8D, 0.7D, 0.6D), array(0.9D, 0.8D, 0.7D)) AS scores, slice(array(array(0.05D, 0.09D, 0.7D, 0.15D), array(0.05D, 0.26D, (50 + o_orderkey % 50) / 1000D, 0.3D), array(0D, 0.5D, 1D, (250 + o_orderkey % 251) / 500D), array(0.1D, 0.6D, 0.2D, 0.7D)), 1, if(o_orderkey % 2 = 0, 4, 3)) AS boxes FROM orders""")
     blocks, pages = geometry.layout_blocks(layouts)
     return blocks.join(pages, "page").select("page", "kind", "x1", "y1", "x2", "y2", "whole")
+
+
+_READINGS = """SELECT l_orderkey AS page, CAST(l_linenumber AS INT) AS line, concat('ZONE', lpad(CAST(min(l_partkey) AS VARCHAR(20)), 8, '0'), lpad(CAST(min(l_suppkey) AS VARCHAR(20)), 7, '0')) AS t,
+  CAST(min(l_partkey) % 4 AS INT) AS kind, CASE WHEN min(l_suppkey) % 2 = 0 THEN 0.95 ELSE 0.8 END AS second, CASE WHEN min(l_suppkey) % 5 = 0 THEN 60 ELSE 1 END AS moved FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+
+
+@query(f"""WITH r AS ({_READINGS}) SELECT page, 2 * line AS id FROM r WHERE moved = 60 OR kind IN (1, 3) OR second < 0.9
+  UNION ALL SELECT page, 2 * line + 1 FROM r WHERE moved = 60 OR kind = 3 OR (kind IN (0, 2) AND second > 0.9)""")
+def reading_dedupe(spark, sf_dir):
+    """Lines read twice: alike, cut short, with a wrong letter, with another text, or elsewhere."""
+    r = tables.derived(spark, sf_dir, _READINGS).selectExpr("page", """stack(2, 2 * line, concat(t, ' <<<<'), 0.9D, 10, 100 * line, 2 * line + 1,
+      CASE kind WHEN 0 THEN concat(t, ' << <<') WHEN 1 THEN concat(t, '<<') WHEN 2 THEN concat('zonex', substring(t, 6), '<<<<') ELSE concat('total ', page) END, CAST(second AS DOUBLE), 10 + moved, 100 * line) AS (id, text, conf, x1, y1)""")
+    return geometry.dedupe_readings(r.selectExpr("*", "x1 + 100 AS x2", "y1 + 20 AS y2")).select("page", "id")

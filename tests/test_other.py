@@ -79,3 +79,12 @@ def test_stream(spark, sf, tmp_path):
 def test_audit_has_no_plain_text(spark, sf):
     r = catalog.QUERIES["audit_json"](spark, sf).first()
     assert "privacy-audit-report/1.0" in r["report"] and '"text":' not in r["report"]
+
+
+def test_readings_of_odd_rows(spark):
+    rows = [(1, 1, "P<UTO", 0.9, 0, 0, 10, 10), (1, 2, "p< UTO <<", 0.7, 0, 0, 10, 10), (1, 3, None, None, 0, 0, 10, 10), (1, 4, "", 0.1, 0, 0, 10, 10), (2, 1, "a", 0.5, 0, 0, 0, 0), (2, 2, "a", 0.5, 0, 0, 0, 0), (3, 1, "b", 0.5, 0, 0, 9, 9), (3, 2, "b", 0.5, 0, 0, 9, 9)]
+    df = spark.createDataFrame(rows, "page long, id long, text string, conf double, x1 int, y1 int, x2 int, y2 int")
+    got = sorted((r["page"], r["id"]) for r in geometry.dedupe_readings(df).collect())
+    assert got == [(1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (3, 1)]
+    assert geometry.dedupe_readings(df.limit(0)).count() == 0
+    assert geometry.similar("abcdefghijklmnopqrst", "abcdefghijXlmnopqrst") and not geometry.similar("abcdefghij", "abXdefghXj") and not geometry.similar("", "a")
