@@ -1,6 +1,6 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import additive, chat, html, kdtree, minhash, mixing, pii, repair, toxicity, viterbi
+from . import additive, chat, html, jaccard, kdtree, minhash, mixing, pii, repair, toxicity, viterbi
 
 QUERIES = {
     "op1_pii_tagger": pii.op1,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_exact_top_k": kdtree.op8,
     "op9_approximate_neighbours": additive.op9,
     "op10_source_mixing": mixing.op10,
+    "op11_jaccard_join": jaccard.op11,
 }
 
 ORACLE_SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
     "op7_minhash_near_dedup": minhash.OP7_SQL,
     "op8_exact_top_k": kdtree.OP8_SQL,
+    "op11_jaccard_join": jaccard.OP11_SQL,
 }
