@@ -1,6 +1,6 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import additive, chat, html, jaccard, kdtree, minhash, mixing, pii, repair, toxicity, viterbi
+from . import additive, chat, html, impact, jaccard, kdtree, minhash, mixing, pii, repair, toxicity, trie, viterbi
 
 QUERIES = {
     "op1_pii_tagger": pii.op1,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_approximate_neighbours": additive.op9,
     "op10_source_mixing": mixing.op10,
     "op11_jaccard_join": jaccard.op11,
+    "op12_impact_search": impact.op12,
+    "op13_prefix_trie": trie.op13,
 }
 
 ORACLE_SQL = {
@@ -21,4 +23,6 @@ ORACLE_SQL = {
     "op7_minhash_near_dedup": minhash.OP7_SQL,
     "op8_exact_top_k": kdtree.OP8_SQL,
     "op11_jaccard_join": jaccard.OP11_SQL,
+    "op12_impact_search": impact.OP12_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }
