@@ -12,15 +12,15 @@ Heavy: postings are not single shingles, whose lists would be as long as a commo
 shingles are dealt to parts by a hash, one part more than linked sets can differ in shingles; so linked sets agree on
 all shingles of a part at least, and meet in that part's list. The number of parts is that of a class of sizes (a set
 near a class's end is posted in the next one too). A part without shingles is posted only by a set that has too few
-others for the argument. A list is scanned in rounds: all members against the smallest; the lists whose members are
-not yet in one component, against the least of them; what is left is dealt to blocks, in which the inverted lists of
-single shingles are counted out exactly (``minhash.forest``: as columns of a matrix), and lists with the same members
-are scanned once.
+others for the argument. A list is scanned in rounds: all members against the smallest; then, in lists whose members
+are not yet in one component, all members against each other, in blocks of BLOCK_ROWS, by parity bitmaps: first the
+likeliest partner of a member in each other component, at last every partner that may be a link. Lists with the same
+members are scanned once.
 
 The boundary is the one of least cost, in values that are moved: the subsets of light sets, against parts and
 shingles of the sets whose pairs lists must find; it is taken from the counts of all sizes up to LIGHT_MOST.
 
-Every candidate is confirmed on full sets, after a parity bitmap that can drop only pairs that differ too much (each
+Every candidate is confirmed on full sets, after parity bitmaps that can drop only pairs that differ too much (each
 shingle flips one bit, so two bitmaps differ in no more bits than the sets in shingles). Equal sets are joined
 first by a hash of the whole set and take part once. So no link is lost and none is wrong, but for equal 64-bit hashes
 of different shingles or 128-bit hashes of different sets.
@@ -43,12 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .minhash import block_links, components, full_sets, undecided
+from .minhash import components, full_sets, undecided
 from .shingles import mixed, shingles, words
 
 #: No set beyond this is light: its subsets would cost more than any list.
 LIGHT_MOST = 64
 PARITY_BITS = 1024
+#: Members of a list that meet in one task, from each of two blocks, and pairs whose bitmaps are compared at once.
+BLOCK_ROWS, PAIRS = 1024, 1 << 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -201,6 +203,66 @@ def candidates(first: DataFrame, most: int, percent: int) -> DataFrame:
     return met.where("c = 0").select("key", "id", "n").union(by_subset.select("key", "id", "n"))
 
 
+def near_pairs(t: pa.Table, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids within each cell (key, p, q) that may be links of different components; t: sorted by cell."""
+    key, p, q, block, ids, label, n = (t.column(c).to_numpy() for c in ("key", "p", "q", "block", "id", "label", "n"))
+    bits = t.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+    cut = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+    start = np.concatenate([[0], cut])
+    partners = np.repeat(np.concatenate([cut, [len(ids)]]), np.diff(np.concatenate([start, [len(ids)]]))) - np.arange(len(ids)) - 1
+    total, a, b = np.concatenate([[0], np.cumsum(partners)]), [], []
+    lo = 0
+    while lo < len(ids):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(lo, hi), partners[lo:hi])
+        j = np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], partners[lo:hi]) + i + 1
+        open_ = (label[i] != label[j]) & ((p[i] == q[i]) | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[open_], j[open_]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        near = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j]).astype(np.int64)
+        i, j, apart = i[near], j[near], apart[near]
+        if not every and len(i):  # of each member, the likeliest partner in each component
+            order = np.lexsort((apart, label[j], i))
+            first = np.ones(len(i), bool)
+            first[1:] = (np.diff(i[order]) != 0) | (np.diff(label[j][order]) != 0)
+            i, j = i[order][first], j[order][first]
+        a.append(ids[i])
+        b.append(ids[j])
+        lo = hi
+    return np.concatenate(a), np.concatenate(b)
+
+
+def scanned(open_: DataFrame, meta: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of members of undecided lists that may be links; open_: key, id, label."""
+    same = open_.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("who"), F.count("*").alias("many")).select("key", F.xxhash64("who", "many").alias("list"))
+    rows = open_.join(same, "key").select(F.col("list").alias("key"), "id", "label").distinct()
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    cells = (
+        rows.join(size, "key")
+        .join(meta, "id")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "n", "parity")
+    )
+
+    def run(batches):
+        held = None  # rows of a cell that may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            at = [t.column(c).to_numpy() for c in ("key", "p", "q")]
+            last = np.flatnonzero(np.any([x != x[-1] for x in at], axis=0)) if len(t) else np.empty(0, int)
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = t.slice(cut)
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in near_pairs(t.slice(0, cut), percent, every)], ["a", "b"])
+        if held is not None and len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in near_pairs(held, percent, every)], ["a", "b"])
+
+    found = cells.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(common.lean(run), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     signed = common.written(signed_sets(docs, width, percent), "join-signed")
@@ -220,16 +282,10 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     star = common.salted_join(members.select("key", "id"), smallest, "key", "id")
     links = confirm(star.groupBy("id").agg(F.min("lead.id").alias("a")).select("a", F.col("id").alias("b")))
     labels = components(links)
-    open_ = common.written(undecided(members.select("key", "id"), labels), "join-open")
-    links = links.union(confirm(open_.where("lead.label <> label").select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()))
-    labels = components(links)
-
-    # the least of each list has met all that are not in its component
-    left = common.written(undecided(open_.where("id <> lead.id").select("key", "id"), labels), "join-left")
-    same = left.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("who"), F.count("*").alias("many")).select("key", F.xxhash64("who", "many").alias("bucket"))
-    rows = left.join(same, "key").join(meta.select("id", "n"), "id").select(F.col("bucket").alias("key"), "id", "label", "n").distinct()
-    links = links.union(common.written(block_links(rows, sets, percent), "join-links"))
-    labels = components(links)
+    for every in (False, True):
+        open_ = common.written(undecided(members.select("key", "id"), labels).select("key", "id", "label"), "join-open")
+        links = links.union(confirm(scanned(open_, meta, percent, every)))
+        labels = components(links)
 
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("label"))
     out = common.salted_join(signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_hash"), named, "set_hash", "doc_id", "left")
