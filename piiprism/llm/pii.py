@@ -8,10 +8,10 @@ look-alikes (numbers, dates, versions, mentions) that are no personal data.
 Every text is read whole by the network, in windows of READ characters that overlap by OVERLAP on each side. A window's
 emissions count for its middle; overlapping windows are reconciled into one emission sequence of the text, in which each
 character is taken from the window where it stands farthest from an edge, and one Viterbi search over that sequence
-decides the tags of the whole text, so a span never depends on where a window was cut. The search takes the sequence in
-lanes, side by side, and is exact: a lane begins some characters early, with a bound in favour of every tag, and counts
-only if its best path begins at "none" there, which is then the best one whatever stands before; a lane that fails is
-joined to the one before it and searched again. Paths are traced back from lane to lane.
+decides the tags of the whole text, so a span never depends on where a window was cut. The search is exact: only
+stretches of characters that can have a tag on a best path are searched, side by side, as none stands before and
+after each; a long stretch is cut into lanes, which are chained by what each makes of every tag before it. Time is linear
+in the text, whatever stands in it.
 
 Nulls and empty texts have no spans; null doc_ids and repeated rows are kept as they are; very long texts are read
 in batches of windows, with some dozens of bytes a character kept for one text. Columns other than doc_id and text are ignored. An empty table gives an empty result.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,19 +34,21 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # a match starts a run of digits: the rest of a run fails as the run does
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Characters of a window in training and in reading, and of its margins in reading.
-WINDOW, READ, OVERLAP = 64, 256, 16
+WINDOW, READ, OVERLAP = 64, 512, 16
 HIDDEN = 12
 #: Windows that run through the network together, and characters of texts that are tagged together.
 BATCH = 512
 TOGETHER = 500_000
-#: Characters of a lane of the search, and those that it begins early.
-LANE, EARLY = 224, 32
+#: Characters of a lane of the search.
+LANE = 224
 TAGS = 1 + 2 * len(KINDS)  # none; begin and inside of each kind
 
 
@@ -57,11 +60,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of EMAIL, from each sign outward, in linear time: a local part begins where its run of characters
+    or the search after the match before begins."""
+    sign, free = text.find("@"), 0
+    while sign >= 0:
+        if sign > free and (m := DOMAIN.match(text, sign + 1)):
+            a = sign
+            while a > free and text[a - 1] in LOCAL:
+                a -= 1
+            if a < sign:
+                yield a, m.end()
+                free = m.end()
+        sign = text.find("@", sign + 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) by kind, then start."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    """(kind, start, end) by kind, then start; linear in the text."""
+    out = [(0, a, b) for a, b in addresses(text)]
     out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         d = NOT_DIGIT.sub("", m[0])
@@ -239,69 +255,127 @@ class Tagger:
         return losses
 
     def decode(self, flat: np.ndarray, sizes: list[int]) -> np.ndarray:
-        """The best tags of each of several emission sequences that stand one after the other in flat (time, TAGS)."""
+        """The best tags of each of several emission sequences, none empty, that stand one after the other in flat
+        (time, TAGS)."""
         tags = np.zeros(len(flat), np.uint8)
-        ends = np.cumsum(sizes)
-        own = np.concatenate([np.arange(e - n, e, LANE) for n, e in zip(sizes, ends.tolist(), strict=True)] or [np.empty(0, int)]).astype(np.int64)
-        text = np.repeat(np.arange(len(sizes)), [-(-n // LANE) for n in sizes])
-        # a lane begins early at the character where tags could be ahead of none the least
-        into = (self.p["move"] - self.p["move"][:, :1]).max(axis=0)
-        ahead = (flat[:, 1:] + into[1:]).max(axis=1) - flat[:, 0] if len(flat) else np.empty(0)
-        while len(own):
-            begins, end = (ends - sizes)[text], ends[text]
-            some = own[:, None] - np.arange(1, EARLY + 1)
-            some = np.where(some < begins[:, None], begins[:, None], some)
-            start = np.where(own - EARLY <= begins, begins, some[np.arange(len(own)), np.argmin(ahead[some], axis=1)])
-            stop = np.append(own[1:], 0)
-            stop[np.append(text[1:] != text[:-1], True)] = end[np.append(text[1:] != text[:-1], True)]
-            failed = self._lanes(flat, tags, start, own, stop, begins, end)
-            # a lane that fails goes on from the one before it; its whole text is searched again, with fewer lanes
-            again = np.isin(text, text[failed]) & ~failed
-            own, text = own[again], text[again]
+        if not len(flat):
+            return tags
+        last = np.cumsum(sizes) - 1
+        first = last + 1 - np.array(sizes)
+        move = self.p["move"].astype(np.float32)
+        live = self._live(flat, first, last)
+        # stretches that begin after none, or with their text, and end before none, or with their text
+        edge = np.diff(live.astype(np.int8), prepend=0, append=0)
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        inner = np.setdiff1d(first[live[first]], begin)  # two texts that meet
+        begin, end = np.sort(np.concatenate([begin, inner])), np.sort(np.concatenate([end, inner]))
+        if not len(begin):
+            return tags
+        count = -(-(end - begin) // LANE)
+        whole = np.repeat(np.arange(len(begin)), count)
+        own = begin[whole] + LANE * (np.arange(len(whole)) - np.repeat(np.cumsum(count) - count, count))
+        stop = np.minimum(own + LANE, end[whole])
+        order = np.argsort(own - stop, kind="stable")  # long lanes first
+        kept = flat[first].copy()
+        flat[first] -= move[0]  # as if none stood before a text, and the step from it cost nothing
+        starts = np.full((TAGS, len(own)), -1e9, np.float32)
+        starts[0] = 0
+        parts = np.flatnonzero(count[whole[order]] > 1)
+        if len(parts):  # stretches of several lanes: what each lane makes of every tag before it, one after the other
+            lanes = order[parts]
+            each = np.full((TAGS, TAGS, len(lanes)), -1e9, np.float32)
+            each[np.arange(TAGS), np.arange(TAGS)] = 0
+            # all tags of a lane side by side, so that long lanes still come first
+            through = self._steps(flat, each.transpose(0, 2, 1).reshape(TAGS, -1), np.repeat(own[lanes], TAGS), np.repeat(stop[lanes], TAGS), None)
+            through = through.reshape(TAGS, len(lanes), TAGS)
+            s = starts[:, 0]
+            for j in np.argsort(lanes).tolist():
+                lane = lanes[j]
+                if own[lane] == begin[whole[lane]]:
+                    s = starts[:, lane]
+                else:
+                    starts[:, lane] = s = s - s[0]
+                s = (s[None, :] + through[:, j, :]).max(axis=1)
+        back = np.zeros((int((stop - own).max()), TAGS, len(own)), np.uint8)
+        done = self._steps(flat, starts[:, order], own[order], stop[order], back)
+        flat[first] = kept
+        done += np.where(np.isin(stop[order] - 1, last), 0, move[:, :1])
+        rank = np.argsort(order)
+        if len(parts):
+            self._trace_chained(tags, own, stop, end[whole], done, back, rank)
+        alone = order[count[whole[order]] == 1]
+        self._trace(tags, own[alone], stop[alone], done[:, rank[alone]].argmax(axis=0), back, rank[alone])
         return tags
 
-    def _lanes(self, flat, tags, start, own, stop, begins, end) -> np.ndarray:
-        """Writes the tags of lanes of whole texts and says which lanes fail."""
-        move = self.p["move"].astype(np.float32)
-        n, steps = len(start), int((stop - start).max())
-        e, exact = np.ascontiguousarray(flat[start].T), start == begins
-        # what a tag can lead none by after any text; none itself leads by nothing
-        s = np.where(exact, e, e - e[0] + (move - move[:, :1]).max(axis=0)[:, None])
-        s -= s[0].copy()
-        back = np.zeros((steps, TAGS, n), np.uint8)
-        tail, lane = np.where(stop - start == 1, s.argmax(axis=0), 0), np.arange(n)
-        way, better, best = np.empty((TAGS, n), np.float32), np.empty((TAGS, n), bool), np.empty((TAGS, n), np.float32)
-        for t in range(1, steps):
-            np.add(s[0], move[0][:, None], out=best)
+    def _live(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Characters that can have a tag on a best path.
+
+        A tag's credit is what it may still gain by its way back to none; so a span gains, over none throughout, at most
+        the sum of its steps, each with the credit of the tag it leads to and less that of the tag it leaves. Each step
+        is bounded by the best one into and within a span, and a character is live if some span over it could gain.
+        """
+        move = self.p["move"].astype(np.float64)
+        credit = move[:, 0] - move[0, 0]
+        begin, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        credit[begin] = np.maximum(credit[begin], credit[inside] + move[begin, inside] - move[inside, inside])
+        enter = move[0] - move[0, 0] + credit
+        within = (move[1:] - credit[1:, None]).max(axis=0) - move[0, 0] + credit
+        into, on = flat[:, 1] + np.float32(enter[1]), flat[:, 1] + np.float32(within[1])
+        for k in range(2, TAGS):
+            np.maximum(into, flat[:, k] + np.float32(enter[k]), out=into)
+            np.maximum(on, flat[:, k] + np.float32(within[k]), out=on)
+        into -= flat[:, 0]
+        on -= flat[:, 0]
+        into[first] = (flat[first] + credit)[:, 1:].max(axis=1) - flat[first, 0]
+        total = np.cumsum(on, dtype=np.float64)
+        ahead = np.maximum.accumulate(into - total)  # of a span's begin
+        total[last] += max(0.0, -credit[1:].min())  # a text ends without a step to none
+        rest = np.maximum.accumulate(total[::-1])[::-1]
+        return ahead + rest > -1e-3
+
+    def _steps(self, flat, s, own, stop, back: np.ndarray | None) -> np.ndarray:
+        """Scores of each tag at the ends of lanes, long ones first, from scores s (TAGS, lanes) at the character before
+        each; and the tags that they come from."""
+        move, s = self.p["move"].astype(np.float32), np.array(s)
+        size = stop - own
+        left = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")  # lanes with so many characters
+        way, better, best = np.empty_like(s), np.empty(s.shape, bool), np.empty_like(s)
+        for t, n in enumerate(left.tolist()):
+            now, new, w, more = s[:, :n], best[:, :n], way[:, :n], better[:, :n]
+            np.add(now[0], move[0][:, None], out=new)
             for k in range(1, TAGS):
-                np.add(s[k], move[k][:, None], out=way)
-                np.greater(way, best, out=better)
-                np.copyto(back[t], k, where=better)
-                np.maximum(best, way, out=best)
-            best += flat[np.minimum(start + t, stop - 1)].T
-            best -= best[0].copy()
-            s, best = best, s
-            over = np.flatnonzero(start + t == stop - 1)
-            tail[over] = s[:, over].argmax(axis=0)
-        tail[stop != end] = 0  # unless the next lane's path comes from another tag
-        origin, into = np.zeros(n, np.intp), np.zeros(n, np.intp)
-        todo = lane
-        while len(todo):
-            now, a, b = tail[todo].astype(np.intp), start[todo], stop[todo]
-            for t in range(int((b - a).max()) - 1, -1, -1):
-                on = np.flatnonzero(a + t < b)
-                at = a[on] + t
-                mine = at >= own[todo[on]]
-                tags[at[mine]] = now[on[mine]]
-                if t:
-                    now[on] = back[t, now[on], todo[on]]
-                edge = on[at == own[todo[on]]]
-                into[todo[edge]] = now[edge]
-            origin[todo] = now
-            wanted = np.append(into[1:], 0)
-            todo = np.flatnonzero((stop != end) & (wanted != tail))
-            tail[todo] = wanted[todo]
-        return ~exact & (origin != 0)
+                np.add(now[k], move[k][:, None], out=w)
+                if back is not None:
+                    np.greater(w, new, out=more)
+                    np.copyto(back[t, :, :n], k, where=more)
+                np.maximum(new, w, out=new)
+            new += flat[own[:n] + t].T
+            if back is not None:
+                new -= new[0].copy()
+            s[:, :n] = new
+        return s
+
+    def _trace(self, tags, own, stop, tail, back, at) -> np.ndarray:
+        """Writes the tags of lanes, long ones first, that end with tail; the tags before them."""
+        now, size = tail.astype(np.intp), stop - own
+        for t in range(int(size[0]) - 1 if len(size) else -1, -1, -1):
+            n = int(np.searchsorted(-size, -t, "left"))
+            tags[own[:n] + t] = now[:n]
+            now[:n] = back[t, now[:n], at[:n]]
+        return now
+
+    def _trace_chained(self, tags, own, stop, end, done, back, rank) -> None:
+        """As _trace, for stretches of several lanes: every tag that a lane can end with is traced, then one is chosen."""
+        many = np.flatnonzero((stop != end) | np.append(False, (stop != end)[:-1]))
+        many = many[np.argsort(own[many] - stop[many], kind="stable")]
+        ways = np.zeros((TAGS, len(tags)), np.uint8)
+        enter = np.array([self._trace(ways[k], own[many], stop[many], np.full(len(many), k), back, rank[many]) for k in range(TAGS)])
+        tail = 0
+        for j in np.argsort(-own[many]).tolist():
+            lane = many[j]
+            tail = int(done[:, rank[lane]].argmax()) if stop[lane] == end[lane] else tail
+            tags[own[lane] : stop[lane]] = ways[tail, own[lane] : stop[lane]]
+            tail = int(enter[tail, j])
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Spans (kind, start, end) of each text."""
@@ -486,29 +560,52 @@ def train(docs: DataFrame) -> Tagger:
     return tagger
 
 
+#: No address, number or card is longer, in whatever disguise.
+LONGEST = 320
+
+
 def found_spans(text: str, tagged: list[tuple[int, int, int]]) -> tuple[list, list]:
     """(base spans, all spans), each by kind, then start. A tagged span is taken to the ends of the words it cuts, and
-    added if it passes the checks of its kind and does not touch a base span."""
+    added if it has LONGEST characters at most, passes the checks of its kind and touches no base span."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    added = []
-    for k, a, b in tagged:
+    if not tagged:
+        return base, base
+    extents = united(base)
+    firsts = [a for _, a, _ in extents]
+    added, last = [], 0
+    run = (0, 0)  # of letters and digits, the last that was walked
+
+    def word(i: int) -> tuple[int, int]:
+        nonlocal run
+        if not run[0] <= i < run[1]:
+            a, b = i, i + 1
+            while a and text[a - 1].isalnum():
+                a -= 1
+            while b < len(text) and text[b].isalnum():
+                b += 1
+            run = a, b
+        return run
+
+    for k, a, b in tagged:  # in the order of the text
         while a < b and (text[a].isspace() or text[a] in ",;:!?"):
             a += 1
         while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:!?"):
             b -= 1
+        if a == b or a < last:
+            continue
         # a number that goes on outside the span is all in it
-        while a and b > a and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b > a and text[b : b + 1].isalnum() and text[b - 1].isalnum():
-            b += 1
-        if text[a - 1 : a].isalnum() if a else False:
+        if text[a].isalnum():
+            a = word(a)[0]
+        if text[b - 1].isalnum():
+            b = word(b - 1)[1]
+        if b - a > LONGEST or a < last or text[a - 1 : a].isalnum() and a or text[b : b + 1].isalnum():
             continue
-        if text[b : b + 1].isalnum() or any(x < b and a < y for x, y in taken):
+        near = bisect_left(firsts, b) - 1  # the last extent that begins before b ends last, too
+        if near >= 0 and extents[near][2] > a:
             continue
         if checked(k, text[a:b]):
             added.append((k, a, b))
-            taken.append((a, b))
+            last = b
     return base, sorted(base + added)
 
 
