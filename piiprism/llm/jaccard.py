@@ -49,6 +49,8 @@ from .shingles import mixed, shingles, words
 #: No set beyond this is light: its subsets would cost more than any list.
 LIGHT_MOST = 64
 PARITY_BITS = 1024
+#: Pairs of one set whose join with full sets is dealt over salts.
+MANY = 512
 #: Members of a list that meet in one task, from each of two blocks, and pairs whose bitmaps are compared at once.
 BLOCK_ROWS, PAIRS = 1024, 1 << 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -176,8 +178,14 @@ def confirmed(pairs: DataFrame, meta: DataFrame, sets: DataFrame, percent: int)
         .select("a", "b")
         .distinct()
     )
+    likely = common.written(likely, "join-likely")
+    # full sets of a in many pairs are repeated for each salt, others are sent once
+    many = likely.groupBy("a").agg(F.count("*").alias("many")).where(f"many > {MANY}").drop("many").withColumn("hot", F.lit(True))
+    dealt = common.salted_join(likely, many, "a", "b", "left").select("a", "b", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(common.SALTS)).cast("int")).otherwise(0).alias("salt"))
     of = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"set_{s}"))
-    both = common.salted_join(likely, of("a"), "a", "b").join(of("b"), "b")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(common.SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = of("a").join(likely.select("a").distinct(), "a", "left_semi").join(many, "a", "left").select("a", "set_a", F.explode(salts).alias("salt"))
+    both = dealt.join(left, ["a", "salt"]).join(of("b"), "b")
 
     def check(batches):
         for b in batches:
