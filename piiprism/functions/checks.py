@@ -58,6 +58,14 @@ def ipv4(text: Column) -> Column:
     return (F.size(parts) == 4) & F.forall(parts, lambda p: p.rlike("^(0|[1-9][0-9]{0,2})$") & (F.coalesce(F.try_to_number(p, F.lit("999")), F.lit(999)) <= 255)) & ~text.startswith("0.")
 
 
+def ipv6(text: Column) -> Column:
+    """Eight groups, or fewer around one double colon; no colon alone at an end."""
+    parts = F.split(text, ":", -1)
+    full = F.size(F.filter(parts, lambda p: p != ""))
+    short = text.contains("::") & ~text.rlike(":::|::.*::|^:[^:]|[^:]:$") & full.between(1, 7)
+    return short | (~text.contains("::") & (F.size(parts) == 8) & (full == 8))
+
+
 def plausible_phone(text: Column) -> Column:
     """Written internationally, with separators, or with eleven digits; no IPv4 address."""
     t = F.trim(text)

@@ -14,12 +14,12 @@ from ..functions import text as texts
 from . import lines, recognize, spans
 
 #: Scores of what lines say.
-HEADER, ZONE, CONTACT, REPEATED = 0.90, 0.98, 0.80, 0.80
+HEADER, ZONE, ECHO, CONTACT, REPEATED = 0.90, 0.95, 0.95, 0.75, 0.80
 _ITEM = recognize.SPAN[len("array<") : -1]
 
 
-def _span(start: Column, end: Column, entity: Column, score: float) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), entity.alias("entity"), F.lit(score).alias("score"), F.lit("context").alias("source"))
+def _span(start: Column, end: Column, entity: Column, score: float, source: str) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), entity.alias("entity"), F.lit(score).alias("score"), F.lit(source).alias("source"))
 
 
 def occurrences(t: Column, name: Column) -> Column:
@@ -32,20 +32,24 @@ def occurrences(t: Column, name: Column) -> Column:
 
 
 def line_spans(docs: DataFrame) -> DataFrame:
-    """k, said (spans), headers (start, end): of each text (k, text, people) that has any."""
+    """k, said (spans), headers (start, end): of each text (k, text, people, anchors) that has any."""
     rows = lines.lines(docs, "k")
-    values = lines.header_values(rows, "k").select("k", _span(F.col("start"), F.col("end"), F.col("entity"), HEADER).alias("s"))
-    zones = lines.mrz_lines(rows, "k").select("k", _span(F.col("start"), F.col("end"), F.lit("MRZ"), ZONE).alias("s"))
-    near = lines.contact_names(rows, "k")
-    contacts = near.select("k", _span(F.col("start"), F.col("start") + F.length("value"), F.lit("PERSON"), CONTACT).alias("s"))
+    values = lines.header_values(rows, "k").select("k", _span(F.col("start"), F.col("end"), F.col("entity"), HEADER, "header_pair").alias("s"))
+    zone = lines.mrz_lines(rows, "k")
+    zones = zone.select("k", _span(F.col("start"), F.col("end"), F.lit("MRZ"), ZONE, "mrz").alias("s"))
+    echoes = lines.zone_echoes(docs, lines.zone_fields(zone, "k"), "k").select("k", _span(F.col("start"), F.col("end"), F.col("entity"), ECHO, "mrz_coref").alias("s"))
+    near = lines.contact_names(rows, docs.select("k", F.explode("anchors").alias("start")), "k")
+    contacts = near.select("k", _span(F.col("start"), F.col("start") + F.length("value"), F.lit("PERSON"), CONTACT, "context").alias("s"))
     heads = rows.where(lines.header_kind(F.col("line")).isNotNull()).select("k", F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.length("line")).cast("int").alias("end")).alias("h"))
     # full names of the text, wherever they came from, and all places where they stand
     people = docs.select("k", F.explode("people").alias("name")).unionByName(near.select("k", F.col("value").alias("name")))
+    said_names = values.unionByName(echoes).where("s.entity = 'PERSON'").join(docs.select("k", "text"), "k").select("k", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("name"))
+    people = people.unionByName(said_names)
     own = people.where("length(name) >= 4 AND name LIKE '% %'").groupBy("k").agg(F.collect_set("name").alias("names"))
     again = docs.join(own, "k").select("k", "text", F.explode("names").alias("name")).select("k", F.length("name").alias("n"), F.explode(occurrences(F.col("text"), F.col("name"))).alias("at"))
-    repeated = again.select("k", _span(F.col("at"), F.col("at") + F.col("n"), F.lit("PERSON"), REPEATED).alias("s"))
+    repeated = again.select("k", _span(F.col("at"), F.col("at") + F.col("n"), F.lit("PERSON"), REPEATED, "coreference").alias("s"))
     none = F.lit(None)
-    all_ = [x.select("k", "s", none.cast("struct<start:int,end:int>").alias("h")) for x in (values, zones, contacts, repeated)] + [heads.select("k", none.cast(_ITEM).alias("s"), "h")]
+    all_ = [x.select("k", "s", none.cast("struct<start:int,end:int>").alias("h")) for x in (values, zones, echoes, contacts, repeated)] + [heads.select("k", none.cast(_ITEM).alias("s"), "h")]
     out = all_[0]
     for x in all_[1:]:
         out = out.unionByName(x)
@@ -61,7 +65,8 @@ def find_pii(docs: DataFrame, key: str = "doc_id", column: str = "text", entitie
     t = texts.fold_digits(F.col(column))
     read = docs.select(key, column, F.sha2(t, 256).alias("k"), recognize.all_spans(t, names).alias("found"))
     people = F.transform(F.filter("found", lambda s: s["entity"] == "PERSON"), lambda s: F.substring(t, s["start"] + 1, s["end"] - s["start"]))
-    some = read.where(F.col("k").isNotNull()).select("k", t.alias("text"), people.alias("people")).dropDuplicates(["k"])
+    anchors = F.transform(F.filter("found", lambda s: s["entity"].isin("PHONE", "EMAIL")), lambda s: s["start"])
+    some = read.where(F.col("k").isNotNull()).select("k", t.alias("text"), people.alias("people"), anchors.alias("anchors")).dropDuplicates(["k"])
     both = read.join(line_spans(some), "k", "left")
     every = F.concat("found", F.coalesce("said", F.array().cast(recognize.SPAN)))
     kept = F.filter(every, lambda s: ~F.exists(F.coalesce("headers", F.array().cast("array<struct<start:int,end:int>>")), lambda h: (h["start"] <= s["start"]) & (s["end"] <= h["end"])))

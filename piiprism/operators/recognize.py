@@ -6,13 +6,15 @@ text. Everything stays in the row of its document, so no recognizer shuffles, an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
+from ..functions.vocabulary import CLOSINGS, ID_LABELS, NAME_LABELS, PERSON_LABELS, SECRET_LABELS, STATES, STREETS
+from . import lines
 
 SPAN = "array<struct<start:int,end:int,entity:string,score:double,source:string>>"
 
@@ -31,24 +33,39 @@ class Rule:
     guard: Callable[[Column], Column] | None = None
     #: A cheap necessary condition, tried before the pattern.
     hint: str | None = None
+    #: What of the value is kept; its head.
+    head: Callable[[Column], Column] | None = None
 
 
 _DATE = r"\d{1,2}[-/. ](?:\d{1,2}|[A-Za-z]{3,9})[-/., ]+\d{2,4}|[A-Za-z]{3,9}\.? \d{1,2},? \d{4}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}"
+#: A name: up to three words of a capital and small letters, which an apostrophe or a hyphen may join; initials between them.
+_NAME = rf"{lines.NAME}(?:[ \t]+(?:\p{{Lu}}\.[ \t]+)?{lines.NAME}){{0,2}}"
+_ANY_DATE = r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|\d{4}[/.-]\d{1,2}[/.-]\d{1,2}"
+
+
+def labels(words: Iterable[str], blank: str) -> str:
+    """An alternative of labels, the longest first."""
+    return "|".join(w.replace(" ", blank) for w in sorted(words, key=len, reverse=True))
+
+
 _MONTH = r"(?:jan|feb|fev|mar|apr|avr|may|mai|jun|jui|jul|aug|aou|sep|oct|okt|nov|dec|dez|dic|ene|abr|ago)[a-zéû]*"
 
 RULES = [
     Rule("email", "EMAIL", r"(?<![\w.+-])[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?!\w)", 0.95, hint="@"),
-    Rule("email_lenient", "EMAIL", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.,-]*[A-Za-z0-9])?", 0.80, hint="@", guard=lambda v: F.substring_index(v, "@", -1).rlike("(?=.*[A-Za-z]).{4,}")),
+    # any run that holds a sign between letters or digits: readers lose or misread the points of a domain
+    Rule("email_lenient", "EMAIL", r"(?<![\w.%+-])(?:\p{Alnum}[\w.%+-]*)@(?:\p{Alnum}+[.,-]*)*\p{Alnum}+", 0.80, hint="@", guard=lambda v: F.substring_index(v, "@", -1).rlike("(?=.*\\p{Alpha}).{4,}")),
     Rule("url", "URL", r"(?i)\b(?:https?://|www\.)[^\s<>\"']+", 0.60, hint="."),
     Rule("card", "CREDIT_CARD", r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)", 0.95, view="numeric", guard=checks.card),
-    Rule("iban", "IBAN", r"(?i)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.95, guard=checks.iban),
+    Rule("iban", "IBAN", r"\b\p{Alpha}{2}\d{2}(?:[ \t]?\p{Alnum}{4}){2,7}(?:[ \t]?\p{Alnum}{1,3})?\b", 0.95, guard=checks.iban),
     Rule("ssn", "SSN", r"(?<!\d)\d{3}[- ]\d{2}[- ]\d{4}(?!\d)", 0.85, view="numeric", guard=checks.ssn),
     Rule("ssn_label", "SSN", r"\d{3}[- ]?\d{2}[- ]?\d{4}(?!\d)", 0.90, view="numeric", prefix=r"(?i)(?:ssn|social security)[^\d\n]{0,12}"),
-    Rule("phone_us", "PHONE", r"(?<![\w+])(?:\+?1[-. ]?)?(?:\([2-9]\d{2}\)|[2-9]\d{2})[-. ]?\d{3}[-. ]?\d{4}(?: ?(?:x|ext\.?) ?\d{1,5})?(?!\w)", 0.85, view="numeric"),
-    Rule("phone_334", "PHONE", r"(?<![\w.-])(?:\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}([-. ])\d{3}\1\d{4})(?![\w-])", 0.85, view="numeric"),
+    # ten digits with an area code that begins with 2 to 9, perhaps after 1, perhaps with an extension
+    Rule("phone_us", "PHONE", r"(?<![\w+])(?:\+?1[-. \t]?)?(?:[2-9]\d\d|\([2-9]\d\d\))(?:[-. \t]?\d{3}){1}[-. \t]?\d{4}(?:[ \t]*(?i:ext\.?|x)[ \t]*\d{1,5})?(?!\w)", 0.85, view="numeric"),
+    # three, three and four digits, set apart by brackets or by one sign throughout
+    Rule("phone_334", "PHONE", r"(?<!\w)(?:\d{3}(?<sign>[-.])\d{3}\k<sign>|\(\d{3}\)[-. \t]?\d{3}[-. \t])\d{4}(?![\w-])", 0.85, view="numeric"),
     Rule("phone_plus", "PHONE", r"(?<!\w)\+\d{1,3}[ \-.()]*\d(?:[ \-.()]{0,2}\d){5,13}(?!\d)", 0.80, view="numeric", hint="+", guard=lambda v: F.length(text.digits_only(v)).between(8, 15)),
     Rule("ipv4", "IP_ADDRESS", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", 0.80, view="numeric", hint=".", guard=checks.ipv4),
-    Rule("ipv6", "IP_ADDRESS", r"(?i)(?<![\w:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![\w:])|(?<![\w:])(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}(?![\w:])", 0.80, hint=":"),
+    Rule("ipv6", "IP_ADDRESS", r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])", 0.80, hint=":", guard=checks.ipv6),
     Rule("national_id", "ID_NUMBER", r"(?<!\d)\d{10}(?!\d)", 0.95, view="numeric", guard=checks.national_id),
     Rule("mobile_ir", "PHONE", r"(?<!\d)(?:\+98|0098|0)9\d{9}(?!\d)", 0.90, view="numeric"),
     Rule("jalali", "DATE_OF_BIRTH", r"(?<!\d)1[34]\d{2}[/.-]\d{1,2}[/.-]\d{1,2}(?!\d)", 0.85),
@@ -57,25 +74,31 @@ RULES = [
     Rule("date_month_first", "DATE", rf"(?i)(?<!\w){_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}(?!\w)", 0.75),
     Rule("date_iso", "DATE", r"(?<![\d/.-])\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?![\d/-])", 0.75),
     Rule("date_numeric", "DATE", r"(?<![\d/.-])\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?![\d/-])", 0.75),
-    Rule("street", "ADDRESS", r"\b\d{1,6} (?:[A-Z][a-z]+ ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl)\b\.?(?:,? (?:Apt|Suite|Unit|#) ?\w+)?", 0.80),
-    Rule("city_zip", "ADDRESS", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*, [A-Z]{2} \d{5}(?:-\d{4})?\b", 0.80),
+    Rule("street", "ADDRESS", rf"\b\d{{1,6}}\p{{Alpha}}?[ \t]+(?:[NSEW]\.?[ \t]+)?(?:[\p{{Upper}}\d][\w'.-]*[ \t]+){{0,4}}?(?:{labels(STREETS, ' ')})\b\.?(?:,?[ \t]*(?:Apartment|Apt|Suite|Ste|Unit|Floor|Fl|#)\.?[ \t]*#?[\w-]+)?", 0.80),
+    Rule("city_zip", "ADDRESS", rf"\b\p{{Upper}}[\p{{Alpha}}.'-]+(?:[ \t]+\p{{Upper}}[\p{{Alpha}}.'-]+){{0,3}},[ \t]*(?:{labels(STATES, ' ')})[ \t]+\d{{5}}(?:-\d{{4}})?\b", 0.80),
     Rule("po_box", "ADDRESS", r"(?i)\bP\.? ?O\.? ?Box \d+\b", 0.80),
     Rule("postcode_uk", "ADDRESS", r"\b[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2}\b", 0.65),
     Rule("aws_key", "SECRET", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0.95),
     Rule("github_token", "SECRET", r"\bgh[pousr]_[A-Za-z0-9]{30,}\b", 0.95, hint="gh"),
-    Rule("slack_token", "SECRET", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0.95, hint="xox"),
-    Rule("google_key", "SECRET", r"\bAIza[0-9A-Za-z_-]{35}", 0.95, hint="AIza"),
+    # The forms of keys, as their makers document them.
+    Rule("slack_token", "SECRET", r"\bxox[abprs]-[\p{Alnum}-]{10,}", 0.95, hint="xox"),
+    Rule("google_key", "SECRET", r"\bAIza[\w-]{35}", 0.95, hint="AIza"),
     Rule("stripe_key", "SECRET", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", 0.95, hint="k_"),
-    Rule("jwt", "SECRET", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}", 0.95, hint="eyJ"),
+    Rule("jwt", "SECRET", r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", 0.95, hint="eyJ"),
     Rule("sk_key", "SECRET", r"\bsk-[A-Za-z0-9_-]{20,}", 0.95, hint="sk-"),
-    Rule("entropy_token", "SECRET", r"(?<!\w)[A-Za-z0-9+/_-]{24,}={0,2}(?!\w)", 0.70, guard=lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]") & (checks.entropy(v) >= 4.0)),
-    Rule("secret_label", "SECRET", r"[^\s\"',;]{4,}", 0.85, "context", prefix=r"(?i)\b(?:password|passwd|pwd|passcode|api[_ -]?key|secret(?:[_ -]?key)?|token|access[_ -]?key)\s*[:=#]\s*[\"']?"),
-    Rule("id_label", "ID_NUMBER", r"[A-Za-z0-9][A-Za-z0-9/-]{3,}", 0.80, "context", view="numeric", prefix=r"(?i)\b(?:passport|account|patient|member|customer|client|employee|student|license|licence|national|policy)(?: (?:account|id|number))*(?: ?(?:no\.?|number|id|#))? ?[:#] ?", guard=lambda v: F.length(text.digits_only(v)) >= 3),
-    Rule("long_number", "ID_NUMBER", r"(?<![\w.+-])\d{8,}(?![\w-])", 0.70, view="numeric"),
+    # a run of 24 characters of base64 alphabets, with letters of both cases and digits, that looks random
+    Rule("entropy_token", "SECRET", r"(?<![\w+/=-])[\w+/-]{24,}=?=?(?![\w+/=-])", 0.70, guard=lambda v: v.rlike(r"^[A-Za-z0-9_+/=-]+$") & v.rlike("\\p{Lower}") & v.rlike("\\p{Upper}") & v.rlike("\\d") & (checks.entropy(v) >= 4.0)),
+    Rule("secret_label", "SECRET", r"\S{3,}", 0.85, "context", prefix=rf"(?i:\b(?:{labels(SECRET_LABELS, '[ \\t_-]?')})\b)[ \t\n]*[:=#][ \t\n]*"),
+    # a label, perhaps a word for number, perhaps a sign, and a code with three digits
+    Rule("id_label", "ID_NUMBER", r"\p{Alnum}[\p{Alnum}/.-]{3,}\p{Alnum}", 0.80, "context", view="numeric", prefix=rf"(?i:\b(?:{labels(ID_LABELS, '[ \\t]+')})\b)[ \t\n]*(?i:#|id|code|(?:number|num|no)\.?)?[ \t\n]*[:#=-]?[ \t\n]*", guard=lambda v: F.length(text.digits_only(v)) >= 3),
+    # eight digits or more with at most one sign between two of them, but dates and addresses of hosts
+    Rule("long_number", "ID_NUMBER", r"(?<!\w)(?:\d[ \t./-]?){7,}\d(?!\w)", 0.70, view="numeric", guard=lambda v: ~v.rlike(rf"^(?:{_ANY_DATE}|\d{{1,3}}(?:\.\d{{1,3}}){{3}})$")),
     Rule("coded_id", "ID_NUMBER", r"\b(?:[A-Z]{1,3}\d{5,9}|\d{5,9}[A-Z]{1,3})\b", 0.75),
-    Rule("salutation", "PERSON", r"[A-Z][a-zé'-]+(?: [A-Z][a-zé'-]+){0,3}", 0.85, "context", prefix=r"\b(?:Dear|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Prof\.?) (?:Mr\.? |Mrs\.? |Ms\.? |Dr\.? )?"),
-    Rule("closing", "PERSON", r"[A-Z][a-zé]+(?:['-][A-Z]?[a-zé]+)?(?: (?:[A-Z]\. )?[A-Z][a-zé]+(?:['-][A-Z]?[a-zé]+)?){0,2}(?=[ \t]*(?:\n|$))", 0.85, "context", prefix=r"(?i:(?:^|\n)[ \t]*(?:sincerely|cordially|respectfully|cheers|thanks|thank you|best|best wishes|(?:best |kind |warm )?regards|yours (?:truly|sincerely|faithfully))[ \t]*,?[ \t]*\n[ \t]*)"),
-    Rule("name_label", "PERSON", r"[A-Z][\p{L}'-]+(?: [A-Z][\p{L}'.-]*){1,4}", 0.80, "context", prefix=r"(?:(?i:\b(?:full name|name|patient|client|customer|holder|applicant))) ?[:=] ?"),
+    Rule("salutation", "PERSON", _NAME, 0.85, "context", prefix=r"\b(?:Dear|Attn\.?|Attention:?)[ \t]+(?:(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam)\.?[ \t]+)?", guard=lines.plausible_name, head=lines.name_head),
+    Rule("titled_name", "PERSON", _NAME, 0.85, "context", prefix=r"\b(?:Mr|Mrs|Ms|Mx|Dr|Prof)\.?[ \t]+", guard=lines.plausible_name, head=lines.name_head),
+    Rule("closing", "PERSON", rf"{_NAME}(?=[ \t]*(?:\n|$))", 0.85, "context", prefix=rf"(?i:(?:^|\n)[ \t]*(?:{labels(CLOSINGS, '[ \\t]+')}))[ \t]*,?[ \t]*\n[ \t]*", guard=lines.plausible_name, head=lines.name_head),
+    Rule("name_label", "PERSON", _NAME, 0.85, "context", prefix=rf"(?i:\b(?:{labels(PERSON_LABELS, '[ \\t]+')}))[ \t]*[:-][ \t]*", guard=lines.plausible_name, head=lines.name_head),
+    Rule("name_field", "PERSON", r"\p{L}+(?:[ \t]+\p{L}+)*", 0.80, "context", prefix=rf"(?i:\b(?:{labels(NAME_LABELS, '[ \\t]+')})\b)[ \t]*[:=][ \t]*", guard=lines.name_shape),
 ]
 BY_NAME = {r.name: r for r in RULES}
 
@@ -100,6 +123,8 @@ def _spans(views: Column, rule: Rule) -> Column:
     if rule.prefix:
         value = f"(?U)^{rule.prefix}(?=(?:{rule.pattern})$)"
         hits = F.transform(hits, lambda h: F.struct((h["start"] + F.length(F.regexp_extract(h["value"], value, 0))).alias("start"), F.regexp_replace(h["value"], value, "").alias("value")))
+    if rule.head:
+        hits = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), rule.head(h["value"]).alias("value")))
     if rule.guard:
         hits = F.filter(hits, lambda h: F.coalesce(rule.guard(h["value"]), F.lit(False)))
     out = F.transform(
@@ -113,8 +138,9 @@ def all_spans(t: Column, names: list[str] | None = None) -> Column:
     """UNION ALL of the rules' spans, in one pass over the row; the views of the text are made once for all rules."""
     folded = text.fold_digits(t)
     digits = F.coalesce(folded.rlike("[0-9]"), F.lit(False))
-    views = F.array(F.struct(folded.alias("text"), F.when(digits, text.numeric_view(folded)).otherwise(folded).alias("numeric"), digits.alias("digits")))
     rules = [r for r in RULES if names is None or r.name in names]
+    numeric = F.when(digits, text.numeric_view(folded)).otherwise(folded) if any(r.view == "numeric" for r in rules) else folded
+    views = F.array(F.struct(folded.alias("text"), numeric.alias("numeric"), digits.alias("digits")))
     return F.element_at(F.transform(views, lambda v: F.concat(*(_spans(v, r) for r in rules))), 1)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.vocabulary import ENTITIES
 from .recognize import SPAN
 
+#: Spans that are folded at once.
+CHUNK = 256
 _PRIORITY = F.create_map  # built lazily: Columns need a session
 
 
@@ -43,7 +45,22 @@ def merge(spans: Column) -> Column:
         )
         return F.when((F.size(done) > 0) & (s["start"] < last["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(plain(s))))
 
-    return F.aggregate(order, F.array().cast(SPAN), step)
+    def folded(part: Column, open_: Column) -> Column:
+        return F.aggregate(part, open_, step)
+
+    def chunk(own: Column, state: Column, at: Column) -> Column:
+        # a fold copies what it has made at every step: only CHUNK spans are folded at once, and all but the last stay
+        part = F.transform(F.array(folded(F.slice(own, at * CHUNK + 1, F.lit(CHUNK)), state["open"])), lambda r: F.struct(
+            F.slice(r, F.greatest(F.size(r), F.lit(1)), F.lit(1)).alias("open"), F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))).alias("over")))
+        return F.transform(part, lambda r: F.struct(r["open"].alias("open"), F.array_append(state["done"], r["over"]).alias("done")))[0]
+
+    zero = F.struct(F.array().cast(SPAN).alias("open"), F.array().cast(f"array<{SPAN}>").alias("done"))
+
+    def whole(own: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(own) / CHUNK) - 1, F.lit(0)).cast("int"))
+        return F.aggregate(chunks, zero, lambda s, at: chunk(own, s, at), lambda s: F.concat(F.flatten(s["done"]), s["open"]))
+
+    return F.transform(F.array(order), whole)[0]
 
 
 def trimmed(spans: Column, text: Column) -> Column:

@@ -20,6 +20,8 @@ def query(sql: str | None = None):
     """Registers a function under its name, with its SQL."""
 
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
@@ -52,16 +54,16 @@ _HITS = {
     "IP_ADDRESS": ("ipv4", r"(^|[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})($|[^0-9.]|\.$|\.[^0-9.])", "length(list_filter(string_split(v, '.'), lambda p: NOT regexp_full_match(p, '0|[1-9][0-9]{0,2}') OR CAST(p AS INT) > 255)) = 0 AND NOT starts_with(v, '0.')"),
     "CREDIT_CARD": ("card", r"(^|[^0-9])((?:[0-9][ -]?){12,18}[0-9])($|[^0-9])", f"length({_DIGITS}) BETWEEN 13 AND 19 AND regexp_matches(v, '^[2-6]') AND {_LUHN.replace('d[', '(' + _DIGITS + ')[').replace('length(d)', f'length({_DIGITS})')}"),
     "PHONE": ("phone_plus", r"(^|[^\pL\pN_])(\+[0-9]{1,3}[ \-.()]*[0-9](?:[ \-.()]{0,2}[0-9]){5,13})($|[^0-9])", f"length({_DIGITS}) BETWEEN 8 AND 15"),
-    "ID_NUMBER": ("long_number", r"(^|[^\pL\pN_.+-])([0-9]{8,})($|[^\pL\pN_-])", "true"),
+    "ID_NUMBER": ("long_number", r"(^|[^\pL\pN_])((?:[0-9][ \t./-]?){7,}[0-9])($|[^\pL\pN_])", "NOT regexp_full_match(v, '[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,3}([.][0-9]{1,3}){3}')"),
 }
 # two numbers can share the one character between them, so it is doubled
-_APART = [rf"regexp_replace(text, '([{c}\n,;])', '\1\1', 'g')" for c in ("", " ")]
+_APART = [r"regexp_replace(text, '([\n,;])', '\1\1', 'g')"] * 2
 _APART[0] = rf"regexp_replace({_APART[0]}, '([0-9]{{16,}}) ', '\1  ', 'g')"
 for _entity, (_rule, _pattern, _guard) in _HITS.items():
     QUERIES[f"{_rule}_hits"] = _found(_rule, "documents")
     ORACLE_SQL[f"{_rule}_hits"] = _found_sql(_pattern, "documents", column=_APART[_rule == "long_number"], guard=_guard)
 QUERIES["secret_label_hits"] = _found("secret_label", "documents")
-ORACLE_SQL["secret_label_hits"] = _found_sql(r"(?i)\b(password|passwd|pwd|passcode|api[_ -]?key|secret(?:[_ -]?key)?|token|access[_ -]?key)\s*[:=#]\s*[\"'']?([^\s\"'',;]{4,})", "documents")
+ORACLE_SQL["secret_label_hits"] = _found_sql(r"(?i:\b(pass(?:word|wd|[ _\t-]?code)|pwd|pin(?:[ _\t-]?code)?|api[ _\t-]?key|secret(?:[ _\t-]?key)?|access[ _\t-]?(?:key|token)|auth(?:entication)?[ _\t-]?token|token|user[ _\t-]?(?:name|id)|username|login)\b)[ \t\n]*[:=#][ \t\n]*(\S{3,})", "documents")
 QUERIES["url_hits"] = _found("url", "pages", "page_id", "url")
 ORACLE_SQL["url_hits"] = _found_sql(r"(?i)\b((?:https?://|www\.)[^\s<>\"'']+)", "pages", "page_id", "url", group=1)
 
@@ -100,8 +102,12 @@ _LETTERS = f"""SELECT k AS doc_id, concat(name, chr(10), street, chr(10), mail,
 
 
 def _letters(spark, sf_dir):
-    tables.table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(_LETTERS.replace("''Neil", "\\'Neil"))
+    return tables.over(spark, sf_dir, "orders", _LETTERS.replace("''Neil", "\\'Neil"))
+
+
+def anchors(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, start of the phone numbers and e-mail addresses of texts."""
+    return recognize.exploded(docs, [r.name for r in recognize.RULES if r.entity in ("PHONE", "EMAIL")], key).select(key, "start")
 
 
 _AT_SURNAME = "concat(name, street, mail, 'Surname') || repeat('x', 5)"
@@ -110,8 +116,9 @@ _AT_DEAR = f"{_AT_BORN} || born || 'xDear '"
 _AT_ZONE = f"{_AT_DEAR} || name || ', thanks.x'"
 _AT_END = f"{_AT_ZONE} || zone || 'xKind regards,x'"
 _LETTER_SPANS = " UNION ALL ".join(
-    f"SELECT k AS doc_id, '{e}' AS entity, CAST(length({at}) AS INTEGER) AS start, {v} AS value FROM p" + (" WHERE k % 3 = 0" if e == "MRZ" else "")
-    for e, v, at in (("PERSON", "name", "''"), ("ADDRESS", "street", "name || 'x'"), ("EMAIL", "mail", "name || street || 'xx'"), ("PERSON", "last", _AT_SURNAME), ("DATE_OF_BIRTH", "born", _AT_BORN), ("PERSON", "name", _AT_DEAR), ("MRZ", "zone", _AT_ZONE), ("PERSON", "name", _AT_END))
+    f"SELECT k AS doc_id, '{e}' AS entity, CAST(length({at}) AS INTEGER) AS start, {v} AS value, CAST({score} AS DOUBLE) AS score, '{source}' AS source FROM p" + (" WHERE k % 3 = 0" if e == "MRZ" else "")
+    for (e, v, at), (score, source) in zip((("PERSON", "name", "''"), ("ADDRESS", "street", "name || 'x'"), ("EMAIL", "mail", "name || street || 'xx'"), ("PERSON", "last", _AT_SURNAME), ("DATE_OF_BIRTH", "born", _AT_BORN), ("PERSON", "name", _AT_DEAR), ("MRZ", "zone", _AT_ZONE), ("PERSON", "name", _AT_END)),
+        ((0.8, "coreference"), (0.8, "pattern"), (0.95, "pattern"), (0.9, "header_pair"), (0.9, "header_pair"), (0.85, "context"), (0.95, "mrz"), (0.85, "context")), strict=True)
 )
 
 
@@ -119,13 +126,36 @@ _LETTER_SPANS = " UNION ALL ".join(
 def letter_spans(spark, sf_dir):
     """All that is found in letters: patterns, header values, zones, contact names and repeated names, merged."""
     rows = find.find_pii(_letters(spark, sf_dir)).select("doc_id", "text", F.explode("spans").alias("s"))
-    return rows.select("doc_id", "s.entity", "s.start", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    return rows.select("doc_id", "s.entity", "s.start", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"), "s.score", "s.source")
+
+
+#: A data page for each order: a name line of the zone, with a known state, one that the data line names, or none; the
+#: name as it is printed, in another case or with blanks; a longer word that holds it; the number again.
+_PAGES = """SELECT k, shown, concat('P<', CASE k % 3 WHEN 0 THEN 'UTO' WHEN 1 THEN 'XQZ' ELSE '' END, replace(shown, ' ', ''), '<<', CASE k % 2 WHEN 0 THEN 'RUTH' ELSE 'OLGA' END, '<<<<<<<<<<<<<<<<<<<<<<<') AS one,
+  concat('K', lpad(CAST(k AS VARCHAR(20)), 8, '7'), '4', CASE k % 3 WHEN 1 THEN 'XQZ' ELSE 'UTO' END, '8002020F3001019<<<<<<<<<<<<<<02') AS two, concat('K', lpad(CAST(k AS VARCHAR(20)), 8, '7')) AS number,
+  CASE k % 2 WHEN 0 THEN 'Ruth' ELSE 'Olga' END AS given FROM (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'DE LA PAZ' WHEN 1 THEN 'MORANT' WHEN 2 THEN 'VAN DORN' ELSE 'QUIRK' END AS shown FROM orders) AS o"""
+_PAGE_PARTS = ["'seen: '", "lower(shown)", "' and '", "given", "chr(10)", "'not '", "concat(replace(shown, ' ', ''), 'S')", "chr(10)", "'again ('", "number", "')'", "chr(10)", "one", "chr(10)", "two"]
+
+
+def _echo(part: int, entity: str, score: float, source: str) -> str:
+    # where no state stands before a name, its own line holds it as a word, and blanks are not tried
+    where = " WHERE k % 3 <> 2 OR shown NOT LIKE '% %'" if part == 1 else ""
+    at = " + ".join(f"length({p})" for p in _PAGE_PARTS[:part])
+    return f"SELECT k AS doc_id, '{entity}' AS entity, CAST({at} AS INTEGER) AS start, {_PAGE_PARTS[part]} AS value, CAST({score} AS DOUBLE) AS score, '{source}' AS source FROM p{where}"
+
+
+@query(f"WITH p AS ({_PAGES}) " + " UNION ALL ".join(_echo(*x) for x in ((1, "PERSON", 0.95, "mrz_coref"), (3, "PERSON", 0.95, "mrz_coref"), (9, "ID_NUMBER", 0.95, "mrz_coref"), (12, "MRZ", 0.95, "mrz"), (14, "MRZ", 0.95, "mrz"))))
+def zone_echoes(spark, sf_dir):
+    """Names and numbers of machine-readable zones where they stand elsewhere on their pages."""
+    docs = tables.over(spark, sf_dir, "orders", f"SELECT k AS doc_id, concat({', '.join(_PAGE_PARTS)}) AS text FROM ({_PAGES}) AS p".replace("chr(10)", "'\\n'"))
+    rows = find.find_pii(docs).select("doc_id", "text", F.explode("spans").alias("s"))
+    return rows.select("doc_id", "s.entity", "s.start", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"), "s.score", "s.source")
 
 
 @query(f"WITH p AS ({_PARTS}) SELECT k AS doc_id, 0 AS line_no, name AS value FROM p")
 def letter_contacts(spark, sf_dir):
     """Names near contact data; the closing name is too far from it."""
-    return lines.contact_names(lines.lines(_letters(spark, sf_dir))).select("doc_id", "line_no", "value")
+    return lines.contact_names(lines.lines(docs := _letters(spark, sf_dir)), anchors(docs)).select("doc_id", "line_no", "value")
 
 
 @query(f"WITH p AS ({_PARTS}) SELECT k AS doc_id, CAST(length({_AT_SURNAME}) AS INTEGER) AS start, 'PERSON' AS entity, last AS value FROM p UNION ALL SELECT k, CAST(length({_AT_BORN}) AS INTEGER), 'DATE_OF_BIRTH', born FROM p")
@@ -137,7 +167,7 @@ def letter_headers(spark, sf_dir):
 def letter_coreference(spark, sf_dir):
     """A contact's name stands in the block, the salutation and the closing."""
     docs = _letters(spark, sf_dir)
-    return lines.coreference(docs, lines.contact_names(lines.lines(docs)))
+    return lines.coreference(docs, lines.contact_names(lines.lines(docs), anchors(docs)))
 
 
 @query(f"WITH p AS ({_PARTS}) SELECT k AS doc_id, CAST(length({_AT_ZONE}) AS INTEGER) AS start, 'data' AS kind FROM p WHERE k % 3 = 0")
@@ -189,7 +219,7 @@ _NOTES = {
     "ssn_label": ("concat(CAST(o_orderkey % 600 + 101 AS VARCHAR(9)), CAST(o_orderkey % 89 + 10 AS VARCHAR(9)), CAST(o_orderkey % 8999 + 1000 AS VARCHAR(9)))", "CASE WHEN o_orderkey % 2 = 0 THEN 'SSN: ' ELSE 'SNS: ' END", r"SSN: ([0-9]{9})", "true"),
     "phone_us": ("concat('(', CAST(o_orderkey % 700 + 200 AS VARCHAR(9)), ') ', CASE WHEN o_orderkey % 2 = 0 THEN '555-' ELSE '55-' END, CAST(o_orderkey % 8999 + 1000 AS VARCHAR(9)))", "call ", r"(\([2-9][0-9]{2}\) [0-9]{3}-[0-9]{4})", "true"),
     "phone_334": ("concat(CAST(o_orderkey % 800 + 100 AS VARCHAR(9)), '.', '555', CASE WHEN o_orderkey % 2 = 0 THEN '.' ELSE '-' END, CAST(o_orderkey % 8999 + 1000 AS VARCHAR(9)))", "call ", r"([0-9]{3}\.[0-9]{3}\.[0-9]{4})", "true"),
-    "ipv6": ("concat('fe80:0:0:0:', CAST(o_orderkey % 9000 AS VARCHAR(9)), CASE WHEN o_orderkey % 2 = 0 THEN ':0:0:1' ELSE '-0-0-1' END)", "host ", r"(fe80:0:0:0:[0-9]{1,4}:0:0:1)", "true"),
+    "ipv6": ("CASE o_orderkey % 4 WHEN 0 THEN concat('fe80:0:0:0:', CAST(o_orderkey % 9000 AS VARCHAR(9)), ':0:0:1') WHEN 1 THEN concat('2001:db8::', CAST(o_orderkey % 9000 AS VARCHAR(9))) WHEN 2 THEN concat('12:30:', CAST(o_orderkey % 60 AS VARCHAR(9))) ELSE concat('1:2:3:4:5:6:7:8:', CAST(o_orderkey % 9000 AS VARCHAR(9))) END", "host ", r"(fe80:0:0:0:[0-9]{1,4}:0:0:1|2001:db8::[0-9]{1,4})", "true"),
     "mobile_ir": ("concat('09', CASE WHEN o_orderkey % 2 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR(9)), 9, '1') ELSE lpad(CAST(o_orderkey AS VARCHAR(9)), 8, '1') END)", "call ", r"\b(09[0-9]{9})\b", "true"),
     "jalali": ("concat(CASE WHEN o_orderkey % 2 = 0 THEN '13' ELSE '12' END, CAST(o_orderkey % 89 + 10 AS VARCHAR(9)), '/05/', CAST(o_orderkey % 19 + 10 AS VARCHAR(9)))", "on ", r"\b(1[34][0-9]{2}/05/[0-9]{2})\b", "true"),
     "birth": ("concat('12/05/19', CAST(o_orderkey % 89 + 10 AS VARCHAR(9)))", "CASE WHEN o_orderkey % 2 = 0 THEN 'Date of birth: ' ELSE 'Date of sale: ' END", r"Date of birth: ([0-9/]{10})", "true"),
@@ -209,25 +239,28 @@ _NOTES = {
     "sk_key": ("concat('sk-', lpad(CAST(o_orderkey AS VARCHAR(9)), CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 19 END, 'b'))", "key ", r"(sk-[0-9b]{20,})", "true"),
     "entropy_token": ("CASE WHEN o_orderkey % 2 = 0 THEN concat('aB3dE5gH7jK9mN1pQ', lpad(CAST(o_orderkey AS VARCHAR(9)), 9, '0')) ELSE concat('aaaaaaaaaaaaaaaaaB', lpad(CAST(o_orderkey AS VARCHAR(9)), 9, '0')) END", "is ", r"\b([A-Za-z0-9]{24,})\b", "list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)) * log2(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)))) >= 4.0"),
     "email_lenient": ("concat('ruth', CAST(o_orderkey AS VARCHAR(9)), CASE WHEN o_orderkey % 2 = 0 THEN '@harbourcom' ELSE '@123' END)", "to ", r"(ruth[0-9]+@[A-Za-z0-9]+)", "length(split_part(v, '@', 2)) >= 4 AND regexp_matches(split_part(v, '@', 2), '[A-Za-z]')"),
-    "id_label": ("concat('K', CAST(o_orderkey + 1000 AS VARCHAR(9)))", "CASE WHEN o_orderkey % 2 = 0 THEN 'Passport No: ' ELSE 'Passtime: ' END", r"Passport No: (K[0-9]{4,})", "true"),
+    "id_label": ("concat('K', CAST(o_orderkey + 1000 AS VARCHAR(9)), CASE WHEN o_orderkey % 5 = 0 THEN '-7' ELSE '' END)", "CASE o_orderkey % 8 WHEN 0 THEN 'Passport No: ' WHEN 1 THEN 'Tax ID: ' WHEN 2 THEN 'routing ' WHEN 3 THEN 'MRN#' WHEN 4 THEN concat('Driver Licence number', chr(10)) WHEN 5 THEN 'Passtime: ' WHEN 6 THEN 'Ref: ' ELSE 'a/c no. ' END", r"(?:Passport No: |Tax ID: |routing |MRN#|Driver Licence number\n|a/c no. )(K[0-9]{4,}(?:-7)?)", "true"),
     "coded_id": ("concat(CASE WHEN o_orderkey % 2 = 0 THEN 'AB' ELSE 'ab' END, lpad(CAST(o_orderkey AS VARCHAR(9)), 7, '1'))", "code ", r"\b(AB[0-9]{7})\b", "true"),
     "salutation": ("CASE o_orderkey % 3 WHEN 0 THEN 'Jane Falk' WHEN 1 THEN 'Max Moran' ELSE 'Olga Lindqvist' END", "CASE WHEN o_orderkey % 2 = 0 THEN 'Dear ' ELSE 'dear ' END", r"Dear ([A-Z][a-z]+ [A-Z][a-z]+)", "true"),
-    "name_label": ("CASE o_orderkey % 3 WHEN 0 THEN 'Jane Falk' WHEN 1 THEN 'Max Moran' ELSE 'Olga Lindqvist' END", "CASE WHEN o_orderkey % 2 = 0 THEN 'Patient: ' ELSE 'Patients ' END", r"Patient: ([A-Z][a-z]+ [A-Z][a-z]+)", "true"),
+    "name_label": ("CASE o_orderkey % 5 WHEN 0 THEN 'Jane Falk' WHEN 1 THEN 'Max Moran Manager' WHEN 2 THEN 'Olga Q. Lindqvist' WHEN 3 THEN 'Total Amount' ELSE 'Nils' END", "CASE o_orderkey % 4 WHEN 0 THEN 'Patient: ' WHEN 1 THEN 'Account holder - ' WHEN 2 THEN 'signed:' ELSE 'Patients ' END", r"(?:Patient: |Account holder - |signed:)(Jane Falk|Max Moran|Olga Q. Lindqvist|Nils)", "true"),
     "closing": ("CASE o_orderkey % 3 WHEN 0 THEN 'Jane Falk' WHEN 1 THEN 'Max Moran' ELSE 'Olga Lindqvist' END", "CASE WHEN o_orderkey % 2 = 0 THEN concat('Kind regards,', chr(10)) ELSE concat('Kind of', chr(10)) END", r"Kind regards,\n([A-Z][a-z]+ [A-Z][a-z]+)", "true"),
+    "name_field": ("CASE o_orderkey % 5 WHEN 0 THEN 'JANE FALK' WHEN 1 THEN 'de la Paz' WHEN 2 THEN 'Élodie Roux' WHEN 3 THEN 'total' ELSE 'AL' END", "CASE o_orderkey % 4 WHEN 0 THEN 'Nom: ' WHEN 1 THEN 'given names = ' WHEN 2 THEN 'Surname:' ELSE 'Nomen: ' END", r"(?:Nom: |given names = |Surname:)(JANE FALK|de la Paz|Élodie Roux)", "true"),
+    "titled_name": ("CASE o_orderkey % 4 WHEN 0 THEN 'Jane O''Neil-Smith' WHEN 1 THEN 'Moran Director' WHEN 2 THEN 'Olga B. Lindqvist' ELSE 'President' END", "CASE o_orderkey % 5 WHEN 0 THEN 'Mrs ' WHEN 1 THEN 'Dr. ' WHEN 2 THEN 'Prof ' WHEN 3 THEN 'Mx.  ' ELSE 'Mister ' END", r"(?:Mrs |Dr\. |Prof |Mx\.  )(Jane O''Neil-Smith|Moran|Olga B\. Lindqvist)", "true"),
+    "secret_label": ("concat('x', CAST(o_orderkey AS VARCHAR(9)), '!')", "CASE o_orderkey % 7 WHEN 0 THEN 'PIN: ' WHEN 1 THEN 'username = ' WHEN 2 THEN 'API-key#' WHEN 3 THEN 'auth token:' WHEN 4 THEN 'your password is ' WHEN 5 THEN 'passwords: ' ELSE concat('login :', chr(10)) END", r"(?:PIN: |username = |API-key#|auth token:|login :\n)(x[0-9]+!)", "true"),
+    "long_number": ("CASE o_orderkey % 5 WHEN 0 THEN concat(lpad(CAST(o_orderkey AS VARCHAR(9)), 6, '8'), ' 5678 9012') WHEN 1 THEN concat(CAST(o_orderkey % 28 + 1 AS VARCHAR(9)), '/11/2019') WHEN 2 THEN concat('10.20.30.', CAST(o_orderkey % 200 + 10 AS VARCHAR(9))) WHEN 3 THEN concat(lpad(CAST(o_orderkey AS VARCHAR(9)), 6, '8'), '-77/9') ELSE lpad(CAST(o_orderkey AS VARCHAR(9)), 7, '8') END", "no ", r"no ([0-9]{6} 5678 9012|[0-9]{6}-77/9)", "true"),
 }
 
 
 def _note(rule: str) -> str:
     value, before, _, _ = _NOTES[rule]
     before = before if before.startswith("CASE") else f"'{before}'"
-    tail = "''" if rule == "closing" else "' and so on'"
+    tail = "''" if rule in ("closing", "name_field") else "' and so on'"
     return f"SELECT o_orderkey, concat('note ', CAST(o_custkey AS VARCHAR(9)), chr(10), {before}, {value}, {tail}) AS t FROM orders"
 
 
 def _noted(rule: str):
     def run(spark, sf_dir):
-        tables.table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-        hit = recognize.exploded(spark.sql(_note(rule)), [rule], "o_orderkey", "t")
+        hit = recognize.exploded(tables.over(spark, sf_dir, "orders", _note(rule)), [rule], "o_orderkey", "t")
         return hit.select("o_orderkey", "start", "value")
 
     return run
@@ -302,8 +335,7 @@ _PLATES = "(SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Uti
 
 @query(f"SELECT s_suppkey, t = '' OR (length(k) BETWEEN 2 AND 14 AND (regexp_matches(k, '[0-9]') OR (k = upper(k) AND (regexp_matches(k, '[ILO10]') OR length(k) BETWEEN 3 AND 8)))) AS lenient, length(k) BETWEEN 2 AND 12 AND regexp_matches(k, '[0-9]') AND length(regexp_replace(k, '[^a-z]', '', 'g')) <= 1 AS strict FROM (SELECT s_suppkey, t, regexp_replace(t, '[^A-Za-z0-9]', '', 'g') AS k FROM {_PLATES})")
 def plate_text_rules(spark, sf_dir):
-    tables.table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
-    return spark.sql(f"SELECT * FROM {_PLATES}").select("s_suppkey", checks.plate_lenient(F.col("t")).alias("lenient"), checks.plate_strict(F.col("t")).alias("strict"))
+    return tables.over(spark, sf_dir, "supplier", f"SELECT * FROM {_PLATES}").select("s_suppkey", checks.plate_lenient(F.col("t")).alias("lenient"), checks.plate_strict(F.col("t")).alias("strict"))
 
 
 # ---- geometry ----
@@ -373,8 +405,7 @@ _FEATURES = "SELECT event_id, (event_id % 100) / 100.0 AS white, (event_id % 7)
 @query(f"WITH f AS ({_FEATURES}), z AS (SELECT event_id, white * 4.2 + least(grad, 3.0) * 0.8 - sat * 4.0 + CASE WHEN contrast > 40 THEN 1 ELSE 0 END AS a, sat * 5.0 + hue * 2.5 - white * 3.5 + CASE WHEN contrast > 30 THEN 1.2 ELSE 0 END AS b, -1.2 + CASE WHEN sharp < 15 THEN 2.0 WHEN sharp < 45 THEN 0.9 ELSE 0.05 END + CASE WHEN bright < 20 OR bright > 240 THEN 1.4 ELSE 0 END + CASE WHEN contrast < 12 THEN 1.2 ELSE 0 END AS u FROM f) SELECT event_id, round(exp(a / 0.9) / (exp(a / 0.9) + exp(b / 0.9) + exp(u / 0.9)), 6) AS doc, round(exp(u / 0.9) / (exp(a / 0.9) + exp(b / 0.9) + exp(u / 0.9)), 6) AS unknown, b > a AS skip_text FROM z")
 def softmax_decision(spark, sf_dir):
     """Scene probabilities from features, and whether text is read."""
-    tables.table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    f = spark.sql(_FEATURES)
+    f = tables.over(spark, sf_dir, "events", _FEATURES)
     d = lambda c: F.col(c).cast("double")
     u = decide.unknown_logit(d("sharp"), d("bright"), d("contrast"))
     doc, street, unknown = decide.scene(d("white"), d("grad"), d("sat"), d("hue"), d("contrast"), u)
@@ -419,7 +450,7 @@ def entity_summary_topscore(spark, sf_dir):
 
 
 @query(f"SELECT page, id, NOT every AS masked FROM (SELECT page, id, bool_and(masked) OVER (PARTITION BY page) AS every FROM ({tables.DETECTIONS}) d)")
-def mask_toggle(spark, sf_dir):
+def mask_all(spark, sf_dir):
     """All masked, unless all are: then none."""
     return govern.mask_all(tables.derived(spark, sf_dir, tables.DETECTIONS)).select("page", "id", "masked")
 

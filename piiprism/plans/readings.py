@@ -9,12 +9,11 @@ from ..functions.vocabulary import ENTITIES
 from ..operators import geometry, govern, lines, recognize
 from ..sources import images
 from . import tables
-from .catalog import _WEIGHT, query
+from .catalog import _WEIGHT, anchors, query
 
 
 def _planted(spark, sf_dir, sql: str, name: str = "orders"):
-    tables.table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(sql)
+    return tables.over(spark, sf_dir, name, sql)
 
 
 _PHONES = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN concat('+49', CAST(o_orderkey AS VARCHAR(20))) WHEN 1 THEN concat('0', CAST(o_orderkey AS VARCHAR(20)), ' 77')
@@ -155,7 +154,7 @@ _BLOCKS = """SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'Jane Do
 def contact_block_names(spark, sf_dir):
     """Names and other lines at one to three lines from a contact, one with an apostrophe and a hyphen among them."""
     docs = _planted(spark, sf_dir, _BLOCKS, "customer").select("doc_id", F.concat("name", F.lit("\n"), F.expr("repeat('x\n', between)"), "contact").alias("text"))
-    return lines.contact_names(lines.lines(docs)).select("doc_id", "line_no", "value")
+    return lines.contact_names(lines.lines(docs), anchors(docs)).select("doc_id", "line_no", "value")
 
 
 _LETTERS = "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'Jane Falk' ELSE 'Max Moor' END AS name, CAST(c_custkey % 4 AS INT) AS more FROM customer"

@@ -5,6 +5,9 @@ Every derived table is given twice, as a DataFrame and as SQL, from the same rul
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,9 +26,18 @@ DETECTIONS = f"""SELECT page, id, CASE p % 11 WHEN 9 THEN 'face' WHEN 10 THEN 'p
   CASE p % 11 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS))} END AS entity, concat('v', CAST(p AS VARCHAR(20))) AS text, round(d * 10, 2) AS score, s % 3 = 0 AS masked FROM ({_LINES}) AS l"""
 
 
+def over(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """SQL over one of the driver's tables, whatever views the session has."""
+    view = f"_{name}_{uuid.uuid4().hex}"
+    table(spark, sf_dir, name).createTempView(view)
+    try:
+        return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+){name}\b", rf"\1\2{view}", sql))
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(sql.replace('"end"', "`end`"))
+    return over(spark, sf_dir, "lineitem", sql.replace('"end"', "`end`"))
 
 
 def values(spark: SparkSession, columns: str, rows: str) -> DataFrame:
