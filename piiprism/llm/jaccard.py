@@ -13,9 +13,9 @@ shingles are dealt to parts by a hash, one part more than linked sets can differ
 all shingles of a part at least, and meet in that part's list. The number of parts is that of a class of sizes (a set
 near a class's end is posted in the next one too). A part without shingles is posted only by a set that has too few
 others for the argument. A list is scanned in rounds: all members against the smallest; then, in lists whose members
-are not yet in one component, all members against each other, in blocks of BLOCK_ROWS, by parity bitmaps: first the
-likeliest partner of a member in each other component, at last every partner that may be a link. Lists with the same
-members are scanned once.
+are not yet in one component, all members against each other, in blocks of BLOCK_ROWS, by parity bitmaps. Of each member
+only the likeliest partner in another component goes on, round after round while that finds links; then every partner
+in another component that may be a link. Lists with the same members are scanned once.
 
 The boundary is the one of least cost, in values that are moved: the subsets of light sets, against parts and
 shingles of the sets whose pairs lists must find; it is taken from the counts of all sizes up to LIGHT_MOST.
@@ -212,13 +212,15 @@ def candidates(first: DataFrame, most: int, percent: int) -> DataFrame:
 
 
 def near_pairs(t: pa.Table, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids within each cell (key, p, q) that may be links of different components; t: sorted by cell."""
+    """Pairs of ids within each cell (key, p, q) that may be links of different components, all or the likeliest of each
+    member; t: sorted by cell."""
     key, p, q, block, ids, label, n = (t.column(c).to_numpy() for c in ("key", "p", "q", "block", "id", "label", "n"))
     bits = t.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
     cut = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
     start = np.concatenate([[0], cut])
     partners = np.repeat(np.concatenate([cut, [len(ids)]]), np.diff(np.concatenate([start, [len(ids)]]))) - np.arange(len(ids)) - 1
     total, a, b = np.concatenate([[0], np.cumsum(partners)]), [], []
+    likeliest, least = np.full(len(ids), -1), np.full(len(ids), np.iinfo(np.int64).max)
     lo = 0
     while lo < len(ids):
         hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
@@ -229,15 +231,20 @@ def near_pairs(t: pa.Table, percent: int, every: bool) -> tuple[np.ndarray, np.n
         apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
         near = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j]).astype(np.int64)
         i, j, apart = i[near], j[near], apart[near]
-        if not every and len(i):  # of each member, the likeliest partner in each component
-            order = np.lexsort((apart, label[j], i))
-            first = np.ones(len(i), bool)
-            first[1:] = (np.diff(i[order]) != 0) | (np.diff(label[j][order]) != 0)
-            i, j = i[order][first], j[order][first]
-        a.append(ids[i])
-        b.append(ids[j])
+        if every:
+            a.append(ids[i])
+            b.append(ids[j])
+        elif len(i):
+            one, other, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+            order = np.lexsort((far, one))
+            first = order[np.append(True, np.diff(one[order]) != 0)]
+            first = first[far[first] < least[one[first]]]
+            least[one[first]], likeliest[one[first]] = far[first], other[first]
         lo = hi
-    return np.concatenate(a), np.concatenate(b)
+    if every:
+        return np.concatenate(a), np.concatenate(b)
+    some = np.flatnonzero(likeliest >= 0)
+    return ids[some], ids[likeliest[some]]
 
 
 def scanned(open_: DataFrame, meta: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -290,10 +297,17 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     star = common.salted_join(members.select("key", "id"), smallest, "key", "id")
     links = confirm(star.groupBy("id").agg(F.min("lead.id").alias("a")).select("a", F.col("id").alias("b")))
     labels = components(links)
-    for every in (False, True):
+    every = False
+    while True:
         open_ = common.written(undecided(members.select("key", "id"), labels).select("key", "id", "label"), "join-open")
-        links = links.union(confirm(scanned(open_, meta, percent, every)))
-        labels = components(links)
+        found = confirm(scanned(open_, meta, percent, every))
+        more = found.limit(1).count()
+        if more:
+            links = links.union(found)
+            labels = components(links)
+        if every:
+            break
+        every = not more  # components at least halve while their likeliest partners are links
 
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("label"))
     out = common.salted_join(signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_hash"), named, "set_hash", "doc_id", "left")
