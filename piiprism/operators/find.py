@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from . import lines, recognize, spans
+from . import lineage, lines, recognize, spans
 
 #: Scores of what lines say.
 HEADER, ZONE, ECHO, CONTACT, REPEATED = 0.90, 0.95, 0.95, 0.75, 0.80
@@ -67,6 +67,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", column: str = "text", entitie
     people = F.transform(F.filter("found", lambda s: s["entity"] == "PERSON"), lambda s: F.substring(t, s["start"] + 1, s["end"] - s["start"]))
     anchors = F.transform(F.filter("found", lambda s: s["entity"].isin("PHONE", "EMAIL")), lambda s: s["start"])
     some = read.where(F.col("k").isNotNull()).select("k", t.alias("text"), people.alias("people"), anchors.alias("anchors")).dropDuplicates(["k"])
+    some = lineage.cut(some)  # lines are read several ways; patterns must not be matched again for each
     both = read.join(line_spans(some), "k", "left")
     every = F.concat("found", F.coalesce("said", F.array().cast(recognize.SPAN)))
     kept = F.filter(every, lambda s: ~F.exists(F.coalesce("headers", F.array().cast("array<struct<start:int,end:int>>")), lambda h: (h["start"] <= s["start"]) & (s["end"] <= h["end"])))

@@ -33,17 +33,65 @@ def _side(rows: DataFrame, tag: str) -> tuple[DataFrame, dict[str, Column]]:
     return out, {c: F.col(f"{tag}_{c}").cast("double") for c in CORNERS}
 
 
+#: Boxes of a page from which on they meet over a grid; cells of the finest level, and how much coarser the next is.
+CROWDED, CELL, COARSER, LEVELS = 4096, 64.0, 4, 8
+
+
+def meeting(left: DataFrame, right: DataFrame, a: str, b: str, crowded: int = CROWDED) -> DataFrame:
+    """Pairs of a page's boxes that meet or touch: left and right hold page and columns a_... and b_..., corners among them.
+
+    Few boxes of a page are paired in one join by page. Pages of more than `crowded` boxes on the right go over a grid of
+    several levels, each with cells COARSER times as wide: a box lies in at most four cells of the first level whose cells
+    are not smaller than it. It is dealt to its cells of that level and of all coarser ones, two boxes are paired at the
+    level of the larger, and only in the cell where their common part begins. So a page's work is spread by cells, and
+    grows with its boxes and pairs, not with the square of its boxes. Boxes beyond the coarsest level are dealt to more
+    cells of it. Rows with a null corner meet none.
+    """
+    full = right.groupBy("page").agg(F.count("*").alias("boxes")).where(f"boxes > {crowded}").select("page")
+    edges = lambda t: [F.col(f"{t}_{c}").cast("double") for c in CORNERS]
+    (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2) = edges(a), edges(b)
+    touch = (ax1 <= bx2) & (bx1 <= ax2) & (ay1 <= by2) & (by1 <= ay2)
+    few = left.join(full, "page", "left_anti").join(right, "page").where(touch)
+
+    def dealt(rows: DataFrame, t: str) -> DataFrame:
+        x1, y1, x2, y2 = edges(t)
+        size = F.greatest(x2 - x1, y2 - y1, F.lit(1.0))
+        own = F.least(F.greatest(F.ceil(F.log(float(COARSER), size / CELL)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+        rows = rows.join(full, "page", "left_semi").where(size.isNotNull()).withColumn(f"{t}_level", own)
+        rows = rows.withColumn("level", F.explode(F.sequence(F.col(f"{t}_level"), F.lit(LEVELS - 1))))
+        wide = F.lit(CELL) * F.pow(F.lit(float(COARSER)), F.col("level"))
+        cells = lambda low, high: F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide)))
+        return rows.withColumn("cx", cells(x1, x2)).withColumn("cy", cells(y1, y2))
+
+    wide = F.lit(CELL) * F.pow(F.lit(float(COARSER)), F.col("level"))
+    once = (F.col("level") == F.greatest(f"{a}_level", f"{b}_level")) & (F.col("cx") == F.floor(F.greatest(ax1, bx1) / wide)) & (F.col("cy") == F.floor(F.greatest(ay1, by1) / wide))
+    many = dealt(left, a).join(dealt(right, b), ["page", "level", "cx", "cy"]).where(touch & once)
+    return few.unionByName(many.select(*few.columns))
+
+
 def overlapping(boxes: DataFrame, floor: float) -> DataFrame:
-    """page, a, b, iou of the pairs of a page's boxes, a before b, that overlap by the floor or more."""
+    """page, a, b, iou of the pairs of a page's boxes, a before b, that overlap by the floor (above zero) or more."""
     (left, p), (right, q) = _side(boxes, "a"), _side(boxes, "b")
-    return left.join(right, "page").where((F.col("a_id") < F.col("b_id")) & (iou(p, q) >= floor)).select("page", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(iou(p, q), 6).alias("iou"))
+    met = meeting(left, right, "a", "b").where((F.col("a_id") < F.col("b_id")) & (iou(p, q) >= floor))
+    return met.select("page", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(iou(p, q), 6).alias("iou"))
 
 
 def suppressed(texts: DataFrame, plates: DataFrame, overlap: float = 0.5, score: float = 0.6) -> DataFrame:
     """The texts that no plate of the score or more covers by more than the overlap."""
-    (plate, q), p = _side(plates.where(F.col("score") >= score), "p"), {c: F.col(c).cast("double") for c in CORNERS}
-    at = texts["page"] == plate["page"]
-    return texts.join(plate, at & (iou(p, q) > overlap), "left_anti")
+    (plate, q), (text_, p) = _side(plates.where(F.col("score") >= score).select("page", *CORNERS), "p"), _side(texts.select("page", *CORNERS).distinct(), "t")
+    hit = meeting(text_, plate, "t", "p").where(iou(p, q) > overlap).select("page", *(F.col(f"t_{c}").alias(c) for c in CORNERS)).distinct()
+    return texts.join(hit, ["page", *CORNERS], "left_anti").select(*texts.columns)
+
+
+def _runs(rows: DataFrame, tag: str) -> DataFrame:
+    """Characters [start, end) as boxes of no height; tag_... columns."""
+    out = rows.select("page", *(F.col(c).alias(f"{tag}_{c}") for c in rows.columns if c != "page"))
+    return out.withColumns({f"{tag}_x1": F.col(f"{tag}_start"), f"{tag}_x2": F.col(f"{tag}_end") - 1, f"{tag}_y1": F.lit(0), f"{tag}_y2": F.lit(0)})
+
+
+def sharing(spans: DataFrame, boxes: DataFrame) -> DataFrame:
+    """page, s_..., b_...: spans and boxes (page, id, start, end, ...) that share characters."""
+    return meeting(_runs(spans, "s"), _runs(boxes, "b"), "s", "b").where("s_start < b_end AND s_end > b_start")
 
 
 def covered(spans: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -51,8 +99,7 @@ def covered(spans: DataFrame, boxes: DataFrame) -> DataFrame:
 
     spans: page, id, start, end; boxes: page, id, start, end, conf.
     """
-    s = spans.select("page", F.col("id").alias("span"), F.col("start").alias("a"), F.col("end").alias("b"))
-    hit = s.join(boxes, "page").where("start < b AND end > a")
+    hit = sharing(spans, boxes).select("page", F.col("s_id").alias("span"), F.col("b_conf").alias("conf"))
     return hit.groupBy("page", "span").agg(F.count("*").alias("boxes"), F.round(F.avg("conf"), 6).alias("confidence"))
 
 
@@ -85,20 +132,26 @@ def _by_page(boxes: DataFrame, columns: list[str], fold: Callable[[list[dict]],
     return packed.mapInArrow(run, schema)
 
 
+def grouped_lines(rows: list[dict]) -> list[list[dict]]:
+    """Lines of a page from its upper one down, each from the left: in the order of (middle, x1) a box joins the first
+    line whose mean middle is near enough."""
+    found: list[list] = []  # sum of middles, sum of heights, boxes
+    for r in sorted(rows, key=lambda r: ((r["y1"] + r["y2"]) / 2, r["x1"])):
+        cy, h = (r["y1"] + r["y2"]) / 2, r["y2"] - r["y1"]
+        line = next((f for f in found if abs(cy - f[0] / len(f[2])) <= 0.5 * min(h, f[1] / len(f[2])) + 1), None)
+        if line is None:
+            found.append(line := [0.0, 0.0, []])
+        line[0], line[1] = line[0] + cy, line[1] + h
+        line[2].append(r)
+    found.sort(key=lambda f: (f[0] / len(f[2]), min(r["x1"] for r in f[2])))
+    return [sorted(f[2], key=lambda r: r["x1"]) for f in found]
+
+
 def line_groups(boxes: DataFrame) -> DataFrame:
-    """boxes with line: in the order of (middle, x1) each box joins the first line whose mean middle is near enough."""
+    """boxes with line: its number from the top of the page."""
 
     def fold(rows: list[dict]) -> list[dict]:
-        found: list[list] = []  # sum of middles, sum of heights, count
-        out = []
-        for r in sorted(rows, key=lambda r: (r["y1"] + r["y2"], r["x1"])):
-            cy, h = (r["y1"] + r["y2"]) / 2, r["y2"] - r["y1"]
-            k = next((i for i, (c, t, n) in enumerate(found) if abs(cy - c / n) <= 0.5 * min(h, t / n) + 1), len(found))
-            if k == len(found):
-                found.append([0.0, 0.0, 0])
-            found[k] = [found[k][0] + cy, found[k][1] + h, found[k][2] + 1]
-            out.append(r | {"line": k})
-        return out
+        return [r | {"line": k} for k, line in enumerate(grouped_lines(rows)) for r in line]
 
     return _by_page(boxes, [c for c in boxes.columns if c != "page"], fold, StructType([*boxes.schema.fields, StructField("line", LongType())]))
 
@@ -140,6 +193,24 @@ def similar(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= max(2, int(0.12 * longest)) and SequenceMatcher(None, a, b).ratio() >= 0.9
 
 
+def surest(rows: list[dict], overlap: float = 0.45) -> list[dict]:
+    """Readings (with _key and _full) without those that say what another says of the same spot."""
+    kept: list[dict] = []
+    for r in sorted(rows, key=lambda r: -r["conf"]):
+        at = next((i for i, o in enumerate(kept) if _overlap(r, o) > overlap and similar(r["_key"], o["_key"])), None)
+        if at is None:
+            kept.append(r)
+        elif len(r["_full"]) > len(kept[at]["_full"]) and kept[at]["_full"] in r["_full"]:
+            kept[at] = r
+    return kept
+
+
+def reading_keys(readings: DataFrame) -> DataFrame:
+    """readings with _key and _full, by which they are compared, and conf without nulls."""
+    said = F.coalesce("text", F.lit(""))
+    return readings.withColumn("_key", text.text_key(said)).withColumn("_full", F.lower(F.regexp_replace(said, r"\s+", ""))).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
+
+
 def dedupe_readings(readings: DataFrame, overlap: float = 0.45) -> DataFrame:
     """One of the readings (page, id, text, conf, corners) of a spot: the surest, unless another holds all its text and more.
 
@@ -148,45 +219,52 @@ def dedupe_readings(readings: DataFrame, overlap: float = 0.45) -> DataFrame:
     """
 
     def fold(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
-        for r in sorted(rows, key=lambda r: -r["conf"]):
-            at = next((i for i, o in enumerate(kept) if _overlap(r, o) > overlap and similar(r["_key"], o["_key"])), None)
-            if at is None:
-                kept.append(r)
-            elif len(r["_full"]) > len(kept[at]["_full"]) and kept[at]["_full"] in r["_full"]:
-                kept[at] = r
-        return [{k: v for k, v in r.items() if k not in ("_key", "_full")} for r in kept]
+        return [{k: v for k, v in r.items() if k not in ("_key", "_full")} for r in surest(rows, overlap)]
 
-    said = F.coalesce("text", F.lit(""))
-    keyed = readings.withColumn("_key", text.text_key(said)).withColumn("_full", F.lower(F.regexp_replace(said, r"\s+", ""))).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
+    keyed = reading_keys(readings)
     return _by_page(keyed, [c for c in keyed.columns if c != "page"], fold, readings.schema)
 
 
-def stitched_dates(boxes: DataFrame) -> DataFrame:
-    """page, id, text, x1, y1, x2, y2: a day and month joins the first year to its right on its baseline, once."""
+def date_halves(boxes: DataFrame) -> DataFrame:
+    """boxes with _head (a day and a month, perhaps in two languages, and no year) and _year (the year that a box may be)."""
     months = "|".join(text.MONTHS)
     kinds = boxes.withColumn("_head", F.col("text").rlike(rf"(?i)^\s*\d{{1,2}}\s*(?:{months})[A-Z]*\s*(?:[/IlL|1]?\s*(?:{months})[A-Z]*)?\s*$"))
     year = F.translate(F.trim("text"), "".join(text.YEAR.values()), "".join(d * len(x) for d, x in text.YEAR.items()))
-    kinds = kinds.withColumn("_year", F.when(F.trim("text").rlike(r"^[0-9IlOoSsZzB|]{2}(?:[0-9IlOoSsZzB|]{2})?$") & year.rlike("^[0-9]+$"), year))
-    names = ["id", "text", *CORNERS]
+    return kinds.withColumn("_year", F.when(F.trim("text").rlike(r"^[0-9IlOoSsZzB|]{2}(?:[0-9IlOoSsZzB|]{2})?$") & year.rlike("^[0-9]+$"), year))
+
+
+def joined(rows: list[dict], said: str) -> dict:
+    """One box around several, with the text and the least confidence of them."""
+    a, b, c, d = min(r["x1"] for r in rows), min(r["y1"] for r in rows), max(r["x2"] for r in rows), max(r["y2"] for r in rows)
+    box = rows[0] | {"text": said, "x1": a, "y1": b, "x2": c, "y2": d}
+    if "conf" in box:
+        box["conf"] = min(r["conf"] for r in rows)
+    if "poly" in box:
+        box["poly"] = [[a, b], [c, b], [c, d], [a, d]]
+    return box
+
+
+def with_years(rows: list[dict]) -> list[dict]:
+    """Boxes (with _head and _year): a day and month joins the first year to its right on its baseline, once."""
+    rows, used, out = sorted(rows, key=lambda r: (round((r["y1"] + r["y2"]) / 2), r["x1"])), set(), []
+    for i, r in enumerate(rows):
+        if i in used:
+            continue
+        for j in range(i + 1, len(rows)) if r["_head"] else ():
+            o = rows[j]
+            h, gap = (r["y2"] - r["y1"], o["y2"] - o["y1"]), o["x1"] - r["x2"]
+            if j not in used and o["_year"] and min(r["y2"], o["y2"]) - max(r["y1"], o["y1"]) >= 0.45 * max(1.0, min(h)) and -2 <= gap <= 6 * max(h):
+                used.add(j)
+                r = joined([r, o], f"{r['text']} {o['_year']}")
+                break
+        out.append(r)
+    return out
 
-    def fold(rows: list[dict]) -> list[dict]:
-        rows, used, out = sorted(rows, key=lambda r: (round((r["y1"] + r["y2"]) / 2), r["x1"])), set(), []
-        for i, r in enumerate(rows):
-            if i in used:
-                continue
-            box = {n: r[n] for n in names}
-            for j in range(i + 1, len(rows)) if r["_head"] else ():
-                o = rows[j]
-                h, gap = (r["y2"] - r["y1"], o["y2"] - o["y1"]), o["x1"] - r["x2"]
-                if j not in used and o["_year"] and min(r["y2"], o["y2"]) - max(r["y1"], o["y1"]) >= 0.45 * max(1.0, min(h)) and -2 <= gap <= 6 * max(h):
-                    used.add(j)
-                    box |= {"text": f"{r['text']} {o['_year']}", "x1": min(r["x1"], o["x1"]), "y1": min(r["y1"], o["y1"]), "x2": max(r["x2"], o["x2"]), "y2": max(r["y2"], o["y2"])}
-                    break
-            out.append(box)
-        return out
-
-    return _by_page(kinds, [*names, "_head", "_year"], fold, StructType([boxes.schema[n] for n in ("page", *names)]))
+
+def stitched_dates(boxes: DataFrame) -> DataFrame:
+    """page, id, text, x1, y1, x2, y2: a day and month joins the first year to its right on its baseline, once."""
+    names = ["id", "text", *CORNERS]
+    return _by_page(date_halves(boxes), [*names, "_head", "_year"], lambda rows: [{n: r[n] for n in names} for r in with_years(rows)], StructType([boxes.schema[n] for n in ("page", *names)]))
 
 
 def sub_polygon(corners: Column, first: Column, last: Column, n: Column, pad: float = 0.05) -> Column:
@@ -247,9 +325,10 @@ def inside(polygon: Column, x: Column, y: Column) -> Column:
 
 def picked(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """page, point, id: the smallest box that holds each point (page, point, x, y)."""
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    hit = points.join(boxes, "page").where("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")
-    return hit.groupBy("page", "point").agg(F.min(F.struct(area.alias("area"), "id"))["id"].alias("id"))
+    at = points.select("page", F.col("point").alias("p_point"), F.col("x").alias("p_x1"), F.col("y").alias("p_y1"), F.col("x").alias("p_x2"), F.col("y").alias("p_y2"))
+    hit = meeting(at, _side(boxes, "b")[0], "p", "b")
+    area = (F.col("b_x2") - F.col("b_x1")) * (F.col("b_y2") - F.col("b_y1"))
+    return hit.groupBy("page", F.col("p_point").alias("point")).agg(F.min(F.struct(area.alias("area"), F.col("b_id").alias("id")))["id"].alias("id"))
 
 
 def layout_blocks(layouts: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -40,3 +40,38 @@ def confident(readings: DataFrame, floor: float = 0.2, long_code: int = 15) -> D
 def shifted(readings: DataFrame, dx: float, dy: float) -> DataFrame:
     """Readings of a crop in the coordinates of the frame."""
     return readings.withColumn("poly", F.transform("poly", lambda p: F.array(p[0] + dx, p[1] + dy)))
+
+
+def framed(readings: DataFrame) -> DataFrame:
+    """Readings (page, id, poly, text, conf) in the frame's coordinates, from readings with the frame of their crop.
+
+    crop: struct<dx, dy, scale, matrix>: where the crop begins in the frame, how much it was enlarged before it was read,
+    and null or a 2 x 3 matrix that takes the frame to it. A point is divided by the scale, then moved; a matrix is undone first.
+    """
+    c, m = F.col("crop"), F.col("crop.matrix")
+    det = m[0][0] * m[1][1] - m[0][1] * m[1][0]
+
+    def at(p):
+        u, v = p[0] - m[0][2], p[1] - m[1][2]
+        x = F.when(m.isNull(), p[0]).otherwise((m[1][1] * u - m[0][1] * v) / det)
+        y = F.when(m.isNull(), p[1]).otherwise((m[0][0] * v - m[1][0] * u) / det)
+        return F.array(x / F.coalesce(c["scale"], F.lit(1.0)) + F.coalesce(c["dx"], F.lit(0.0)), y / F.coalesce(c["scale"], F.lit(1.0)) + F.coalesce(c["dy"], F.lit(0.0)))
+
+    return readings.withColumn("poly", F.transform("poly", at)).drop("crop")
+
+
+def united(*reads: DataFrame) -> DataFrame:
+    """All readings of pages, of whole frames and of crops of them, in frame coordinates; ids are new ones by page.
+
+    Each: page, poly, text, conf, and crop where it is of one. Their order, and the place in each, is that of the ids.
+    """
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    def one(k: int, r: DataFrame) -> DataFrame:
+        return (framed(r) if "crop" in r.columns else r).select("page", F.lit(k).alias("read"), F.col("poly").cast("array<array<double>>").alias("poly"), "text", F.col("conf").cast("double").alias("conf"))
+
+    rows = reduce(DataFrame.unionByName, (one(k, r) for k, r in enumerate(reads)))
+    w = Window.partitionBy("page").orderBy("read", F.element_at("poly", 1)[1], F.element_at("poly", 1)[0], "text", "conf")
+    return rows.withColumn("id", F.row_number().over(w).cast("long")).select("page", "id", "poly", "text", "conf")
