@@ -147,3 +147,23 @@ def manual_regions(detections: DataFrame, regions: DataFrame, least: int = 12) -
     no = F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("page").orderBy("x1", "y1", "x2", "y2"))
     row = {"id": no.cast(detections.schema["id"].dataType), "type": F.lit("manual"), "entity": F.lit("CUSTOM"), "score": F.lit(1.0), "masked": F.lit(True)}
     return detections.unionByName(own.select("page", *(c.alias(n) for n, c in row.items()), *(n for n in ("x1", "y1", "x2", "y2") if n in detections.columns)), allowMissingColumns=True)
+
+
+#: What a log record can hold.
+LOG = "entity string, action string, message string, confidence double, detection_id long"
+
+
+def decoded(record: Column) -> Column:
+    """A log record's JSON text as struct<LOG, status>: read by the schema; what is no JSON object is a message of the system.
+
+    status is read, partial (a field has another type, and is null) or foreign. Unknown fields are dropped; a null
+    record is a foreign one with a null message.
+    """
+    whole = F.from_json(record, f"{LOG}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    fits = F.coalesce(F.trim(record).startswith("{") & F.try_parse_json(record).isNotNull(), F.lit(False))
+    names = [c.split()[0] for c in LOG.split(", ")]
+    fallback = {"entity": F.lit("system"), "action": F.lit("info"), "message": record}
+    kinds = dict(c.split() for c in LOG.split(", "))
+    own = F.struct(*(whole[n].alias(n) for n in names), F.when(whole["_broken"].isNull(), "read").otherwise("partial").alias("status"))
+    other = F.struct(*(fallback.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names), F.lit("foreign").alias("status"))
+    return F.when(fits, own).otherwise(other)

@@ -212,3 +212,17 @@ def deskew_inverse(spark, sf_dir):
 def face_boxes(spark, sf_dir):
     b = tables.derived(spark, sf_dir, tables.BOXES)
     return b.select("page", "id", *geometry.face_box({c: F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")}, F.lit(320), F.lit(45)))
+
+
+#: Records of events: whole, with an unknown field, with a word for a number, cut short, a text, a list, none.
+_RECORDS = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN concat('{"entity": "text", "action": "kept", "confidence": 0.5, "detection_id": ', CAST(event_id AS VARCHAR(20)), '}') WHEN 1 THEN concat('{"entity": "face", "more": [1, {"a": 2}], "message": "m', CAST(event_id AS VARCHAR(20)), '"}')
+  WHEN 2 THEN '{"entity": "plate", "detection_id": "seven"}' WHEN 3 THEN '{"entity": "plate", "det' WHEN 4 THEN 'started' WHEN 5 THEN '[{"entity": "text"}]' END AS record FROM events"""
+
+
+@query(f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'text' WHEN 1 THEN 'face' WHEN 2 THEN 'plate' ELSE 'system' END AS entity, CASE WHEN event_id % 7 = 0 THEN 'kept' WHEN event_id % 7 >= 3 THEN 'info' END AS action,
+  CASE WHEN event_id % 7 = 1 THEN json_extract_string(record, '$.message') WHEN event_id % 7 >= 3 THEN record END AS message, CASE WHEN event_id % 7 = 0 THEN 0.5::DOUBLE END AS confidence, CASE WHEN event_id % 7 = 0 THEN event_id END AS detection_id,
+  CASE WHEN json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record END) = 'OBJECT' THEN CASE WHEN event_id % 7 = 2 THEN 'partial' ELSE 'read' END ELSE 'foreign' END AS status FROM ({_RECORDS}) r""")
+def log_records(spark, sf_dir):
+    """Log records read by their schema, with broken, partial and foreign ones among them."""
+    r = tables.over(spark, sf_dir, "events", _RECORDS)
+    return r.select("event_id", govern.decoded(F.col("record")).alias("d")).select("event_id", "d.*")

@@ -21,6 +21,84 @@ def read(spark: SparkSession, path: str, most: int = 60_000_000) -> DataFrame:
     return rows.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data").where(F.col("height").cast("long") * F.col("width") <= most)
 
 
+def orientation(head: bytes) -> int:
+    """The orientation (1 to 8) that a file's first bytes tell: tag 0x0112 of the EXIF record of a JPEG or PNG file; 1 where
+    there is none, or no whole one."""
+    tiff = b""
+    if head[:2] == b"\xff\xd8":  # segments: marker, size, data
+        at = 2
+        while at + 4 <= len(head) and head[at] == 0xFF and head[at + 1] not in (0xD9, 0xDA):
+            size = int.from_bytes(head[at + 2 : at + 4], "big")
+            if head[at + 1] == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
+                tiff = head[at + 10 : at + 2 + size]
+                break
+            at += 2 + max(2, size)
+    elif head[:8] == b"\x89PNG\r\n\x1a\n":  # chunks: size, kind, data, check
+        at = 8
+        while at + 8 <= len(head):
+            size, kind = int.from_bytes(head[at : at + 4], "big"), head[at + 4 : at + 8]
+            if kind in (b"eXIf", b"IDAT"):
+                tiff = head[at + 8 : at + 8 + size] if kind == b"eXIf" else b""
+                break
+            at += 12 + size
+    order = {b"II*\0": "little", b"MM\0*": "big"}.get(tiff[:4])
+    if order is None:
+        return 1
+    number = lambda a, n: int.from_bytes(tiff[a : a + n], order)
+    first = number(4, 4)
+    for at in range(first + 2, min(first + 2 + 12 * number(first, 2), len(tiff) - 11), 12):
+        if number(at, 2) == 0x0112:
+            return number(at + 8, 2) if number(at + 2, 2) == 3 and 1 <= number(at + 8, 2) <= 8 else 1
+    return 1
+
+
+def upright(pixels: np.ndarray, turn: int) -> np.ndarray:
+    """Pixels (height, width, channels) as they are to be seen, by the orientation of their file."""
+    if turn >= 5:
+        pixels = pixels.transpose(1, 0, 2)
+    # what is left, beside the exchange of rows and columns: which of the two sides run backwards
+    down, across = {1: (0, 0), 2: (0, 1), 3: (1, 1), 4: (1, 0), 5: (0, 0), 6: (0, 1), 7: (1, 1), 8: (1, 0)}[turn]
+    return pixels[:: -1 if down else 1, :: -1 if across else 1]
+
+
+SCANNED = "path string, status string, message string, height int, width int, channels int, data binary"
+#: Bytes of a file in which its orientation is looked for.
+HEAD = 1 << 16
+
+
+def scan(spark: SparkSession, path: str, most: int = 60_000_000) -> DataFrame:
+    """SCANNED: a row for each file under a path, upright, in BGR; gray and transparent images become BGR too.
+
+    status: ok; broken (no image, or not a whole one: no pixels); oversized (more than `most` pixels: sizes, no pixels).
+    Spark lists no files without a byte, so those have no row.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEAD).alias("head"))
+    rows = spark.read.format("image").option("ignoreCorruptFiles", True).load(path).select("image.*").where("height > 0 AND width > 0")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    both = files.withColumn("key", plain("path")).join(rows.select(plain("origin").alias("key"), "height", "width", "nChannels", "data"), "key", "left")
+    big = F.col("height").cast("long") * F.col("width") > most
+    both = both.select("path", "head", "height", "width", "nChannels", F.when(~big, F.col("data")).alias("data"), F.when(F.col("height").isNull(), "broken").when(big, "oversized").otherwise("ok").alias("status"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                row = {"path": r["path"], "status": r["status"], "message": None, "height": r["height"], "width": r["width"], "channels": None, "data": None}
+                turn = orientation(r["head"] or b"")
+                if r["status"] == "broken":
+                    row["message"] = "Unable to decode image"
+                elif r["status"] == "oversized":
+                    row["message"] = f"Image is too large ({r['width']}x{r['height']} px)"
+                else:
+                    x = upright(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"]), turn)
+                    x = np.repeat(x, 3, axis=2) if x.shape[2] == 1 else x[:, :, :3]
+                    row |= {"height": x.shape[0], "width": x.shape[1], "channels": 3, "data": np.ascontiguousarray(x).tobytes()}
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("status", pa.string()), ("message", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())]))
+
+    return both.mapInArrow(run, SCANNED)
+
+
 def statistics(pixels: DataFrame, key: str = "image") -> DataFrame:
     """key, luminance, contrast, sharpness, white (above 200), bright (above 185), skin: of pixels (key, x, y, r, g, b).
 
