@@ -46,7 +46,7 @@ OFF = frozenset("ad ads advert adverts advertisement advertising banner breadcru
 #: Words before and after these that name a place or part: site-footer, sidebar-left. A token with any other word, as
 #: has-sidebar, comments-open, article-header or form-page, marks nothing.
 BEFORE = frozenset("bottom desktop global google left main mobile primary right secondary site sticky sub top".split())
-AFTER = frozenset("area bar block body bottom box container content footer header inner item left list main section text top right unit wrap wrapper".split())
+AFTER = frozenset("area bar block body bottom box buttons container content footer header icons inner item left links list main section text top right unit wrap wrapper".split())
 #: Bytes of all hosts' winning paths up to which they are sent to every task; beyond, parts that a host's pages are dealt to.
 BROADCAST, SALTS = 16 << 20, 32
 #: An open paragraph ends where one of these begins.
@@ -135,9 +135,11 @@ def _read(page: str, keep: frozenset[int]) -> tuple[list[Block], dict[int, list[
     out: list[Block] = []
     tree = Containers()
     held: dict[int, list[int]] = {}
-    articles = 0
+    articles = mains = 0
     stack: list[tuple[str, int]] = []  # (tag, 0 or where it began if it is skipped with what is inside)
-    aside: dict[int, bool] = {}  # by where a skipped element began, whether it keeps articles apart
+    aside: dict[int, tuple[bool, int, int]] = {}  # by where a skipped element began: whether it keeps articles apart, articles and mains before it
+    places: dict[str, list[int]] = {}  # by tag, where open elements of it stand in the stack
+    open_blocks: list[int] = []  # and those of BLOCK
     path: list[tuple[int, int]] = [(-1, 0)]  # (depth in stack, container)
     buffer: list[str] = []
     state = {"link": 0, "linked": 0, "skip": 0}
@@ -153,22 +155,25 @@ def _read(page: str, keep: frozenset[int]) -> tuple[list[Block], dict[int, list[
     def close(depth: int) -> None:
         while len(stack) > depth:
             tag, off = stack.pop()
+            places[tag].pop()
             if tag in BLOCK:
+                open_blocks.pop()
                 flush()
             if tag == "a":
                 state["link"] -= 1
             if off:
                 state["skip"] -= 1
+                apart, some, more = aside[off]
+                if articles > some or mains > more:
+                    held[off] = [apart, articles - some, mains - more]
             if path[-1][0] == len(stack):
                 path.pop()
 
     def last(tags: frozenset | set, until: frozenset = frozenset()) -> int | None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in until:
-                return None
-        return None
+        """Where the innermost open element of some tags stands, unless one of the others stands within it."""
+        top = lambda some: max((places[t][-1] for t in some if places.get(t)), default=-1)
+        i = top(tags)
+        return i if i >= 0 and i > top(until - tags) else None
 
     at, n = 0, len(page)
     while at < n:
@@ -187,14 +192,14 @@ def _read(page: str, keep: frozenset[int]) -> tuple[list[Block], dict[int, list[
                 buffer.append(" ")
             elif tag == "p" and last({"p"}) is None:
                 flush()
-            elif tag in BLOCK or not (BLOCK & {t for t, _ in stack[(last({tag}) or 0) + 1 :]}):
+            elif tag in BLOCK or not open_blocks or open_blocks[-1] <= (last({tag}) or 0):
                 i = last({tag})
                 if i is not None:
                     close(i)
         elif m[2]:
             tag, rest = m[2].lower(), m[3] or ""
             if tag in RAW:
-                if not rest.rstrip().endswith("/"):
+                if tag != "svg" or not rest.rstrip().endswith("/"):  # only foreign elements can close themselves
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                     at = end.end() if end else n
                 continue
@@ -223,18 +228,19 @@ def _read(page: str, keep: frozenset[int]) -> tuple[list[Block], dict[int, list[
             off = ((off and tag not in ("html", "body", "article", "main")) or tag in SKIPPED) and at not in keep
             if tag in ("article", "main"):
                 articles += tag == "article"
-                for _, begun in stack:
-                    if begun:
-                        held.setdefault(begun, [aside[begun], 0, 0])[1 if tag == "article" else 2] += 1
+                mains += tag == "main"
             if off and not state["skip"] and tag in BLOCK:
                 flush()
             if off:
                 state["skip"] += 1
-                aside[at] = apart or tag in APART_TAGS
+                aside[at] = apart or tag in APART_TAGS, articles, mains
             if tag == "a":
                 state["link"] += 1
             if tag in CONTAINER:
                 path.append((len(stack), tree.child(path[-1][1], f"{tag}.{cls}" if cls else tag)))
+            if tag in BLOCK:
+                open_blocks.append(len(stack))
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, at if off else 0))
     close(0)
     flush()
