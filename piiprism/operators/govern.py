@@ -44,6 +44,26 @@ def summary(detections: DataFrame) -> DataFrame:
     )
 
 
+def page_summary(detections: DataFrame) -> DataFrame:
+    """page, entity, n, mean_score, ids (ascending): the detections of each kind on a page."""
+    return detections.groupBy("page", "entity").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+#: The fields that two zones of a page are compared by, in the order in which they are named.
+FIELDS = {"PERSON": "Person Name", "ID_NUMBER": "Passport / ID Number", "DATE": "Date", "DATE_OF_BIRTH": "Date of Birth"}
+
+
+def field_labels(matched: DataFrame) -> DataFrame:
+    """page, labels: the labels of a page's fields (page, id, entity, label), each once: those of FIELDS in its order, then
+    others in the order of their first id."""
+    known = F.create_map(*(F.lit(x) for pair in FIELDS.items() for x in pair))
+    rank = F.create_map(*(F.lit(x) for k, e in enumerate(FIELDS) for x in (e, k)))
+    own = F.coalesce(F.try_element_at(known, F.col("entity")), F.col("label"))
+    first = F.struct(F.coalesce(F.try_element_at(rank, F.col("entity")), F.lit(len(FIELDS))).alias("rank"), F.when(~F.col("entity").isin(*FIELDS), F.col("id")).alias("id"))
+    each = matched.groupBy("page", own.alias("name")).agg(F.min(first).alias("first"))  # a page has few labels
+    return each.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]), ", ").alias("labels"))
+
+
 def mask_all(detections: DataFrame) -> DataFrame:
     """All go masked, unless all are: then none."""
     from pyspark.sql import Window

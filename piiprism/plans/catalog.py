@@ -471,4 +471,4 @@ def dp_pix_block_means(spark, sf_dir):
     px = tables.table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 128 AS x", "l_suppkey % 64 AS y", "l_quantity AS v")
     return govern.block_means(px, 16)
 
-from . import pages, readings, verdicts  # noqa: E402, F401  (register their queries here)
+from . import pages, readings, regions, verdicts  # noqa: E402, F401  (register their queries here)
