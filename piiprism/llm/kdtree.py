@@ -7,7 +7,8 @@ order of the bound, and stops at the first that cannot beat its k-th score (or t
 scores are propagated from shard to shard of a lane, so later shards open few boxes.
 
 Vectors are kept as integers, floor(scale * x) of each component as a double, and scores are exact integers: sums that
-could pass 2^53 are taken in whole numbers (the components themselves are exact below 2^53).
+could pass 2^53 are taken in whole numbers (the components themselves are exact below 2^53). A score beyond 64 bits is
+the least or highest 64-bit number; among those of one lane the true scores decide, between lanes the ids.
 
 Nulls: vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null id.
 Vectors of another length than the query's are no candidates of it. Ties go to the smaller id. Repeated ids are rows of their
@@ -29,6 +30,8 @@ LEAF = 64
 #: Vectors of a shard, about.
 SHARD_ROWS = 4096
 SCALE = 1024
+#: Scores are 64-bit numbers.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -114,7 +117,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
             best: list[tuple[int, int]] = []
             for tree in trees:
                 best = tree.search(q, own, k, best)
-            yield from ((own, -n, s) for s, n in best)
+            yield from ((own, -n, min(max(s, LEAST), MOST)) for s, n in best)
 
     rows = lanes.meet(base, asked, base.count(), SHARD_ROWS)
     found = lanes.answered(rows, lambda r, ids, x: Tree(ids, x), search, "long")

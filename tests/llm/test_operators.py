@@ -597,6 +597,14 @@ def test_sums_beyond_doubles_stay_exact():
         assert best == want
 
 
+def test_scores_beyond_64_bits(spark):
+    big = float(2**40)
+    rows = [(100, [big] * 6), (1, [big] * 6), (2, [-big] * 6), (3, [1.0] * 6), (4, [big / 2] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in kdtree.top_k(v, v.where("vec_id = 100"), 4).collect()]
+    assert sorted(got) == [(1, 1, 2**63 - 1), (2, 4, 2**63 - 1), (3, 3, 6 * 2**60), (4, 2, -(2**63))]
+
+
 def test_recall_of_neighbours(spark):
     sf = "/root/testdata/sf0.1"
     v = {r["vec_id"]: np.array(r["embedding"], float) for r in common.table(spark, sf, "embeddings").collect()}
