@@ -63,11 +63,11 @@ def find_pii(docs: DataFrame, key: str = "doc_id", column: str = "text", entitie
     entities: the ones to keep, chosen before the merge; names: the row patterns to use. A null text has no spans.
     """
     t = texts.fold_digits(F.col(column))
-    read = docs.select(key, column, F.sha2(t, 256).alias("k"), recognize.all_spans(t, names).alias("found"))
+    # patterns cost the most by far: they are matched once for all that reads their spans
+    read = lineage.cut(docs.select(key, column, F.sha2(t, 256).alias("k"), recognize.all_spans(t, names).alias("found")))
     people = F.transform(F.filter("found", lambda s: s["entity"] == "PERSON"), lambda s: F.substring(t, s["start"] + 1, s["end"] - s["start"]))
     anchors = F.transform(F.filter("found", lambda s: s["entity"].isin("PHONE", "EMAIL")), lambda s: s["start"])
     some = read.where(F.col("k").isNotNull()).select("k", t.alias("text"), people.alias("people"), anchors.alias("anchors")).dropDuplicates(["k"])
-    some = lineage.cut(some)  # lines are read several ways; patterns must not be matched again for each
     both = read.join(line_spans(some), "k", "left")
     every = F.concat("found", F.coalesce("said", F.array().cast(recognize.SPAN)))
     kept = F.filter(every, lambda s: ~F.exists(F.coalesce("headers", F.array().cast("array<struct<start:int,end:int>>")), lambda h: (h["start"] <= s["start"]) & (s["end"] <= h["end"])))
