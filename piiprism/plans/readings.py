@@ -168,13 +168,19 @@ def name_coreference(spark, sf_dir):
     return lines.coreference(docs, names).select("doc_id", "name", F.col("n").cast("int").alias("n"))
 
 
-@query("""WITH f AS (SELECT o_orderkey AS page, 2 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS compared, 2 AS matched, o_orderkey % 4 = 0 AND o_orderkey % 7 <> 0 AS valid FROM orders WHERE o_orderkey % 11 <> 0),
+_PRINTED = "concat('14 ', CASE o_orderkey % 4 WHEN 0 THEN 'JAN /JANV' WHEN 1 THEN 'dec' WHEN 2 THEN 'Lot' ELSE 'Aout' END, ' ', CAST(1950 + o_orderkey % 50 AS VARCHAR(9)))"
+
+
+@query(f"""WITH z AS (SELECT d.o_orderkey, d.line, o_custkey, regexp_replace(d.line, '[^0-9]', '', 'g') AS digits, CASE d.o_orderkey % 4 WHEN 0 THEN '01' WHEN 1 THEN '12' WHEN 2 THEN CAST(50 + d.o_orderkey % 50 AS VARCHAR) ELSE '08' END AS month, CAST(50 + d.o_orderkey % 50 AS VARCHAR) AS year
+    FROM ({_DATA}) d JOIN orders o ON o.o_orderkey = d.o_orderkey),
+  f AS (SELECT o_orderkey AS page, 3 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS compared,
+    2 + CASE WHEN contains(digits, month) AND contains(digits, year) THEN 1 ELSE 0 END AS matched, o_orderkey % 4 = 0 AND o_orderkey % 7 <> 0 AS valid FROM z WHERE o_orderkey % 11 <> 0),
   c AS (SELECT *, round(CASE WHEN valid THEN 0.994::DOUBLE * matched / compared ELSE least(0.994::DOUBLE * matched / compared, 0.55::DOUBLE) END, 3) AS consistency FROM f)
   SELECT *, CASE WHEN consistency >= 0.9 THEN 'APPROVED' ELSE 'REVIEW' END AS verdict FROM c""")
 def mrz_cross_zone(spark, sf_dir):
-    """Printed fields against the machine-readable zones of their pages: numbers and dates that agree, some fields that don't."""
+    """Printed fields against the machine-readable zones of their pages: numbers, names and dates that agree, some that don't."""
     zones = _planted(spark, sf_dir, _DATA).select(F.col("o_orderkey").alias("page"), text.mrz_compact(F.col("line")).alias("compact"))
-    fields = _planted(spark, sf_dir, """SELECT o_orderkey AS page, stack(4, 'ID_NUMBER', lpad(CAST(o_orderkey AS STRING), 9, '8'), 'DATE', lpad(CAST(o_custkey AS STRING), 6, '7'),
+    fields = _planted(spark, sf_dir, f"""SELECT o_orderkey AS page, stack(5, 'ID_NUMBER', lpad(CAST(o_orderkey AS STRING), 9, '8'), 'DATE', {_PRINTED}, 'PERSON', 'Uto',
       'ID_NUMBER', if(o_orderkey % 3 = 0, 'X-1234567', ''), 'PERSON', if(o_orderkey % 5 = 0, 'Nobody', '')) AS (entity, value) FROM orders WHERE o_orderkey % 11 <> 0""")
     out = lines.cross_zone(fields, zones).withColumnRenamed("check", "valid")
     return out.withColumn("compared", F.col("compared").cast("int")).withColumn("matched", F.col("matched").cast("int"))
