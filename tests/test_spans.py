@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,7 +59,9 @@ def test_offsets_equal_re(spark, sf):
     for rule, entity in (("ipv4", "IP_ADDRESS"), ("long_number", "ID_NUMBER"), ("email", "EMAIL")):
         got = {(r["doc_id"], r["start"], r["end"]) for r in recognize.exploded(docs, [rule]).collect()}
         pattern = re.compile(recognize.BY_NAME[rule].pattern)
-        want = {(d, m.start(), m.end()) for d, t in texts.items() for m in pattern.finditer(t)}
+        # dates and addresses of hosts are no long numbers
+        other = re.compile(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|\d{4}[/.-]\d{1,2}[/.-]\d{1,2}|\d{1,3}(\.\d{1,3}){3}") if rule == "long_number" else re.compile("(?!)")
+        want = {(d, m.start(), m.end()) for d, t in texts.items() for m in pattern.finditer(t) if not other.fullmatch(m[0])}
         assert got <= want if rule == "ipv4" else got == want, entity
 
 
@@ -95,3 +98,29 @@ def test_redaction_leaves_nothing(spark):
     t = F.col("t")
     df = spark.createDataFrame([("mail a.b@c.org, ip 10.0.0.1 now",)], "t string")
     assert df.select(spans.redact(t, spans.merge(recognize.all_spans(t, ["email", "ipv4"])))).first()[0] == "mail [EMAIL], ip [IP_ADDRESS] now"
+
+
+def test_merge_of_many_spans_equals_the_fold_in_linear_time(spark):
+    rng, known = random.Random(1), list(ENTITIES)
+
+    def fold(rows):
+        out = []
+        for s in sorted(rows, key=lambda s: (s[0], -s[1])):
+            last = out[-1] if out else None
+            if last and s[0] < last[1]:
+                mine, other = ENTITIES[s[2]][1], ENTITIES[last[2]][1]
+                wins = mine > other or (mine == other and s[3] > last[3])
+                out[-1] = (last[0], max(last[1], s[1]), s[2] if wins else last[2], max(last[3], s[3]), s[4] if wins else last[4])
+            else:
+                out.append(tuple(s))
+        return out
+
+    rows = [(i, [(a := rng.randrange(n * 4), a + rng.randrange(1, 9), rng.choice(known), rng.random(), f"s{rng.randrange(3)}") for _ in range(n)]) for i, n in enumerate((0, 1, 5, 255, 256, 257, 600, 3000))]
+    frame = spark.createDataFrame(rows, "i int, s " + spans.SPAN)
+    got = {r["i"]: [tuple(s) for s in r["m"]] for r in frame.select("i", spans.merge(F.col("s")).alias("m")).collect()}
+    assert all(got[i] == fold(s) for i, s in rows)
+    one = lambda i: F.struct((i * 7).cast("int").alias("start"), (i * 7 + F.when(i % 3 == 0, 9).otherwise(5)).cast("int").alias("end"), F.lit("EMAIL").alias("entity"), F.lit(0.5).alias("score"), F.lit("p").alias("source"))
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(100_000)), one).alias("s"))
+    began = time.time()
+    assert many.select(F.size(spans.merge(F.col("s"))).alias("n")).first()["n"] == 66_667
+    assert time.time() - began < 60
