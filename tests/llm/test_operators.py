@@ -103,7 +103,7 @@ def test_forms_outside_the_training_examples(docs, tagger):
             rows.append((lead + span + " " + " ".join(pick(words) for _ in range(15)), (kind, len(lead), len(lead + span))))
         hits.append(sum(want in pii.found_spans(text, tagged)[1] for (text, want), tagged in zip(rows, tagger.tag([t for t, _ in rows]), strict=True)) / 25)
     print([round(h, 2) for h in hits])
-    assert np.mean(hits) >= 0.6  # README gives what was measured
+    assert np.mean(hits) >= 0.75  # 0.84 was measured
 
 
 def test_query_of_personal_data_keeps_its_contract(spark, sf, docs, monkeypatch, tagger):
