@@ -16,7 +16,7 @@ MONTHS = "JAN FEB FEV FÉV MAR APR AVR MAY MAI JUN JUI JUL AUG AOU SEP OCT OKT N
 
 
 def fold_digits(text: Column) -> Column:
-    return F.translate(text, EASTERN, ASCII)
+    return F.when(text.rlike(f"[{EASTERN}]"), F.translate(text, EASTERN, ASCII)).otherwise(text)
 
 
 def numeric_view(text: Column) -> Column:
@@ -45,7 +45,7 @@ def strip_accents(text: Column) -> Column:
     """Latin letters without their marks (precomposed letters of Latin-1 and Latin Extended-A, and loose marks)."""
     marked = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
     plain = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcCcCcDdEeEeEeEeEeGgGgGgGgHhIiIiIiIiIJjKkLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzZz"
-    return F.regexp_replace(F.translate(text, marked, plain), r"\p{M}", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, marked, plain), r"\p{M}", "")).otherwise(text)
 
 
 def fold_word(text: Column) -> Column:

@@ -32,29 +32,33 @@ def occurrences(t: Column, name: Column) -> Column:
 
 
 def line_spans(docs: DataFrame) -> DataFrame:
-    """k, said (spans), headers (start, end): of each text (k, text, people, anchors) that has any."""
+    """k, said (spans), headers (start, end), names (persons): of each text (k, text, anchors) that has any."""
     rows = lines.lines(docs, "k")
-    values = lines.header_values(rows, "k").select("k", _span(F.col("start"), F.col("end"), F.col("entity"), HEADER, "header_pair").alias("s"))
-    zone = lines.mrz_lines(rows, "k")
+    # every line is looked at once, and only lines that say something are kept for what follows
+    marked = lines.with_next(rows, "k").withColumn("bare", F.col("line").rlike(lines.BARE_NAME)).withColumn("zone", lines.mrz_kind(F.col("line")).isNotNull())
+    marked = lineage.cut(marked.where("kind IS NOT NULL OR bare OR zone"))
+    values = lines.header_values(marked, "k").select("k", _span(F.col("start"), F.col("end"), F.col("entity"), HEADER, "header_pair").alias("s"), "value")
+    zone = lines.mrz_lines(marked.where("zone").select("k", "line_no", "start", "line"), "k")
     zones = zone.select("k", _span(F.col("start"), F.col("end"), F.lit("MRZ"), ZONE, "mrz").alias("s"))
-    echoes = lines.zone_echoes(docs, lines.zone_fields(zone, "k"), "k").select("k", _span(F.col("start"), F.col("end"), F.col("entity"), ECHO, "mrz_coref").alias("s"))
-    near = lines.contact_names(rows, docs.select("k", F.explode("anchors").alias("start")), "k")
-    contacts = near.select("k", _span(F.col("start"), F.col("start") + F.length("value"), F.lit("PERSON"), CONTACT, "context").alias("s"))
-    heads = rows.where(lines.header_kind(F.col("line")).isNotNull()).select("k", F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.length("line")).cast("int").alias("end")).alias("h"))
-    # full names of the text, wherever they came from, and all places where they stand
-    people = docs.select("k", F.explode("people").alias("name")).unionByName(near.select("k", F.col("value").alias("name")))
-    said_names = values.unionByName(echoes).where("s.entity = 'PERSON'").join(docs.select("k", "text"), "k").select("k", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("name"))
-    people = people.unionByName(said_names)
-    own = people.where("length(name) >= 4 AND name LIKE '% %'").groupBy("k").agg(F.collect_set("name").alias("names"))
-    again = docs.join(own, "k").select("k", "text", F.explode("names").alias("name")).select("k", F.length("name").alias("n"), F.explode(occurrences(F.col("text"), F.col("name"))).alias("at"))
-    repeated = again.select("k", _span(F.col("at"), F.col("at") + F.col("n"), F.lit("PERSON"), REPEATED, "coreference").alias("s"))
+    echoes = lines.zone_echoes(docs, lines.zone_fields(zone, "k"), "k").select("k", _span(F.col("start"), F.col("end"), F.col("entity"), ECHO, "mrz_coref").alias("s"), "value")
+    near = lines.contact_names(rows, docs.select("k", F.explode("anchors").alias("start")), "k", bare=marked.where("bare").select("k", "line_no", "start", "line"))
+    contacts = near.select("k", _span(F.col("start"), F.col("start") + F.length("value"), F.lit("PERSON"), CONTACT, "context").alias("s"), "value")
+    heads = marked.where("kind IS NOT NULL").select("k", F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.length("line")).cast("int").alias("end")).alias("h"))
     none = F.lit(None)
-    all_ = [x.select("k", "s", none.cast("struct<start:int,end:int>").alias("h")) for x in (values, zones, echoes, contacts, repeated)] + [heads.select("k", none.cast(_ITEM).alias("s"), "h")]
+    named = F.when(F.col("s.entity") == "PERSON", F.col("value")).alias("name")
+    all_ = [x.select("k", "s", none.cast("struct<start:int,end:int>").alias("h"), named) for x in (values, echoes, contacts)]
+    all_ += [zones.select("k", "s", none.cast("struct<start:int,end:int>").alias("h"), none.cast("string").alias("name")), heads.select("k", none.cast(_ITEM).alias("s"), "h", none.cast("string").alias("name"))]
     out = all_[0]
     for x in all_[1:]:
         out = out.unionByName(x)
-    # the order of the union is that of the spans: ties of a merge must not depend on the shuffle
-    return out.groupBy("k").agg(F.array_sort(F.collect_list("s")).alias("said"), F.collect_list("h").alias("headers"))
+    return out.groupBy("k").agg(F.collect_list("s").alias("said"), F.collect_list("h").alias("headers"), F.collect_set("name").alias("names"))
+
+
+def repeated(t: Column, names: Column) -> Column:
+    """Spans of full names of the text, wherever they came from, at all places where they stand."""
+    own = F.array_distinct(F.filter(names, lambda n: (F.length(n) >= 4) & n.contains(" ")))
+    at = lambda n: F.transform(occurrences(t, n), lambda a: _span(a, a + F.length(n), F.lit("PERSON"), REPEATED, "coreference"))
+    return F.flatten(F.transform(own, at))
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", column: str = "text", entities: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
@@ -67,9 +71,12 @@ def find_pii(docs: DataFrame, key: str = "doc_id", column: str = "text", entitie
     read = lineage.cut(docs.select(key, column, F.sha2(t, 256).alias("k"), recognize.all_spans(t, names).alias("found")))
     people = F.transform(F.filter("found", lambda s: s["entity"] == "PERSON"), lambda s: F.substring(t, s["start"] + 1, s["end"] - s["start"]))
     anchors = F.transform(F.filter("found", lambda s: s["entity"].isin("PHONE", "EMAIL")), lambda s: s["start"])
-    some = read.where(F.col("k").isNotNull()).select("k", t.alias("text"), people.alias("people"), anchors.alias("anchors")).dropDuplicates(["k"])
+    some = read.where(F.col("k").isNotNull()).select("k", t.alias("text"), anchors.alias("anchors")).dropDuplicates(["k"])
     both = read.join(line_spans(some), "k", "left")
-    every = F.concat("found", F.coalesce("said", F.array().cast(recognize.SPAN)))
+    no_names, no_spans = F.array().cast("array<string>"), F.array().cast(recognize.SPAN)
+    again = repeated(t, F.concat(F.coalesce(people, no_names), F.coalesce("names", no_names)))
+    # in the order of the spans: ties of a merge must not depend on the shuffle
+    every = F.concat("found", F.array_sort(F.concat(F.coalesce("said", no_spans), F.coalesce(again, no_spans))))
     kept = F.filter(every, lambda s: ~F.exists(F.coalesce("headers", F.array().cast("array<struct<start:int,end:int>>")), lambda h: (h["start"] <= s["start"]) & (s["end"] <= h["end"])))
     if entities is not None:
         kept = spans.whitelist(kept, entities)

@@ -26,10 +26,18 @@ DETECTIONS = f"""SELECT page, id, CASE p % 11 WHEN 9 THEN 'face' WHEN 10 THEN 'p
   CASE p % 11 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS))} END AS entity, concat('v', CAST(p AS VARCHAR(20))) AS text, round(d * 10, 2) AS score, s % 3 = 0 AS masked FROM ({_LINES}) AS l"""
 
 
-def over(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    """SQL over one of the driver's tables, whatever views the session has."""
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to tasks for all cores: a small file, or one large group of rows in a file, is one task else, whatever is
+    made of its rows."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def over(spark: SparkSession, sf_dir: str, name: str, sql: str, dealt: bool = True) -> DataFrame:
+    """SQL over one of the driver's tables, whatever views the session has; its rows are dealt to all cores."""
     view = f"_{name}_{uuid.uuid4().hex}"
-    table(spark, sf_dir, name).createTempView(view)
+    rows = table(spark, sf_dir, name)
+    (spread(rows) if dealt else rows).createTempView(view)
     try:
         return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+){name}\b", rf"\1\2{view}", sql))
     finally:
@@ -37,7 +45,7 @@ def over(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return over(spark, sf_dir, "lineitem", sql.replace('"end"', "`end`"))
+    return over(spark, sf_dir, "lineitem", sql.replace('"end"', "`end`"), dealt=False)  # its groups are dealt anyway
 
 
 def values(spark: SparkSession, columns: str, rows: str) -> DataFrame:
