@@ -81,3 +81,13 @@ def find_pii(docs: DataFrame, key: str = "doc_id", column: str = "text", entitie
     if entities is not None:
         kept = spans.whitelist(kept, entities)
     return both.select(key, column, spans.trimmed(spans.merge(kept), F.col(column)).alias("spans"))
+
+
+def redacted(t: Column, names: list[str]) -> Column:
+    """A text in which the row patterns find nothing more. What is taken out can free a value beside it (a digit that
+    held a number back is gone), so the text is read again until nothing is found; each time at least a span, of six characters or more, goes."""
+    found = lambda x: recognize.all_spans(x, names)
+    clean = lambda x: F.transform(F.array(F.struct(x.alias("t"), found(x).alias("s"))), lambda r: F.struct(spans.redact(r["t"], spans.merge(r["s"])).alias("t"), (F.size(r["s"]) == 0).alias("done")))[0]
+    times = F.sequence(F.lit(0), F.coalesce(F.ceil(F.length(t) / 6).cast("int"), F.lit(0)))
+    zero = F.struct(t.alias("t"), F.lit(False).alias("done"))
+    return F.aggregate(times, zero, lambda s, _: F.when(s["done"], s).otherwise(clean(s["t"])), lambda s: s["t"])
