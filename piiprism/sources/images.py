@@ -110,17 +110,23 @@ def statistics(pixels: DataFrame, key: str = "image") -> DataFrame:
     red = F.floor((F.col("r") - F.col("gray")) * 0.713 + 128.5)
     blue = F.floor((F.col("b") - F.col("gray")) * 0.564 + 128.5)
 
+    skin = red.between(133, 173) & blue.between(77, 127)
+    # one number for all that is asked of a pixel: it is dealt twice, and its colours stay behind
+    bit = lambda c, n: c.cast("int") * n
+    code = (F.col("gray") * 8 + bit(F.col("gray") > 200, 4) + bit(F.col("gray") > 185, 2) + bit(skin, 1)).cast("int")
+    p = pixels.withColumn("gray", gray).select(key, "x", "y", code.alias("code"))
+    shade = lambda c: F.shiftright(c, 3)
+
     def sides(line: str, along: str):
         w = Window.partitionBy(key, line).orderBy(along)
-        before, after = F.lag("gray").over(w), F.lead("gray").over(w)
-        return F.coalesce(before, after, "gray") + F.coalesce(after, before, "gray")
+        before, after, own = shade(F.lag("code").over(w)), shade(F.lead("code").over(w)), shade(F.col("code"))
+        return F.coalesce(before, after, own) + F.coalesce(after, before, own)
 
-    p = pixels.withColumn("gray", gray)
-    p = p.withColumn("lap", sides("y", "x") + sides("x", "y") - 4 * F.col("gray"))
-    share = lambda c: F.avg(c.cast("int"))
+    p = p.select(key, "x", "code", "y", sides("y", "x").alias("beside")).select(key, "code", (F.col("beside") + sides("x", "y")).alias("around"))
+    p = p.select(key, shade(F.col("code")).alias("gray"), "code", (F.col("around") - 4 * shade(F.col("code"))).alias("lap"))
+    share = lambda n: F.avg(F.shiftright(F.col("code").bitwiseAND(n), n.bit_length() - 1))
     return p.groupBy(key).agg(
-        F.avg("gray").alias("luminance"), F.stddev_pop("gray").alias("contrast"), F.var_pop("lap").alias("sharpness"), share(F.col("gray") > 200).alias("white"), share(F.col("gray") > 185).alias("bright"),
-        share(red.between(133, 173) & blue.between(77, 127)).alias("skin"),
+        F.avg("gray").alias("luminance"), F.stddev_pop("gray").alias("contrast"), F.var_pop("lap").alias("sharpness"), share(4).alias("white"), share(2).alias("bright"), share(1).alias("skin"),
     )
 
 

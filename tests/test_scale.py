@@ -5,7 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from piiprism.operators import find, lines
-from piiprism.plans import catalog, tables
+from piiprism.plans import tables
+from piiprism.sources import images
 
 
 def test_rows_of_one_small_file_are_dealt_to_all_cores(spark, sf):
@@ -26,3 +27,9 @@ def test_header_values_of_a_long_document_in_linear_time(spark):
 def test_lines_of_a_text_are_looked_at_once(spark):
     said = find.line_spans(spark.sql("SELECT 'a' AS k, 'Surname\\nMorant' AS text, array(0) AS anchors"))
     assert [r["names"] for r in said.collect()] == [["Morant"]]
+
+
+def test_pixels_are_dealt_without_their_colours(spark):
+    px = spark.sql("SELECT 1 AS image, 0 AS x, 0 AS y, 200 AS r, 100 AS g, 50 AS b")
+    plan = images.statistics(px)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(code" in plan and "lag(gray" not in plan
