@@ -30,6 +30,6 @@ def test_lines_of_a_text_are_looked_at_once(spark):
 
 
 def test_pixels_are_dealt_without_their_colours(spark):
-    px = spark.sql("SELECT 1 AS image, 0 AS x, 0 AS y, 200 AS r, 100 AS g, 50 AS b")
+    px = spark.sql("SELECT id % 2 AS image, id % 3 AS x, id % 5 AS y, id * 20 AS r, id AS g, id + 50 AS b FROM range(30)")
     plan = images.statistics(px)._jdf.queryExecution().optimizedPlan().toString()
     assert "lag(code" in plan and "lag(gray" not in plan
