@@ -21,10 +21,12 @@ def fold_digits(text: Column) -> Column:
 
 def numeric_view(text: Column) -> Column:
     """Confused letters between digits (one separator allowed) become digits; lengths stay."""
+    out = text
     for digit, letters in CONFUSED.items():
         c = "".join("\\|" if x == "|" else x for x in letters)
-        text = F.regexp_replace(text, rf"(?<=\d[ \-./()]{{0,1}})[{c}](?=[ \-./()]?\d)", digit)
-    return text
+        out = F.regexp_replace(out, rf"(?<=\d[ \-./()]{{0,1}})[{c}](?=[ \-./()]?\d)", digit)
+    # where no such letter follows a digit, nothing changes
+    return F.when(text.rlike(rf"\d[ \-./()]?[{''.join(CONFUSED.values())}]"), out).otherwise(text)
 
 
 def digits_only(text: Column) -> Column:

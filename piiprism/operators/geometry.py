@@ -119,15 +119,38 @@ def running_text(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
-def _by_page(boxes: DataFrame, columns: list[str], fold: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
-    """What a fold makes of each page's boxes, in the order of id; a page is one row of arrays on its way to it."""
+def _plain(column: pa.Array) -> list:
+    number = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
+    return column.to_numpy().tolist() if number and not column.null_count else column.to_pylist()
+
+
+def _by_page(boxes: DataFrame, columns: list[str], fold: Callable[[list[dict]], list[dict]], schema: StructType, carried: tuple[str, ...] = ()) -> DataFrame:
+    """What a fold makes of each page's boxes, in the order of id; a page is one row of arrays on its way to it.
+
+    Columns that are carried are not seen by the fold: a row it gives has those of the row it is made of, or nulls if it
+    is joined from several."""
     packed = boxes.groupBy("page").agg(F.collect_list(F.struct(*columns)).alias("rows"))
     arrow = to_arrow_schema(schema)
+    seen = [c for c in columns if c not in carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pages = zip(b.column("page").to_pylist(), b.column("rows").to_pylist(), strict=True)
-            yield pa.RecordBatch.from_pylist([r | {"page": page} for page, rows in pages for r in fold(sorted(rows, key=lambda r: r["id"]))], schema=arrow)
+            # by column: most of the time went into rows of Python values, one by one
+            given = b.column("rows").flatten()
+            held = dict(zip(columns, given.flatten(), strict=True))
+            every = [dict(zip([*seen, "_at"], r, strict=True)) for r in zip(*(_plain(held[c]) for c in seen), range(len(given)), strict=True)]
+            out, pages, at = [], [], 0
+            for page, n in zip(b.column("page").to_pylist(), b.column("rows").value_lengths().to_pylist(), strict=True):
+                found = fold(sorted(every[at : at + n], key=lambda r: r["id"]))
+                out += found
+                pages += [page] * len(found)
+                at += n
+            made = {"page": pages} | {f.name: [r[f.name] for r in out] for f in arrow if f.name != "page" and f.name not in carried}
+            made = {c: pa.array(v, arrow.field(c).type) for c, v in made.items()}
+            if carried:
+                place = pa.array([r["_at"] for r in out], pa.int64())
+                made |= {c: held[c].take(place) for c in carried}
+            yield pa.RecordBatch.from_arrays([made[c].cast(arrow.field(c).type) for c in arrow.names], schema=arrow)
 
     return packed.mapInArrow(run, schema)
 
@@ -239,9 +262,7 @@ def joined(rows: list[dict], said: str) -> dict:
     box = rows[0] | {"text": said, "x1": a, "y1": b, "x2": c, "y2": d}
     if "conf" in box:
         box["conf"] = min(r["conf"] for r in rows)
-    if "poly" in box:
-        box["poly"] = [[a, b], [c, b], [c, d], [a, d]]
-    return box
+    return box | {"_at": None}
 
 
 def with_years(rows: list[dict]) -> list[dict]:

@@ -43,22 +43,30 @@ def cut_lines(rows: list[dict], factor: float = 2.5) -> list[list[dict]]:
     return sorted(out, key=lambda part: (sum((r["y1"] + r["y2"]) / 2 for r in part) / len(part), part[0]["x1"]))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt by page to tasks for all cores: pages are small and take long, so their bytes tell nothing of their work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page")
+
+
 def boxes(readings: DataFrame) -> DataFrame:
     """page, line, no, text, conf, poly and corners of what is kept of the readings, in lines from the top."""
     said = readings.withColumn("text", F.trim("text")).withColumn("conf", F.coalesce(F.col("conf").cast("double"), F.lit(0.0)))
     said = ocr.confident(said.where("text <> '' AND size(poly) = 4")).withColumn("text", text.repair_year(F.col("text")))
     said = said.select("page", F.col("id").cast("long").alias("id"), "text", "conf", F.col("poly").cast("array<array<double>>").alias("poly"), *geometry.bounding_box(F.col("poly").cast("array<array<double>>")))
-    keyed = geometry.date_halves(geometry.reading_keys(said))
-    fields = [*said.schema.fields, StructField("line", LongType()), StructField("no", LongType())]
+    keyed = dealt(geometry.date_halves(geometry.reading_keys(said)))
+    fields = [*(StructField(f.name, f.dataType) for f in said.schema.fields), StructField("line", LongType()), StructField("no", LongType())]
 
-    names = [f.name for f in said.schema.fields if f.name != "page"]
+    names = ["_at", *(f.name for f in said.schema.fields if f.name not in ("page", "poly"))]
 
     def fold(rows: list[dict]) -> list[dict]:
         kept = geometry.with_years(geometry.surest(rows))
         return [{n: r[n] for n in names} | {"line": k, "no": j} for k, line in enumerate(cut_lines(kept)) for j, r in enumerate(line)]
 
     columns = [c for c in keyed.columns if c != "page"]
-    return value_rows(lineage.cut(geometry._by_page(keyed, columns, fold, StructType(fields))))
+    rows = geometry._by_page(keyed, columns, fold, StructType(fields), carried=("poly",))
+    # what is joined from several boxes has the quad around them
+    return value_rows(lineage.cut(dealt(rows.withColumn("poly", F.coalesce("poly", geometry.quad(*map(F.col, geometry.CORNERS)))))))
 
 
 def value_rows(rows: DataFrame) -> DataFrame:
@@ -134,8 +142,8 @@ def detections(readings: DataFrame, frames: DataFrame) -> DataFrame:
     frames: page, width, height, matrix (null, or the way back from straightened readings). The score is the span's,
     tempered by how sure the reader was; what is not larger than two pixels goes.
     """
-    rows = lineage.cut(placed(boxes(readings)))
-    texts = lineage.cut(page_texts(rows))
+    rows = lineage.cut(dealt(placed(boxes(readings))))
+    texts = lineage.cut(dealt(page_texts(rows)))
     found = lineage.cut(page_spans(rows, texts, frames))
     met = geometry.sharing(found, rows.select("page", "line", "start", "end", "conf", F.col("poly").alias("quad"), F.length("text").alias("n")))
     hit = met.groupBy("page", F.col("s_id").alias("span"), F.col("b_line").alias("line")).agg(
