@@ -200,7 +200,7 @@ def confirmed(pairs: DataFrame, meta: DataFrame, sets: DataFrame, percent: int)
 
 
 def candidates(first: DataFrame, most: int, percent: int) -> DataFrame:
-    """key, id, n: the buckets and lists that hold two sets at least, without sets that a bucket says nothing of."""
+    """key, id, n: the buckets and lists that hold two sets at least, without sets that a bucket says nothing of; written."""
     light = common.written(enumerated(first.where(F.col("n") <= most), most, percent), "join-subsets")
     lists = first.where(F.col("n") * 100 >= percent * (most + 1)).select(F.explode("parts").alias("key"), "id", "n", F.lit(0).alias("c"))
     keyed = lists.unionByName(light)
@@ -208,7 +208,9 @@ def candidates(first: DataFrame, most: int, percent: int) -> DataFrame:
     met = common.written(keyed.join(shared, "key"), "join-met")
     least = met.where("c > 0").groupBy("key").agg(F.min("n").alias("least"))
     by_subset = met.where("c > 0").join(least, "key").where(f"{percent} * (n + least) <= {100 + percent} * c")
-    return met.where("c = 0").select("key", "id", "n").union(by_subset.select("key", "id", "n"))
+    members = common.written(met.where("c = 0").select("key", "id", "n").union(by_subset.select("key", "id", "n")), "join-members")
+    common.discard(light, met)
+    return members
 
 
 def near_pairs(t: pa.Table, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -280,14 +282,17 @@ def scanned(open_: DataFrame, meta: DataFrame, percent: int, every: bool) -> Dat
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    signed = common.written(signed_sets(docs, width, percent), "join-signed")
+    full = common.written(signed_sets(docs, width, percent), "join-signed")
+    signed = common.written(full.select("doc_id", "n", "set_hash"), "join-hashes")
     groups = signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    first = signed.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
+    first = full.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
     first = common.written(first.withColumnRenamed("doc_id", "id"), "join-first")
+    common.discard(full)  # parts and bitmaps are the most of what is written: they stay no longer than they are read
     counts = {r["n"]: r["count"] for r in first.where(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
-    members = common.written(candidates(first, boundary(counts, percent), percent), "join-members")
+    members = candidates(first, boundary(counts, percent), percent)
     wanted = common.written(members.select("id").distinct(), "join-wanted")
     meta = common.written(first.join(wanted, "id", "left_semi").select("id", "n", "parity"), "join-meta")
+    common.discard(first)
     sets = common.written(full_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), width), "join-sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -301,6 +306,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     while True:
         open_ = common.written(undecided(members.select("key", "id"), labels).select("key", "id", "label"), "join-open")
         found = confirm(scanned(open_, meta, percent, every))
+        common.discard(open_)
         more = found.limit(1).count()
         if more:
             links = links.union(found)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,3 +42,26 @@ def test_pages_are_dealt_to_all_cores(spark):
     pages = spark.range(2000).select(F.col("id").alias("page"), F.lit(0).alias("line"), F.lit(0).alias("no"), F.lit("x").alias("text"))
     own = reading.dealt(reading.page_texts(pages))
     assert own.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_states_of_a_reading_are_those_of_training():
+    """Reading finds its sigmoids by exponentials; also where a gate is far from zero."""
+    from piiprism.llm import pii
+
+    t = pii.Tagger(seed=3)
+    t.p["xf"] *= 90
+    x = np.random.default_rng(1).integers(0, pii.CLASSES, (70, 9)).astype(np.uint8)
+    for d in "fb":
+        assert np.allclose(t._states(d, x.astype(np.intp)), t._half(d, x, False)[0], atol=1e-4)
+
+
+def test_a_join_keeps_no_parts_and_bitmaps(spark, tmp_path, monkeypatch):
+    """What is written on the way stood on disk until the end."""
+    from piiprism.llm import common, jaccard
+
+    monkeypatch.setattr(common, "shared_path", lambda spark, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+    base = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, base), (2, base + " x"), (3, "a b c d e"), (4, "a b c d e"), (5, None)], "doc_id long, text string")
+    got = {tuple(r) for r in jaccard.linked(docs, width=3, percent=90).collect()}
+    assert got == {(1, 78, 1), (2, 79, 1), (3, 3, 3), (4, 3, 3), (5, 0, 5)}
+    assert not [p for p in tmp_path.iterdir() if p.name.split("-")[1] in ("signed", "first", "subsets", "met")]
