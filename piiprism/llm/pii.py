@@ -162,28 +162,40 @@ class Tagger:
         return out, kept
 
     def _states(self, d: str, x: np.ndarray) -> np.ndarray:
-        """As _half, without what training keeps; all in place."""
+        """As _half, without what training keeps; all in place, and by exponentials, which numpy finds much faster than
+        hyperbolic tangents."""
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        table, u = self.p[f"x{d}"].copy(), self.p[f"h{d}"].copy()
-        table[: 3 * HIDDEN] *= 0.5  # a sigmoid is half a tanh of half its input, and a half
-        u[: 3 * HIDDEN] *= 0.5
+        table, u = -self.p[f"x{d}"], -self.p[f"h{d}"]
+        table[3 * HIDDEN :] *= 2  # a tanh is two sigmoids of twice its input, less one
+        u[3 * HIDDEN :] *= 2
         n = x.shape[1]
         z, more = np.empty((4 * HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
         i, f, o, g = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
         h, c = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
         out = np.empty((len(x), HIDDEN, n), np.float32)
-        for t in steps:
-            np.take(table, x[t], axis=1, out=z, mode="clip")
-            z += np.matmul(u, h, out=more)
-            np.tanh(z, out=z)
-            z[: 3 * HIDDEN] *= 0.5
-            z[: 3 * HIDDEN] += 0.5
-            c *= f
-            i *= g
-            c += i
-            h = out[t]
-            np.tanh(c, out=h)
-            h *= o
+
+        def sigmoid(v: np.ndarray) -> None:
+            """Of what v is the negative of."""
+            np.exp(v, out=v)
+            v += 1
+            np.reciprocal(v, out=v)
+
+        with np.errstate(over="ignore"):  # a sigmoid of very much below zero is zero
+            for t in steps:
+                np.take(table, x[t], axis=1, out=z, mode="clip")
+                z += np.matmul(u, h, out=more)
+                sigmoid(z)
+                g *= 2
+                g -= 1
+                c *= f
+                i *= g
+                c += i
+                h = out[t]
+                np.multiply(c, -2, out=h)
+                sigmoid(h)
+                h *= 2
+                h -= 1
+                h *= o
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
