@@ -45,11 +45,19 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 WINDOW, READ, OVERLAP = 64, 512, 16
 HIDDEN = 12
 #: Windows that run through the network together, and characters of texts that are tagged together.
-BATCH = 512
+BATCH = 1024
 TOGETHER = 500_000
-#: Characters of a lane of the search.
+#: Windows of a batch end by so many.
+STEP = 16
+#: Beyond it a sigmoid is 0 or 1; products of two exponentials of it are finite.
+FAR = 40.0
+#: Lanes whose steps are taken for all tags at once.
+FEW = 192
+#: Characters that are looked over together, and characters of a lane of the search.
+ROWS = 16_384
 LANE = 224
 TAGS = 1 + 2 * len(KINDS)  # none; begin and inside of each kind
+ROW = np.dtype((np.void, 4 * TAGS))  # the emissions of a character, copied as one
 
 
 def luhn(digits: str) -> bool:
@@ -162,46 +170,75 @@ class Tagger:
         return out, kept
 
     def _states(self, d: str, x: np.ndarray) -> np.ndarray:
-        """As _half, without what training keeps; all in place, and by exponentials, which numpy finds much faster than
-        hyperbolic tangents."""
-        steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        table, u = -self.p[f"x{d}"], -self.p[f"h{d}"]
-        table[3 * HIDDEN :] *= 2  # a tanh is two sigmoids of twice its input, less one
-        u[3 * HIDDEN :] *= 2
-        n = x.shape[1]
-        z, more = np.empty((4 * HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
-        i, f, o, g = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
-        h, c = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
-        out = np.empty((len(x), HIDDEN, n), np.float32)
-
-        def sigmoid(v: np.ndarray) -> None:
-            """Of what v is the negative of."""
-            np.exp(v, out=v)
-            v += 1
-            np.reciprocal(v, out=v)
-
-        with np.errstate(over="ignore"):  # a sigmoid of very much below zero is zero
-            for t in steps:
-                np.take(table, x[t], axis=1, out=z, mode="clip")
-                z += np.matmul(u, h, out=more)
-                sigmoid(z)
-                g *= 2
-                g -= 1
-                c *= f
-                i *= g
-                c += i
-                h = out[t]
-                np.multiply(c, -2, out=h)
-                sigmoid(h)
-                h *= 2
-                h -= 1
-                h *= o
+        """As _half, without what training keeps."""
+        out = np.empty((len(x), HIDDEN, x.shape[1]), np.float32)
+        for t, h in self._read(d, x, [x.shape[1]] * len(x)):
+            out[t] = h.T
         return out
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(time, TAGS, batch)"""
-        x, w = x.astype(np.intp), self.p["emit"]
-        return w[:, :HIDDEN] @ self._states("f", x) + w[:, HIDDEN:] @ self._states("b", x) + self.p["bias"][:, None]
+    def _read(self, d: str, x: np.ndarray, live: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """Each time and its hidden states (columns, HIDDEN), overwritten by the next, in one direction. Sigmoids are found by
+        exponentials, which numpy finds much faster than hyperbolic tangents, and all in place; each gate is (columns,
+        HIDDEN), so an input's share is copied in one piece.
+
+        live: at each time, how many of the first columns are read there. The others are padding from there to the end of
+        their window; backward they begin with the states of column 0, which is then padding throughout.
+        """
+        table, u = -self.p[f"x{d}"].reshape(4, HIDDEN, CLASSES), -self.p[f"h{d}"].reshape(4, HIDDEN, HIDDEN)
+        table[3] *= 2  # a tanh is two sigmoids of twice its input, less one
+        u[3] *= 2
+        far = float((np.abs(table).max(axis=2) + np.abs(u).sum(axis=2)).max()) > FAR  # states are below one
+        table = np.ascontiguousarray(table.transpose(0, 2, 1)).reshape(4 * CLASSES, HIDDEN)
+        u = np.ascontiguousarray(u.transpose(0, 2, 1))
+        gate = CLASSES * np.arange(4)[:, None]
+        width = x.shape[1]
+        room, place = np.empty((2, 4 * width * HIDDEN), np.float32), np.empty(4 * width, np.intp)
+        states, cells, spare = (np.zeros((width, HIDDEN), np.float32) for _ in range(3))
+        n = 0
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            if live[t] != n:
+                if n:  # of columns that begin
+                    states[n : live[t]], cells[n : live[t]] = states[0], cells[0]
+                n = live[t]
+                z, more = room[:, : 4 * n * HIDDEN].reshape(2, 4, n, HIDDEN)
+                (i, f, o, g), h, c, q, row = z, states[:n], cells[:n], spare[:n], place[: 4 * n].reshape(4, n)
+            np.add(x[t, :n], gate, out=row)
+            np.take(table, row, axis=0, out=z, mode="clip")
+            z += np.matmul(h, u, out=more)
+            if far:
+                np.minimum(z, FAR, out=z)
+            # sigmoids are 1 / (1 + exp); products of them are divided once
+            np.exp(z, out=z)
+            z += 1
+            i *= g
+            np.subtract(2, g, out=g)
+            g /= i
+            c /= f
+            c += g
+            np.maximum(c, -10, out=q)  # whose tanh is -1
+            q *= -2
+            np.exp(q, out=q)
+            q += 1
+            o *= q
+            np.subtract(2, q, out=q)
+            np.divide(q, o, out=h)
+            yield t, h
+
+    def emissions(self, x: np.ndarray, live: list[int]) -> np.ndarray:
+        """(time, batch, TAGS) of the middle of windows; live: as in _read."""
+        x, n = x.astype(np.intp), len(x) - 2 * OVERLAP
+        out, more = np.empty((n, x.shape[1], TAGS), np.float32), np.empty((x.shape[1], TAGS), np.float32)
+        for d, w in (("f", self.p["emit"][:, :HIDDEN].T), ("b", self.p["emit"][:, HIDDEN:].T)):
+            w = np.ascontiguousarray(w)
+            for t, h in self._read(d, x, live):
+                if 0 <= t - OVERLAP < n:
+                    e = out[t - OVERLAP, : len(h)]
+                    if d == "f":
+                        np.matmul(h, w, out=e)
+                        e += self.p["bias"]
+                    else:
+                        e += np.matmul(h, w, out=more[: len(h)])
+        return out
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log likelihood a character under the CRF, and its slopes; y: tags (time, batch)."""
@@ -332,12 +369,19 @@ class Tagger:
         credit[begin] = np.maximum(credit[begin], credit[inside] + move[begin, inside] - move[inside, inside])
         enter = move[0] - move[0, 0] + credit
         within = (move[1:] - credit[1:, None]).max(axis=0) - move[0, 0] + credit
-        into, on = flat[:, 1] + np.float32(enter[1]), flat[:, 1] + np.float32(within[1])
-        for k in range(2, TAGS):
-            np.maximum(into, flat[:, k] + np.float32(enter[k]), out=into)
-            np.maximum(on, flat[:, k] + np.float32(within[k]), out=on)
-        into -= flat[:, 0]
-        on -= flat[:, 0]
+        into, on = np.empty(len(flat), np.float32), np.empty(len(flat), np.float32)
+        some = np.empty((TAGS, ROWS), np.float32)
+        w = np.empty(ROWS, np.float32)
+        for at in range(0, len(flat), ROWS):  # tag by tag, of as many characters as a cache holds
+            n = min(ROWS, len(flat) - at)
+            e, v = some[:, :n], w[:n]
+            e[:] = flat[at : at + n].T
+            for best, step in ((into[at : at + n], enter), (on[at : at + n], within)):
+                np.add(e[1], np.float32(step[1]), out=best)
+                for k in range(2, TAGS):
+                    np.add(e[k], np.float32(step[k]), out=v)
+                    np.maximum(best, v, out=best)
+                best -= e[0]
         into[first] = (flat[first] + credit)[:, 1:].max(axis=1) - flat[first, 0]
         total = np.cumsum(on, dtype=np.float64)
         ahead = np.maximum.accumulate(into - total)  # of a span's begin
@@ -354,6 +398,19 @@ class Tagger:
         way, better, best = np.empty_like(s), np.empty(s.shape, bool), np.empty_like(s)
         for t, n in enumerate(left.tolist()):
             now, new, w, more = s[:, :n], best[:, :n], way[:, :n], better[:, :n]
+            if n <= FEW:  # all tags at once; argmax takes the first of equal ones, too
+                if back is None:
+                    (now[:, None] + move[:, :, None]).max(axis=0, out=new)
+                else:
+                    ways = now.T[None] + move.T[:, None]
+                    last = ways.argmax(axis=2)
+                    back[t, :, :n] = last
+                    new[:] = np.take_along_axis(ways, last[:, :, None], axis=2)[:, :, 0]
+                new += flat[own[:n] + t].T
+                if back is not None:
+                    new -= new[0].copy()
+                s[:, :n] = new
+                continue
             np.add(now[0], move[0][:, None], out=new)
             for k in range(1, TAGS):
                 np.add(now[k], move[k][:, None], out=w)
@@ -381,7 +438,9 @@ class Tagger:
         many = np.flatnonzero((stop != end) | np.append(False, (stop != end)[:-1]))
         many = many[np.argsort(own[many] - stop[many], kind="stable")]
         ways = np.zeros((TAGS, len(tags)), np.uint8)
-        enter = np.array([self._trace(ways[k], own[many], stop[many], np.full(len(many), k), back, rank[many]) for k in range(TAGS)])
+        each = np.tile(np.arange(TAGS), len(many))
+        at = np.repeat(own[many], TAGS) + each * len(tags)
+        enter = self._trace(ways.reshape(-1), at, at + np.repeat(stop[many] - own[many], TAGS), each, back, np.repeat(rank[many], TAGS)).reshape(-1, TAGS).T
         tail = 0
         for j in np.argsort(-own[many]).tolist():
             lane = many[j]
@@ -416,13 +475,25 @@ class Tagger:
         some = [k for k, n in enumerate(count) if n]
         windows[first[some], :OVERLAP] = PAD
         windows[[first[k] + count[k] - 1 for k in some], READ - OVERLAP :] = PAD
-        emitted = np.empty((len(windows), inner, TAGS), np.float32)
-        for a in range(0, len(windows), BATCH):
-            x = np.ascontiguousarray(windows[a : a + BATCH].T)
-            emitted[a : a + BATCH] = self.emissions(x)[OVERLAP : OVERLAP + inner].transpose(2, 0, 1)
+        sizes = np.array([len(c) for c in coded], np.intp)
+        flat = np.empty((int(sizes.sum()), TAGS), np.float32)
+        rows = flat.view(ROW)[:, 0]
+        # characters before a window in its text, and from there to the text's end
+        into = inner * (np.arange(len(windows)) - first.repeat(count))
+        rest = sizes.repeat(count) - into
+        into += (np.cumsum(sizes) - sizes).repeat(count)
+        # the last window of a text is padding from the text's end on; long windows first, in batches of one size
+        ends = np.minimum(rest + OVERLAP, READ)
+        order = np.argsort(-ends, kind="stable")
+        for own in np.array_split(order, max(1, round(len(order) / BATCH))) if len(order) else []:
+            x = np.full((READ, 1 + len(own)), PAD, np.uint8)
+            x[:, 1:] = windows[own].T
+            going = 1 + np.searchsorted(-ends[own], -np.arange(READ), "left")  # columns with more characters than a time
+            live = np.minimum(-(-going // STEP) * STEP, 1 + len(own)).tolist()
+            emitted = self.emissions(x, live).view(ROW)[:, :, 0]
+            for j, (to, n) in enumerate(zip(into[own].tolist(), np.minimum(rest[own], inner).tolist(), strict=True), 1):
+                rows[to : to + n] = emitted[:n, j]
         del windows
-        flat = np.concatenate([emitted[first[k] : first[k] + count[k]].reshape(-1, TAGS)[: len(coded[k])] for k in some]) if some else np.empty((0, TAGS), np.float32)
-        del emitted
         tags = self.decode(flat, [len(coded[k]) for k in some])
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         at = 0

@@ -65,3 +65,33 @@ def test_a_join_keeps_no_parts_and_bitmaps(spark, tmp_path, monkeypatch):
     got = {tuple(r) for r in jaccard.linked(docs, width=3, percent=90).collect()}
     assert got == {(1, 78, 1), (2, 79, 1), (3, 3, 3), (4, 3, 3), (5, 0, 5)}
     assert not [p for p in tmp_path.iterdir() if p.name.split("-")[1] in ("signed", "first", "subsets", "met")]
+
+
+def test_emissions_of_windows_that_end_early():
+    """Columns leave forward and join backward where their text ends; padding was read to a window's end."""
+    from piiprism.llm import pii
+
+    t, rng = pii.Tagger(seed=3), np.random.default_rng(2)
+    sizes, inner = [pii.READ, 300, 40, 17], pii.READ - 2 * pii.OVERLAP
+    x = np.full((pii.READ, 1 + len(sizes)), pii.PAD, np.uint8)
+    for j, n in enumerate(sizes, 1):
+        x[:n, j] = rng.integers(0, pii.PAD, n)
+    got = t.emissions(x, [1 + sum(n > k for n in sizes) for k in range(pii.READ)])
+    w = t.p["emit"]
+    whole = w[:, : pii.HIDDEN] @ t._half("f", x, False)[0] + w[:, pii.HIDDEN :] @ t._half("b", x, False)[0] + t.p["bias"][:, None]
+    assert got.shape == (inner, 1 + len(sizes), pii.TAGS)
+    for j, n in enumerate(sizes, 1):
+        m = min(n - pii.OVERLAP, inner)
+        assert np.allclose(got[:m, j], whole[pii.OVERLAP : pii.OVERLAP + m, :, j], atol=1e-4)
+
+
+def test_few_lanes_take_the_same_steps(monkeypatch):
+    from piiprism.llm import pii
+
+    t, rng = pii.Tagger(seed=5), np.random.default_rng(6)
+    t.p["move"] = rng.integers(-2, 3, (pii.TAGS, pii.TAGS)).astype(np.float32)  # with ties
+    sizes = [1, 700, 30, 5]
+    flat = rng.integers(-2, 3, (sum(sizes), pii.TAGS)).astype(np.float32)
+    got = t.decode(flat.copy(), sizes)
+    monkeypatch.setattr(pii, "FEW", 0)
+    assert got.any() and got.tolist() == t.decode(flat.copy(), sizes).tolist()
