@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,23 +96,38 @@ class Encoder:
         known, cut, late = self.known, [], []
         for i, t in enumerate(texts):
             if not t or self.odd(t) or "\1" in t or any(s in t for s in self.special):
-                cut.append(())
+                cut.append(None)
                 late.append(i)
                 continue
             # "\1" marks a piece that no space precedes: the first one, line feeds, stops and commas after a word
             t = "\1" + t.replace("\n", " \1\n")
             if not self.stops.search(t):
                 t = t.replace(".", " \1.").replace(",", " \1,")
-            cut.append(t.split(" "))
-        new = list(set().union(*cut).difference(known))
+            cut.append(t)
+        # Arrow cuts the texts and tells which pieces are the same: each distinct one is looked up once
+        each = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(each), 0).to_numpy())
+        coded = each.flatten().dictionary_encode()
+        which, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del each, coded
         # pieces that begin with one kind of white space can follow one another in one text; others go alone
         spaced, lines, alone = [], [], []
-        for p in new:
-            (alone if len(p) < 2 else spaced if p[0] != "\1" else lines if p[1] == "\n" and len(p) > 2 else alone).append(p)
+        for p in pieces:
+            if p not in known:
+                (alone if len(p) < 2 else spaced if p[0] != "\1" else lines if p[1] == "\n" and len(p) > 2 else alone).append(p)
         known.update(self.together(spaced, [" " + p for p in spaced]))
         known.update(self.together(lines, [p[1:] for p in lines]))
         known.update(zip(alone, self.whole([p[1:] if p[:1] == "\1" else " " + p for p in alone]), strict=True))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        ids = [known[p] for p in pieces]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        # where the ids of each piece stand, and where they go
+        width = size[which]
+        stop = np.cumsum(width)
+        place = np.repeat((np.cumsum(size) - size)[which] - (stop - width), width)
+        place += np.arange(len(place))
+        flat = np.frombuffer(b"".join(ids), np.uint16)[place]
+        stops = np.append(0, stop)[ends].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip([0, *stops], stops, strict=False)]
         for i, ids in zip(late, self.whole([texts[i] or "" for i in late]), strict=True):
             out[i] = ids
         return out
@@ -140,39 +156,38 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     while len(seq) > 1 and base + used < 65536:
         pairs = (seq[:-1] << np.uint32(16)) | seq[1:]
         ordered = np.sort(pairs)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(first, len(ordered)))
-        often = np.flatnonzero(counts >= FREQUENT)
+        # a pair that is frequent begins where it differs from the one before and not from the one FREQUENT - 1 after
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        more = len(ordered) - FREQUENT + 1
+        often = np.flatnonzero(new[:more] & (ordered[:more] == ordered[FREQUENT - 1 :])) if more > 0 else ()
         if not len(often):
             break
+        first = np.append(np.flatnonzero(new), len(ordered))
+        counts = first[np.searchsorted(first, often) + 1] - often
         # a share of the symbols for each round, so that later rounds can build on this one's
         room = min(65536 - base - used, max(256, (65536 - base) // 3))
-        pick = often[np.lexsort((ordered[first[often]], -counts[often]))[:room]]
-        chosen = ordered[first[pick]]
+        chosen = (np.sort(((1 << 31) - counts << 32) | ordered[often].astype(np.int64))[:room] & 0xFFFFFFFF).astype(np.uint32)
         # a pair's rule by a hash table of pairs; a pair that shares its place with a more frequent one has to wait
         table = np.full(1 << PLACE_BITS, len(chosen), np.int16)
         table[_place(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int16)[::-1]
-        rank = table[_place(pairs)]
-        hit = np.append(chosen, 0)[rank] == pairs
-        hit &= rank < len(chosen)
-        rank[~hit] = len(chosen)
+        none = np.int16(len(chosen))
+        rank = table.take(_place(pairs), mode="clip")
+        np.copyto(rank, none, where=np.append(chosen, np.uint32(0)).take(rank, mode="clip") != pairs)
         # of overlapping pairs the more frequent one is replaced; of equal ones every other, from the left
-        spot = np.flatnonzero(hit)
-        prev = np.append(rank.dtype.type(len(chosen)), rank[:-1])
-        after = np.append(rank[1:], rank.dtype.type(len(chosen)))
-        sure = spot[(rank[spot] < prev[spot]) & (rank[spot] <= after[spot])]
-        take = np.zeros(len(pairs), bool)
-        take[sure] = True
-        rest = spot[(rank[spot] == prev[spot]) & ~take[spot]]
+        prev = np.append(none, rank[:-1])
+        take = rank < prev
+        take &= rank <= np.append(rank[1:], none)
+        rest = np.flatnonzero((rank == prev) & (rank != none))
         if len(rest):  # runs of one symbol: positions of a run at an even distance from its start
-            begin = np.maximum.accumulate(np.where(rank != prev, np.arange(len(rank)), 0))[rest]
+            begin = np.maximum.accumulate(np.where(np.append(True, rest[1:] != rest[:-1] + 1), rest - 1, 0))
             take[rest[(rest - begin) % 2 == 0]] = True
         take[1:] &= ~take[:-1]
-        if not take.any():
+        at = np.flatnonzero(take)
+        if not len(at):
             break
-        seq[:-1][take] = base + used + rank[take].astype(np.uint32)
+        seq[at] = base + used + rank[at].astype(np.uint32)
         keep = np.ones(len(seq), bool)
-        keep[1:][take] = False
+        keep[at + 1] = False
         seq = seq[keep]
         rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
         used += len(chosen)
@@ -271,8 +286,8 @@ def shards(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for b in batches:
             all_texts = b.column("text").to_pylist()
             all_ids = b.column("doc_id").to_pylist()
-            for a in range(0, len(all_texts), 256):
-                for d, got in zip(all_ids[a : a + 256], e.encode(all_texts[a : a + 256]), strict=True):
+            for a in range(0, len(all_texts), 1024):
+                for d, got in zip(all_ids[a : a + 1024], e.encode(all_texts[a : a + 1024]), strict=True):
                     ids.append(got + end)
                     docs_in.append(d)
                     sizes.append(len(got) // 2 + 1)

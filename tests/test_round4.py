@@ -95,3 +95,32 @@ def test_few_lanes_take_the_same_steps(monkeypatch):
     got = t.decode(flat.copy(), sizes)
     monkeypatch.setattr(pii, "FEW", 0)
     assert got.any() and got.tolist() == t.decode(flat.copy(), sizes).tolist()
+
+
+def test_a_piece_is_looked_up_once_in_a_batch():
+    """Every occurrence of a piece was looked up."""
+    from piiprism.llm import repair
+
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, piece):
+            Counted.n += 1
+            return super().__getitem__(piece)
+
+    e = repair.Encoder(repair.default_vocabulary())
+    e.known = Counted()
+    texts = ["one two, one.\ntwo one " + "two one " * 200 + "end", "", "double  space", None, "one one\n" * 50, "été <s> one\x01two", "日本 one."]
+    assert e.encode(texts) == e.whole([t or "" for t in texts])
+    assert Counted.n < 20 and e.encode([]) == [] and e.encode([""]) == [b""]
+
+
+def test_runs_of_one_symbol_are_replaced_from_their_starts():
+    from piiprism.llm import repair
+
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.repeat(rng.integers(0, 4, 3000), rng.integers(1, 9, 3000)), np.zeros(999, np.int64)]).astype("<u2")
+    for part in (ids, ids[:5], ids[:6], ids[-7:], ids[:0]):
+        seq, rules = repair.compress(part, 50000)
+        assert repair.expand(seq, rules, 50000).tolist() == part.tolist()
+    assert len(repair.compress(ids, 50000)[0]) < len(ids) / 4
