@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import common
+from . import common, network
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base spans.
@@ -138,6 +138,7 @@ class Tagger:
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
+        self._made: tuple = (None,)
         g = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
         self.p = {"emit": g(TAGS, 2 * HIDDEN), "bias": np.zeros(TAGS, np.float32), "move": np.zeros((TAGS, TAGS), np.float32)}
         for d in "fb":
@@ -224,7 +225,42 @@ class Tagger:
             np.divide(q, o, out=h)
             yield t, h
 
-    def emissions(self, x: np.ndarray, live: list[int]) -> np.ndarray:
+    def _network(self):
+        """The session of ONNX Runtime for the weights as they are now, or None, and what the backward direction begins
+        with (states, cells) for windows of each length, as READ less so many of padding have been read."""
+        key = b"".join(self.p[k].tobytes() for k in sorted(self.p))
+        if self._made[0] != key:
+            states, kept = self._half("b", np.full((READ, 1), PAD), True)
+            begin = np.zeros((READ + 1, 2, HIDDEN), np.float32)
+            for t, (i, f, _, g, _, _, c) in kept.items():
+                begin[t] = states[t, :, 0], (f * c + i * g)[:, 0]
+            self._made = key, network.session(network.bilstm(self.p)), begin
+        return self._made[1:]
+
+    def emissions(self, x: np.ndarray, live: list[int] | None = None) -> np.ndarray:
+        """(time, TAGS, batch) of windows x (time, batch), which are padding from there to READ; outside the middle of a
+        window they may be left out.
+
+        live, as in _read: numpy reads whole windows, for (time, batch, TAGS) of their middle.
+        """
+        if live is not None:
+            return self._middle(x, live)
+        session, begin = self._network()
+        if session is not None:
+            none = np.zeros((x.shape[1], HIDDEN), np.float32)
+            hb, cb = (np.tile(v, (x.shape[1], 1)) for v in begin[len(x)])
+            return session.run(None, {"x": x.astype(np.int32), "hf": none, "cf": none, "hb": hb, "cb": cb})[0].transpose(0, 2, 1)
+        ends = len(x) - (x[::-1] != PAD).argmax(axis=0)
+        order = np.argsort(-ends, kind="stable")  # long windows first, after one of padding
+        whole = np.full((READ, 1 + len(order)), PAD, np.uint8)
+        whole[: len(x), 1:] = x[:, order]
+        going = 1 + np.searchsorted(-ends[order], -np.arange(READ), "left")  # columns with more characters than a time
+        e = self._middle(whole, np.minimum(-(-going // STEP) * STEP, 1 + len(order)).tolist())
+        out = np.zeros((READ, len(order), TAGS), np.float32)
+        out[OVERLAP : READ - OVERLAP, order] = e[:, 1:]
+        return out[: len(x)].transpose(0, 2, 1)
+
+    def _middle(self, x: np.ndarray, live: list[int]) -> np.ndarray:
         """(time, batch, TAGS) of the middle of windows; live: as in _read."""
         x, n = x.astype(np.intp), len(x) - 2 * OVERLAP
         out, more = np.empty((n, x.shape[1], TAGS), np.float32), np.empty((x.shape[1], TAGS), np.float32)
@@ -486,12 +522,9 @@ class Tagger:
         ends = np.minimum(rest + OVERLAP, READ)
         order = np.argsort(-ends, kind="stable")
         for own in np.array_split(order, max(1, round(len(order) / BATCH))) if len(order) else []:
-            x = np.full((READ, 1 + len(own)), PAD, np.uint8)
-            x[:, 1:] = windows[own].T
-            going = 1 + np.searchsorted(-ends[own], -np.arange(READ), "left")  # columns with more characters than a time
-            live = np.minimum(-(-going // STEP) * STEP, 1 + len(own)).tolist()
-            emitted = self.emissions(x, live).view(ROW)[:, :, 0]
-            for j, (to, n) in enumerate(zip(into[own].tolist(), np.minimum(rest[own], inner).tolist(), strict=True), 1):
+            x = np.ascontiguousarray(windows[own, : ends[own[0]]].T)
+            emitted = np.ascontiguousarray(self.emissions(x)[OVERLAP : OVERLAP + inner].transpose(0, 2, 1)).view(ROW)[:, :, 0]
+            for j, (to, n) in enumerate(zip(into[own].tolist(), np.minimum(rest[own], inner).tolist(), strict=True)):
                 rows[to : to + n] = emitted[:n, j]
         del windows
         tags = self.decode(flat, [len(coded[k]) for k in some])
