@@ -5,7 +5,7 @@ patterns miss, such as addresses written with spaces or words for signs. It is t
 spans: synthetic spans of each kind, plain and disguised, set into windows of the corpus's own text and of
 look-alikes (numbers, dates, versions, mentions) that are no personal data.
 
-Every text is read whole by the network, in windows of READ characters that overlap by OVERLAP on each side. A window's
+Every text is read whole by the network (ONNX Runtime, see network.py), in windows of READ characters that overlap by OVERLAP on each side. A window's
 emissions count for its middle; overlapping windows are reconciled into one emission sequence of the text, in which each
 character is taken from the window where it stands farthest from an edge, and one Viterbi search over that sequence
 decides the tags of the whole text, so a span never depends on where a window was cut. The search is exact: only
@@ -45,7 +45,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 WINDOW, READ, OVERLAP = 64, 512, 16
 HIDDEN = 12
 #: Windows that run through the network together, and characters of texts that are tagged together.
-BATCH = 1024
+BATCH = 512
 TOGETHER = 500_000
 #: Windows of a batch end by so many.
 STEP = 16
