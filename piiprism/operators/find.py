@@ -1,8 +1,9 @@
 """All personal data of a text: the row patterns, and what lines and names say, in one merge.
 
-Patterns stay in the document's row. Header values, machine-readable zones, names near contact data and repeated names
-come from frames of lines; these are keyed by a hash of the text, so copies of a text are read once and rows with equal
-or null ids don't mix. Spans that lie in a header line are labels and go before the merge.
+Plain texts are read row by row (``plain``). For others, patterns stay in the document's row; header values,
+machine-readable zones, names near contact data and repeated names come from frames of lines. These are keyed by a hash
+of the text, so copies of a text are read once and rows with equal or null ids don't mix. Spans that lie in a header line
+are labels and go before the merge.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from . import lineage, lines, recognize, spans
+from . import lineage, lines, plain, recognize, spans
 
 #: Scores of what lines say.
 HEADER, ZONE, ECHO, CONTACT, REPEATED = 0.90, 0.95, 0.95, 0.75, 0.80
@@ -64,8 +65,18 @@ def repeated(t: Column, names: Column) -> Column:
 def find_pii(docs: DataFrame, key: str = "doc_id", column: str = "text", entities: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """key, column, spans (merged and trimmed) for each row of docs.
 
-    entities: the ones to keep, chosen before the merge; names: the row patterns to use. A null text has no spans.
+    entities: the ones to keep, chosen before the merge; names: the row patterns to use. A null text has no spans. Plain
+    texts (``plain``) are read in their rows; only the others, if there are any, go through frames of lines.
     """
+    rows = docs.select(key, column)
+    odd = F.coalesce(F.col(column).rlike(plain.OTHER), F.lit(False))
+    read = plain.find(rows.where(~odd), {"HEADER": HEADER, "ZONE": ZONE, "ECHO": ECHO, "CONTACT": CONTACT, "REPEATED": REPEATED}, entities, names)
+    others = rows.where(odd)
+    return read if others.isEmpty() else read.unionByName(find_in_columns(others, key, column, entities, names))
+
+
+def find_in_columns(docs: DataFrame, key: str = "doc_id", column: str = "text", entities: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """The same for any texts, by Columns and frames of lines."""
     t = texts.fold_digits(F.col(column))
     # patterns cost the most by far: they are matched once for all that reads their spans
     read = lineage.cut(docs.select(key, column, F.sha2(t, 256).alias("k"), recognize.all_spans(t, names).alias("found")))
