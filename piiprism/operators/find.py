@@ -16,6 +16,7 @@ from . import lineage, lines, plain, recognize, spans
 
 #: Scores of what lines say.
 HEADER, ZONE, ECHO, CONTACT, REPEATED = 0.90, 0.95, 0.95, 0.75, 0.80
+SCORES = {"HEADER": HEADER, "ZONE": ZONE, "ECHO": ECHO, "CONTACT": CONTACT, "REPEATED": REPEATED}
 _ITEM = recognize.SPAN[len("array<") : -1]
 
 
@@ -70,7 +71,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", column: str = "text", entitie
     """
     rows = docs.select(key, column)
     odd = F.coalesce(F.col(column).rlike(plain.OTHER), F.lit(False))
-    read = plain.find(rows.where(~odd), {"HEADER": HEADER, "ZONE": ZONE, "ECHO": ECHO, "CONTACT": CONTACT, "REPEATED": REPEATED}, entities, names)
+    read = plain.find(rows.where(~odd), SCORES, entities, names)
     others = rows.where(odd)
     return read if others.isEmpty() else read.unionByName(find_in_columns(others, key, column, entities, names))
 

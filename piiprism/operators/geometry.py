@@ -119,6 +119,12 @@ def running_text(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt by page to tasks for all cores: pages are small and take long, so their bytes tell nothing of their work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page")
+
+
 def _plain(column: pa.Array) -> list:
     number = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
     return column.to_numpy().tolist() if number and not column.null_count else column.to_pylist()
@@ -288,12 +294,17 @@ def stitched_dates(boxes: DataFrame) -> DataFrame:
     return _by_page(date_halves(boxes), [*names, "_head", "_year"], lambda rows: [{n: r[n] for n in names} for r in with_years(rows)], StructType([boxes.schema[n] for n in ("page", *names)]))
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value, which is computed once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def sub_polygon(corners: Column, first: Column, last: Column, n: Column, pad: float = 0.05) -> Column:
     """The part of a quad (array of four [x, y], from the upper left) that holds characters [first, last) of n."""
     a = F.greatest(F.lit(0.0), (first - pad) / n)
     b = F.least(F.lit(1.0), (last + pad) / n)
     at = lambda i, j, t: F.array(*(corners[i][k] + (corners[j][k] - corners[i][k]) * t for k in (0, 1)))
-    return F.array(at(0, 1, a), at(0, 1, b), at(3, 2, b), at(3, 2, a))
+    return once(F.struct(a.alias("a"), b.alias("b")), lambda t: F.array(at(0, 1, t["a"]), at(0, 1, t["b"]), at(3, 2, t["b"]), at(3, 2, t["a"])))
 
 
 def bounding_box(polygon: Column) -> list[Column]:

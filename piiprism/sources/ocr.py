@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.geometry import dealt
+
 
 def from_lists(results: DataFrame) -> DataFrame:
     """page and parallel lists rec_polys, rec_texts, rec_scores; blank texts go."""
@@ -72,6 +74,6 @@ def united(*reads: DataFrame) -> DataFrame:
     def one(k: int, r: DataFrame) -> DataFrame:
         return (framed(r) if "crop" in r.columns else r).select("page", F.lit(k).alias("read"), F.col("poly").cast("array<array<double>>").alias("poly"), "text", F.col("conf").cast("double").alias("conf"))
 
-    rows = reduce(DataFrame.unionByName, (one(k, r) for k, r in enumerate(reads)))
+    rows = dealt(reduce(DataFrame.unionByName, (one(k, r) for k, r in enumerate(reads))))
     w = Window.partitionBy("page").orderBy("read", F.element_at("poly", 1)[1], F.element_at("poly", 1)[0], "text", "conf")
     return rows.withColumn("id", F.row_number().over(w).cast("long")).select("page", "id", "poly", "text", "conf")

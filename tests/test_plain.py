@@ -1,13 +1,14 @@
 """Plain texts, read row by row, against the same texts by Columns and frames of lines."""
 
 import random
+import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from piiprism.operators import find, plain, recognize
+from piiprism.operators import find, plain, reading, recognize
 
 PIECES = [
     "ruth@acme.org", "u %+-x@a-b.co.uk", "a@b.com,", "jane@acme,corp.c", "@", "see https://x.org/a?b=<c>", "WWW.acme.de/'q'", "4111 1111 1111 1111", "4l11-1111 1111 1111", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000",
@@ -71,3 +72,59 @@ def test_other_texts_beside_plain_ones(spark):
     docs = spark.createDataFrame([(1, "mail ruth@acme.org"), (2, "Élodie, mail ruth@acme.org"), (3, "mail\rruth@acme.org"), (4, None), (5, "mail ruth@acme.org")], "doc_id long, text string")
     got = {i: [s[:3] for s in x] for i, x in spans_of(find.find_pii(docs)).items()}
     assert got == {1: [(5, 18, "EMAIL")], 2: [(13, 26, "EMAIL")], 3: [(5, 18, "EMAIL")], 4: [], 5: [(5, 18, "EMAIL")]}
+
+
+def test_a_long_text_in_linear_time():
+    n = 30_000
+    t = "Jane Falk, a@b.org\n" * n + "Surname\nMorant\n" * n
+    began = time.time()
+    got = plain.every_span(t, plain.found(pa.array([t]), [t], list(plain.BY_NAME.values()))[0], find.SCORES, None)
+    assert len(got) == 2 * n and time.time() - began < 60
+
+
+# ---- whole pages ----
+
+SAID = [
+    "Mail:", "ruth@acme.org", "Date of birth", "Date of issue / Fecha", "Date", "14", "JAN", "14 JAN", "14 JAN /JAN", "1999", "I9", "14 JAN 1999", "02/03/2001.", "Passport", "Surname", "Morant", "MORANT", "Jane Falk", "12345678", "123 456 789", "1234567890", "No 12345678", "of the", "x",
+    "P<UTOMORANT<<RUTH<<<<<<<<<<<<<<<<<<<<<<", "K777777774UTO8002020F3001019<<<<<<<<<<<<<<02", "Dear Jane Falk", "+1 415 555 1234", "the end", "4111 1111 1111 1111",
+]
+READ = "page long, id long, poly array<array<double>>, text string, conf double"
+
+
+def readings(pages: int, seed: int, odd: bool) -> list[tuple]:
+    r, out = random.Random(seed), []
+    for page in range(pages):
+        for i in range(r.randint(0, 16)):
+            x, y = 20.0 * r.randint(0, 36), 24.0 * r.randint(0, 9) + r.choice([0, 1, 3, 6])
+            said = r.choice(SAID) if not odd or page % 3 or r.random() < 0.7 else r.choice(["Élodie", "Fecha de expedición", "شماره"])
+            out.append((page, i, [[x, y], [x + 9.0 * len(said), y + r.choice([0, 2])], [x + 9.0 * len(said), y + 20], [x, y + 18]], said, r.choice([0.1, 0.5, 0.8, 0.95])))
+    return out
+
+
+@pytest.mark.parametrize("seed, odd", [(1, False), (2, True)])
+def test_walked_pages_equal_columns(spark, seed, odd):
+    own = spark.createDataFrame(readings(400, seed, odd), READ).repartition(8).cache()
+    frames = spark.createDataFrame([(p, 640 if p % 7 else None, 400, [[1.0, 0.1, 3.0], [-0.1, 1.0, 9.0]] if p % 3 == 1 else None) for p in range(390)], "page long, width int, height int, matrix array<array<double>>")
+    got, want = (sorted((tuple(map(str, r)) for r in f(own, frames).collect())) for f in (reading.detections, reading.detections_in_columns))
+    assert got == want and len({r[3] for r in want}) >= 6
+
+
+def test_a_page_goes_on_in_the_next_batch(spark):
+    rows = [(p, i, [[10.0, 30.0 * i], [200.0, 30.0 * i], [200.0, 30.0 * i + 20], [10.0, 30.0 * i + 20]], f"u{i}@acme.org" if i % 2 else "Dear Jane Falk", 0.9) for p, n in ((1, 1), (2, 150), (3, 7), (4, 64)) for i in range(n)]
+    frames = spark.createDataFrame([(p, 1000, 9000, None) for p in range(9)], "page long, width int, height int, matrix array<array<double>>")
+    count = lambda: {r["page"]: r["count"] for r in reading.detections(spark.createDataFrame(rows, READ), frames).groupBy("page").count().collect()}
+    whole = count()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert count() == whole == {1: 1, 2: 150, 3: 7, 4: 64}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_plain_pages_are_walked_in_one_pass(spark, monkeypatch):
+    written = []
+    real = reading.lineage.cut
+    monkeypatch.setattr(reading.lineage, "cut", lambda rows: written.append(rows) or real(rows))
+    frames = spark.createDataFrame([(1, 640, 400, None)], "page long, width int, height int, matrix array<array<double>>")
+    got = reading.detections(spark.createDataFrame([(1, 1, [[10.0, 10.0], [200.0, 10.0], [200.0, 30.0], [10.0, 30.0]], "ruth@acme.org", 0.9)], READ), frames)
+    assert [r["entity"] for r in got.collect()] == ["EMAIL"] and len(written) == 1
