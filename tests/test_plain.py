@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from piiprism.operators import find, plain, reading, recognize
+from piiprism.plans import catalog
 
 PIECES = [
     "ruth@acme.org", "u %+-x@a-b.co.uk", "a@b.com,", "jane@acme,corp.c", "@", "see https://x.org/a?b=<c>", "WWW.acme.de/'q'", "4111 1111 1111 1111", "4l11-1111 1111 1111", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000",
@@ -128,3 +129,16 @@ def test_plain_pages_are_walked_in_one_pass(spark, monkeypatch):
     frames = spark.createDataFrame([(1, 640, 400, None)], "page long, width int, height int, matrix array<array<double>>")
     got = reading.detections(spark.createDataFrame([(1, 1, [[10.0, 10.0], [200.0, 10.0], [200.0, 30.0], [10.0, 30.0]], "ruth@acme.org", 0.9)], READ), frames)
     assert [r["entity"] for r in got.collect()] == ["EMAIL"] and len(written) == 1
+
+
+def test_zone_echoes_are_found_in_the_rows_of_their_pages(spark, sf):
+    plan = catalog.QUERIES["zone_echoes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # orders are dealt to all cores
+
+
+def test_zones_of_plain_texts():
+    one, two = "P<XQZMORANT<<RUTH<<<<<<<<<<<<<<<<<<<<<<<", "K777777774XQZ8002020F3001019<<<<<<<<<<<<<<02"
+    assert plain.zone_line(one) == ("name", one) and plain.zone_line(two) == ("data", two) and plain.zone_line(one[:27]) is None
+    assert list(plain.zone_fields([("data", two), ("name", one)])) == [("K77777777", "ID_NUMBER"), ("MORANT", "PERSON"), ("RUTH", "PERSON")]
+    assert plain.whole_words("de la paz, de la pazs", "de la paz") == [(0, 9)]
+    assert plain.spaced_words("seen: d e la\tpaz; delapazs, delapaz", "delapaz") == [(6, 16), (28, 35)]
